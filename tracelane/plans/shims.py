@@ -114,7 +114,7 @@ def pg(spark, sf) -> DataFrame:
 
 def doc(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select(
-        F.col("source").alias("path"), F.col("doc_id").alias("at"), F.col("text").alias("content")
+        F.col("source").alias("path"), F.col("doc_id").alias("ver"), F.col("text").alias("content")
     )
 
 
@@ -157,7 +157,7 @@ SQL = {
     "tp": "SELECT p_partkey, p_brand || '/' || p_type || '/' || p_name AS rel FROM part",
     "conv": "SELECT conv_id AS session, turn AS line_no, role, text FROM conversations",
     "pg": "SELECT page_id, url FROM pages",
-    "doc": "SELECT source AS path, doc_id AS at, text AS content FROM documents",
+    "doc": "SELECT source AS path, doc_id AS ver, text AS content FROM documents",
     "parts": """SELECT who, who // 5 AS session, (who // 5) * 5 AS main,
         CASE WHEN who % 5 = 0 THEN 'main' ELSE 'subagent' END AS kind FROM (SELECT DISTINCT who FROM ev)""",
 }

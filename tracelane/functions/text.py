@@ -14,7 +14,7 @@ def utf8_cap(c: Column, limit: int = 4096) -> Column:
     raw = c.cast("binary")
     heads = [F.substring(raw, 1, n) for n in range(limit, max(limit - 4, 0), -1)]
     head = F.coalesce(*[F.when(F.is_valid_utf8(h.cast("string")), h.cast("string")) for h in heads], F.lit(""))
-    return F.when(F.octet_length(c) <= limit, c).otherwise(F.concat(head, F.lit(TRUNCATED)))
+    return F.when(F.octet_length(c) > limit, F.concat(head, F.lit(TRUNCATED))).otherwise(c)
 
 
 def smartcase(c: Column, query: str) -> Column:

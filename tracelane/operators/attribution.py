@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.config import DEFAULTS, US, Params
-from tracelane.functions.num import ceil_div, floor_div
 from tracelane.operators.intervals import islands
 from tracelane.operators.ordered import latest_before
 
@@ -78,27 +79,45 @@ def suppress_echoes(
     return found.where(F.col("_wrote").isNull() | (F.col("_wrote") < F.col("at_us") - before)).drop("_until", "_wrote")
 
 
-RADIX = 4
+# Aligned time blocks: a block of level n spans 4**n microseconds, so levels are bit shifts.
+BITS = 2
+MAX_LEVEL = 28
 ANY_ROOT = -1
 
 
-def _cover(lo: Column, hi: Column, level: Column) -> Column:
-    """Indexes of the level's blocks that tile [lo, hi) and whose parent block does not fit.
+def _spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Even out rows before each turns into dozens; a fixed count keeps AQE from merging them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
-    A block of level n spans RADIX**n microseconds. Together the levels tile the range
-    exactly, with at most 2 * (RADIX - 1) blocks each.
-    """
-    size = F.pow(F.lit(RADIX), level).cast("bigint")
-    wide = size * RADIX
-    first, last = ceil_div(lo, size), floor_div(hi, size)
-    up_first, up_last = ceil_div(lo, wide), floor_div(hi, wide)
 
-    def run(a: Column, b: Column) -> Column:
-        return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+def _tiles(spans: DataFrame) -> DataFrame:
+    """Tile each range [_lo, _hi) exactly with aligned blocks; adds ``_level`` and ``_block``.
 
-    whole = run(first, last)
-    sides = F.concat(run(first, F.least(last, up_first * RADIX)), run(F.greatest(first, up_last * RADIX), last))
-    return F.when(up_first < up_last, sides).otherwise(whole)
+    A level contributes its blocks inside the range whose parent block is not inside: at most
+    three at either end, six at the top level. Only levels up to the range's length occur.
+    """
+    top = F.ceil(F.log2((F.col("_hi") - F.col("_lo")).cast("double")) / BITS).cast("int")
+    per_level = spans.withColumn("_level", F.explode(F.sequence(F.lit(0), F.least(top, F.lit(MAX_LEVEL)))))
+
+    def down(c: str, levels: str) -> Column:
+        return F.expr(f"shiftright({c}, {BITS} * ({levels}))")
+
+    def up(c: str, levels: str) -> Column:
+        return F.expr(f"-shiftright(-{c}, {BITS} * ({levels}))")
+
+    per_level = per_level.withColumns({"_a": up("_lo", "_level"), "_b": down("_hi", "_level")}).where("_a < _b")
+    per_level = per_level.withColumns({"_pa": up("_a", "1"), "_pb": down("_b", "1")})
+    inner = F.col("_pa") < F.col("_pb")
+    per_level = per_level.withColumns(
+        {
+            "_a_end": F.when(inner, F.shiftleft("_pa", BITS)).otherwise(F.col("_b")),
+            "_b_start": F.when(inner, F.shiftleft("_pb", BITS)).otherwise(F.col("_b")),
+        }
+    ).where("_a < _a_end OR _b_start < _b")
+    none = F.array().cast("array<bigint>")
+    left = F.when(F.col("_a") < F.col("_a_end"), F.sequence("_a", F.col("_a_end") - 1)).otherwise(none)
+    right = F.when(F.col("_b_start") < F.col("_b"), F.sequence("_b_start", F.col("_b") - 1)).otherwise(none)
+    return per_level.withColumn("_block", F.explode(F.concat(left, right)))
 
 
 def attribute(
@@ -134,25 +153,23 @@ def attribute(
             F.col("call_id").alias("call_id"),
         ).alias("_w"),
     ).where("_lo < _hi")
-    longest = spans.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
-    levels = 1
-    while RADIX**levels <= longest:
-        levels += 1
     tiles = (
-        spans.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-        .withColumn("_block", F.explode(_cover(F.col("_lo"), F.col("_hi"), F.col("_level"))))
+        _tiles(_spread(spans, "_w"))
         .groupBy("_root", "_level", "_block")
         .agg(F.max("_w").alias("_w"))
     )
+    longest = spans.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
+    levels = min(MAX_LEVEL, math.ceil(math.log2(longest) / BITS))
     roots = F.array(F.col("root_id").cast("bigint"), F.lit(ANY_ROOT).cast("bigint"))
-    probes = changes.select(
-        F.col("event_id"),
-        F.explode(roots).alias("_root") if nullable_root else F.col("root_id").cast("bigint").alias("_root"),
-        F.col("at_us").alias("_at"),
-    ).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    probes = probes.select(
-        "event_id", "_root", "_level", floor_div(F.col("_at"), F.pow(F.lit(RADIX), F.col("_level")).cast("bigint")).alias("_block")
-    )
+    probes = _spread(
+        changes.select(
+            "event_id",
+            F.explode(roots).alias("_root") if nullable_root else F.col("root_id").cast("bigint").alias("_root"),
+            F.col("at_us").alias("_at"),
+        ),
+        "event_id",
+    ).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    probes = probes.select("event_id", "_root", "_level", F.expr(f"shiftright(_at, {BITS} * _level)").alias("_block"))
     best = (
         probes.join(tiles, ["_root", "_level", "_block"])
         .groupBy("event_id")

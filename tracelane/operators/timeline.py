@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelane.config import DEFAULTS, US, Params
 from tracelane.functions.num import floor_div
 from tracelane.operators.ordered import latest_before, ordered, running_max, running_sum
+from tracelane.operators.tree import prefixes
 
 
 def grid_col(at_us: Column, width_s) -> Column:
@@ -172,24 +173,24 @@ def gantt_nodes(events: DataFrame, node_events: DataFrame, width_s: int) -> Data
     )
 
 
-def gantt_paths(events: DataFrame, width_s: int, node: Column) -> DataFrame:
-    """``gantt_nodes`` where every event carries its own ancestor array: no join is needed.
+def gantt_paths(events: DataFrame, width_s: int, path: str = "rel") -> DataFrame:
+    """``gantt_nodes`` where a node is any ancestor of an event's path: no join is needed.
 
     Events are first reduced to one winner per (path, column); only winners are spread over
     the ancestors.
     """
     is_write = (F.col("kind") == "write").cast("int")
-    rank = F.struct(is_write.alias("w"), F.col("end_us").alias("e"), (-F.col("event_id")).alias("i"))
+    rank = F.struct(is_write.alias("w"), F.col("end_us").alias("e"), (-F.col("event_id")).alias("i"), "who")
     leaf = (
-        overlap_buckets(events.withColumn("_nodes", node), width_s)
-        .groupBy("_nodes", "bucket")
-        .agg(F.max(F.struct(rank.alias("r"), F.col("who").alias("who"))).alias("_top"))
+        overlap_buckets(events.select(path, "start_us", "end_us", rank.alias("_r")), width_s)
+        .groupBy(path, "bucket")
+        .agg(F.max("_r").alias("_r"))
     )
     return (
-        leaf.select(F.explode("_nodes").alias("node"), "bucket", "_top")
+        leaf.select(F.explode(prefixes(F.split(path, "/"))).alias("node"), "bucket", "_r")
         .groupBy("node", "bucket")
-        .agg(F.max("_top").alias("_top"))
-        .select("node", "bucket", F.col("_top.who").alias("who"), F.col("_top.r.w").alias("is_write"))
+        .agg(F.max("_r").alias("_r"))
+        .select("node", "bucket", F.col("_r.who").alias("who"), F.col("_r.w").alias("is_write"))
     )
 
 

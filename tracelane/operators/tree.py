@@ -28,19 +28,27 @@ def path_prefixes(df: DataFrame, segments: Column) -> DataFrame:
     return df.where(F.size(segments) > 0).select("*", F.inline(steps))
 
 
-def path_rollup(events: DataFrame, segments: Column, forest: Column) -> DataFrame:
+EVENT_PATH = ("scope", "root_id", "scope_session", "rel")
+
+
+def _by(events: DataFrame, by) -> list[str]:
+    return [c for c in (by or EVENT_PATH) if c in events.columns]
+
+
+def path_rollup(events: DataFrame, segments: Column, forest: Column, by=None) -> DataFrame:
     """Per tree node the events at or below it.
 
     An event has one path, so the union over descendants is disjoint and counts add up. Events
-    are first reduced to one row per distinct path, on the map side; only those few rows are
-    spread over the ancestors. That also takes the weight off the nodes near the top.
+    are first reduced to one row per distinct path (the columns ``by``, from which ``segments``
+    and ``forest`` follow), on the map side; only those few rows are spread over the ancestors.
+    That also takes the weight off the nodes near the top.
     """
+    by = _by(events, by)
     leaves = (
-        events.select(
-            forest.alias("forest"), segments.alias("_segs"), "end_us", (F.col("kind") == "write").cast("bigint").alias("w")
-        )
-        .groupBy("forest", "_segs")
+        events.select(*by, "end_us", (F.col("kind") == "write").cast("bigint").alias("w"))
+        .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.max("end_us").alias("e"))
+        .select(forest.alias("forest"), segments.alias("_segs"), "n", "w", "e")
     )
     return (
         path_prefixes(leaves, F.col("_segs"))
@@ -158,9 +166,10 @@ def tree_order(nodes: DataFrame, block_rows: int | None = None) -> DataFrame:
     return out.drop("_key")
 
 
-def node_touches(events: DataFrame, segments: Column, forest: Column) -> DataFrame:
-    """Distinct ``(forest, key, is_dir, who)``: who has an event at or below each node."""
-    leaves = events.select(forest.alias("forest"), segments.alias("_segs"), "who").distinct()
+def node_touches(events: DataFrame, segments: Column, forest: Column, by=None) -> DataFrame:
+    """``(forest, key, is_dir, who)``: who has an event at or below each node."""
+    by = _by(events, by)
+    leaves = events.select(*by, "who").distinct().select(forest.alias("forest"), segments.alias("_segs"), "who")
     steps = path_prefixes(leaves, F.col("_segs"))
     return steps.groupBy("forest", "key", "who").agg(F.max(~F.col("is_leaf")).alias("is_dir"))
 

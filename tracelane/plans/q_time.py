@@ -265,12 +265,6 @@ def overlap_buckets(spark, sf):
 _PREFIXES = "[regexp_extract(rel, '^[^/]+'), regexp_extract(rel, '^[^/]+/[^/]+'), rel]"
 
 
-def _ancestors():
-    from tracelane.operators.tree import prefixes
-
-    return prefixes(F.split("rel", "/"))
-
-
 @register(
     "gantt_nodes",
     with_sql(
@@ -283,7 +277,7 @@ def _ancestors():
     ),
 )
 def gantt_nodes(spark, sf):
-    return T.gantt_paths(S.fx(spark, sf), 3600, _ancestors())
+    return T.gantt_paths(S.fx(spark, sf), 3600)
 
 
 _LANES_SQL = """
@@ -467,5 +461,5 @@ def attribution_report(spark, sf):
         F.col("at_us").alias("end_us"),
         F.lit("write").alias("kind"),
     )
-    cells = T.gantt_paths(events, 3600, _ancestors())
+    cells = T.gantt_paths(events, 3600)
     return cells.groupBy("node", "who").agg(F.count(F.lit(1)).alias("cells"))

@@ -332,7 +332,7 @@ def tree_order(spark, sf):
 
 
 def _touches(spark, sf):
-    return TR.node_touches(S.fx(spark, sf), F.split("rel", "/"), F.lit("f"))
+    return TR.node_touches(S.fx(spark, sf).select("rel", "who"), F.split("rel", "/"), F.lit("f"))
 
 
 _TOUCH = """t AS (SELECT DISTINCT unnest([regexp_extract(rel, '^[^/]+'), regexp_extract(rel, '^[^/]+/[^/]+'), rel]) AS key,
@@ -372,7 +372,7 @@ def touched_dirs(spark, sf):
 def web_hosts(spark, sf):
     fetched = S.pg(spark, sf).select("url", F.col("page_id").alias("end_us"), F.lit("read").alias("kind"))
     segs = P.tree_segments(F.lit("webfetch"), F.col("url"), DEFAULTS.home)
-    return TR.path_rollup(fetched, segs, F.lit("w"))
+    return TR.path_rollup(fetched, segs, F.lit("w"), by=("url",))
 
 
 @register(

@@ -9,6 +9,7 @@ from tracelane.config import DEFAULTS, Params
 from tracelane.operators.attribution import attribute, suppress_echoes, with_provenance
 from tracelane.operators.content import asof_prev, version_diff
 from tracelane.operators.roots import project_rel
+from tracelane.session import staged
 from tracelane.sources.participants import YOU
 from tracelane.sources.touches import detail
 
@@ -36,6 +37,7 @@ def classify_changes(
         F.when(F.octet_length("content") <= p.max_content_bytes, F.col("content"))
     )
     placed = placed.withColumn("content", text).withColumn("scope_key", F.concat(F.lit("p"), F.col("root_id").cast("string")))
+    placed = staged(placed)  # the lookups below read it several times
     seen = placed.where("content IS NOT NULL").select(
         "scope_key", "rel", "at_us", F.col("event_id").cast("bigint").alias("seq"), "content"
     )
@@ -44,7 +46,7 @@ def classify_changes(
     compared = version_diff(before, created=F.col("change") == "created")
 
     writes = file_events.where("source = 'tool' AND kind = 'write' AND scope = 'project'")
-    kept = suppress_echoes(compared, writes, p=p)
+    kept = staged(suppress_echoes(compared, writes, p=p))
     found = attribute(kept, windows, now_us, p=p, nullable_root=True)
     named = with_provenance(found.withColumn("who", F.coalesce("window_who", F.lit(YOU))), calls, None)
     has_call = F.col("call_id").isNotNull()

@@ -11,6 +11,7 @@ from tracelane.operators import intervals as I
 from tracelane.operators import timeline as T
 from tracelane.plans import shims as S
 from tracelane.plans.shims import with_sql
+from tracelane.session import staged
 
 HOUR = 3600 * US
 REGISTERED: dict = {}
@@ -451,7 +452,8 @@ def attribution_report(spark, sf):
     """Changes are coalesced, echoes dropped, the rest attributed and drawn per path and hour;
     the result counts the cells that each author owns."""
     changes = A.coalesce_changes(S.chg(spark, sf), quiet_us=_QUIET)
-    kept = A.suppress_echoes(changes, _writes(spark, sf), before_us=10 * HOUR, after_us=HOUR)
+    # Later steps look at their input twice (sizes first), so the reduced changes are staged.
+    kept = staged(A.suppress_echoes(changes, _writes(spark, sf), before_us=10 * HOUR, after_us=HOUR))
     found = _attribute(kept, S.win(spark, sf))
     events = found.select(
         "event_id",

@@ -46,8 +46,11 @@ def write_change_log(changes: DataFrame, path: str, batch: str | int, p: Params
 
 def read_change_log(spark: SparkSession, path: str) -> DataFrame:
     """Well-formed lines of the log; what cannot be understood is skipped."""
-    rec = F.try_parse_json("value")
-    log = spark.read.option("basePath", path).text(path).select("root_id", rec.alias("rec")).where("rec IS NOT NULL")
+    return parse_lines(spark.read.option("basePath", path).text(path).select("root_id", "value"))
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    log = lines.select("root_id", F.try_parse_json("value").alias("rec")).where("rec IS NOT NULL")
     who = V.text("rec", "$.who")
     file = V.text("rec", "$.who.file")
     call = F.nullif(V.text("rec", "$.who.toolCallId"), F.lit(""))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,6 +198,15 @@ def _large_keys(sizes: DataFrame, keys, floor):
     return total, [(tuple(r["k"]), r["count"]) for r in found]
 
 
+def _nulls_first(value):
+    """Sort key with the order that Spark gives to structs and arrays."""
+    if value is None:
+        return (0,)
+    if isinstance(value, (tuple, list)):
+        return (1, tuple(_nulls_first(v) for v in value))
+    return (1, value)
+
+
 def _cut(df: DataFrame, keys, order, hot, limit) -> DataFrame:
     """Add the block column: -1 for keys that fit, else the number of cut points at or below."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -216,10 +226,10 @@ def _cut(df: DataFrame, keys, order, hot, limit) -> DataFrame:
         points.setdefault(tuple(row["k"]) if keys else (), []).append(row["o"])
     rows = []
     for key, n in hot:
-        drawn = sorted(points.get(key, []))
+        drawn = sorted(points.get(key, []), key=_nulls_first)
         blocks = max(2, math.ceil(n / limit))
         step = max(1, len(drawn) // blocks)
-        cuts = sorted(set(drawn[step::step]))
+        cuts = [cut for cut, _ in groupby(drawn[step::step])]
         if not cuts:
             continue
         # Two levels, so that placing a row compares about 2 * sqrt(cuts) points.

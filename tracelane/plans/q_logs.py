@@ -310,7 +310,7 @@ def _rollout(spark, sf) -> DataFrame:
     rec = obj(timestamp=iso(n * US), type="event_msg", payload=payload)
     return _records(d.select(
         F.col("source").alias("who"),
-        F.lit("s").alias("session"),
+        F.col("source").alias("session"),
         F.lit(True).alias("is_main"),
         F.col("doc_id").alias("line_no"),
         line(rec).alias("rec"),
@@ -331,7 +331,7 @@ def _rollout(spark, sf) -> DataFrame:
     UNION ALL SELECT source, 'f' || doc_id, source || '/' || doc_id, 'edit', 'none', NULL, NULL, 'moved/' || doc_id, doc_id * 1000000, doc_id * 1000000 + 500000 FROM d WHERE doc_id % 6 = 5""",
 )
 def file_changes(spark, sf):
-    cwds = S.table(spark, sf, "documents").select(F.lit("s").alias("session"), F.lit("/w").alias("cwd")).distinct()
+    cwds = S.table(spark, sf, "documents").select(F.col("source").alias("session"), F.lit("/w").alias("cwd")).distinct()
     out = codex.touches(_rollout(spark, sf), cwds, "/").where("kind = 'write'")
     return out.select(
         "who", "call_id", "raw", "tool", "detail.type", F.md5("new_text").alias("new_digest"), F.md5("old_text").alias("old_digest"), "to_raw", "start_us", "end_us"

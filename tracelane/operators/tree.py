@@ -16,16 +16,18 @@ def prefixes(segments: Column) -> Column:
 
 
 def path_prefixes(df: DataFrame, segments: Column) -> DataFrame:
-    """One row per ancestor: adds ``key``, ``depth`` (from 0) and ``is_leaf``."""
+    """One row per ancestor: adds ``path`` (its segments), ``key``, ``depth`` (from 0), ``is_leaf``.
+
+    Segments may hold slashes themselves, so nodes are told apart by ``path``, not by ``key``.
+    """
     steps = F.transform(
         F.sequence(F.lit(1), F.size(segments)),
         lambda n: F.struct(
-            F.array_join(F.slice(segments, F.lit(1), n), "/").alias("key"),
-            (n - 1).alias("depth"),
-            (n == F.size(segments)).alias("is_leaf"),
+            F.slice(segments, F.lit(1), n).alias("path"), (n - 1).alias("depth"), (n == F.size(segments)).alias("is_leaf")
         ),
     )
-    return df.where(F.size(segments) > 0).select("*", F.inline(steps))
+    out = df.where(F.size(segments) > 0).select("*", F.inline(steps))
+    return out.withColumn("key", F.array_join("path", "/"))
 
 
 EVENT_PATH = ("scope", "root_id", "scope_session", "rel")
@@ -52,13 +54,14 @@ def path_rollup(events: DataFrame, segments: Column, forest: Column, by=None) ->
     )
     return (
         path_prefixes(leaves, F.col("_segs"))
-        .groupBy("forest", "key", "depth")
+        .groupBy("forest", "path", "depth")
         .agg(
             F.sum("n").alias("n_events"),
             F.sum("w").alias("n_writes"),
             F.max("e").alias("last_end_us"),
             F.max(~F.col("is_leaf")).alias("is_dir"),
         )
+        .withColumn("key", F.array_join("path", "/"))
     )
 
 
@@ -83,9 +86,14 @@ def merge_listings(*listings: DataFrame) -> DataFrame:
 
 
 def nodes_of(leaves: DataFrame, segments: Column, is_dir: Column | None = None) -> DataFrame:
-    """Distinct nodes of a forest: ``(forest, key, depth, is_dir)``."""
+    """Distinct nodes of each forest: ``(forest, path, key, depth, is_dir)``."""
     steps = path_prefixes(leaves.withColumn("_dir", F.lit(False) if is_dir is None else is_dir), segments)
-    return steps.groupBy("forest", "key", "depth").agg(F.max(~F.col("is_leaf") | F.col("_dir")).alias("is_dir"))
+    nodes = steps.groupBy("forest", "path", "depth").agg(F.max(~F.col("is_leaf") | F.col("_dir")).alias("is_dir"))
+    return nodes.withColumn("key", F.array_join("path", "/"))
+
+
+def _upto(path: Column, n: Column) -> Column:
+    return F.slice(path, F.lit(1), n)
 
 
 def compact(nodes: DataFrame) -> DataFrame:
@@ -96,26 +104,30 @@ def compact(nodes: DataFrame) -> DataFrame:
     the node's ancestors that is kept, found by equality on the exploded ancestors; nothing
     iterates, however deep a chain is.
     """
-    segs = F.split("key", "/")
-    up = F.when(F.col("depth") > 0, F.array_join(F.slice(segs, F.lit(1), F.col("depth")), "/"))
+    path = F.col("path")
     kids = (
         nodes.where("depth > 0")
-        .select("forest", up.alias("key"), "is_dir")
-        .groupBy("forest", "key")
+        .select("forest", _upto(path, F.col("depth")).alias("path"), "is_dir")
+        .groupBy("forest", "path")
         .agg(F.count(F.lit(1)).alias("_kids"), F.max("is_dir").alias("_kid_dir"))
     )
-    absorbed = kids.where("_kids = 1 AND _kid_dir").select("forest", "key")
-    kept = nodes.join(absorbed, ["forest", "key"], "left_anti")
-    ancestors = path_prefixes(kept.select("forest", F.col("key").alias("node")), F.split("node", "/")).where("NOT is_leaf")
-    stays = ancestors.join(absorbed, ["forest", "key"], "left_anti")
-    nearest = stays.groupBy("forest", F.col("node").alias("key")).agg(F.max("depth").alias("_up"))
-    out = kept.join(nearest, ["forest", "key"], "left")
-    skip = F.coalesce(F.col("_up") + 1, F.lit(0))
+    absorbed = kids.where("_kids = 1 AND _kid_dir").select("forest", "path")
+    kept = nodes.join(absorbed, ["forest", "path"], "left_anti")
+    ancestors = kept.where("depth > 0").select(
+        "forest",
+        path.alias("node"),
+        F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda n: _upto(path, n))).alias("path"),
+    )
+    stays = ancestors.join(absorbed, ["forest", "path"], "left_anti")
+    nearest = stays.groupBy("forest", F.col("node").alias("path")).agg(F.max(F.size("path")).alias("_up"))
+    out = kept.join(nearest, ["forest", "path"], "left")
+    skip = F.coalesce("_up", F.lit(0))
     return out.select(
         "forest",
+        "path",
         "key",
-        F.array_join(F.slice(segs, skip + 1, F.size(segs) - skip), "/").alias("name"),
-        F.when(F.col("_up").isNotNull(), F.array_join(F.slice(segs, F.lit(1), skip), "/")).alias("parent_key"),
+        F.array_join(F.slice(path, skip + 1, F.size(path) - skip), "/").alias("name"),
+        F.when(F.col("_up").isNotNull(), F.array_join(_upto(path, skip), "/")).alias("parent_key"),
         "is_dir",
     )
 
@@ -151,7 +163,7 @@ def tree_order(nodes: DataFrame, block_rows: int | None = None) -> DataFrame:
     The sort key is an array with one entry per ancestor, so that a node follows its parent.
     Needs ``is_dir`` of every ancestor, hence the whole node table of the forest.
     """
-    segs = F.split("key", "/")
+    segs = F.col("path")
     # An inner segment is a directory by position; only the last can be a file.
     key = F.transform(
         F.sequence(F.lit(1), F.size(segs)),
@@ -171,7 +183,8 @@ def node_touches(events: DataFrame, segments: Column, forest: Column, by=None) -
     by = _by(events, by)
     leaves = events.select(*by, "who").distinct().select(forest.alias("forest"), segments.alias("_segs"), "who")
     steps = path_prefixes(leaves, F.col("_segs"))
-    return steps.groupBy("forest", "key", "who").agg(F.max(~F.col("is_leaf")).alias("is_dir"))
+    out = steps.groupBy("forest", "path", "who").agg(F.max(~F.col("is_leaf")).alias("is_dir"))
+    return out.select("forest", F.array_join("path", "/").alias("key"), "is_dir", "who")
 
 
 def touching(touches: DataFrame, participants: DataFrame) -> DataFrame:

@@ -500,7 +500,7 @@ def search_sources(spark, sf):
     "edit_blocks",
     with_sql(
         "pg",
-        """SELECT page_id, b AS block, CASE b WHEN 1 THEN 'dir/' || page_id ELSE 'gone' END AS path, CASE b WHEN 1 THEN '+' || url || chr(10) || '-old' ELSE '' END AS body,
+        """SELECT page_id, CAST(b AS BIGINT) AS block, CASE b WHEN 1 THEN 'dir/' || page_id ELSE 'gone' END AS path, CASE b WHEN 1 THEN '+' || url || chr(10) || '-old' ELSE '' END AS body,
       CASE b WHEN 1 THEN 'to/' || page_id END AS moved_to, b = 2 AS removed FROM pg, (SELECT unnest([1, 2]) AS b)""",
     ),
 )
@@ -572,7 +572,7 @@ def diff_churn(spark, sf):
     p AS (SELECT *, count(*) FILTER (WHERE op <> '+') OVER w AS olds, count(*) FILTER (WHERE op <> '-') OVER w AS news FROM o
       WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     c AS (SELECT doc_id FROM o GROUP BY doc_id HAVING bool_or(op <> ' '))
-    SELECT doc_id AS event_id, op, 50 + olds AS old_line, 50 + news AS new_line, 'line ' || i AS text, 1 AS hunk FROM p WHERE doc_id IN (SELECT doc_id FROM c)""",
+    SELECT doc_id AS event_id, op, 50 + olds AS old_line, 50 + news AS new_line, 'line ' || i AS text, CAST(1 AS BIGINT) AS hunk FROM p WHERE doc_id IN (SELECT doc_id FROM c)""",
 )
 def numbered_diff_lines(spark, sf):
     """Edits whose lines carry their numbers, in one hunk each."""
@@ -647,7 +647,7 @@ def remap_roots(spark, sf):
 
 @register(
     "seed_content",
-    """SELECT source AS rel, doc_id AS seq, 5 AS at_us, md5(text) AS digest FROM documents
+    """SELECT source AS rel, doc_id AS seq, CAST(5 AS BIGINT) AS at_us, md5(text) AS digest FROM documents
     UNION ALL SELECT 'seed/' || doc_id, 0, 77, md5(text) FROM documents WHERE strlen(text) <= 2000""",
 )
 def seed_content(spark, sf):

@@ -169,7 +169,7 @@ def session_rollup(spark, sf):
 @register(
     "conversation_rollup",
     """SELECT conv_id AS session, min(turn) AS start_us, max(turn) AS last_seen_us, CAST(NULL AS VARCHAR) AS cwd,
-      count(*) FILTER (WHERE role = 'user') AS n_prompts, count(*) FILTER (WHERE role = 'assistant') AS n_events, 0 AS n_subagents
+      count(*) FILTER (WHERE role = 'user') AS n_prompts, count(*) FILTER (WHERE role = 'assistant') AS n_events, CAST(0 AS BIGINT) AS n_subagents
     FROM conversations GROUP BY conv_id""",
 )
 def conversation_rollup(spark, sf):

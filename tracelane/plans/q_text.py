@@ -28,7 +28,7 @@ def register(name, sql=None):
     WITH b AS (SELECT path, ver, content, encode(content) AS raw FROM doc),
     c AS (SELECT path, ver, CASE WHEN strlen(content) <= 4096 THEN content ELSE
       coalesce(try(decode(raw[1:4096])), try(decode(raw[1:4095])), try(decode(raw[1:4094])), try(decode(raw[1:4093]))) || chr(10) || '… (truncated)' END AS capped FROM b)
-    SELECT path, ver, md5(capped) AS digest, length(capped) AS n FROM c""",
+    SELECT path, ver, md5(capped) AS digest, CAST(length(capped) AS INT) AS n FROM c""",
     ),
 )
 def cap(spark, sf):

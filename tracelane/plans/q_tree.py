@@ -244,7 +244,7 @@ _UP3 = "[p_brand, p_brand || '/' || p_type, rel]"
 )
 def path_rollup(spark, sf):
     forest = F.concat(F.lit("f"), F.col("root_id").cast("string"))
-    return TR.path_rollup(_part_events(spark, sf), F.split("rel", "/"), forest)
+    return TR.path_rollup(_part_events(spark, sf), F.split("rel", "/"), forest).drop("path")
 
 
 def _listing(spark, sf):
@@ -316,7 +316,7 @@ _LEAVES = """lv AS (SELECT DISTINCT list_filter(list_concat(list_reverse(string_
       CASE WHEN u IS NOT NULL THEN array_to_string(k[1:u], '/') END AS parent_key, is_dir FROM up""",
 )
 def compact_paths(spark, sf):
-    return TR.compact(TR.nodes_of(_page_leaves(spark, sf), F.col("segs")))
+    return TR.compact(TR.nodes_of(_page_leaves(spark, sf), F.col("segs"))).drop("path")
 
 
 @register(
@@ -324,11 +324,11 @@ def compact_paths(spark, sf):
     f"""WITH p AS (SELECT DISTINCT 'f' AS forest, p_brand, p_type, p_name FROM part),
     nd AS (SELECT DISTINCT unnest([p_brand, p_brand || '/' || p_type, p_brand || '/' || p_type || '/' || p_name]) AS key, unnest([true, true, false]) AS is_dir,
       unnest([[p_brand], [p_brand, p_type], [p_brand, p_type, p_name]]) AS s FROM p)
-    SELECT 'f' AS forest, key, len(s) - 1 AS depth, is_dir, row_number() OVER (ORDER BY lower(s[1]), s[1], lower(s[2]) NULLS FIRST, s[2] NULLS FIRST, lower(s[3]) NULLS FIRST, s[3] NULLS FIRST) AS pos FROM nd""",
+    SELECT 'f' AS forest, key, CAST(len(s) - 1 AS INT) AS depth, is_dir, row_number() OVER (ORDER BY lower(s[1]), s[1], lower(s[2]) NULLS FIRST, s[2] NULLS FIRST, lower(s[3]) NULLS FIRST, s[3] NULLS FIRST) AS pos FROM nd""",
 )
 def tree_order(spark, sf):
     leaves = S.tp(spark, sf).select(F.lit("f").alias("forest"), "rel").distinct()
-    return TR.tree_order(TR.nodes_of(leaves, F.split("rel", "/")))
+    return TR.tree_order(TR.nodes_of(leaves, F.split("rel", "/"))).drop("path")
 
 
 def _touches(spark, sf):
@@ -366,13 +366,13 @@ def touched_dirs(spark, sf):
         """
     WITH s AS (SELECT page_id, regexp_extract(url, '^https?://([^/]*)', 1) AS host, '/' || regexp_extract(url, '^https?://[^/]*/(.*)', 1) AS path FROM pg),
     k AS (SELECT page_id, unnest([host, host || '/' || path]) AS key, unnest([0, 1]) AS depth FROM s)
-    SELECT 'w' AS forest, key, depth, count(*) AS n_events, 0 AS n_writes, max(page_id) AS last_end_us, depth = 0 AS is_dir FROM k GROUP BY key, depth""",
+    SELECT 'w' AS forest, key, depth, count(*) AS n_events, CAST(0 AS BIGINT) AS n_writes, max(page_id) AS last_end_us, depth = 0 AS is_dir FROM k GROUP BY key, depth""",
     ),
 )
 def web_hosts(spark, sf):
     fetched = S.pg(spark, sf).select("url", F.col("page_id").alias("end_us"), F.lit("read").alias("kind"))
     segs = P.tree_segments(F.lit("webfetch"), F.col("url"), DEFAULTS.home)
-    return TR.path_rollup(fetched, segs, F.lit("w"), by=("url",))
+    return TR.path_rollup(fetched, segs, F.lit("w"), by=("url",)).drop("path")
 
 
 @register(
@@ -382,7 +382,7 @@ def web_hosts(spark, sf):
         """
     WITH c AS (SELECT 'srv' || (k % 4) AS server, 'tool_' || (k % 9) AS tool, at_us, event_type = 'error' AS failed FROM ev),
     k AS (SELECT at_us, unnest([server, server || '/' || tool]) AS key, unnest([0, 1]) AS depth FROM c WHERE NOT failed)
-    SELECT 'mcp' AS forest, key, depth, count(*) AS n_events, 0 AS n_writes, max(at_us) AS last_end_us, depth = 0 AS is_dir FROM k GROUP BY key, depth""",
+    SELECT 'mcp' AS forest, key, depth, count(*) AS n_events, CAST(0 AS BIGINT) AS n_writes, max(at_us) AS last_end_us, depth = 0 AS is_dir FROM k GROUP BY key, depth""",
     ),
 )
 def mcp_servers(spark, sf):
@@ -394,7 +394,7 @@ def mcp_servers(spark, sf):
     events = calls.select(
         F.concat("m.server", F.lit("/"), "m.tool").alias("rel"), F.col("at_us").alias("end_us"), F.lit("read").alias("kind")
     )
-    return TR.path_rollup(events, P.tree_segments(F.lit("mcp"), F.col("rel"), DEFAULTS.home), F.lit("mcp"))
+    return TR.path_rollup(events, P.tree_segments(F.lit("mcp"), F.col("rel"), DEFAULTS.home), F.lit("mcp")).drop("path")
 
 
 # --- remote targets --------------------------------------------------------------------

@@ -27,8 +27,8 @@ BLOCK = "_blk"
 # A block holds about this many rows, or total / MAX_BLOCKS where that is more, which bounds
 # the number of large keys and of cut points whatever the size of the table.
 BLOCK_ROWS = 1_000_000
-MAX_BLOCKS = 20_000
-SAMPLE_PER_BLOCK = 20
+MAX_BLOCKS = 50_000
+SAMPLE_PER_BLOCK = 10
 
 
 @dataclass(frozen=True)

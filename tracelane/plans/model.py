@@ -72,6 +72,12 @@ def sessions_of(facts: DataFrame) -> DataFrame:
     )
 
 
+def main_prompts(typed: DataFrame, known: DataFrame) -> DataFrame:
+    """Prompts are what was typed in a session's main transcript."""
+    mains = known.where("is_main AND session IS NOT NULL").select("who", "session")
+    return typed.join(mains, "who").select("session", "at_us")
+
+
 def file_events(events: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Events numbered by (start, end, transcript, line, position): the same on every run."""
     tie = F.xxhash64("scope", "rel", "kind", "source", "tool", "call_id", "detail.type", "detail.moved_to")
@@ -94,10 +100,10 @@ def build(
     """All canonical tables of the transcripts launched in ``roots``.
 
     ``records`` is the union of what the readers gave. What several tables are made from is
-    staged: the parsed records once, then the narrow tables of calls and touches. The rest is
-    lazy; save the tables (``sources.store``) before reading them often.
+    staged: the parsed records once, by format and class, then the narrow tables of calls and
+    touches. The rest is lazy; save the tables (``sources.store``) before reading them often.
     """
-    records = staged(records)
+    records = staged(raw.classify(records), "harness", "class")
     people = participants.omp_participants(records).unionByName(participants.claude_participants(records, labels))
     people = people.unionByName(participants.codex_participants(records))
     projects = raw.assign_projects(records, roots, aliases)
@@ -107,30 +113,31 @@ def build(
     first = roots.orderBy("root_id").select("path").first()  # one row per checkout
     default_cwd = first["path"] if first else "/"
 
-    told = records.withColumnRenamed("file", "who").join(
-        people.select("who", "session", (F.col("kind") == "main").alias("is_main")), "who"
-    )
-    by_format = {h: told.where(F.col("harness") == h) for h in ("omp", "claude", "codex")}
+    # Who someone is joins the narrow tables made from the records, never the records.
+    known = people.select("harness", "who", "session", (F.col("kind") == "main").alias("is_main"))
+    told = records.drop("project_dir").withColumnRenamed("file", "who")
+    by_format = {h: told.where(F.col("harness") == h).drop("harness") for h in ("omp", "claude", "codex")}
     o, c = by_format["omp"], by_format["claude"]
-    x = staged(codex.timed(by_format["codex"], participants.codex_headers(records)))
+    x = codex.timed(raw.of_class(by_format["codex"], *raw.CLASSES["codex"]), participants.codex_headers(records))
+    x = staged(x.join(known.select("who", "session", "is_main"), "who"))
 
-    facts = [
-        module.session_facts(rows).withColumn("harness", F.lit(name))
-        for name, module, rows in (("omp", omp, o), ("claude", claude, c), ("codex", codex, x))
-    ]
-    facts = facts[0].unionByName(facts[1]).unionByName(facts[2]).where("session IS NOT NULL")
-    sessions = staged(sessions_of(facts))
+    facts = omp.session_facts(o).unionByName(claude.session_facts(c)).unionByName(codex.session_facts(x))
+    sessions = sessions_of(facts.join(known, "who").where("session IS NOT NULL"))
     if title_index is not None:
         listed = title_index.select("id", F.col("title").alias("_t"))
         own = F.when(F.col("harness") == "codex", F.col("_t"))
         sessions = sessions.join(listed, "id", "left").withColumn("title", F.coalesce(own, "title")).drop("_t")
+    sessions = staged(sessions)
     project_dir = F.regexp_replace("session", r"/[^/]*\z", "")
     cwds = sessions.select(
         "session", F.coalesce("cwd", F.when(F.col("harness") == "omp", project_dir), F.lit(default_cwd)).alias("cwd")
     )
 
-    o_calls = staged(omp.calls(staged(omp.call_records(o)), block_rows).join(cwds, "session", "left"))
-    c_calls = staged(claude.calls(c, block_rows).join(cwds, "session", "left"))
+    def at_home(calls):
+        return staged(calls.join(known.select("who", "session"), "who").join(cwds, "session", "left"))
+
+    o_calls = at_home(omp.calls(staged(omp.call_records(o)), block_rows))
+    c_calls = at_home(claude.calls(c, block_rows))
     said = omp.touches(o_calls, p).unionByName(claude.touches(c_calls)).unionByName(codex.touches(x, cwds, default_cwd))
     events, snapshots = touches.resolve(staged(said), prefixes, sessions, session_roots, p)
     events, snapshots = staged(events), staged(snapshots)
@@ -145,13 +152,15 @@ def build(
     intervals = union_intervals(
         omp.raw_intervals(o, o_calls), claude.raw_intervals(c, c_calls, block_rows), codex.raw_intervals(x, block_rows)
     )
+    intervals = intervals.join(known.select("who"), "who", "left_semi")
+    typed = omp.prompts(o).unionByName(claude.prompts(c)).unionByName(codex.prompts(x))
     return Tables(
         participants=people,
         sessions=sessions,
         file_events=file_events(events, block_rows),
         raw_intervals=intervals,
         spans=merge_intervals(intervals, ("who",), gap=p.idle_gap * US, block_rows=block_rows).drop("n_intervals"),
-        prompts=omp.prompts(o).unionByName(claude.prompts(c)).unionByName(codex.prompts(x)),
+        prompts=main_prompts(typed, known),
         tool_windows=windows.select(*names).unionByName(x_windows.select(*names)),
         calls=omp.call_table(o_calls).unionByName(claude.call_table(c_calls)).unionByName(codex.call_table(x)),
         snapshots=snapshots,

@@ -17,6 +17,7 @@ from tracelane.functions import paths as P
 from tracelane.operators import content as C
 from tracelane.operators import roots as R
 from tracelane.plans import shims as S
+from tracelane.plans.model import main_prompts, sessions_of
 from tracelane.plans.shims import with_sql
 from tracelane.session import shared_folder, staged
 from tracelane.sources import changelog, claude, codex, omp, participants, raw
@@ -121,7 +122,8 @@ def log_calls(spark, sf):
     ),
 )
 def log_prompts(spark, sf):
-    return omp.prompts(_omp_records(spark, sf))
+    records = _omp_records(spark, sf)
+    return main_prompts(omp.prompts(records), records.select("who", "session", "is_main").distinct())
 
 
 @register(
@@ -134,10 +136,9 @@ def log_prompts(spark, sf):
     ),
 )
 def log_sessions(spark, sf):
-    from tracelane.plans.model import sessions_of
-
-    facts = omp.session_facts(_omp_records(spark, sf)).withColumn("harness", F.lit("omp"))
-    return sessions_of(facts).select("session", "start_us", "last_seen_us", "end_us", "title")
+    records = _omp_records(spark, sf)
+    known = records.select("who", "session", "is_main", F.lit("omp").alias("harness")).distinct()
+    return sessions_of(omp.session_facts(records).join(known, "who")).select("session", "start_us", "last_seen_us", "end_us", "title")
 
 
 @register(
@@ -277,7 +278,7 @@ def entry_calls(spark, sf):
 )
 def entry_touches(spark, sf):
     """File events of finished calls: commands still count when they failed, MCP calls do not."""
-    done = claude.calls(_entries(spark, sf)).withColumn("cwd", F.lit("/"))
+    done = claude.calls(_entries(spark, sf)).withColumns({"cwd": F.lit("/"), "session": F.col("who")})
     return claude.touches(done).select("who", "call_id", "scope", "rel", "source", "end_us")
 
 
@@ -287,7 +288,8 @@ def entry_touches(spark, sf):
     WHERE (turn = 0 OR role NOT IN ('user', 'assistant')) AND trim(text) <> '' AND NOT starts_with(trim(text), '<')""",
 )
 def entry_prompts(spark, sf):
-    return claude.prompts(_entries(spark, sf))
+    records = _entries(spark, sf)
+    return main_prompts(claude.prompts(records), records.select("who", "session", "is_main").distinct())
 
 
 def _rollout(spark, sf) -> DataFrame:

@@ -6,6 +6,7 @@ SOURCES = "array<struct<title:string,url:string>>"
 DETAIL = f"struct<type:string,diff:string,content:string,moved_to:string,fs_change:string,sources:{SOURCES}>"
 
 RAW_RECORDS = "harness string, project_dir string, file string, line_no bigint, rec variant"
+CLASSIFIED = f"{RAW_RECORDS}, class string, at_us bigint, cwd string"
 PARTICIPANTS = "who string, kind string, label string, session string, main string, parent string, ord bigint"
 SESSIONS = (
     "session string, id string, title string, cwd string, start_us bigint, end_us bigint, last_seen_us bigint, main string"

@@ -65,12 +65,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, *partitions: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     For data that several later steps read: it is computed once, survives lost executors, and
-    as parquet each step reads only the columns it needs.
+    as parquet each step reads only the columns (and partitions) it needs.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from tracelane.operators.intervals import generation_intervals
 from tracelane.operators.ordered import ordered, running_sum
 from tracelane.sources import touches as T
 from tracelane.sources import variant as V
+from tracelane.sources.raw import of_class
 from tracelane.sources.rules import prompt_text_ok
 
 
@@ -24,15 +25,23 @@ def entry_ts() -> Column:
 
 
 def session_facts(raw: DataFrame) -> DataFrame:
+    """Rows for the session roll-up; only title records are read in full."""
+    if "class" not in raw.columns:
+        return _told(raw, entry_ts(), V.text("rec", "$.cwd"))
+    plain = raw.where("class <> 'title'").withColumn("rec", F.lit(None).cast("variant"))
+    return _told(plain, F.col("at_us"), F.col("cwd")).unionByName(
+        _told(of_class(raw, "title"), F.col("at_us"), F.col("cwd"))
+    )
+
+
+def _told(raw: DataFrame, at: Column, cwd: Column) -> DataFrame:
     custom, auto = _type() == "custom-title", _type() == "ai-title"
     return raw.select(
         "who",
-        "session",
-        "is_main",
         "line_no",
-        entry_ts().alias("at_us"),
+        at.alias("at_us"),
         F.lit(None).cast("string").alias("id"),
-        V.text("rec", "$.cwd").alias("cwd"),
+        cwd.alias("cwd"),
         F.lit(None).cast("bigint").alias("header_us"),
         F.when(custom, V.text("rec", "$.customTitle")).when(auto, V.text("rec", "$.aiTitle")).alias("title"),
         F.when(custom, "custom").when(auto, "auto").alias("title_kind"),
@@ -43,6 +52,8 @@ def session_facts(raw: DataFrame) -> DataFrame:
 
 def entries(raw: DataFrame) -> DataFrame:
     """User and assistant records with a time."""
+    if "class" in raw.columns:
+        return of_class(raw, "user", "assistant").where("at_us IS NOT NULL")
     return raw.where(_type().isin("user", "assistant")).withColumn("at_us", entry_ts()).where("at_us IS NOT NULL")
 
 
@@ -52,7 +63,6 @@ def blocks(raw: DataFrame) -> DataFrame:
     results = F.size(F.filter(content, lambda b: V.text(b, "$.type") == "tool_result"))
     return entries(raw).select(
         "who",
-        "session",
         "line_no",
         "at_us",
         _type().alias("entry"),
@@ -63,7 +73,10 @@ def blocks(raw: DataFrame) -> DataFrame:
 
 
 def prompts(raw: DataFrame) -> DataFrame:
-    """What a person typed: no tool results, nothing injected, no command wrappers."""
+    """(who, at_us) of what a person typed: no tool results, nothing injected, no command wrappers.
+
+    Only those of main transcripts are prompts.
+    """
     parts = V.items("rec", "$.message.content")
     said = F.array_join(V.texts(F.filter(parts, lambda b: V.text(b, "$.type") == "text"), "$.text"), "\n")
     text = F.coalesce(F.when(parts.isNotNull(), said), V.text("rec", "$.message.content"))
@@ -74,21 +87,21 @@ def prompts(raw: DataFrame) -> DataFrame:
         & (origin.isNull() | (origin == "human"))
         & ~F.coalesce(F.exists(parts, lambda b: F.coalesce(V.text(b, "$.type") == "tool_result", F.lit(False))), F.lit(False))
     )
-    return entries(raw.where("is_main AND session IS NOT NULL")).where(own & prompt_text_ok(text)).select("session", "at_us")
+    return entries(of_class(raw, "user")).where(own & prompt_text_ok(text)).select("who", "at_us")
 
 
 def calls(raw: DataFrame, block_rows: int | None = None) -> DataFrame:
     """One row per call and use of its id; the first request counts while it is pending."""
     each = blocks(raw)
     uses = each.where((F.col("entry") == "assistant") & (V.text("b", "$.type") == "tool_use")).select(
-        "who", "session", "line_no", "sub", "at_us",
+        "who", "line_no", "sub", "at_us",
         F.lit("call").alias("op"),
         V.text("b", "$.id").alias("call_id"),
         F.coalesce(V.text("b", "$.name"), F.lit("")).alias("tool"),
         V.json("b", "$.input").alias("args"),
     )
     results = each.where((F.col("entry") == "user") & (V.text("b", "$.type") == "tool_result")).select(
-        "who", "session", "line_no", "sub", "at_us",
+        "who", "line_no", "sub", "at_us",
         F.lit("result").alias("op"),
         V.text("b", "$.tool_use_id").alias("call_id"),
         F.coalesce(V.flag("b", "$.is_error"), F.lit(False)).alias("failed"),
@@ -102,7 +115,7 @@ def calls(raw: DataFrame, block_rows: int | None = None) -> DataFrame:
         ordered(both, ("who", "call_id"), ("line_no", "sub"), block_rows)
         .scan(_g=running_sum(is_result, inclusive=False))
         .with_column("gen", F.coalesce("_g", F.lit(0).cast("bigint")))
-        .df.groupBy("who", "session", "call_id", "gen")
+        .df.groupBy("who", "call_id", "gen")
         .agg(
             F.min_by("tool", call).alias("tool"),
             F.min_by("args", call).alias("args_json"),
@@ -146,7 +159,8 @@ def call_table(done: DataFrame) -> DataFrame:
 
 
 def raw_intervals(raw: DataFrame, done: DataFrame, block_rows: int | None = None) -> DataFrame:
-    timed = entries(raw).select("who", "at_us", "line_no", (_type() == "assistant").alias("is_assistant"))
+    is_assistant = F.col("class") == "assistant" if "class" in raw.columns else _type() == "assistant"
+    timed = entries(raw).select("who", "at_us", "line_no", is_assistant.alias("is_assistant"))
     thinking = generation_intervals(timed, block_rows=block_rows)
     return thinking.unionByName(done.where("end_us IS NOT NULL").select("who", "start_us", "end_us"))
 

@@ -26,7 +26,7 @@ def timed(raw: DataFrame, headers: DataFrame) -> DataFrame:
     """Records with a time, their types, and the file's declared history mode."""
     out = raw.withColumns(
         {
-            "at_us": K.parse_ts(V.text("rec", "$.timestamp")),
+            "at_us": F.col("at_us") if "at_us" in raw.columns else K.parse_ts(V.text("rec", "$.timestamp")),
             "ty": F.coalesce(V.text("rec", "$.type"), F.lit("")),
             "pty": F.coalesce(V.text("rec", "$.payload.type"), F.lit("")),
         }
@@ -48,8 +48,6 @@ def session_facts(rows: DataFrame) -> DataFrame:
     head = F.col("ty") == "session_meta"
     return rows.select(
         "who",
-        "session",
-        "is_main",
         "line_no",
         "at_us",
         F.when(head, V.text("rec", "$.payload.id")).alias("id"),
@@ -93,11 +91,11 @@ def _items(rows: DataFrame, *types: str) -> DataFrame:
 
 
 def prompts(rows: DataFrame) -> DataFrame:
-    mains = rows.where("is_main AND session IS NOT NULL")
+    """(who, at_us) of what a person typed; only those of main transcripts are prompts."""
     parts = F.filter(V.items("item", "$.content"), lambda b: V.text(b, "$.type") == "text")
-    new = _items(mains, "UserMessage").select("session", "at_us", F.array_join(V.texts(parts, "$.text"), "\n").alias("text"))
-    old = mains.where(_event("user_message", "legacy")).select("session", "at_us", V.text("rec", "$.payload.message").alias("text"))
-    return new.unionByName(old).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("session", "at_us")
+    new = _items(rows, "UserMessage").select("who", "at_us", F.array_join(V.texts(parts, "$.text"), "\n").alias("text"))
+    old = rows.where(_event("user_message", "legacy")).select("who", "at_us", V.text("rec", "$.payload.message").alias("text"))
+    return new.unionByName(old).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("who", "at_us")
 
 
 def call_input() -> Column:

@@ -11,6 +11,7 @@ from tracelane.functions import paths as P
 from tracelane.operators.ordered import ordered, running_last, running_sum
 from tracelane.sources import touches as T
 from tracelane.sources import variant as V
+from tracelane.sources.raw import of_class
 
 
 def _zero() -> Column:
@@ -34,15 +35,28 @@ def _role() -> Column:
 
 
 def session_facts(raw: DataFrame) -> DataFrame:
-    """Rows for the session roll-up (see ``model.sessions_of``)."""
-    kind = F.when(_type() == "session", "header").when(_type().isin("title", "title_change"), "title")
+    """Rows for the session roll-up (see ``model.sessions_of``).
+
+    Every record counts as activity; what headers, titles and exits say is read from those
+    records alone.
+    """
     is_exit = (_type() == "custom") & (V.text("rec", "$.customType") == "session_exit")
+    if "class" not in raw.columns:
+        return _told(raw, entry_ts(), is_exit)
+    seen = raw.where(~F.col("class").isin("header", "title", "exit"))
+    none = {n: F.lit(None).cast(t) for n, t in (("id", "string"), ("cwd", "string"), ("header_us", "bigint"), ("title", "string"), ("title_kind", "string"))}
+    plain = seen.select("who", "line_no", "at_us").withColumns(
+        {**none, "is_exit": F.lit(False), "recorded_us": F.lit(None).cast("bigint")}
+    )
+    return plain.unionByName(_told(of_class(raw, "header", "title", "exit"), F.col("at_us"), is_exit))
+
+
+def _told(raw: DataFrame, at: Column, is_exit: Column) -> DataFrame:
+    kind = F.when(_type() == "session", "header").when(_type().isin("title", "title_change"), "title")
     return raw.select(
         "who",
-        "session",
-        "is_main",
         "line_no",
-        entry_ts().alias("at_us"),
+        at.alias("at_us"),
         F.when(kind == "header", V.text("rec", "$.id")).alias("id"),
         F.when(kind == "header", V.text("rec", "$.cwd")).alias("cwd"),
         F.when(kind == "header", entry_ts()).alias("header_us"),
@@ -54,8 +68,9 @@ def session_facts(raw: DataFrame) -> DataFrame:
 
 
 def prompts(raw: DataFrame) -> DataFrame:
+    """(who, at_us) of what a person typed; only those of main transcripts are prompts."""
     said = (_type() == "message") & (_role() == "user") & (V.text("rec", "$.message.attribution") == "user")
-    return raw.where("is_main AND session IS NOT NULL").where(said).select("session", message_ts().alias("at_us")).where("at_us IS NOT NULL")
+    return of_class(raw, "user").where(said).select("who", message_ts().alias("at_us")).where("at_us IS NOT NULL")
 
 
 def call_records(raw: DataFrame) -> DataFrame:
@@ -63,9 +78,9 @@ def call_records(raw: DataFrame) -> DataFrame:
 
     ``op``: exec (execution started), block (the assistant asked for it), result.
     """
-    ids = ("who", "session", "line_no")
+    ids = ("who", "line_no")
     custom = (_type() == "custom") & (V.text("rec", "$.customType") == "tool_execution_start")
-    execs = raw.where(custom).select(
+    execs = of_class(raw, "exec").where(custom).select(
         *ids,
         _zero().alias("sub"),
         F.lit("exec").alias("op"),
@@ -74,7 +89,7 @@ def call_records(raw: DataFrame) -> DataFrame:
         V.json("rec", "$.data.args").alias("args"),
         F.coalesce(K.parse_ts(V.text("rec", "$.data.startedAt")), entry_ts()).alias("at_us"),
     )
-    asked = raw.where((_type() == "message") & (_role() == "assistant")).select(
+    asked = of_class(raw, "assistant").where((_type() == "message") & (_role() == "assistant")).select(
         *ids,
         F.coalesce(entry_ts(), message_ts()).alias("at_us"),
         F.posexplode(V.items("rec", "$.message.content")).alias("pos", "b"),
@@ -88,7 +103,7 @@ def call_records(raw: DataFrame) -> DataFrame:
         V.json("b", "$.arguments").alias("args"),
         "at_us",
     )
-    results = raw.where((_type() == "message") & (_role() == "toolResult")).select(
+    results = of_class(raw, "result").where((_type() == "message") & (_role() == "toolResult")).select(
         *ids,
         _zero().alias("sub"),
         F.lit("result").alias("op"),
@@ -126,7 +141,7 @@ def calls(records: DataFrame, block_rows: int | None = None) -> DataFrame:
     label = F.when(exec_, K.window_label(F.col("tool"), V.text(at_start, "$.path")))
     grouped = (
         numbered.withColumn("_label", label)
-        .groupBy("who", "session", "call_id", "gen")
+        .groupBy("who", "call_id", "gen")
         .agg(
             F.coalesce(F.max_by("tool", F.when(exec_, order)), F.min_by("tool", F.when(block, order))).alias("tool"),
             F.coalesce(F.max_by("at_us", F.when(exec_, order)), F.min_by("at_us", F.when(block, order))).alias("start_us"),
@@ -195,7 +210,7 @@ def mcp_names() -> tuple[Column, Column]:
 
 
 def raw_intervals(raw: DataFrame, done: DataFrame) -> DataFrame:
-    answered = raw.where((_type() == "message") & (_role() == "assistant")).select(
+    answered = of_class(raw, "assistant").where((_type() == "message") & (_role() == "assistant")).select(
         "who", message_ts().alias("start_us"), message_ts("completedAt").alias("end_us")
     )
     return answered.unionByName(done.select("who", "start_us", "end_us")).where(

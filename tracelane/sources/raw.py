@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tracelane.functions import paths as P
+from tracelane.functions.calls import parse_ts
 from tracelane.operators.ordered import ordered, running_sum
 from tracelane.sources import variant as V
 
@@ -111,6 +112,47 @@ def records(numbered: DataFrame, harness: str, project_dir: Column) -> DataFrame
     )
 
 
+# Record classes that an operator reads by itself; every other record is "other".
+CLASSES = {
+    "omp": ("exec", "exit", "assistant", "result", "user", "header", "title"),
+    "claude": ("assistant", "user", "title"),
+    "codex": ("session_meta", "event_msg", "response_item"),
+}
+
+
+def classify(records: DataFrame) -> DataFrame:
+    """Records with their class, time and folder as columns, for staging by (harness, class).
+
+    Most operators need one class of one format. With the class as a partition they read only
+    that, instead of each going through every record.
+    """
+    harness, ty = F.col("harness"), V.text("rec", "$.type")
+    custom, role = V.text("rec", "$.customType"), V.text("rec", "$.message.role")
+    omp = (
+        F.when((ty == "custom") & (custom == "tool_execution_start"), "exec")
+        .when((ty == "custom") & (custom == "session_exit"), "exit")
+        .when((ty == "message") & role.isin("assistant", "user"), role)
+        .when((ty == "message") & (role == "toolResult"), "result")
+        .when(ty == "session", "header")
+        .when(ty.isin("title", "title_change"), "title")
+    )
+    claude = F.when(ty.isin("assistant", "user"), ty).when(ty.isin("custom-title", "ai-title"), "title")
+    codex = F.when(ty.isin(*CLASSES["codex"]), ty)
+    kind = F.when(harness == "omp", omp).when(harness == "claude", claude).when(harness == "codex", codex)
+    return records.withColumns(
+        {
+            "class": F.coalesce(kind, F.lit("other")),
+            "at_us": parse_ts(V.text("rec", "$.timestamp")),
+            "cwd": V.text("rec", "$.cwd"),
+        }
+    )
+
+
+def of_class(records: DataFrame, *classes: str) -> DataFrame:
+    """Only these classes, where the records have been classified."""
+    return records.where(F.col("class").isin(*classes)) if "class" in records.columns else records
+
+
 def _below(root: str) -> tuple[Column, int]:
     root = root.rstrip("/").removeprefix("file://").removeprefix("file:")
     return F.lit(root), len(root)
@@ -188,6 +230,7 @@ def launch_cwds(raw: DataFrame, first_lines: int = 50) -> DataFrame:
         .when((F.col("harness") == "claude") & (F.col("line_no") < first_lines), V.text("rec", "$.cwd"))
         .when((F.col("harness") == "codex") & (F.col("line_no") == 0), V.text("rec", "$.payload.cwd"))
     )
+    raw = raw.drop("cwd")
     found = raw.where(F.col("line_no") < first_lines).withColumn("_cwd", cwd).where("_cwd IS NOT NULL")
     return found.groupBy("harness", "project_dir", "file").agg(F.min_by("_cwd", "line_no").alias("cwd"))
 
@@ -200,13 +243,6 @@ def assign_projects(raw: DataFrame, roots: DataFrame, aliases: DataFrame | None
     return launch_cwds(raw).join(where, "cwd").select("file", "cwd", "root_id")
 
 
-def only_projects(raw: DataFrame, participants: DataFrame, projects: DataFrame) -> DataFrame:
-    """Records of the sessions launched in a known root, helpers' transcripts included."""
-    mains = projects.select(F.col("file").alias("session")).distinct()
-    keep = participants.join(mains, "session", "left_semi").select(F.col("who").alias("file"))
-    return raw.join(keep, "file", "left_semi").select(*raw.columns)
-
-
 def top_dir_session(file: Column, project_dir: Column) -> Column:
     """The main transcript a file below a project folder belongs to."""
     first = F.split(file.substr(F.length(project_dir) + 2, F.length(file)), "/")[0]

@@ -66,6 +66,18 @@ def test_pairing(spark, tmp_path):
     assert rows(got, "call_id", "start_us", "end_us") == rows(want, "call_id", "start_us", "end_us") == [("x", us(0), us(5)), ("x", us(7), us(500))]
 
 
+def test_pairing_in_batches(spark, tmp_path):
+    recs = [("x", "call", 1, 0), ("y", "call", 2, 1), ("x", "result", 3, 5), ("x", "result", 4, 6), ("x", "call", 5, 7), ("x", "call", 6, 8), ("x", "result", 7, 500)]
+    schema = "who string, call_id string, role string, line_no bigint, at_us bigint"
+    as_dict = [{"who": "w", "call_id": c, "role": r, "line_no": n, "at_us": us(t)} for c, r, n, t in recs]
+    stream = feed(spark, tmp_path / "in", [as_dict[:2], as_dict[2:5], as_dict[5:]], schema)
+    table = str(tmp_path / "calls")
+    q = S.pair_batches(stream, table, str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert rows(spark.read.parquet(f"{table}/pairs"), "call_id", "start_us", "end_us") == [("x", us(0), us(5)), ("x", us(7), us(500))]
+    assert rows(spark.read.parquet(f"{table}/open/batch=2"), "call_id", "line_no") == [("y", 2)]
+
+
 def test_pairing_with_bound(spark, tmp_path):
     schema = "who string, call_id string, at timestamp"
     row = lambda c, t: {"who": "w", "call_id": c, "at": iso(t)}

@@ -769,3 +769,130 @@ def stream_spans(spark, sf):
     parts = _event_stream(spark, sf).select(F.col("user_id").alias("who"), start.alias("start"), end.alias("end"))
     got = _run(flows.span_stream(parts, replace(DEFAULTS, idle_gap=3600)), "who bigint, start timestamp, end timestamp")
     return got.select("who", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
+
+
+@register(
+    "stream_pairs",
+    with_sql(
+        "ev",
+        """
+    WITH r AS (SELECT who, k % 5 AS call_id, event_id, at_us, event_type = 'purchase' AS res FROM ev WHERE event_type IN ('click', 'purchase')),
+    g AS (SELECT *, coalesce(sum(CAST(res AS INT)) OVER (PARTITION BY who, call_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gen FROM r)
+    SELECT CAST(who AS VARCHAR) AS who, CAST(call_id AS VARCHAR) AS call_id, min_by(at_us, event_id) FILTER (WHERE NOT res) AS start_us, min_by(at_us, event_id) FILTER (WHERE res) AS end_us
+    FROM g GROUP BY who, call_id, gen HAVING count(*) FILTER (WHERE NOT res) > 0 AND count(*) FILTER (WHERE res) > 0""",
+    ),
+)
+def stream_pairs(spark, sf):
+    """Calls and results of the event stream, paired however far apart they are."""
+    t, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
+    records = _event_stream(spark, sf).where(t.isin("click", "purchase")).select(
+        F.col("user_id").cast("string").alias("who"),
+        (k % 5).cast("string").alias("call_id"),
+        F.when(t == "purchase", "result").otherwise("call").alias("role"),
+        F.col("event_id").alias("line_no"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"),
+    )
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    flows.pair_batches(records, base, f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(flows.PAIRED).parquet(f"{base}/pairs")
+
+
+@register(
+    "stream_activity",
+    with_sql(
+        "ev",
+        """SELECT who AS session, min(at_us) AS start_us, max(at_us) AS last_seen_us,
+      CASE WHEN max(at_us) FILTER (WHERE event_type = 'error') >= max(at_us) FILTER (WHERE event_type <> 'error') THEN max(at_us) FILTER (WHERE event_type = 'error') END AS end_us
+    FROM ev GROUP BY who""",
+    ),
+)
+def stream_activity(spark, sf):
+    """Start, last activity and recorded end per session, kept up to date by a stream."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    is_exit = F.col("event_type") == "error"
+    records = _event_stream(spark, sf).select(
+        F.col("user_id").alias("session"), at.alias("at_us"), is_exit.alias("is_exit"), F.when(is_exit, at).alias("recorded_us")
+    )
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = (
+        flows.last_activity(records).writeStream.outputMode("complete")
+        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
+        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema("session bigint, start_us bigint, last_seen_us bigint, end_us bigint").parquet(f"{base}/out")
+
+
+_REPLAY_ROOTS = [(0, "/r0"), (1, "/r1"), (2, "/r2"), (3, "/r0/src/m3")]
+
+
+@register(
+    "replayed_changes",
+    with_sql(
+        "chg",
+        """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'you' ELSE 's' || (event_id % 7) END AS who,
+      CASE WHEN root_id = 0 AND starts_with(rel, 'src/m3/') THEN 3 ELSE root_id END AS root_id,
+      CASE WHEN root_id = 0 AND starts_with(rel, 'src/m3/') THEN substring(rel, 8) ELSE rel END AS rel,
+      CASE WHEN event_id % 4 = 0 THEN 'watcher' ELSE 'window' END AS source, at_us AS start_us, change
+      FROM chg WHERE event_id % 4 = 0 OR event_id % 7 <> 6""",
+    ),
+)
+def replayed_changes(spark, sf):
+    """Logged changes placed among today's roots; those of unknown transcripts are dropped."""
+    n = F.col("event_id")
+    agent = n % 4 != 0
+    log = S.chg(spark, sf).select(
+        "root_id",
+        F.col("rel").alias("path"),
+        "at_us",
+        "change",
+        F.when(agent, F.concat(F.lit("s"), (n % 7).cast("string"))).otherwise("you").alias("who"),
+        F.when(agent, F.concat(F.lit("c"), n.cast("string"))).alias("call_id"),
+        F.when(agent, "bash").alias("tool"),
+        F.lit(None).cast("string").alias("input"),
+        n.cast("string").alias("diff"),
+    )
+    people = S.ev(spark, sf).select(F.concat(F.lit("s"), (F.col("event_id") % 6).cast("string")).alias("who")).distinct()
+    roots = spark.createDataFrame(_REPLAY_ROOTS, "root_id int, path string")
+    events, _ = changelog.resolve_replay(log, people, roots)
+    return events.select(
+        F.col("detail.diff").cast("bigint").alias("event_id"), "who", "root_id", "rel", "source", "start_us", F.col("detail.fs_change").alias("change")
+    )
+
+
+@register(
+    "live_changes",
+    with_sql(
+        "chg win",
+        f"""
+    WITH kept AS (SELECT * FROM chg c WHERE (change = 'removed' OR event_id % 5 <> 0) AND NOT EXISTS (SELECT 1 FROM fx w WHERE w.source = 'tool' AND w.kind = 'write' AND w.root_id = c.root_id
+      AND w.rel = c.rel AND w.end_us BETWEEN c.at_us - 36000000000 AND c.at_us + 3600000000)),
+    hit AS (SELECT c.event_id, c.root_id, c.rel, c.change, w.who, w.call_id,
+      row_number() OVER (PARTITION BY c.event_id ORDER BY w.start_us DESC NULLS LAST, w.ord) AS n
+      FROM kept c LEFT JOIN win w ON w.root_id = c.root_id AND c.at_us >= w.start_us - 60000000 AND c.at_us <= coalesce(w.end_us, {S.NOW_US}) + 480000000)
+    SELECT event_id, root_id, rel, change, coalesce(CAST(who AS VARCHAR), 'you') AS who, CAST(call_id AS VARCHAR) AS call_id,
+      CASE WHEN call_id IS NOT NULL THEN 'window' ELSE 'watcher' END AS source FROM hit WHERE n = 1""",
+    ),
+)
+def live_changes(spark, sf):
+    """The whole way of a batch of settled changes: placed, compared, filtered, attributed."""
+    from tracelane.config import Params
+    from tracelane.operators.roots import root_prefixes
+    from tracelane.plans.live import classify_changes
+
+    f, w = S.fx(spark, sf), S.win(spark, sf)
+    changes = S.chg(spark, sf).select(
+        "event_id",
+        F.concat(F.lit("/r"), F.col("root_id").cast("string"), F.lit("/"), F.col("rel")).alias("path"),
+        "at_us",
+        "change",
+        (F.col("event_id") % 5 != 0).alias("exists"),
+        F.lit(None).cast("string").alias("content"),
+    )
+    roots = spark.createDataFrame([(0, "/r0"), (1, "/r1"), (2, "/r2")], "root_id int, path string")
+    windows = w.withColumns({"who": F.col("who").cast("string"), "call_id": F.col("call_id").cast("string")})
+    calls = windows.select("who", "call_id", F.lit("bash").alias("tool"), F.lit("").alias("input"))
+    none = f.select(F.lit("").alias("scope_key"), "rel", F.col("start_us").alias("at_us"), F.col("event_id").alias("seq"), F.lit("").alias("content")).where("scope_key <> ''")
+    p = Params(echo_before=36_000, echo_after=3_600, slack_start=60, slack_end=480)
+    events, _ = classify_changes(changes, root_prefixes(roots), f, windows, calls, none, S.NOW_US, p)
+    return events.select("event_id", "root_id", "rel", F.col("detail.fs_change").alias("change"), "who", "call_id", "source")

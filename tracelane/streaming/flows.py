@@ -19,7 +19,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelane.config import DEFAULTS, US, Params
 from tracelane.operators.attribution import reset_reload
+from tracelane.operators.pairing import pair_calls
 from tracelane.plans.live import as_log, classify_changes
+from tracelane.session import staged
 from tracelane.sources.changelog import write_change_log
 from tracelane.sources.raw import number_lines, plain_path
 
@@ -204,12 +206,38 @@ def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 
 def pair_any(records: DataFrame) -> DataFrame:
-    """Calls with their results however far apart: the pending call is the state of its id."""
+    """Calls with their results however far apart: the pending call is the state of its id.
+
+    For ids that are one call each, so that an id has few records; else ``pair_batches``.
+    """
     return records.groupBy("who", "call_id").applyInPandasWithState(
         _pair, PAIRED, PENDING, "append", GroupStateTimeout.NoTimeout
     )
 
 
+def pair_batches(records: DataFrame, table: str, checkpoint: str, keys=("who", "call_id")):
+    """Calls with their results however far apart, for ids of any size.
+
+    Each batch is paired together with the calls still open before it, by the batch operator;
+    ``<table>/pairs`` grows by what closed, ``<table>/open`` holds what is open after each
+    batch. A repeated batch replaces its own folders.
+    """
+    schema = records.select(*keys, F.col("line_no").cast("bigint"), F.col("at_us").cast("bigint")).schema
+
+    def pair(batch: DataFrame, batch_id: int) -> None:
+        todo = batch.select(*keys, "line_no", "at_us", "role")
+        if batch_id > 0:
+            before = batch.sparkSession.read.schema(schema).parquet(f"{table}/open/batch={batch_id - 1}")
+            todo = todo.unionByName(before.withColumn("role", F.lit("call")))
+        done = staged(pair_calls(todo, keys))
+        closed = done.where("result_line IS NOT NULL").select(*keys, "start_us", "end_us")
+        closed.write.mode("overwrite").parquet(f"{table}/pairs/batch={batch_id}")
+        still = done.where("result_line IS NULL").select(*keys, F.col("call_line").alias("line_no"), F.col("start_us").alias("at_us"))
+        still.write.mode("overwrite").parquet(f"{table}/open/batch={batch_id}")
+
+    return records.writeStream.foreachBatch(pair).option("checkpointLocation", checkpoint)
+
+
 def span_stream(intervals: DataFrame, p: Params = DEFAULTS, late: str = "10 seconds") -> DataFrame:
     """Activity spans of a stream of intervals (who, ``start``, ``end`` TIMESTAMP).
 

@@ -794,7 +794,7 @@ def stream_pairs(spark, sf):
     )
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     flows.pair_batches(records, base, f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(flows.PAIRED).parquet(f"{base}/pairs")
+    return spark.read.parquet(f"{base}/pairs").drop("batch")
 
 
 @register(

@@ -293,11 +293,9 @@ _LANES_SQL = """
 
 @register("gantt_lanes", with_sql("fx parts", _LANES_SQL))
 def gantt_lanes(spark, sf):
-    f = S.fx(spark, sf)
-    prompts = f.where("source = 'window'").select(F.col("start_us").alias("at_us"))
-    return T.gantt_lanes(
-        f.where("source = 'tool'"), prompts, f.where("source = 'watcher'"), S.participants(spark, sf), 3600, you=-1
-    )
+    prompts = S.fx(spark, sf, "signup").select(F.col("start_us").alias("at_us"))
+    spans = S.fx(spark, sf, "click", "view", "purchase")
+    return T.gantt_lanes(spans, prompts, S.fx(spark, sf, "error"), S.participants(spark, sf), 3600, you=-1)
 
 
 # --- attribution -----------------------------------------------------------------------
@@ -358,7 +356,7 @@ _ECHO_SQL = """NOT EXISTS (SELECT 1 FROM fx w WHERE w.source = 'tool' AND w.kind
 
 
 def _writes(spark, sf):
-    return S.fx(spark, sf).where("source = 'tool' AND kind = 'write'")
+    return S.fx(spark, sf, "purchase")  # the tools' own writes
 
 
 @register("echo_suppress", with_sql("chg", f"SELECT c.event_id, c.root_id, c.rel, c.at_us, c.change FROM chg c WHERE {_ECHO_SQL}"))

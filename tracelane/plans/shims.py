@@ -41,8 +41,10 @@ def minutes(value: Column) -> Column:
     return F.floor(value).cast("bigint") * MIN_US
 
 
-def fx(spark, sf) -> DataFrame:
+def fx(spark, sf, *types: str) -> DataFrame:
+    """File events; ``types`` limits the event types where the scan can see it."""
     e, t, k = ev(spark, sf), F.col("event_type"), F.col("k")
+    e = e.where(t.isin(*types)) if types else e
     suffix = F.when(k % 4 == 0, ".py").when(k % 4 == 1, ".rs").when(k % 4 == 2, ".sh").otherwise(".md")
     return e.select(
         "event_id",
@@ -76,8 +78,7 @@ def win(spark, sf) -> DataFrame:
 def chg(spark, sf) -> DataFrame:
     m = F.col("event_id") % 3
     return (
-        fx(spark, sf)
-        .where("source = 'watcher'")
+        fx(spark, sf, "error")
         .select(
             "event_id",
             "root_id",

@@ -65,6 +65,15 @@ def test_ties_at_one_time_are_split_too(spark):
     assert {(r.id + 1) == r.n for r in split.scan(n=O.running_sum(F.lit(1))).df.collect()} == {True}
 
 
+def test_equal_rows_are_split_too(spark):
+    same = spark.range(300).select(F.lit("k").alias("k"), F.lit(5).alias("t"))
+    split = O.ordered(same, ("k",), ("t",), 20, copies=True)
+    assert split.df.groupBy(O.BLOCK).count().agg(F.max("count")).first()[0] < 120
+    crowd = same.select(F.lit("w").alias("who"), F.lit(10).alias("start_us"), F.lit(12).alias("end_us"))
+    got = I.merge_intervals(crowd, ("who",), block_rows=20)
+    assert [tuple(r) for r in got.collect()] == [("w", 10, 12, 300)]
+
+
 @pytest.mark.parametrize("strict", [True, False])
 @pytest.mark.parametrize("forward", [True, False])
 def test_latest_before(spark, points, strict, forward):

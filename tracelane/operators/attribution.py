@@ -72,9 +72,8 @@ def suppress_echoes(
     before = p.echo_before * US if before_us is None else before_us
     after = p.echo_after * US if after_us is None else after_us
     probes = changes.withColumn("_until", F.col("at_us") + after)
-    ends = writes.groupBy(*keys, "end_us").agg(F.lit(1).alias("_one"))
     found = latest_before(
-        probes, ends, keys, "_until", "end_us", F.col("end_us"), strict=False, name="_wrote", block_rows=block_rows
+        probes, writes, keys, "_until", "end_us", F.col("end_us"), strict=False, name="_wrote", block_rows=block_rows
     )
     return found.where(F.col("_wrote").isNull() | (F.col("_wrote") < F.col("at_us") - before)).drop("_until", "_wrote")
 

@@ -16,17 +16,17 @@ def merge_intervals(
     """Gaps and islands: one row per run whose inner gaps are at most ``gap``.
 
     ``gap`` is in the unit of the columns and inclusive; a reversed interval is turned round.
-    Intervals with the same key and start are first reduced to the longest, which keeps hot
-    keys small before the sort and leaves ``(key, start)`` unique as the order.
+    With keys there is one shuffle. Without, intervals with the same start are first reduced to
+    the longest on the map side: over a whole table there is at most one per unit of time.
     """
     keys = tuple(keys)
-    longest = (
-        df.select(*keys, F.least(start, end).alias("_s"), F.greatest(start, end).alias("_e"))
-        .groupBy(*keys, "_s")
-        .agg(F.max("_e").alias("_e"), F.count(F.lit(1)).alias("_n"))
-    )
+    parts = df.select(*keys, F.least(start, end).alias("_s"), F.greatest(start, end).alias("_e"))
+    if keys:
+        parts = parts.withColumn("_n", F.lit(1).cast("bigint"))
+    else:
+        parts = parts.groupBy("_s").agg(F.max("_e").alias("_e"), F.count(F.lit(1)).alias("_n"))
     runs = (
-        ordered(longest, keys, ("_s",), block_rows)
+        ordered(parts, keys, ("_s", "_e"), block_rows, copies=True)
         .scan(_reach=running_max("_e"))
         .with_column("_new", F.when(F.col("_reach").isNull() | (F.col("_s") - F.col("_reach") > gap), F.col("_s")))
         .scan(_run=running_max("_new", inclusive=True))

@@ -158,11 +158,16 @@ class Ordered:
         return replace(self, df=joined.select(*kept, *merged))
 
     def drop(self, *names: str) -> DataFrame:
-        return self.df.drop(BLOCK, *names)
+        return self.df.drop(BLOCK, "_salt", *names)
 
 
-def ordered(df: DataFrame, keys, order, block_rows: int | None = None) -> Ordered:
-    """Put ``df`` in ``order`` within ``keys``; order must be total. No keys: the whole table."""
+def ordered(df: DataFrame, keys, order, block_rows: int | None = None, copies: bool = False) -> Ordered:
+    """Put ``df`` in ``order`` within ``keys``. No keys: the whole table.
+
+    The order must be total, unless rows that tie are interchangeable for what is scanned
+    (``copies``): then ties get a random order in large keys, so that a crowd of equal rows is
+    cut into blocks as well.
+    """
     keys, order = tuple(keys), tuple(order)
     floor = BLOCK_ROWS if block_rows is None else block_rows
     if keys:
@@ -176,6 +181,8 @@ def ordered(df: DataFrame, keys, order, block_rows: int | None = None) -> Ordere
     hot = [(k, n) for k, n in hot if n > limit]
     if not hot:
         return Ordered(df if keys else df.withColumn(BLOCK, F.lit(-1)), keys, order, False)
+    if copies:
+        df, order = df.withColumn("_salt", F.rand(11)), (*order, "_salt")
     return Ordered(_cut(df, keys, order, hot, limit), keys, order, True)
 
 
@@ -302,5 +309,5 @@ def latest_before(
         F.struct(value.alias("v")).alias("_h"),
     )
     both = left.unionByName(right)
-    found = ordered(both, keys, ("_at", "_tag", "_seq"), block_rows).scan(_f=running_last("_h"))
+    found = ordered(both, keys, ("_at", "_tag", "_seq"), block_rows, copies=True).scan(_f=running_last("_h"))
     return found.df.where(F.col("_tag") != 1).select("_p.*", F.col("_f.v").alias(name))

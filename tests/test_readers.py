@@ -355,7 +355,8 @@ def codex(spark, tmp_path_factory):
     write_jsonl(day / "rollout-broken.jsonl", [msg(1, "task_started")])
     write_jsonl(day / "notes.jsonl", [line(0, "session_meta", head)])
     index = write_jsonl(root.parent / "session_index.jsonl", [{"id": "th-1", "thread_name": "old"}, {"id": "th-1", "thread_name": "Named"}, {"id": "th-1", "thread_name": ""}])
-    records = R.read_codex(spark, str(root))
+    assert R.read_codex(spark, str(root)).select("file").distinct().count() == 4
+    records = model.read_all(spark, codex_root=str(root))
     roots = spark.createDataFrame([(0, "/w")], "root_id int, path string")
     return day, model.build(records, roots, title_index=R.read_title_index(spark, str(index)))
 
@@ -424,3 +425,20 @@ def test_codex_windows(codex):
         ("m9", "mcp:s/t", '{"q":2}'),
     ]
     assert rows(t.spans, "start_us", "end_us") == [(us(0), us(15))]
+
+
+def test_lines_of_large_files(spark, tmp_path):
+    """Many splits per file, with and without the split-wise numbering."""
+    for name, n in (("a", 700), ("b", 3), ("c", 250)):
+        write_jsonl(tmp_path / f"{name}.jsonl", [{"name": name, "n": i, "pad": "x" * (i % 37)} for i in range(n)], tail='{"n":-1}')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = R.read_lines(spark, str(tmp_path))
+        assert lines.select("file", "_block").distinct().count() > 20
+        for large in (1 << 30, 1000):
+            got = R.records(R.number_lines(lines, large), "omp", F.lit("p"))
+            wrong = got.where(F.try_variant_get("rec", "$.n", "bigint") != F.col("line_no"))
+            assert wrong.count() == 0 and got.count() == 953
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)

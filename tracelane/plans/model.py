@@ -171,11 +171,9 @@ def read_all(
     spark: SparkSession, omp_root: str | None = None, claude_root: str | None = None, codex_root: str | None = None
 ) -> DataFrame:
     """Records of all transcript folders that are given."""
-    parts = [
-        reader(spark, root)
-        for reader, root in ((raw.read_omp, omp_root), (raw.read_claude, claude_root), (raw.read_codex, codex_root))
-        if root
-    ]
+    parts = [reader(spark, root) for reader, root in ((raw.read_omp, omp_root), (raw.read_claude, claude_root)) if root]
+    if codex_root:
+        parts.append(raw.read_codex(spark, codex_root, check_headers=False))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelane.functions import paths as P
 from tracelane.session import durable, staged
 from tracelane.sources import variant as V
-from tracelane.sources.raw import ADVISOR, is_top_level, top_dir_session
+from tracelane.sources.raw import ADVISOR, is_codex_header, is_top_level, of_class, top_dir_session
 
 COLUMNS = ("harness", "project_dir", "who", "kind", "label", "session", "main", "parent")
 YOU = "you"
@@ -58,7 +58,8 @@ def codex_headers(raw: DataFrame) -> DataFrame:
     p = "$.payload"
     spawn = f"{p}.source.subagent.thread_spawn"
     mode = V.text("rec", f"{p}.history_mode")
-    return raw.where((F.col("harness") == "codex") & (F.col("line_no") == 0)).select(
+    """The first line of each rollout; a file without a complete one is no rollout."""
+    return of_class(raw, "session_meta").where((F.col("harness") == "codex") & is_codex_header()).select(
         "project_dir",
         F.col("file").alias("who"),
         V.text("rec", f"{p}.id").alias("id"),

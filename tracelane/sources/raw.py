@@ -7,19 +7,21 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tracelane.functions import paths as P
 from tracelane.functions.calls import parse_ts
-from tracelane.operators.ordered import ordered, running_sum
 from tracelane.sources import variant as V
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the file name of an advisor's transcript.
 ADVISOR = "__advisor.jsonl"
+# Files above this size are numbered split by split.
+LARGE_FILE = 1 << 30
+SPLIT_BYTES = 128 << 20
 LINES = StructType(
     [
         StructField("file", StringType()),
@@ -62,12 +64,12 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for uri, size in zip(batch["uri"], batch["size"]):
             store, path = fs.FileSystem.from_uri(uri)
             with store.open_input_stream(path) as stream:
-                pos, rest, rows = 0, b"", []
+                pos, read, rest, rows = 0, 0, b"", []
                 while chunk := stream.read(1 << 20):
                     *lines, rest = (rest + chunk).split(b"\n")
                     for line in lines:
-                        rows.append((uri, size, 0, pos, line.decode("utf-8", "replace")))
-                        pos += 1
+                        rows.append((uri, size, read // SPLIT_BYTES, pos, line.decode("utf-8", "replace")))
+                        pos, read = pos + 1, read + len(line) + 1
                     yield pd.DataFrame(rows, columns=LINES.names)
                     rows = []
                 # What follows the last line break is no record yet.
@@ -90,18 +92,34 @@ def read_underscored(spark: SparkSession, root: str, name: str = ADVISOR, depth:
     return files.mapInPandas(_read_files, LINES).withColumn("file", plain_path(F.col("file")))
 
 
-def number_lines(lines: DataFrame, block_rows: int | None = None) -> DataFrame:
+def number_lines(lines: DataFrame, large: int = LARGE_FILE) -> DataFrame:
     """Adds ``line_no`` from 0 and drops an unterminated last line.
 
     Lines are counted, and their bytes summed, along the file; the line that would end one
     byte past the file's end lacks its line break, so its writer is not done with it.
+
+    A file up to ``large`` bytes is ordered in one task. Of a larger one each split is ordered
+    by itself, and what the splits before it hold is added from one row per split. The size is
+    known before anything is read, so neither way reads small files twice.
     """
-    size = F.octet_length("value").cast("bigint") + 1
-    seen = ordered(lines, ("file",), ("_block", "_pos"), block_rows).scan(
-        _n=running_sum(F.lit(1).cast("bigint")), _bytes=running_sum(size)
+    sized = lines.withColumn("_size", F.octet_length("value").cast("bigint") + 1)
+
+    def numbered(df: DataFrame, *parts: str) -> DataFrame:
+        window = Window.partitionBy(*parts).orderBy("_block", "_pos").rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", F.count(F.lit(1)).over(window).alias("_n"), F.sum("_size").over(window).alias("_bytes"))
+
+    small = numbered(sized.where(F.col("file_size") <= large), "file")
+    big = sized.where(F.col("file_size") > large)
+    splits = big.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_c"), F.sum("_size").alias("_b"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = splits.select(
+        "file", "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0")
     )
+    split = numbered(big, "file", "_block").join(carry, ["file", "_block"])
+    split = split.withColumns({"_n": F.col("_n") + F.col("_n0"), "_bytes": F.col("_bytes") + F.col("_b0")})
+    names = ["file", (F.col("_n") - 1).alias("line_no"), "value"]
     done = F.col("_bytes") <= F.col("file_size")
-    return seen.df.where(done).select("file", (F.col("_n") - 1).alias("line_no"), "value")
+    return small.where(done).select(*names).unionByName(split.where(done).select(*names))
 
 
 def records(numbered: DataFrame, harness: str, project_dir: Column) -> DataFrame:
@@ -163,33 +181,42 @@ def _project_dir(root: str) -> Column:
     return F.concat(top, F.lit("/"), F.split(F.col("file").substr(F.lit(n + 2), F.length("file")), "/")[0])
 
 
-def read_omp(spark: SparkSession, root: str, block_rows: int | None = None) -> DataFrame:
+def read_omp(spark: SparkSession, root: str) -> DataFrame:
     """Transcripts in ``<root>/<project>/<session>.jsonl`` with helpers in folders below."""
     lines = read_lines(spark, root).unionByName(read_underscored(spark, root))
     _, n = _below(root)
     inside = F.col("file").substr(F.lit(n + 2), F.length("file"))
     lines = lines.where(inside.contains("/") & ~inside.rlike(r"(\A|/)\."))
-    return records(number_lines(lines, block_rows), "omp", _project_dir(root))
+    return records(number_lines(lines), "omp", _project_dir(root))
 
 
-def read_claude(spark: SparkSession, root: str, block_rows: int | None = None) -> DataFrame:
+def read_claude(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/<project>/<session>.jsonl`` and ``.../<session>/subagents/*.jsonl``, nothing else."""
     _, n = _below(root)
     inside = F.col("file").substr(F.lit(n + 2), F.length("file"))
     lines = read_lines(spark, root).where(inside.rlike(r"\A[^/]+/([^/]+/subagents/)?[^./][^/]*\.jsonl\z"))
-    return records(number_lines(lines, block_rows), "claude", _project_dir(root))
+    return records(number_lines(lines), "claude", _project_dir(root))
 
 
-def read_codex(spark: SparkSession, root: str, block_rows: int | None = None) -> DataFrame:
-    """``rollout-*.jsonl`` at any depth whose first line is a complete session header."""
-    out = records(number_lines(read_lines(spark, root, "rollout-*.jsonl"), block_rows), "codex", _below(root)[0])
-    heads = out.where(
+def is_codex_header() -> Column:
+    return (
         (F.col("line_no") == 0)
         & (V.text("rec", "$.type") == "session_meta")
         & V.text("rec", "$.payload.id").isNotNull()
         & V.text("rec", "$.payload.cwd").isNotNull()
     )
-    return out.join(heads.select("file"), "file", "left_semi").select(*out.columns)
+
+
+def read_codex(spark: SparkSession, root: str, check_headers: bool = True) -> DataFrame:
+    """``rollout-*.jsonl`` at any depth whose first line is a complete session header.
+
+    The check reads the files twice. ``plans.model.build`` does it by itself on the staged
+    records, so it may be left out there.
+    """
+    out = records(number_lines(read_lines(spark, root, "rollout-*.jsonl")), "codex", _below(root)[0])
+    if not check_headers:
+        return out
+    return out.join(out.where(is_codex_header()).select("file"), "file", "left_semi").select(*out.columns)
 
 
 def read_labels(spark: SparkSession, root: str) -> DataFrame:
@@ -209,9 +236,9 @@ def read_labels(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_title_index(spark: SparkSession, path: str, block_rows: int | None = None) -> DataFrame:
+def read_title_index(spark: SparkSession, path: str) -> DataFrame:
     """Session titles by id; the last non-empty name of an id wins."""
-    lines = number_lines(read_lines(spark, path, "*"), block_rows)
+    lines = number_lines(read_lines(spark, path, "*"))
     rec = records(lines, "codex", F.lit(None).cast("string"))
     named = rec.select(
         V.text("rec", "$.id").alias("id"), V.text("rec", "$.thread_name").alias("name"), "line_no"

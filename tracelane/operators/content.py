@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tracelane.config import DEFAULTS, Params
-from tracelane.operators.ordered import latest_before, ordered, previous, running_last, running_sum
+from tracelane.operators.ordered import (
+    WIDE_BLOCK_ROWS,
+    latest_before,
+    ordered,
+    previous,
+    running_last,
+    running_sum,
+)
 
 
 def asof_prev(
@@ -45,7 +52,7 @@ def asof_prev(
 
 def dedup_states(df: DataFrame, keys, at: str, content: str, order=None, block_rows: int | None = None) -> DataFrame:
     """Rows whose content differs from the one before them in time."""
-    seen = ordered(df, keys, tuple(order or (at,)), block_rows).scan(_p=previous(content))
+    seen = ordered(df, keys, tuple(order or (at,)), block_rows or WIDE_BLOCK_ROWS).scan(_p=previous(content))
     changed = F.col("_p").isNull() | ~F.col("_p.v").eqNullSafe(F.col(content))
     return seen.df.where(changed).select(*df.columns)
 

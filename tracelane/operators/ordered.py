@@ -27,6 +27,8 @@ BLOCK = "_blk"
 # A block holds about this many rows, or total / MAX_BLOCKS where that is more, which bounds
 # the number of large keys and of cut points whatever the size of the table.
 BLOCK_ROWS = 1_000_000
+# For rows that carry whole texts.
+WIDE_BLOCK_ROWS = 50_000
 MAX_BLOCKS = 50_000
 SAMPLE_PER_BLOCK = 10
 
@@ -177,7 +179,7 @@ def ordered(df: DataFrame, keys, order, block_rows: int | None = None, copies: b
     else:
         total_row = df.count()
         hot = [((), total_row)] if total_row > floor else []
-    limit = max(floor, math.ceil(total_row / MAX_BLOCKS)) if block_rows is None else floor
+    limit = max(floor, math.ceil(total_row / MAX_BLOCKS))
     hot = [(k, n) for k, n in hot if n > limit]
     if not hot:
         return Ordered(df if keys else df.withColumn(BLOCK, F.lit(-1)), keys, order, False)

@@ -240,7 +240,8 @@ def edit_blocks(edits: DataFrame, text: str = "input", block_rows: int | None =
     """Blocks of an edit script: one row per header line ``[path#abcd]`` with what follows.
 
     Adds ``block``, ``path``, ``body``, ``moved_to`` and ``removed``. The block number is a
-    running count of header lines; each block then aggregates its own lines.
+    running count of header lines; each block then aggregates its own lines, which all come
+    from one record.
     """
     keys = [c for c in edits.columns if c != text]
     edits = edits.withColumn("_id", F.monotonically_increasing_id()) if not keys else edits

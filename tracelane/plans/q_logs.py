@@ -896,3 +896,183 @@ def live_changes(spark, sf):
     p = Params(echo_before=36_000, echo_after=3_600, slack_start=60, slack_end=480)
     events, _ = classify_changes(changes, root_prefixes(roots), f, windows, calls, none, S.NOW_US, p)
     return events.select("event_id", "root_id", "rel", F.col("detail.fs_change").alias("change"), "who", "call_id", "source")
+
+
+# --- what calls and items say about files ----------------------------------------------
+
+
+def _calls_of_pages(spark, sf) -> DataFrame:
+    """Finished calls of seven kinds, one per page; every fifth of a kind failed."""
+    n, url, pid = F.col("page_id"), F.col("url"), F.col("page_id").cast("string")
+    kinds = ("read", "write", "web_search", "eval", "edit", "read", "mcp__srv__do")
+    kind = n % len(kinds)
+    args = (
+        F.when(kind == 0, F.to_json(obj(path=F.concat(F.lit("src/"), pid))))
+        .when(kind == 1, F.to_json(obj(path=F.concat(F.lit("out/"), pid), content=url)))
+        .when(kind == 2, F.to_json(obj(query=F.concat(F.lit("a\n"), pid))))
+        .when(kind == 3, F.to_json(obj(code=url, i=F.concat(F.lit("cell "), pid), language="js")))
+        .when(kind == 5, F.to_json(obj(path=url)))
+    )
+    one = obj(path=F.concat(F.lit("m/"), pid), oldText="o", newText=url, diff="+1|x")
+    details = F.when(kind == 4, F.to_json(obj(perFileResults=F.array(one, one)))).otherwise("{}")
+    return S.pg(spark, sf).select(
+        F.lit("s1").alias("who"),
+        F.lit("/s/p/s1.jsonl").alias("session"),
+        F.lit("/w").alias("cwd"),
+        pid.alias("call_id"),
+        n.alias("line_no"),
+        F.element_at(F.array(*[F.lit(k) for k in kinds]), (kind + 1).cast("int")).alias("tool"),
+        (n * US).alias("start_us"),
+        (n * US + 5).alias("end_us"),
+        (F.floor(n / 7) % 5 == 0).alias("failed"),
+        F.try_parse_json(args).alias("args"),
+        F.try_parse_json(details).alias("details"),
+    )
+
+
+@register(
+    "log_touches",
+    with_sql(
+        "pg",
+        """
+    WITH c AS (SELECT page_id, url, page_id % 7 AS kind, page_id // 7 % 5 = 0 AS failed, CAST(page_id AS VARCHAR) AS p,
+      ['read', 'write', 'web_search', 'eval', 'edit', 'read', 'mcp'][page_id % 7 + 1] AS tool FROM pg)
+    SELECT p AS call_id, tool, CASE WHEN kind IN (1, 3, 4) THEN 'write' ELSE 'read' END AS kind,
+      CASE kind WHEN 2 THEN 'websearch' WHEN 3 THEN 'session' WHEN 5 THEN 'webfetch' WHEN 6 THEN 'mcp' END AS scope,
+      CASE kind WHEN 2 THEN 'a ' || p WHEN 3 THEN '/s/p/s1/eval/' || strftime(make_timestamp(page_id * 1000000), '%H:%M:%S') || ' cell ' || p || '.js' WHEN 5 THEN url WHEN 6 THEN 'srv/do' END AS rel,
+      CASE kind WHEN 0 THEN 'src/' || p WHEN 1 THEN 'out/' || p WHEN 4 THEN 'm/' || p END AS raw,
+      CASE kind WHEN 1 THEN 'written' WHEN 2 THEN 'search' WHEN 3 THEN 'written' WHEN 4 THEN 'diff' ELSE 'none' END AS type,
+      CASE WHEN kind IN (1, 4) THEN url END AS new_text, i AS ord
+    FROM c, (SELECT unnest([0, 1]) AS i) WHERE (i = 0 OR kind = 4) AND (NOT failed OR kind = 3)""",
+    ),
+)
+def log_touches(spark, sf):
+    """File touches of finished calls by tool; failed ones keep only their cells."""
+    calls = _records(_calls_of_pages(spark, sf)).withColumn("details", F.when(F.col("tool").startswith("mcp"), F.try_parse_json(F.lit('{"serverName":"srv","mcpToolName":"do"}'))).otherwise(F.col("details")))
+    out = omp.touches(calls)
+    return out.select("call_id", "tool", "kind", "scope", "rel", "raw", "detail.type", "new_text", F.coalesce("ord", F.lit(0)).cast("int").alias("ord"))
+
+
+def _items_of_pages(spark, sf) -> DataFrame:
+    """Completed items of four kinds, one per page."""
+    n, url, pid = F.col("page_id"), F.col("url"), F.col("page_id").cast("string")
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    read = obj(type="read", path=F.concat(F.lit("f"), pid))
+    status = F.when(n % 3 == 0, "failed").otherwise("completed")
+    run = obj(type="CommandExecution", id=pid, status=status, command=F.array(F.lit("bash"), F.lit("-lc"), F.concat(F.lit("ssh "), host)), cwd="file:///w%20d", parsed_cmd=F.array(read))
+    mcp = obj(type="McpToolCall", id=pid, status=status, server="srv", tool="t", arguments=obj(n=n))
+    page = obj(type="WebSearch", id=pid, query="ignored", action=obj(type="open_page", url=url))
+    find = obj(type="WebSearch", id=pid, query="", action=obj(type="search", queries=F.array(F.concat(F.lit("q\n"), pid), F.lit("second"))))
+    kind = n % 4
+    item = F.when(kind == 0, F.to_json(run)).when(kind == 1, F.to_json(mcp)).when(kind == 2, F.to_json(page)).otherwise(F.to_json(find))
+    text = F.concat(F.lit('{"payload":{"type":"item_completed","item":'), item, F.lit("}}"))
+    return _records(
+        S.pg(spark, sf).select(
+            host.alias("who"),
+            host.alias("session"),
+            F.lit(True).alias("is_main"),
+            n.alias("line_no"),
+            F.try_parse_json(text).alias("rec"),
+            F.lit(None).cast("string").alias("mode"),
+            (n * US).alias("at_us"),
+            F.lit("event_msg").alias("ty"),
+            F.lit("item_completed").alias("pty"),
+        )
+    )
+
+
+@register(
+    "rollout_touches",
+    with_sql(
+        "pg",
+        """
+    WITH c AS (SELECT page_id, url, regexp_extract(url, '//([^/]*)', 1) AS host, page_id % 4 AS kind, page_id % 3 = 0 AS failed, CAST(page_id AS VARCHAR) AS p FROM pg)
+    SELECT host AS who, p AS call_id, 'remote' AS scope, 'ssh://' || host AS rel, NULL AS raw, 'inferred' AS source, NULL AS tool FROM c WHERE kind = 0
+    UNION ALL SELECT host, p, NULL, NULL, 'f' || p, 'tool', 'read' FROM c WHERE kind = 0 AND NOT failed
+    UNION ALL SELECT host, p, 'mcp', 'srv/t', NULL, 'tool', 'mcp' FROM c WHERE kind = 1 AND NOT failed
+    UNION ALL SELECT host, p, 'webfetch', url, NULL, 'tool', 'read' FROM c WHERE kind = 2
+    UNION ALL SELECT host, p, 'websearch', 'q ' || p, NULL, 'tool', 'web_search' FROM c WHERE kind = 3""",
+    ),
+)
+def rollout_touches(spark, sf):
+    rows = _items_of_pages(spark, sf)
+    cwds = rows.select("session", F.lit("/w").alias("cwd")).distinct()
+    return codex.touches(rows, cwds, "/").select("who", "call_id", "scope", "rel", "raw", "source", "tool")
+
+
+@register(
+    "rollout_calls",
+    with_sql(
+        "pg",
+        """
+    WITH c AS (SELECT page_id, regexp_extract(url, '//([^/]*)', 1) AS host, page_id % 4 AS kind, CAST(page_id AS VARCHAR) AS p FROM pg)
+    SELECT host AS who, p AS call_id, CASE kind WHEN 0 THEN 'bash' ELSE 'mcp:srv/t' END AS tool,
+      CASE kind WHEN 0 THEN 'ssh ' || host ELSE '{"n":' || p || '}' END AS input FROM c WHERE kind < 2""",
+    ),
+)
+def rollout_calls(spark, sf):
+    return codex.call_table(_items_of_pages(spark, sf))
+
+
+@register(
+    "rollout_inputs",
+    with_sql(
+        "pg",
+        """SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN url WHEN 2 THEN 'curl ' || url WHEN 3 THEN 'curl ' || url WHEN 4 THEN 'not json' ELSE url END AS input FROM pg""",
+    ),
+)
+def rollout_inputs(spark, sf):
+    """What a shell function was given, in each of its record shapes."""
+    n, url = F.col("page_id") % 6, F.col("url")
+    argv = F.array(F.lit("curl"), url)
+    pty = F.when(n == 0, "custom_tool_call").when(n == 3, "local_shell_call").otherwise("function_call")
+    payload = (
+        F.when(n == 0, F.to_json(obj(payload=obj(input=url))))
+        .when(n == 1, F.to_json(obj(payload=obj(arguments=F.to_json(obj(cmd=url))))))
+        .when(n == 2, F.to_json(obj(payload=obj(arguments=F.to_json(obj(command=argv))))))
+        .when(n == 3, F.to_json(obj(payload=obj(action=obj(command=argv)))))
+        .when(n == 4, F.to_json(obj(payload=obj(arguments="not json"))))
+        .otherwise(F.to_json(obj(payload=obj(arguments=F.to_json(obj(command=url))))))
+    )
+    rows = S.pg(spark, sf).select("page_id", pty.alias("pty"), F.try_parse_json(payload).alias("rec"))
+    return rows.select("page_id", codex.call_input().alias("input"))
+
+
+@register(
+    "rollout_windows",
+    with_sql(
+        "ev",
+        """
+    WITH r AS (SELECT CAST(who AS VARCHAR) AS who, 'c' || (k % 20) AS call_id, event_id, at_us, event_type AS t FROM ev),
+    f AS (SELECT who, call_id, min(event_id) AS ord, min_by(at_us, event_id) AS start_us FROM r WHERE t = 'click' GROUP BY ALL),
+    w AS (SELECT f.who, f.call_id, f.ord, f.start_us, min_by(r.at_us, r.event_id) AS end_us, min(r.event_id) AS line
+      FROM f LEFT JOIN r ON r.who = f.who AND r.call_id = f.call_id AND r.t = 'view' AND r.event_id > f.ord GROUP BY ALL),
+    n AS (SELECT w.*, t.tl, t.ta FROM w LEFT JOIN (SELECT w.who, w.call_id, min(r.event_id) AS tl, min_by(r.at_us, r.event_id) AS ta FROM w JOIN r ON r.who = w.who AND r.t = 'purchase' AND r.event_id > w.ord GROUP BY ALL) t
+      ON t.who = w.who AND t.call_id = w.call_id)
+    SELECT who, call_id, start_us, CASE WHEN tl IS NOT NULL AND (line IS NULL OR tl < line) THEN ta ELSE end_us END AS end_us FROM n""",
+    ),
+)
+def rollout_windows(spark, sf):
+    """Shell calls open windows, outputs close them, and so does the end of a turn."""
+    from tracelane.operators.pairing import close_at_turn_end, open_close
+
+    t, cid = F.col("event_type"), F.concat(F.lit("c"), (F.col("k") % 20).cast("string"))
+    payload = (
+        F.when(t == "click", F.to_json(obj(payload=obj(call_id=cid, name="shell", arguments="{}"))))
+        .when(t == "view", F.to_json(obj(payload=obj(call_id=cid))))
+        .otherwise("{}")
+    )
+    rows = _records(
+        S.ev(spark, sf).select(
+            F.col("who").cast("string").alias("who"),
+            F.col("event_id").alias("line_no"),
+            "at_us",
+            F.when(t.isin("click", "view"), "response_item").otherwise("event_msg").alias("ty"),
+            F.when(t == "click", "function_call").when(t == "view", "function_call_output").when(t == "purchase", "task_complete").otherwise("other").alias("pty"),
+            F.lit(None).cast("string").alias("mode"),
+            F.try_parse_json(payload).alias("rec"),
+        )
+    )
+    windows = open_close(codex.window_records(rows).select("who", "call_id", "line_no", "at_us", "op"))
+    ends = codex.turn_ends(rows).withColumn("line_no", F.col("line_no") * 2)
+    return close_at_turn_end(windows, ends, open_line="ord").select("who", "call_id", "start_us", "end_us")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracelane.config import DEFAULTS, US, Params
 from tracelane.operators.intervals import islands
 from tracelane.operators.ordered import latest_before
+from tracelane.session import spread
 
 # When changes to one path coalesce, the stronger kind stays.
 KIND_STRENGTH = {"modified": 0, "created": 1, "removed": 2}
@@ -84,11 +85,6 @@ MAX_LEVEL = 28
 ANY_ROOT = -1
 
 
-def _spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Even out rows before each turns into dozens; a fixed count keeps AQE from merging them."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
-
-
 def _tiles(spans: DataFrame) -> DataFrame:
     """Tile each range [_lo, _hi) exactly with aligned blocks; adds ``_level`` and ``_block``.
 
@@ -153,14 +149,14 @@ def attribute(
         ).alias("_w"),
     ).where("_lo < _hi")
     tiles = (
-        _tiles(_spread(spans, "_w"))
+        _tiles(spread(spans, "_w"))
         .groupBy("_root", "_level", "_block")
         .agg(F.max("_w").alias("_w"))
     )
     longest = spans.agg(F.max(F.col("_hi") - F.col("_lo"))).first()[0] or 1
     levels = min(MAX_LEVEL, math.ceil(math.log2(longest) / BITS))
     roots = F.array(F.col("root_id").cast("bigint"), F.lit(ANY_ROOT).cast("bigint"))
-    probes = _spread(
+    probes = spread(
         changes.select(
             "event_id",
             F.explode(roots).alias("_root") if nullable_root else F.col("root_id").cast("bigint").alias("_root"),

@@ -20,6 +20,7 @@ from tracelane.operators.ordered import (
     running_last,
     running_sum,
 )
+from tracelane.session import spread
 
 
 def asof_prev(
@@ -94,9 +95,14 @@ def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(old, new)], dtype=object)
 
 
-def version_diff(pairs: DataFrame, created: Column | None = None) -> DataFrame:
+def version_diff(pairs: DataFrame, created: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``diff``. Without a previous text there is none, except that a created file is
-    compared with the empty text. Equal texts are settled before Python is called."""
+    compared with the empty text. Equal texts are settled before Python is called.
+
+    ``by`` names columns that tell rows apart: given, rows are spread evenly first, as
+    comparing texts costs more than moving them.
+    """
+    pairs = spread(pairs, *by) if by else pairs
     old = F.col("prev_content")
     if created is not None:
         old = F.when(old.isNull() & created, F.lit("")).otherwise(old)

@@ -43,7 +43,7 @@ def classify_changes(
     )
     history = snapshots.select("scope_key", "rel", "at_us", "seq", "content").unionByName(seen)
     before = asof_prev(placed, history, ("scope_key", "rel"), "at_us", "at_us", "seq")
-    compared = version_diff(before, created=F.col("change") == "created")
+    compared = version_diff(before, created=F.col("change") == "created", by=("event_id",))
 
     writes = file_events.where("source = 'tool' AND kind = 'write' AND scope = 'project'")
     kept = staged(suppress_echoes(compared, writes, p=p))

@@ -65,6 +65,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Even out rows ahead of a step that costs far more per row than a shuffle.
+
+    The count is fixed, because AQE judges partitions by bytes and would merge them again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def staged(df: DataFrame, *partitions: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

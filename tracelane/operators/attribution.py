@@ -13,15 +13,15 @@ from tracelane.operators.ordered import latest_before
 from tracelane.session import spread
 
 # When changes to one path coalesce, the stronger kind stays.
-KIND_STRENGTH = {"modified": 0, "created": 1, "removed": 2}
+MODIFIED, CREATED, REMOVED = 0, 1, 2
 
 
-def _strength(kind: Column) -> Column:
-    return F.when(kind == "removed", 2).when(kind == "created", 1).otherwise(0)
+def strength(kind: Column) -> Column:
+    return F.when(kind == "removed", REMOVED).when(kind == "created", CREATED).otherwise(MODIFIED)
 
 
-def _kind(strength: Column) -> Column:
-    return F.when(strength == 2, "removed").when(strength == 1, "created").otherwise("modified")
+def kind_of(strength: Column) -> Column:
+    return F.when(strength == REMOVED, "removed").when(strength == CREATED, "created").otherwise("modified")
 
 
 def coalesce_changes(
@@ -45,13 +45,13 @@ def coalesce_changes(
         bursts.groupBy(*keys, "burst")
         .agg(
             F.max(at).alias(at),
-            F.max(_strength(F.col(kind))).alias("_top"),
-            F.max(F.when(F.col("_first"), _strength(F.col(kind)))).alias("_begin"),
+            F.max(strength(F.col(kind))).alias("_top"),
+            F.max(F.when(F.col("_first"), strength(F.col(kind)))).alias("_begin"),
             F.min(ord).alias(ord),
             F.count(F.lit(1)).alias("n_raw"),
         )
-        .where(~((F.col("_begin") == 1) & (F.col("_top") == 2)))
-        .select(*keys, ord, at, _kind(F.col("_top")).alias(kind), "n_raw")
+        .where(~((F.col("_begin") == CREATED) & (F.col("_top") == REMOVED)))
+        .select(*keys, ord, at, kind_of(F.col("_top")).alias(kind), "n_raw")
     )
 
 

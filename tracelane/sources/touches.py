@@ -46,9 +46,6 @@ def detail(kind: str | Column, **fields: Column) -> Column:
     return F.struct(kind.alias("type"), *parts)
 
 
-NO_DETAIL = ("none",)
-
-
 def touch(df: DataFrame, kind: str, tool: str | Column, source: str = "tool", **fields) -> DataFrame:
     """Rows in the common shape from a calls table; ``fields`` fill the other columns."""
     given = {"kind": F.lit(kind) if isinstance(kind, str) else kind, "source": F.lit(source)}

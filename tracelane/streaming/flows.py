@@ -13,12 +13,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracelane.config import DEFAULTS, US, Params
-from tracelane.operators.attribution import reset_reload
+from tracelane.operators.attribution import CREATED, REMOVED, kind_of, reset_reload, strength
 from tracelane.operators.pairing import pair_calls
 from tracelane.plans.live import as_log, classify_changes
 from tracelane.session import staged
@@ -93,10 +93,6 @@ def reset_batch(events: DataFrame, known: DataFrame, batch_lines: DataFrame, fre
 # --- changes ---------------------------------------------------------------------------
 
 
-def _strength(kind: Column) -> Column:
-    return F.when(kind == "removed", 2).when(kind == "created", 1).otherwise(0)
-
-
 def debounce(changes: DataFrame, keys=("path",), p: Params = DEFAULTS, late: str = "10 seconds") -> DataFrame:
     """Coalesced changes: a session per path that ends after the quiet period.
 
@@ -105,23 +101,23 @@ def debounce(changes: DataFrame, keys=("path",), p: Params = DEFAULTS, late: str
     exactly one quiet period after the last starts anew, hence the gap one microsecond short.
     """
     gap = f"{p.debounce * US - 1} microseconds"
-    first = F.struct("at", "event_id", _strength(F.col("change")).alias("s"))
+    first = F.struct("at", "event_id", strength(F.col("change")).alias("s"))
     return (
         changes.withWatermark("at", late)
         .groupBy(*keys, F.session_window("at", gap))
         .agg(
             F.max("at").alias("at"),
-            F.max(_strength(F.col("change"))).alias("_top"),
+            F.max(strength(F.col("change"))).alias("_top"),
             F.min(first).alias("_first"),
             F.min("event_id").alias("event_id"),
             F.count(F.lit(1)).alias("n_raw"),
         )
-        .where(~((F.col("_first.s") == 1) & (F.col("_top") == 2)))
+        .where(~((F.col("_first.s") == CREATED) & (F.col("_top") == REMOVED)))
         .select(
             *keys,
             "event_id",
             "at",
-            F.when(F.col("_top") == 2, "removed").when(F.col("_top") == 1, "created").otherwise("modified").alias("change"),
+            kind_of(F.col("_top")).alias("change"),
             "n_raw",
         )
     )

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelane.llm.common import let, table, words
-from tracelane.session import durable, staged
+from tracelane.session import staged
 
 MIN_WORDS = 50
 UNIT = 256
@@ -183,14 +183,14 @@ def outliers(rows: DataFrame) -> DataFrame:
     """``rows`` (``_lang``, ``_source``, the statistics) with ``d2``; read many times, so pass a staged table."""
     lang, group = ["_lang"], ["_lang", "_source"]
     sound = rows.where(~F.col("base_failed"))
-    moments = durable(_start(sound, lang))
+    moments = staged(_start(sound, lang))
     for _ in range(STEPS["language"]):
-        moments = durable(_moments(_concentrate(sound, _estimate(moments, lang), lang), lang, None))
+        moments = staged(_moments(_concentrate(sound, _estimate(moments, lang), lang), lang, None))
     start = sound.select(*group).distinct().join(moments, lang)
     current = start
     for _ in range(STEPS["group"]):
-        current = durable(_moments(_concentrate(sound, _estimate(current, group), group), group, moments))
-    return _distances(sound, durable(_estimate(current, group)), group)
+        current = staged(_moments(_concentrate(sound, _estimate(current, group), group), group, moments))
+    return _distances(sound, staged(_estimate(current, group)), group)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

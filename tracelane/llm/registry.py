@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tracelane.llm import quality
+from tracelane.llm import neardup, quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (quality,):
+for module in (quality, neardup):
     for name, (query, sql) in module.REGISTERED.items():
         QUERIES[name] = query
         if sql is not None:

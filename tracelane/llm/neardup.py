@@ -144,9 +144,10 @@ def _block_pairs(needed: np.ndarray):
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         part = part.combine_chunks()
+        p, q = key[1].as_py(), key[2].as_py()
         side, sig = np.asarray(part.column("own")), _matrix(part.column("sig"))
         ids, comp = np.asarray(part.column("id")), np.asarray(part.column("comp"))
-        first, second = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
+        first, second = np.flatnonzero(side == p), np.flatnonzero(side == q)
         out_a, out_b = [], []
         head = np.ascontiguousarray(sig[:, :BATCH])
         for at in range(0, len(first), 256):
@@ -154,7 +155,7 @@ def _block_pairs(needed: np.ndarray):
             same = np.zeros((len(rows), len(second)), np.uint8)
             for k in range(BATCH):
                 same += head[rows, k][:, None] == head[second, k][None, :]
-            i, j = np.nonzero((same >= needed[0]) & (comp[rows][:, None] != comp[second][None, :]) & (ids[rows][:, None] < ids[second][None, :] if key[1] == key[2] else True))
+            i, j = np.nonzero((same >= needed[0]) & (comp[rows][:, None] != comp[second][None, :]) & (ids[rows][:, None] < ids[second][None, :] if p == q else True))
             i, j = rows[i], second[j]
             for s in range(0, len(i), 65536):
                 x, y = i[s : s + 65536], j[s : s + 65536]

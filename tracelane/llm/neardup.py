@@ -5,12 +5,14 @@
    least id of a class takes part.
 2. Signatures are cut into bands; equal bands are buckets. A pair at the threshold shares no bucket
    with probability ``(1 - t**ROWS)**BANDS`` (4.6e-7 at 0.8).
-3. First round: each member of a bucket is paired with one leader only, the least id of a bucket that
-   it meets most often. The links that hold join most of a crowd with one pair for each document.
-4. Second round: what is left are members of one bucket that are not yet joined. Inside a bucket, members
-   of different components are compared in blocks, so no pair is skipped and none that is joined
-   already is looked at. A bucket above ``BLOCK`` members is cut into pairs of blocks.
-5. Both rounds compare signatures batch by batch and give a pair up as soon as the posterior probability
+3. First round: each bucket has a hub, the member that meets the most others in all its buckets, and each
+   document is paired with the hub that it meets most often. The links that hold join most of a crowd with
+   one pair for each document.
+4. What is left are members of one bucket that are not yet joined. Twice, every component is
+   paired with its likeliest partner outside. Then every pair of one bucket that still lies in two
+   components is decided, so no link is lost, and none is looked at that could join nothing.
+   Buckets are compared inside tasks, those above ``BLOCK`` members as pairs of blocks.
+5. All rounds compare signatures batch by batch and give a pair up as soon as the posterior probability
    (uniform prior) that its similarity reaches the threshold is below ``MISS``. Survivors are
    decided on the full shingle sets, so every link is exact.
 
@@ -139,35 +141,53 @@ def _prune_pairs(needed: np.ndarray):
     return run
 
 
-def _block_pairs(needed: np.ndarray):
-    """Compare the members of a bucket (or two blocks of one) that lie in different components."""
+def _block_pairs(needed: np.ndarray, best: bool):
+    """Compare the members of a bucket (or two blocks of one) that lie in different components.
+
+    ``best``: of each component only the likeliest partner outside it. Otherwise every pair that no
+    batch rules out, once: in the first band that its members share.
+    """
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
         p, q = key[1].as_py(), key[2].as_py()
+        part = part.combine_chunks()
         side, sig = np.asarray(part.column("own")), _matrix(part.column("sig"))
-        ids, comp = np.asarray(part.column("id")), np.asarray(part.column("comp"))
+        ids, comp, band = np.asarray(part.column("id")), np.asarray(part.column("comp")), part.column("band")[0].as_py()
         first, second = np.flatnonzero(side == p), np.flatnonzero(side == q)
-        out_a, out_b = [], []
+        found: list[tuple] = []
         head = np.ascontiguousarray(sig[:, :BATCH])
         for at in range(0, len(first), 256):
             rows = first[at : at + 256]
             same = np.zeros((len(rows), len(second)), np.uint8)
             for k in range(BATCH):
                 same += head[rows, k][:, None] == head[second, k][None, :]
-            i, j = np.nonzero((same >= needed[0]) & (comp[rows][:, None] != comp[second][None, :]) & (ids[rows][:, None] < ids[second][None, :] if p == q else True))
+            apart = (comp[rows][:, None] != comp[second][None, :]) & (ids[rows][:, None] < ids[second][None, :] if p == q else True)
+            i, j = np.nonzero((same >= needed[0]) & apart)
             i, j = rows[i], second[j]
-            for s in range(0, len(i), 65536):
-                x, y = i[s : s + 65536], j[s : s + 65536]
+            for cut in range(0, len(i), 65536):
+                x, y = i[cut : cut + 65536], j[cut : cut + 65536]
                 alive = _survivors(sig[x], sig[y], needed)
-                out_a.append(ids[x[alive]])
-                out_b.append(ids[y[alive]])
-        both = [np.concatenate(o) if o else np.empty(0, np.int64) for o in (out_a, out_b)]
-        return pa.table({"a": np.minimum(*both), "b": np.maximum(*both)})
+                x, y = x[alive], y[alive]
+                equal = sig[x] == sig[y]
+                if not best:
+                    new = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                    x, y, equal = x[new], y[new], equal[new]
+                found.append(_likeliest(comp, x, y, equal.sum(axis=1)) if best else (comp[x], x, y, equal.sum(axis=1)))
+        c, x, y, m = (np.concatenate(v) for v in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 4
+        return pa.table({"comp": pa.array(c, pa.int64()), "a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64()), "m": pa.array(m, pa.int64())})
 
     return run
 
 
+def _likeliest(comp: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple:
+    """For each component that a pair touches, its pair with the most matches."""
+    owner, x, y, m = np.concatenate([comp[x], comp[y]]), np.tile(x, 2), np.tile(y, 2), np.tile(m, 2)
+    order = np.lexsort((y, x, -m, owner))
+    owner, x, y, m = owner[order], x[order], y[order], m[order]
+    top = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+    return owner[top], x[top], y[top], m[top]
+
+
 def _decide(size: int, percent: int):
     """Exact similarity of pairs that carry both texts."""
 
@@ -198,9 +218,29 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """(key, id) per band of each document."""
+    """(key, band, id) per band of each document."""
     band = F.expr("substring(sig, cast(band * %d + 1 as int), %d)" % (2 * ROWS, 2 * ROWS))
-    return signed.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(F.xxhash64("band", band).alias("key"), "id")
+    return signed.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(F.xxhash64("band", band).alias("key"), "band", "id")
+
+
+def _apart(crowds: DataFrame, joined: DataFrame, signed: DataFrame):
+    """Members of buckets that still hold several components, in pairs of blocks."""
+    placed = crowds.join(joined, "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = placed.join(mixed, "key").select("key", "band", "id", "comp", blocks.alias("blocks")).select("*", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
+    dealt = left.select("key", "band", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "band", "id", "comp", "own")
+    return dealt.join(signed, "id").groupBy("key", "p", "q")
+
+
+def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after more links between members of known components, or of none."""
+    root = lambda n: joined.select(F.col("id").alias(n), F.col("component").alias(f"root_{n}"))
+    upper = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    tops = staged(components(upper))
+    moved = joined.join(tops.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    return moved.unionByName(tops.join(joined, "id", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, miss: float = MISS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,32 +255,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, miss
     signed = staged(raw.select("id", "sig").join(members.where("id = lead").select("id").distinct(), "id").dropDuplicates(["id"]))
 
     rows = _buckets(signed)
-    sizes = rows.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowds = staged(rows.join(sizes, "key"))
 
-    met = crowds.where("id != first").groupBy("id", "first").agg(F.count(F.lit(1)).alias("n"))
-    led = met.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("n", (-F.col("first")).alias("f"))).alias("m")).select("a", (-F.col("m.f")).alias("b"))
+    weight = crowds.groupBy("id").agg(F.sum("n").alias("weight"))
+    hubs = crowds.join(weight, "id").groupBy("key").agg((-F.max(F.struct("weight", (-F.col("id")).alias("i"))).i).alias("hub"))
+    met = crowds.join(hubs, "key").where("id != hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    led = met.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("m")).select("a", (-F.col("m.h")).alias("b"))
     sig = lambda n: signed.select(F.col("id").alias(n), F.col("sig").alias(f"sig_{n}"))
     likely = led.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(_prune_pairs(needed), "a long, b long")
     texts = staged(plain.where("id is not null").join(crowds.select("id").distinct(), "id").dropDuplicates(["id"]))
-    links = staged(_confirm(likely, texts, size, percent))
+    joined = staged(components(_confirm(likely, texts, size, percent)))
 
-    joined = staged(components(links))
-    comp = lambda c: F.coalesce("component", c)
-    placed = crowds.join(joined, "id", "left").select("key", "id", "n", comp(F.col("id")).alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = placed.join(mixed, "key").select("key", "id", "comp", blocks.alias("blocks")).select("*", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
-    dealt = left.select("key", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", "comp", "own").join(signed, "id")
-    rest = dealt.groupBy("key", "p", "q").applyInArrow(_block_pairs(needed), "a long, b long").distinct()
-    more = staged(_confirm(rest, texts, size, percent))
+    for best in (True, True, False):
+        pairs = _apart(crowds, joined, signed).applyInArrow(_block_pairs(needed, best), "comp long, a long, b long, m long")
+        if best:
+            pairs = pairs.groupBy("comp").agg(F.max(F.struct("m", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        joined = staged(_merged(joined, staged(_confirm(pairs.select("a", "b"), texts, size, percent))))
 
-    root = lambda n: joined.select(F.col("id").alias(n), F.col("component").alias(f"root_{n}"))
-    upper = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-    tops = components(upper).select(F.col("id").alias("root"), F.col("component").alias("top"))
-    named = members.join(joined.withColumnRenamed("id", "lead"), "lead", "left").select("id", F.coalesce("component", "lead").alias("root"))
-    named = named.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("component_id"))
+    named = members.join(joined.withColumnRenamed("id", "lead"), "lead", "left").select("id", F.coalesce("component", "lead").alias("component_id"))
     counts = raw.where("id is not null").groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
     whole = counts.join(named.groupBy("id").agg(F.min("component_id").alias("component_id")), "id", "left")
     lone = raw.where("id is null").select("id", "n_shingles", F.lit(None).cast("long").alias("component_id"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tracelane.llm import neardup, quality
+from tracelane.llm import chat, decontaminate, licences, neardup, packing, quality, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (quality, neardup):
+for module in (warc, chat, packing, licences, neardup, decontaminate, quality):
     for name, (query, sql) in module.REGISTERED.items():
         QUERIES[name] = query
         if sql is not None:

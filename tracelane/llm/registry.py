@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tracelane.llm import chat, decontaminate, html, licences, neardup, packing, pii, quality, warc
+from tracelane.llm import chat, decontaminate, html, licences, neardup, packing, pii, quality, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (pii, warc, chat, packing, licences, html, neardup, decontaminate, quality):
+for module in (pii, warc, chat, packing, licences, toxicity, html, neardup, decontaminate, quality):
     for name, (query, sql) in module.REGISTERED.items():
         QUERIES[name] = query
         if sql is not None:

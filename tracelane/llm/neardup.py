@@ -141,11 +141,13 @@ def _prune_pairs(needed: np.ndarray):
     return run
 
 
-def _block_pairs(needed: np.ndarray, best: bool):
+def _block_pairs(needed: np.ndarray, best: bool, percent: int):
     """Compare the members of a bucket (or two blocks of one) that lie in different components.
 
     ``best``: of each component only the likeliest partner outside it. Otherwise every pair that no
-    batch rules out, once: in the first band that its members share.
+    batch rules out, once: in the first band that its members share, and only if the sets of
+    32-bit shingle codes come within a hundredth of the threshold. Such codes collide too
+    rarely to move a similarity that far.
     """
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
@@ -154,6 +156,7 @@ def _block_pairs(needed: np.ndarray, best: bool):
         side, sig = np.asarray(part.column("own")), _matrix(part.column("sig"))
         ids, comp, band = np.asarray(part.column("id")), np.asarray(part.column("comp")), part.column("band")[0].as_py()
         first, second = np.flatnonzero(side == p), np.flatnonzero(side == q)
+        sets = None if best else [np.frombuffer(c, np.uint32) for c in part.column("codes").to_pylist()]
         found: list[tuple] = []
         head = np.ascontiguousarray(sig[:, :BATCH])
         for at in range(0, len(first), 256):
@@ -171,6 +174,8 @@ def _block_pairs(needed: np.ndarray, best: bool):
                 equal = sig[x] == sig[y]
                 if not best:
                     new = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+                    new = np.flatnonzero(new)
+                    new = new[[_close(sets[a], sets[b], percent - 1) for a, b in zip(x[new], y[new], strict=True)]] if len(new) else new
                     x, y, equal = x[new], y[new], equal[new]
                 found.append(_likeliest(comp, x, y, equal.sum(axis=1)) if best else (comp[x], x, y, equal.sum(axis=1)))
         c, x, y, m = (np.concatenate(v) for v in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 4
@@ -179,6 +184,26 @@ def _block_pairs(needed: np.ndarray, best: bool):
     return run
 
 
+def _close(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _code_sets(size: int):
+    """Sorted distinct 32-bit shingle codes of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes(_word_code)
+        for batch in batches:
+            sets = [np.unique((shingles(t, size, codes) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "codes"])
+
+    return run
+
+
 def _likeliest(comp: np.ndarray, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> tuple:
     """For each component that a pair touches, its pair with the most matches."""
     owner, x, y, m = np.concatenate([comp[x], comp[y]]), np.tile(x, 2), np.tile(y, 2), np.tile(m, 2)
@@ -223,15 +248,14 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return signed.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(F.xxhash64("band", band).alias("key"), "band", "id")
 
 
-def _apart(crowds: DataFrame, joined: DataFrame, signed: DataFrame):
+def _apart(crowds: DataFrame, joined: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components, in pairs of blocks."""
     placed = crowds.join(joined, "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     left = placed.join(mixed, "key").select("key", "band", "id", "comp", blocks.alias("blocks")).select("*", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
     dealt = left.select("key", "band", "id", "comp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "band", "id", "comp", "own")
-    return dealt.join(signed, "id").groupBy("key", "p", "q")
+    return dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "band", "id", "comp", "own")
 
 
 def _merged(joined: DataFrame, links: DataFrame) -> DataFrame:
@@ -268,7 +292,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, miss
     joined = staged(components(_confirm(likely, texts, size, percent)))
 
     for best in (True, True, False):
-        pairs = _apart(crowds, joined, signed).applyInArrow(_block_pairs(needed, best), "comp long, a long, b long, m long")
+        left = _apart(crowds, joined)
+        if not best:
+            left = staged(left)
+            sets = texts.join(left.select("id").distinct(), "id").select("id", "text").mapInArrow(_code_sets(size), "id long, codes binary")
+            left = left.join(sets, "id")
+        pairs = left.join(signed, "id").groupBy("key", "p", "q").applyInArrow(_block_pairs(needed, best, percent), "comp long, a long, b long, m long")
         if best:
             pairs = pairs.groupBy("comp").agg(F.max(F.struct("m", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         joined = staged(_merged(joined, staged(_confirm(pairs.select("a", "b"), texts, size, percent))))

@@ -22,7 +22,7 @@ HEADLINE = (
     "attribution_report span_merge span_merge_items activity_union idle_gaps fit_zoom display_cols gantt_nodes gantt_lanes "
     "fs_coalesce echo_suppress attribution provenance call_pairs turn_close gen_intervals session_rollup action_facets "
     "detail_list nearest nth_activity recency_rank path_rollup presence deleted_paths compact_paths tree_order touching "
-    "longest_prefix asof_prev line_churn version_diff remote_hosts apply_edits"
+    "longest_prefix asof_prev line_churn apply_edits"
 ).split()
 
 

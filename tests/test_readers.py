@@ -7,6 +7,7 @@ from conftest import iso, ms, rows, us, write_jsonl
 from pyspark.sql import functions as F
 
 from tracelane.plans import model
+from tracelane.sources import touches as T
 from tracelane.sources import raw as R
 
 OMP_CWD = "/proj/a"
@@ -117,7 +118,6 @@ def test_omp_events(omp):
     assert got == sorted(
         [
             ("r1", "project", "src/x.py", "read", "tool", "read", us(11), us(12), "none"),
-            ("b1", "remote", "ssh://host", "read", "inferred", None, us(21), us(25), "none"),
             ("w1", "project", "new.txt", "write", "tool", "write", us(31), us(32), "written"),
             ("m1", "mcp", "git/log", "read", "tool", "mcp", us(51), us(52), "none"),
             ("q1", "websearch", "a b", "read", "tool", "web_search", us(60), us(61), "search"),
@@ -252,7 +252,6 @@ def test_claude_events(claude):
     assert got == [
         ("s1", "project", "sub.txt", "write", "write", us(40), us(41), "written"),
         ("t1", "project", "a.rs", "read", "read", us(5), us(7), "none"),
-        ("t2", "remote", "ssh://h/x", "read", None, us(5), us(7), "none"),
         ("t3", "project", "b.rs", "write", "edit", us(10), us(12), "diff"),
         ("t4", "project", "c.txt", "write", "write", us(13), us(14), "diff"),
         ("t5", "project", "d", "write", "edit", us(15), us(16), "diff"),
@@ -382,13 +381,10 @@ def test_codex_events(codex):
     got = rows(t.file_events, "call_id", "scope", "rel", "kind", "source", "tool", "start_us", "end_us", "detail.type")
     assert got == [
         ("c1", "project", "sub dir/x+y.txt", "read", "tool", "read", us(5), us(6), "none"),
-        ("c1", "remote", "docker://web", "read", "inferred", None, us(5), us(6), "none"),
-        ("c2", "remote", "ssh://h", "read", "inferred", None, us(7), us(8), "none"),
         ("f1", "project", "add.txt", "write", "tool", "write", us(8), us(9), "written"),
         ("f1", "project", "del.txt", "write", "tool", "edit", us(8), us(9), "removed"),
         ("f1", "project", "up.txt", "write", "tool", "edit", us(8), us(9), "diff"),
         ("f1", "project", "up.txt", "write", "tool", "edit", us(8), us(9), "moved"),
-        ("k1", "remote", "ssh://h/b", "write", "inferred", None, us(30), us(31), "none"),
         ("m1", "mcp", "srv/t", "read", "tool", "mcp", us(9), us(10), "none"),
         ("m9", "mcp", "s/t", "read", "tool", "mcp", us(24), us(26), "none"),
         ("p1", "project", "legacy.txt", "write", "tool", "write", us(22), us(22), "written"),
@@ -428,7 +424,7 @@ def test_codex_windows(codex):
 
 
 def test_lines_of_large_files(spark, tmp_path):
-    """Many splits per file, with and without the split-wise numbering."""
+    """Many splits per file."""
     for name, n in (("a", 700), ("b", 3), ("c", 250)):
         write_jsonl(tmp_path / f"{name}.jsonl", [{"name": name, "n": i, "pad": "x" * (i % 37)} for i in range(n)], tail='{"n":-1}')
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
@@ -436,9 +432,32 @@ def test_lines_of_large_files(spark, tmp_path):
     try:
         lines = R.read_lines(spark, str(tmp_path))
         assert lines.select("file", "_block").distinct().count() > 20
-        for large in (1 << 30, 1000):
-            got = R.records(R.number_lines(lines, large), "omp", F.lit("p"))
-            wrong = got.where(F.try_variant_get("rec", "$.n", "bigint") != F.col("line_no"))
-            assert wrong.count() == 0 and got.count() == 953
+        got = R.records(R.number_lines(lines), "omp", F.lit("p"))
+        wrong = got.where(F.try_variant_get("rec", "$.n", "bigint") != F.col("line_no"))
+        assert wrong.count() == 0 and got.count() == 953
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_advisors_at_any_depth(spark, tmp_path):
+    long = "x" * (3 << 20)  # a line over several reads
+    for level in range(1, 10):
+        write_jsonl(tmp_path / "/".join(f"d{i}" for i in range(level)) / R.ADVISOR, [{"n": 0, "pad": long if level == 9 else ""}, {"n": 1}])
+    got = R.number_lines(R.read_underscored(spark, str(tmp_path)))
+    assert got.select("file").distinct().count() == 9
+    assert rows(got.groupBy("line_no").count()) == [(0, 9), (1, 9)]
+    assert got.agg(F.max(F.length("value"))).first()[0] > len(long)
+
+
+def test_launch_folder_named_late(spark):
+    records = spark.range(80).select(F.lit("claude").alias("harness"), F.lit("/p").alias("project_dir"), F.lit("/p/a.jsonl").alias("file"), F.col("id").alias("line_no"))
+    records = records.withColumn("rec", F.parse_json(F.when(F.col("line_no") >= 70, F.concat(F.lit('{"cwd":"/w'), F.col("line_no"), F.lit('"}'))).otherwise("{}")))
+    assert rows(R.launch_cwds(records), "cwd") == [("/w70",)]
+
+
+def test_commands_address_targets_from_a_table(spark):
+    calls = spark.createDataFrame([("a", None, "/", 1, 2, "c1", 5), ("a", None, "/", 3, 4, "c2", 6)], "who string, session string, cwd string, start_us long, end_us long, call_id string, line_no long")
+    targets = spark.createDataFrame([("a", "c1", "ssh://h", "write", 1), ("a", "c1", "ssh://g", "read", 0), ("b", "c2", "ssh://x", "read", 0)], "who string, call_id string, target string, access string, ord int")
+    got = T.inferred(calls, targets)
+    assert rows(got, "call_id", "rel", "kind", "ord") == [("c1", "ssh://g", "read", 0), ("c1", "ssh://h", "write", 1)]
+    assert T.inferred(calls, None) is None

@@ -50,8 +50,8 @@ def test_change_log(spark, tmp_path):
         '{"t":"2026-01-01T00:00:09Z","path":"q","change":"created","who":{"file":"s1"}}\n'
     )
     log = L.read_change_log(spark, path)
-    capped = log.where("path = 'a.py'").first()
-    assert capped.at_us == us(1.25) and capped.input == "x" * 4096 + "\n… (truncated)" and capped.diff == "@@"
+    kept = log.where("path = 'a.py'").first()
+    assert kept.at_us == us(1.25) and kept.input == "x" * 5000 and kept.diff == "@@"
     assert log.where("path = 'b.py'").count() == 2
     people = spark.createDataFrame([("s1",)], "who string")
     roots = spark.createDataFrame([(0, "/p"), (1, "/q"), (2, "/q/inner")], "root_id int, path string")

@@ -26,8 +26,6 @@ class Params:
     break_cols: int = 3
     right_margin: int = 3
     widths: tuple[int, ...] = ZOOM_WIDTHS
-    max_content_bytes: int = 1 << 20
-    max_input_bytes: int = 4096
     home: str = "/home/user"
     tz: str = "UTC"
     temp_roots: tuple[str, ...] = ("/tmp", "/private/tmp")

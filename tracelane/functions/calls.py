@@ -64,7 +64,7 @@ def eval_cell_name(title: Column, intent: Column, language: Column, start_us: Co
     blank = F.lit(None).cast("string")
     pick = F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)).otherwise(blank) for c in (title, intent)], F.lit(""))
     safe = F.regexp_replace(F.translate(pick, "/\\", "--"), r"\p{Cntrl}", " ")
-    label = F.trim(F.substring(safe, 1, 60))
+    label = F.trim(safe)
     ext = F.when(language.isin(*CELL_EXTENSIONS), language).otherwise("txt")
     clock = F.date_format(F.from_utc_timestamp(F.timestamp_micros(start_us), tz), "HH:mm:ss")
     return F.concat(clock, F.when(label != "", F.concat(F.lit(" "), label)).otherwise(""), F.lit("."), ext)

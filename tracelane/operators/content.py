@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tracelane.config import DEFAULTS, Params
 from tracelane.operators.ordered import (
-    WIDE_BLOCK_ROWS,
     latest_before,
     ordered,
     previous,
@@ -33,39 +31,47 @@ def asof_prev(
     """
     keys = tuple(keys)
     order = F.struct(F.col(at).alias("at"), (F.col(seq) if seq else F.lit(0).cast("bigint")).alias("seq"))
-    narrow = history.select(*keys, at, *([seq] if seq else []))
+    narrow = history.select(*keys, at, *([seq] if seq else [])).distinct()
     found = latest_before(
         probes, narrow, keys, probe_at, at, order, seq=F.col(seq) if seq else None, name="_prev", block_rows=block_rows
     )
-    versions = history.select(
+    # One version per key and order: of texts recorded at the same place the greatest.
+    versions = history.groupBy(*keys, at, *([seq] if seq else [])).agg(F.max("content").alias("content")).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col(at).alias("_v_at"),
         (F.col(seq) if seq else F.lit(0).cast("bigint")).alias("_v_seq"),
         F.col("content").alias("prev_content"),
     )
-    match = (F.col("_prev.at") == F.col("_v_at")) & (F.col("_prev.seq") == F.col("_v_seq"))
+    match = (F.col("_prev.at") == F.col("_v_at")) & F.col("_prev.seq").eqNullSafe(F.col("_v_seq"))
     for k in keys:
-        match = match & (F.col(k) == F.col(f"_k_{k}"))
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return found.join(versions, match, "left").select(
         *probes.columns, F.col("_prev.at").alias("prev_at"), "prev_content"
     )
 
 
 def dedup_states(df: DataFrame, keys, at: str, content: str, order=None, block_rows: int | None = None) -> DataFrame:
-    """Rows whose content differs from the one before them in time."""
-    seen = ordered(df, keys, tuple(order or (at,)), block_rows or WIDE_BLOCK_ROWS).scan(_p=previous(content))
-    changed = F.col("_p").isNull() | ~F.col("_p.v").eqNullSafe(F.col(content))
-    return seen.df.where(changed).select(*df.columns)
+    """Rows whose content differs from the one before them in time.
 
-
-def seed_content(snapshots: DataFrame, seed: DataFrame, at_us: int, root_id: int = 0, p: Params = DEFAULTS) -> DataFrame:
+    Only digests of the contents are put in order; the rows join afterwards.
+    """
+    place = [*keys, *(order or (at,))]
+    marks = df.select(*place, F.sha2(F.col(content).cast("string"), 256).alias("_d"))
+    seen = ordered(marks, keys, tuple(order or (at,)), block_rows).scan(_p=previous("_d"))
+    changed = F.col("_p").isNull() | ~F.col("_p.v").eqNullSafe(F.col("_d"))
+    kept = seen.df.where(changed).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(place)], F.col("_d").alias("_dd")).distinct()
+    same = F.sha2(F.col(content).cast("string"), 256).eqNullSafe(F.col("_dd"))
+    for i, c in enumerate(place):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    return df.join(kept, same, "left_semi")
+
+
+def seed_content(snapshots: DataFrame, seed: DataFrame, at_us: int, root_id: int = 0) -> DataFrame:
     """Snapshots plus the texts found on disk in the first root when the logs were read."""
-    text = seed.where(
-        (F.col("root_id") == root_id) & F.is_valid_utf8("content") & (F.octet_length("content") <= p.max_content_bytes)
-    )
-    return snapshots.unionByName(
-        text.withColumn("at_us", F.lit(at_us).cast("bigint")).withColumn("seq", F.lit(0).cast("bigint")), allowMissingColumns=True
-    )
+    text = seed.where((F.col("root_id") == root_id) & F.is_valid_utf8("content"))
+    # Recorded before anything else: the least value of whatever the snapshots are ordered by.
+    first = F.lit(0).cast("bigint") if snapshots.schema["seq"].dataType.typeName() == "long" else F.lit(None).cast(snapshots.schema["seq"].dataType)
+    return snapshots.unionByName(text.withColumn("at_us", F.lit(at_us).cast("bigint")).withColumn("seq", first), allowMissingColumns=True)
 
 
 def version_pairs(history: DataFrame, keys=("path",), at: str = "at", block_rows: int | None = None) -> DataFrame:

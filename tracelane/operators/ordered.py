@@ -291,14 +291,16 @@ def latest_before(
     """
     keys = tuple(keys)
     sign = F.lit(-1) if forward else F.lit(1)
-    seq = F.lit(0).cast("bigint") if seq is None else seq.cast("bigint")
+    seq = F.lit(0).cast("bigint") if seq is None else seq
+    kind = history.select(seq.alias("s")).schema["s"].dataType
     tie = F.lit(0).cast("bigint") if probe_id is None else probe_id.cast("bigint")
     ks = [F.col(k) for k in keys]
     left = probes.select(
         *ks,
         (F.col(probe_at) * sign).alias("_at"),
         F.lit(0 if strict else 2).alias("_tag"),
-        tie.alias("_seq"),
+        F.lit(None).cast(kind).alias("_seq"),
+        tie.alias("_tie"),
         F.struct(*probes.columns).alias("_p"),
         F.lit(None).alias("_h"),
     )
@@ -307,9 +309,10 @@ def latest_before(
         (F.col(history_at) * sign).alias("_at"),
         F.lit(1).alias("_tag"),
         seq.alias("_seq"),
+        F.lit(0).cast("bigint").alias("_tie"),
         F.lit(None).alias("_p"),
         F.struct(value.alias("v")).alias("_h"),
     )
     both = left.unionByName(right)
-    found = ordered(both, keys, ("_at", "_tag", "_seq"), block_rows, copies=True).scan(_f=running_last("_h"))
+    found = ordered(both, keys, ("_at", "_tag", "_seq", "_tie"), block_rows, copies=True).scan(_f=running_last("_h"))
     return found.df.where(F.col("_tag") != 1).select("_p.*", F.col("_f.v").alias(name))

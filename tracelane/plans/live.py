@@ -11,7 +11,7 @@ from tracelane.operators.content import asof_prev, version_diff
 from tracelane.operators.roots import project_rel
 from tracelane.session import staged
 from tracelane.sources.participants import YOU
-from tracelane.sources.touches import detail
+from tracelane.sources.touches import detail, recorded
 
 
 def classify_changes(
@@ -27,26 +27,26 @@ def classify_changes(
     """Attributed events and new snapshots of a batch of coalesced changes.
 
     ``changes``: event_id, path, at_us, change, and of the file ``exists`` and ``content``
-    (NULL if unreadable or too large). A creation or modification of a file that is gone by
+    (NULL if unreadable). A creation or modification of a file that is gone by
     now is dropped. Contents are recorded before echoes are: an echo still moves the baseline.
     ``windows`` carry ``root_id`` (NULL where their session names none).
     """
     real = changes.where((F.col("change") == "removed") | F.col("exists"))
     placed = project_rel(real, prefixes).where("root_id IS NOT NULL").withColumn("root_id", F.col("root_id").cast("bigint"))
-    text = F.when(F.col("change") == "removed", "").otherwise(
-        F.when(F.octet_length("content") <= p.max_content_bytes, F.col("content"))
-    )
+    text = F.when(F.col("change") == "removed", "").otherwise(F.col("content"))
     placed = placed.withColumn("content", text).withColumn("scope_key", F.concat(F.lit("p"), F.col("root_id").cast("string")))
     placed = staged(placed)  # the lookups below read it several times
     seen = placed.where("content IS NOT NULL").select(
-        "scope_key", "rel", "at_us", F.col("event_id").cast("bigint").alias("seq"), "content"
+        "scope_key", "rel", "at_us", recorded(F.col("event_id"), F.lit(0), F.lit(0), F.lit(""), live=1).alias("seq"), "content"
     )
     history = snapshots.select("scope_key", "rel", "at_us", "seq", "content").unionByName(seen)
-    before = asof_prev(placed, history, ("scope_key", "rel"), "at_us", "at_us", "seq")
-    compared = version_diff(before, created=F.col("change") == "created", by=("event_id",))
-
+    # Echoes are told from narrow rows; contents are fetched and compared for what is left.
     writes = file_events.where("source = 'tool' AND kind = 'write' AND scope = 'project'")
-    kept = staged(suppress_echoes(compared, writes, p=p))
+    heard = staged(suppress_echoes(placed.drop("content"), writes, p=p))
+    before = asof_prev(heard, history, ("scope_key", "rel"), "at_us", "at_us", "seq")
+    own = placed.select(F.col("event_id").alias("_e"), "content")
+    before = before.join(own, F.col("event_id") == F.col("_e"), "left").drop("_e")
+    kept = staged(version_diff(before, created=F.col("change") == "created", by=("event_id",)))
     found = attribute(kept, windows, now_us, p=p, nullable_root=True)
     named = with_provenance(found.withColumn("who", F.coalesce("window_who", F.lit(YOU))), calls, None)
     has_call = F.col("call_id").isNotNull()

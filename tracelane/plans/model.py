@@ -96,9 +96,12 @@ def build(
     session_roots: tuple[str, ...] = (),
     p: Params = DEFAULTS,
     block_rows: int | None = None,
+    targets: DataFrame | None = None,
 ) -> Tables:
     """All canonical tables of the transcripts launched in ``roots``.
 
+    ``targets`` says what shell commands address: who, call_id, target, access, ord.
+
     ``records`` is the union of what the readers gave. What several tables are made from is
     staged: the parsed records once, by format and class, then the narrow tables of calls and
     touches. The rest is lazy; save the tables (``sources.store``) before reading them often.
@@ -138,7 +141,7 @@ def build(
 
     o_calls = at_home(omp.calls(staged(omp.call_records(o)), block_rows))
     c_calls = at_home(claude.calls(c, block_rows))
-    said = omp.touches(o_calls, p).unionByName(claude.touches(c_calls)).unionByName(codex.touches(x, cwds, default_cwd))
+    said = omp.touches(o_calls, p, targets).unionByName(claude.touches(c_calls, targets)).unionByName(codex.touches(x, cwds, default_cwd, targets))
     events, snapshots = touches.resolve(staged(said), prefixes, sessions, session_roots, p)
     events, snapshots = staged(events), staged(snapshots)
 

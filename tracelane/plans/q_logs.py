@@ -21,6 +21,7 @@ from tracelane.plans.model import main_prompts, sessions_of
 from tracelane.plans.shims import with_sql
 from tracelane.session import shared_folder, staged
 from tracelane.sources import changelog, claude, codex, omp, participants, raw
+from tracelane.sources import touches as T
 from tracelane.sources import variant as V
 from tracelane.streaming import flows
 
@@ -279,7 +280,9 @@ def entry_calls(spark, sf):
 def entry_touches(spark, sf):
     """File events of finished calls: commands still count when they failed, MCP calls do not."""
     done = claude.calls(_entries(spark, sf)).withColumns({"cwd": F.lit("/"), "session": F.col("who")})
-    return claude.touches(done).select("who", "call_id", "scope", "rel", "source", "end_us")
+    size = V.text("args", "$.command")
+    targets = done.where("tool = 'Bash'").select("who", "call_id", F.regexp_replace(size, "^ssh ", "ssh://").alias("target"), F.lit("read").alias("access"), F.lit(0).alias("ord"))
+    return claude.touches(done, targets).select("who", "call_id", "scope", "rel", "source", "end_us")
 
 
 @register(
@@ -298,8 +301,8 @@ def _rollout(spark, sf) -> DataFrame:
     kind = F.when(n % 3 == 0, "add").when(n % 3 == 1, "delete").otherwise("update")
     change = obj(
         type=kind,
-        content=F.when(n % 3 != 2, F.substring("text", 1, 30)),
-        unified_diff=F.when(n % 3 == 2, F.concat(F.lit("@@ -1 +1 @@\n-"), F.substring("text", 1, 5))),
+        content=F.when(n % 3 != 2, F.col("text")),
+        unified_diff=F.when(n % 3 == 2, F.concat(F.lit("@@ -1 +1 @@\n-"), F.col("text"))),
         move_path=F.when(n % 6 == 5, F.concat(F.lit("moved/"), n.cast("string"))),
     )
     item = obj(
@@ -328,8 +331,8 @@ def _rollout(spark, sf) -> DataFrame:
     """
     WITH d AS (SELECT *, doc_id % 3 AS m FROM documents WHERE doc_id % 10 <> 9)
     SELECT source AS who, 'f' || doc_id AS call_id, source || '/' || doc_id AS raw, CASE m WHEN 0 THEN 'write' ELSE 'edit' END AS tool,
-      CASE m WHEN 0 THEN 'written' WHEN 1 THEN 'removed' ELSE 'diff' END AS type, md5(CASE WHEN m = 0 THEN substring(text, 1, 30) END) AS new_digest,
-      md5(CASE WHEN m = 1 THEN substring(text, 1, 30) END) AS old_digest, CAST(NULL AS VARCHAR) AS to_raw, doc_id * 1000000 AS start_us, doc_id * 1000000 + 500000 AS end_us FROM d
+      CASE m WHEN 0 THEN 'written' WHEN 1 THEN 'removed' ELSE 'diff' END AS type, md5(CASE WHEN m = 0 THEN text END) AS new_digest,
+      md5(CASE WHEN m = 1 THEN text END) AS old_digest, CAST(NULL AS VARCHAR) AS to_raw, doc_id * 1000000 AS start_us, doc_id * 1000000 + 500000 AS end_us FROM d
     UNION ALL SELECT source, 'f' || doc_id, source || '/' || doc_id, 'edit', 'none', NULL, NULL, 'moved/' || doc_id, doc_id * 1000000, doc_id * 1000000 + 500000 FROM d WHERE doc_id % 6 = 5""",
 )
 def file_changes(spark, sf):
@@ -409,7 +412,7 @@ def call_inputs(spark, sf):
     with_sql(
         "ev",
         """
-    WITH c AS (SELECT event_id, at_us, CASE k % 4 WHEN 0 THEN 'plot a-b-c' WHEN 1 THEN repeat('x', 60) WHEN 2 THEN 'line one' ELSE '' END AS label, CASE k % 3 WHEN 0 THEN 'py' WHEN 1 THEN 'js' ELSE 'txt' END AS ext FROM ev)
+    WITH c AS (SELECT event_id, at_us, CASE k % 4 WHEN 0 THEN 'plot a-b-c' WHEN 1 THEN repeat('x', 80) WHEN 2 THEN 'line one' ELSE '' END AS label, CASE k % 3 WHEN 0 THEN 'py' WHEN 1 THEN 'js' ELSE 'txt' END AS ext FROM ev)
     SELECT event_id, strftime(make_timestamp(at_us + 3600000000), '%H:%M:%S') || CASE WHEN label <> '' THEN ' ' || label ELSE '' END || '.' || ext AS name FROM c""",
     ),
 )
@@ -604,22 +607,6 @@ def numbered_diff_lines(spark, sf):
     return C.numbered_lines(events).drop("pos")
 
 
-@register(
-    "version_balance",
-    """
-    WITH v AS (SELECT source AS path, doc_id AS ver, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS old FROM documents)
-    SELECT path, ver, len(string_split(rtrim(text, chr(10)), chr(10))) - len(string_split(rtrim(old, chr(10)), chr(10))) AS net_lines
-    FROM v WHERE old IS NOT NULL AND old <> text""",
-)
-def version_balance(spark, sf):
-    """Lines gained or lost between versions, from the unified diffs."""
-    diffs = C.version_diff(C.version_pairs(S.doc(spark, sf), ("path",), "ver")).where("diff IS NOT NULL")
-    events = diffs.select(F.struct("path", "ver").alias("event_id"), "diff")
-    net = F.sum(F.when(F.col("op") == "+", 1).when(F.col("op") == "-", -1).otherwise(0))
-    out = C.unified_lines(events).groupBy("event_id").agg(net.alias("net_lines"))
-    return out.select("event_id.path", "event_id.ver", "net_lines")
-
-
 # --- roots -----------------------------------------------------------------------------
 
 
@@ -650,17 +637,13 @@ def remap_roots(spark, sf):
 @register(
     "seed_content",
     """SELECT source AS rel, doc_id AS seq, CAST(5 AS BIGINT) AS at_us, md5(text) AS digest FROM documents
-    UNION ALL SELECT 'seed/' || doc_id, 0, 77, md5(text) FROM documents WHERE strlen(text) <= 2000""",
+    UNION ALL SELECT 'seed/' || doc_id, 0, 77, md5(text) FROM documents""",
 )
 def seed_content(spark, sf):
-    from dataclasses import replace
-
-    from tracelane.config import DEFAULTS
-
     d = S.table(spark, sf, "documents")
     known = d.select(F.col("source").alias("rel"), F.lit(5).cast("bigint").alias("at_us"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
     seed = d.select(F.concat(F.lit("seed/"), F.col("doc_id").cast("string")).alias("rel"), F.lit(0).alias("root_id"), F.col("text").alias("content"))
-    out = C.seed_content(known, seed, 77, 0, replace(DEFAULTS, max_content_bytes=2000))
+    out = C.seed_content(known, seed, 77, 0)
     return out.select("rel", "seq", "at_us", F.md5("content").alias("digest"))
 
 
@@ -892,7 +875,7 @@ def live_changes(spark, sf):
     roots = spark.createDataFrame([(0, "/r0"), (1, "/r1"), (2, "/r2")], "root_id int, path string")
     windows = w.withColumns({"who": F.col("who").cast("string"), "call_id": F.col("call_id").cast("string")})
     calls = windows.select("who", "call_id", F.lit("bash").alias("tool"), F.lit("").alias("input"))
-    none = f.select(F.lit("").alias("scope_key"), "rel", F.col("start_us").alias("at_us"), F.col("event_id").alias("seq"), F.lit("").alias("content")).where("scope_key <> ''")
+    none = f.select(F.lit("").alias("scope_key"), "rel", F.col("start_us").alias("at_us"), T.recorded(F.col("event_id"), F.lit(0), F.lit(0), F.lit("")).alias("seq"), F.lit("").alias("content")).where("scope_key <> ''")
     p = Params(echo_before=36_000, echo_after=3_600, slack_start=60, slack_end=480)
     events, _ = classify_changes(changes, root_prefixes(roots), f, windows, calls, none, S.NOW_US, p)
     return events.select("event_id", "root_id", "rel", F.col("detail.fs_change").alias("change"), "who", "call_id", "source")
@@ -997,7 +980,9 @@ def _items_of_pages(spark, sf) -> DataFrame:
 def rollout_touches(spark, sf):
     rows = _items_of_pages(spark, sf)
     cwds = rows.select("session", F.lit("/w").alias("cwd")).distinct()
-    return codex.touches(rows, cwds, "/").select("who", "call_id", "scope", "rel", "raw", "source", "tool")
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    targets = S.pg(spark, sf).where("page_id % 4 = 0").select(host.alias("who"), F.col("page_id").cast("string").alias("call_id"), F.concat(F.lit("ssh://"), host).alias("target"), F.lit("read").alias("access"), F.lit(0).alias("ord"))
+    return codex.touches(rows, cwds, "/", targets).select("who", "call_id", "scope", "rel", "raw", "source", "tool")
 
 
 @register(

@@ -106,7 +106,7 @@ def touched_only(spark, sf):
         "ev",
         """
     WITH r AS (SELECT *, k % 4 = 0 AS failed, ['read', 'bash', 'eval', 'mcp__a__b'][k % 3 + 1 + CASE WHEN k % 8 = 0 THEN 1 ELSE 0 END] AS tool
-      FROM ev WHERE event_type <> 'error')
+      FROM ev)
     SELECT tool, failed, count(*) AS calls, count(*) AS intervals,
       count(*) FILTER (WHERE tool IN ('bash', 'eval') OR tool LIKE 'mcp__%') AS closed,
       count(*) FILTER (WHERE tool = 'bash') AS inferred, count(*) FILTER (WHERE tool = 'eval') AS cells,
@@ -121,7 +121,6 @@ def error_rules(spark, sf):
     pick = k % 3 + 1 + F.when(k % 8 == 0, 1).otherwise(0)
     results = (
         S.ev(spark, sf)
-        .where("event_type <> 'error'")
         .select((k % 4 == 0).alias("failed"), F.element_at(tools, pick).alias("tool"))
     )
     out = emitted(F.col("tool"), F.col("failed"))
@@ -245,7 +244,7 @@ def session_end(spark, sf):
     return Q.session_end(records)
 
 
-_TITLE = "CASE WHEN length(text) % 5 = 0 THEN '' ELSE substring(text, 1, 12) END"
+_TITLE = "CASE WHEN length(text) % 5 = 0 THEN '' ELSE text END"
 
 
 @register(
@@ -261,7 +260,7 @@ def title_precedence(spark, sf):
     records = S.conv(spark, sf).select(
         "session",
         F.col("line_no").alias("ord"),
-        F.when(n % 5 == 0, "").otherwise(F.substring("text", 1, 12)).alias("title"),
+        F.when(n % 5 == 0, "").otherwise(F.col("text")).alias("title"),
         F.when(n % 3 == 0, "custom").when(n % 3 == 1, "auto").alias("title_kind"),
     )
     return Q.titles(records)

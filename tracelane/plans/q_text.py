@@ -73,11 +73,6 @@ def asof_prev(spark, sf):
     return out.select("path", "probe_id", "probe_at", "prev_at", F.md5("prev_content").alias("prev_digest"))
 
 
-@register("version_diff")
-def version_diff(spark, sf):
-    return C.version_diff(C.version_pairs(S.doc(spark, sf), ("path",), "ver")).select("path", "ver", "prev_at", "diff")
-
-
 @register(
     "line_churn",
     with_sql(
@@ -100,13 +95,13 @@ def line_churn(spark, sf):
     with_sql(
         "doc",
         """
-    WITH s AS (SELECT path, ver // 3 AS t, ver AS seq, substring(content, 1, 1) AS content FROM doc),
+    WITH s AS (SELECT path, ver // 3 AS t, ver AS seq, content FROM doc),
     l AS (SELECT *, lag(content) OVER (PARTITION BY path ORDER BY t, seq) AS p, row_number() OVER (PARTITION BY path ORDER BY t, seq) AS n FROM s)
-    SELECT path, t, seq, content FROM l WHERE n = 1 OR p IS DISTINCT FROM content""",
+    SELECT path, t, seq, md5(content) AS digest FROM l WHERE n = 1 OR p IS DISTINCT FROM content""",
     ),
 )
 def snapshot_history(spark, sf):
     """Recorded states of each path without repeats, where recordings may share a time."""
     d = S.doc(spark, sf)
-    states = d.select("path", F.floor(F.col("ver") / 3).alias("t"), F.col("ver").alias("seq"), F.substring("content", 1, 1).alias("content"))
-    return C.dedup_states(states, ("path",), "t", "content", order=("t", "seq"))
+    states = d.select("path", F.floor(F.col("ver") / 3).alias("t"), F.col("ver").alias("seq"), "content")
+    return C.dedup_states(states, ("path",), "t", "content", order=("t", "seq")).select("path", "t", "seq", F.md5("content").alias("digest"))

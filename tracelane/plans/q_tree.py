@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tracelane.config import DEFAULTS
 from tracelane.functions import paths as P
-from tracelane.operators import remote as RM
 from tracelane.operators import roots as R
 from tracelane.operators import tree as TR
 from tracelane.plans import shims as S
@@ -395,41 +394,3 @@ def mcp_servers(spark, sf):
         F.concat("m.server", F.lit("/"), "m.tool").alias("rel"), F.col("at_us").alias("end_us"), F.lit("read").alias("kind")
     )
     return TR.path_rollup(events, P.tree_segments(F.lit("mcp"), F.col("rel"), DEFAULTS.home), F.lit("mcp")).drop("path")
-
-
-# --- remote targets --------------------------------------------------------------------
-
-# Command shapes around a host, each with the targets it names (h: host).
-_COMMANDS = [
-    ("ssh -p 22 root@{h} 'ls; ssh fake'", [("ssh://{h}", "read")]),
-    ("cd /x && scp ./a.txt me@{h}:notes/ 2>&1", [("ssh://{h}/~/notes/", "write")]),
-    ("rsync -a -e ssh {h}:/srv/app/ . # ssh fake", [("ssh://{h}/srv/app/", "read")]),
-    ("docker compose exec -T {h} psql", [("docker://{h}", "read")]),
-    ("cat <<EOF\nssh fake\nEOF\nA=1 sudo -u x kubectl -n prod exec -it {h} -- ls", [("kubectl://{h}", "read")]),
-    ("bash -lc \"ssh {h} uptime\"; echo 'scp a fake:b'", [("ssh://{h}", "read")]),
-    ("echo ssh {h}", []),
-]
-
-
-@register(
-    "remote_hosts",
-    with_sql(
-        "pg",
-        "SELECT target, access, count(*) AS n FROM ("
-        + " UNION ALL ".join(
-            f"SELECT replace('{t}', '{{h}}', {_HOST}) AS target, '{a}' AS access FROM pg WHERE page_id % {len(_COMMANDS)} = {i}"
-            for i, (_, targets) in enumerate(_COMMANDS)
-            for t, a in targets
-        )
-        + ") GROUP BY target, access",
-    ),
-)
-def remote_hosts(spark, sf):
-    host = F.regexp_extract("url", "^https?://([^/]*)", 1)
-    forms = []
-    for text, _ in _COMMANDS:
-        a, _, b = text.partition("{h}")
-        forms.append(F.concat(F.lit(a), host, F.lit(b)))
-    script = F.element_at(F.array(*forms), (F.col("page_id") % len(_COMMANDS) + 1).cast("int"))
-    calls = S.pg(spark, sf).select(F.col("page_id").alias("call_id"), script.alias("script"))
-    return RM.remote_targets(calls).groupBy("target", "access").agg(F.count(F.lit(1)).alias("n"))

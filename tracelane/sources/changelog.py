@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane.config import DEFAULTS, Params
 from tracelane.functions.calls import parse_ts
-from tracelane.functions.text import utf8_cap
 from tracelane.operators.roots import project_rel, root_prefixes
 from tracelane.sources import variant as V
 from tracelane.sources.participants import YOU
@@ -17,11 +15,11 @@ from tracelane.sources.touches import detail
 CHANGES = ("created", "modified", "removed")
 
 
-def log_lines(changes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def log_lines(changes: DataFrame) -> DataFrame:
     """One JSON text per change, with its ``root_id``.
 
     Columns: root_id, rel, at_us, change, who, call_id, tool, input, diff. Missing values are
-    left out; the input is capped.
+    left out.
     """
     at = F.date_format(F.timestamp_micros("at_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     agent = F.to_json(
@@ -29,7 +27,7 @@ def log_lines(changes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
             F.col("who").alias("file"),
             F.coalesce("call_id", F.lit("")).alias("toolCallId"),
             F.coalesce("tool", F.lit("bash")).alias("tool"),
-            utf8_cap(F.col("input"), p.max_input_bytes).alias("input"),
+            F.col("input"),
         )
     )
     who = F.when(F.col("who") == YOU, F.lit(f'"{YOU}"')).otherwise(agent)
@@ -39,9 +37,9 @@ def log_lines(changes: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     return changes.select("root_id", F.to_json(line).alias("value"))
 
 
-def write_change_log(changes: DataFrame, path: str, batch: str | int, p: Params = DEFAULTS) -> None:
+def write_change_log(changes: DataFrame, path: str, batch: str | int) -> None:
     """Add one batch to the log. Writing the same batch again replaces it, so a retry is safe."""
-    log_lines(changes, p).write.mode("overwrite").partitionBy("root_id").text(f"{path}/batch={batch}")
+    log_lines(changes).write.mode("overwrite").partitionBy("root_id").text(f"{path}/batch={batch}")
 
 
 def read_change_log(spark: SparkSession, path: str) -> DataFrame:

@@ -186,7 +186,7 @@ def _patch() -> Column:
     return patch_text(F.transform(V.items("details", "$.structuredPatch"), hunk))
 
 
-def touches(done: DataFrame) -> DataFrame:
+def touches(done: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """File touches of finished calls. ``done`` carries the session's cwd as ``cwd``."""
     done = done.where("line_no IS NOT NULL")
     arg = lambda name: V.text("args", f"$.{name}")
@@ -210,7 +210,7 @@ def touches(done: DataFrame) -> DataFrame:
     )
     return T.union(
         [
-            T.inferred(shells),
+            T.inferred(shells, targets),
             T.mcp_touch(ok.where(F.col("tool").startswith("mcp__")), m["server"], m["tool"]),
             T.touch(ok.where("tool = 'Read'"), "read", "read", raw=arg("file_path")),
             T.touch(

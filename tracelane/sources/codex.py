@@ -186,7 +186,7 @@ def _opened_at(df: DataFrame, rows: DataFrame, block_rows: int | None = None) ->
     return out.withColumn("start_us", F.coalesce(start, F.col("end_us"))).drop("_o", "_l")
 
 
-def touches(rows: DataFrame, cwds: DataFrame, default_cwd: str) -> DataFrame:
+def touches(rows: DataFrame, cwds: DataFrame, default_cwd: str, targets: DataFrame | None = None) -> DataFrame:
     """File touches. ``cwds``: (session, cwd)."""
 
     def placed(df):
@@ -231,7 +231,7 @@ def touches(rows: DataFrame, cwds: DataFrame, default_cwd: str) -> DataFrame:
     mcp = placed(done.unionByName(_opened_at(ended, rows)))
     return T.union(
         [
-            T.inferred(placed(both)),
+            T.inferred(placed(both), targets),
             T.touch(reads, "read", "read", raw=V.text("c", "$.path"), ord=F.col("ord")),
             change_touches(changes),
             search_touches(placed(searches)),

@@ -262,7 +262,7 @@ def edit_blocks(edits: DataFrame, text: str = "input", block_rows: int | None =
     return blocks.withColumn("body", F.regexp_replace("body", r"\A\n+", ""))
 
 
-def touches(done: DataFrame, p: Params = DEFAULTS) -> DataFrame:
+def touches(done: DataFrame, p: Params = DEFAULTS, targets: DataFrame | None = None) -> DataFrame:
     """File touches of finished calls. ``done`` carries the session's cwd as ``cwd``."""
     done = done.where("line_no IS NOT NULL")
     ok = done.where("NOT failed")
@@ -278,7 +278,7 @@ def touches(done: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     searches = ok.where((F.col("tool") == "web_search") & arg("query").isNotNull())
     return T.union(
         [
-            T.inferred(shells),
+            T.inferred(shells, targets),
             T.touch(
                 cells,
                 "write",

@@ -19,8 +19,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: the file name of an advisor's transcript.
 ADVISOR = "__advisor.jsonl"
-# Files above this size are numbered split by split.
-LARGE_FILE = 1 << 30
 SPLIT_BYTES = 128 << 20
 LINES = StructType(
     [
@@ -64,9 +62,14 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for uri, size in zip(batch["uri"], batch["size"]):
             store, path = fs.FileSystem.from_uri(uri)
             with store.open_input_stream(path) as stream:
-                pos, read, rest, rows = 0, 0, b"", []
+                pos, read, rest, rows = 0, 0, [], []
                 while chunk := stream.read(1 << 20):
-                    *lines, rest = (rest + chunk).split(b"\n")
+                    first, *lines = chunk.split(b"\n")
+                    rest.append(first)
+                    if not lines:
+                        continue  # a long line: joined once, at its end
+                    lines = [b"".join(rest), *lines]
+                    rest = [lines.pop()]
                     for line in lines:
                         rows.append((uri, size, read // SPLIT_BYTES, pos, line.decode("utf-8", "replace")))
                         pos, read = pos + 1, read + len(line) + 1
@@ -75,51 +78,46 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 # What follows the last line break is no record yet.
 
 
-def read_underscored(spark: SparkSession, root: str, name: str = ADVISOR, depth: int = 6) -> DataFrame:
+def read_underscored(spark: SparkSession, root: str, name: str = ADVISOR) -> DataFrame:
     """Lines of files that Spark's own readers hide because of a leading underscore.
 
     The driver lists names (as every file source does); the contents are read on executors.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    store = top.getFileSystem(spark._jsc.hadoopConfiguration())
     listed = []
-    for level in range(1, depth):
-        pattern = hadoop.Path(root.rstrip("/") + "/*" * level + "/" + name)
-        store = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
-        listed += [(s.getPath().toUri().toString(), s.getLen()) for s in (store.globStatus(pattern) or [])]
+    found = store.listFiles(top, True)  # at any depth
+    while found.hasNext():
+        status = found.next()
+        if status.getPath().getName() == name:
+            listed.append((status.getPath().toUri().toString(), status.getLen()))
     files = spark.createDataFrame(listed, "uri string, size bigint")
     if listed:
         files = files.repartition(min(len(listed), 1024))
     return files.mapInPandas(_read_files, LINES).withColumn("file", plain_path(F.col("file")))
 
 
-def number_lines(lines: DataFrame, large: int = LARGE_FILE) -> DataFrame:
+def number_lines(lines: DataFrame) -> DataFrame:
     """Adds ``line_no`` from 0 and drops an unterminated last line.
 
     Lines are counted, and their bytes summed, along the file; the line that would end one
     byte past the file's end lacks its line break, so its writer is not done with it.
 
-    A file up to ``large`` bytes is ordered in one task. Of a larger one each split is ordered
-    by itself, and what the splits before it hold is added from one row per split. The size is
-    known before anything is read, so neither way reads small files twice.
+    Each split of a file is ordered by itself, and what the splits before it hold is added from
+    one row per split; so no file, however large, is sorted in one task.
     """
     sized = lines.withColumn("_size", F.octet_length("value").cast("bigint") + 1)
 
-    def numbered(df: DataFrame, *parts: str) -> DataFrame:
-        window = Window.partitionBy(*parts).orderBy("_block", "_pos").rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", F.count(F.lit(1)).over(window).alias("_n"), F.sum("_size").over(window).alias("_bytes"))
-
-    small = numbered(sized.where(F.col("file_size") <= large), "file")
-    big = sized.where(F.col("file_size") > large)
-    splits = big.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_c"), F.sum("_size").alias("_b"))
+    window = Window.partitionBy("file", "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = sized.select("*", F.count(F.lit(1)).over(window).alias("_n"), F.sum("_size").over(window).alias("_bytes"))
+    splits = sized.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_c"), F.sum("_size").alias("_b"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = splits.select(
         "file", "_block", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0")
     )
-    split = numbered(big, "file", "_block").join(carry, ["file", "_block"])
-    split = split.withColumns({"_n": F.col("_n") + F.col("_n0"), "_bytes": F.col("_bytes") + F.col("_b0")})
-    names = ["file", (F.col("_n") - 1).alias("line_no"), "value"]
-    done = F.col("_bytes") <= F.col("file_size")
-    return small.where(done).select(*names).unionByName(split.where(done).select(*names))
+    done = F.col("_bytes") + F.col("_b0") <= F.col("file_size")
+    found = numbered.join(carry, ["file", "_block"]).where(done)
+    return found.select("file", (F.col("_n") + F.col("_n0") - 1).alias("line_no"), "value")
 
 
 def records(numbered: DataFrame, harness: str, project_dir: Column) -> DataFrame:
@@ -246,19 +244,18 @@ def read_title_index(spark: SparkSession, path: str) -> DataFrame:
     return named.groupBy("id").agg(F.max_by("name", "line_no").alias("title"))
 
 
-def launch_cwds(raw: DataFrame, first_lines: int = 50) -> DataFrame:
+def launch_cwds(raw: DataFrame) -> DataFrame:
     """Where each top-level transcript was launched: (file, cwd); files without one are left out.
 
-    The position differs by format: the second physical line, the first mention within the
-    first lines, or the header.
+    The position differs by format: the second physical line, the first mention, or the header.
     """
     cwd = (
         F.when((F.col("harness") == "omp") & (F.col("line_no") == 1), V.text("rec", "$.cwd"))
-        .when((F.col("harness") == "claude") & (F.col("line_no") < first_lines), V.text("rec", "$.cwd"))
+        .when(F.col("harness") == "claude", V.text("rec", "$.cwd"))
         .when((F.col("harness") == "codex") & (F.col("line_no") == 0), V.text("rec", "$.payload.cwd"))
     )
     raw = raw.drop("cwd")
-    found = raw.where(F.col("line_no") < first_lines).withColumn("_cwd", cwd).where("_cwd IS NOT NULL")
+    found = raw.withColumn("_cwd", cwd).where("_cwd IS NOT NULL")
     return found.groupBy("harness", "project_dir", "file").agg(F.min_by("_cwd", "line_no").alias("cwd"))
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.config import DEFAULTS, Params
-from tracelane.operators.remote import remote_targets
 from tracelane.operators.roots import locate
 from tracelane.schemas import DETAIL, SOURCES
 
@@ -57,9 +56,15 @@ def touch(df: DataFrame, kind: str, tool: str | Column, source: str = "tool", **
     return df.select(*[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in FIELDS.items()])
 
 
-def inferred(calls: DataFrame) -> DataFrame:
-    """What the shell commands of finished calls address, failed ones included."""
-    found = remote_targets(calls.select(*CARRIED, "script").where("script IS NOT NULL"))
+def inferred(calls: DataFrame, targets: DataFrame | None) -> DataFrame | None:
+    """What the shell commands of finished calls address, failed ones included.
+
+    ``targets``: who, call_id, target, access, ord; what a command addresses is an input here.
+    """
+    if targets is None:
+        return None
+    named = targets.select("who", "call_id", "target", "access", F.col("ord").cast("bigint").alias("ord"))
+    found = calls.select(*CARRIED).join(named, ["who", "call_id"])
     return touch(found, F.col("access"), F.lit(None).cast("string"), "inferred", scope=F.lit("remote"), rel=F.col("target"), ord=F.col("ord"))
 
 
@@ -71,7 +76,19 @@ def one_line(c: Column) -> Column:
     return F.translate(c, "\n\r", "  ")
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
+def recorded(line: Column, ord: Column, side: Column, who: Column, live: int = 0) -> Column:
+    """Place of a text among those recorded: transcripts first, by line, position, side and writer."""
+    return F.struct(
+        F.lit(live).alias("live"),
+        line.cast("bigint").alias("line"),
+        F.coalesce(ord, F.lit(0)).cast("bigint").alias("ord"),
+        side.cast("int").alias("side"),
+        F.coalesce(who, F.lit("")).alias("who"),
+    )
+
+
+def union(parts: list[DataFrame | None]) -> DataFrame:
+    parts = [x for x in parts if x is not None]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -113,8 +130,8 @@ def resolve(
     )
     snapshots = (
         events.where("old_text IS NOT NULL OR new_text IS NOT NULL")
-        .select(key.alias("scope_key"), "rel", "line_no", "ord", F.inline(states))
+        .select(key.alias("scope_key"), "rel", "line_no", "ord", "who", F.inline(states))
         .where("content IS NOT NULL")
-        .select("scope_key", "rel", "at_us", ((F.col("line_no") * 1024 + F.coalesce("ord", F.lit(0))) * 2 + F.col("side")).alias("seq"), "content")
+        .select("scope_key", "rel", "at_us", recorded(F.col("line_no"), F.col("ord"), F.col("side"), F.col("who")).alias("seq"), "content")
     )
     return events.drop("raw", "cwd", "session", "old_text", "new_text", "to_raw"), snapshots

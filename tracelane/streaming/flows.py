@@ -140,18 +140,18 @@ def attribute_stream(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         events, _ = classify_changes(batch, now_us=now_us(), p=p, **tables())
-        write_change_log(as_log(events), log, batch_id, p)
+        write_change_log(as_log(events), log, batch_id)
         if on_events is not None:
             on_events(events, batch_id)
 
     return settled.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
-def sink_changes(changes: DataFrame, log: str, checkpoint: str, p: Params = DEFAULTS):
+def sink_changes(changes: DataFrame, log: str, checkpoint: str):
     """Append a stream of attributed changes (columns of the change log) to the log."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_change_log(batch, log, batch_id, p)
+        write_change_log(batch, log, batch_id)
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

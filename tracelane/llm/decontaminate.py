@@ -252,7 +252,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_co
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents in which no benchmark passage is found, with all their columns."""
     found = matches(docs, benchmark, percent, id_col, text).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(found, docs[id_col].cast("long") == found["_gone"], "left_anti")
 
 
 def op9_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

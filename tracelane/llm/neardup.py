@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, miss
 def keep_one(docs: DataFrame, size: int = 5, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that have a smaller near-duplicate group member; all columns stay, repeated rows of a kept id too."""
     found = near_duplicates(docs, size, percent, id_col=id_col, text=text).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(found, docs[id_col].cast("long") == found["_gone"], "left_anti")
 
 
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

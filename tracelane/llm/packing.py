@@ -36,6 +36,11 @@ SLACK, SHORT = 32, 48
 _WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
 
+def _lower(word: str) -> str:
+    """Lower case letter by letter, as the tokenizer does; the one letter that depends on its place is left to it."""
+    return word if "\u03a3" in word else word.lower()
+
+
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(length, class) of the pieces of a document, in order."""
     pieces = [(capacity, 1)] * (length // capacity)
@@ -85,7 +90,7 @@ class Encoder:
     def _learn(self, unknown: set[str]) -> None:
         if len(self.words) + len(unknown) > self.WORDS:
             self.words.clear()
-        split = {c: (m[1].lower(), m[2]) if (m := _WORD.fullmatch(c)) else None for c in unknown}
+        split = {c: (_lower(m[1]), m[2]) if (m := _WORD.fullmatch(c)) else None for c in unknown}
         self._learn_words(list({s[0] for s in split.values() if s and s[0] not in self.words}))
         for c, s in split.items():
             if s is None:

@@ -184,8 +184,8 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     spans = find(docs, id_col, text).where(F.size("spans") > 0).select(F.col("id").alias("_i"), F.col("h").alias("_h"), F.col("spans").alias("_spans")).dropDuplicates(["_i", "_h"])
     worth = F.coalesce(F.col(text).cast("string").rlike(WORTH), F.lit(False))
     tried = docs.where(worth)  # all others can have no span and are not shuffled
-    both = tried.join(spans, tried[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(tried[text].cast("string")) == F.col("_h")), "left")
-    new = F.when(F.col("_spans").isNotNull(), masked(tried[text].cast("string"), F.col("_spans"))).otherwise(tried[text].cast("string"))
+    both = tried.join(spans, tried[id_col].eqNullSafe(spans["_i"]) & (F.xxhash64(tried[text].cast("string")) == spans["_h"]), "left")
+    new = F.when(spans["_spans"].isNotNull(), masked(tried[text].cast("string"), spans["_spans"])).otherwise(tried[text].cast("string"))
     return docs.where(~worth).unionByName(both.select(*[new.alias(c) if c == text else tried[c] for c in docs.columns]))
 
 

@@ -207,7 +207,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that ``judge`` keeps, with all their columns. Rows of one id are judged together: one rejected row rejects the id."""
     gone = judge(docs, id_col, text, lang, source).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,11 +197,15 @@ def attributed_events(attributed: DataFrame, calls: DataFrame, you: object = "yo
 
 def with_provenance(events: DataFrame, calls: DataFrame, replayed: DataFrame | None) -> DataFrame:
     """Events with the tool and input of their call; the transcript beats a replayed copy."""
-    out = events.join(
+    # Events without a call, most of them by one person, have nothing to look up.
+    named = events.where("call_id IS NOT NULL")
+    out = named.join(
         calls.select("who", "call_id", F.col("tool").alias("_t1"), F.col("input").alias("_i1")), ["who", "call_id"], "left"
     )
+    types = {c: calls.schema[c].dataType for c in ("tool", "input")}
+    rest = events.where("call_id IS NULL").select("who", "call_id", *[c for c in events.columns if c not in ("who", "call_id")], *[F.lit(None).cast(t).alias(c) for c, t in types.items()])
     if replayed is None:
-        return out.withColumnsRenamed({"_t1": "tool", "_i1": "input"})
+        return out.withColumnsRenamed({"_t1": "tool", "_i1": "input"}).unionByName(rest)
     copies = replayed.select("who", "call_id", F.col("tool").alias("_t2"), F.col("input").alias("_i2"))
     out = out.join(copies, ["who", "call_id"], "left")
     known = F.col("_t1").isNotNull()
@@ -209,7 +213,7 @@ def with_provenance(events: DataFrame, calls: DataFrame, replayed: DataFrame | N
         *[c for c in out.columns if not c.startswith("_")],
         F.when(F.col("call_id").isNotNull(), F.coalesce("_t1", "_t2", F.lit("bash"))).alias("tool"),
         F.when(known, F.col("_i1")).otherwise(F.col("_i2")).alias("input"),
-    )
+    ).unionByName(rest)
 
 
 def reset_reload(events: DataFrame, who: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -117,7 +117,8 @@ def fit_width(
         "w", floor_div("lo", F.col("w")).alias("g_lo"), floor_div("hi", F.col("w")).alias("g_hi")
     )
     if collapse:
-        spread = activity.select(
+        # Of equal starts only the latest end can matter, whatever the width.
+        spread = activity.groupBy("start_s").agg(F.max("end_s").alias("end_s")).select(
             "start_s", "end_s", F.explode(F.array(*[F.lit(w).cast("bigint") for w in p.widths])).alias("w")
         )
         gaps = idle_gaps(spread, "w", ("w",), p=p, block_rows=block_rows)
@@ -216,12 +217,10 @@ def gantt_lanes(
     """
     own = overlap_buckets(spans.select("who", "start_us", "end_us"), width_s)
     own = own.select("who", "bucket").distinct()
-    child = (
-        own.join(participants.select("who", "main"), "who")
-        .where(F.col("main").isNotNull() & (F.col("main") != F.col("who")))
-        .select(F.col("main").alias("who"), "bucket", F.lit(MARK_CHILD).alias("mark"))
-    )
-    marks = own.withColumn("mark", F.lit(MARK_ACTIVE)).unionByName(child)
+    mark = lambda who, value: F.struct(who.alias("who"), F.lit(value).alias("mark"))
+    child = F.when(F.col("main") != F.col("who"), mark(F.col("main"), MARK_CHILD))
+    both = own.join(participants.select("who", "main"), "who", "left")
+    marks = both.select("bucket", F.inline(F.array_compact(F.array(mark(F.col("who"), MARK_ACTIVE), child)))).select("who", "bucket", "mark")
     if not filtered:
         mine = overlap_buckets(you_events.select("start_us", "end_us"), width_s)
         marks = marks.unionByName(

@@ -189,21 +189,17 @@ def node_touches(events: DataFrame, segments: Column, forest: Column, by=None) -
 
 def touching(touches: DataFrame, participants: DataFrame) -> DataFrame:
     """Authors of a node's events and the mains of their sessions."""
-    mains = touches.join(participants.select("who", "main"), "who").where("main IS NOT NULL")
-    return (
-        touches.select("forest", "key", "who")
-        .unionByName(mains.select("forest", "key", F.col("main").alias("who")))
-        .distinct()
-    )
+    both = touches.join(participants.select("who", "main"), "who", "left")
+    people = F.array_compact(F.array("who", "main"))
+    return both.select("forest", "key", F.explode(people).alias("who")).distinct()
 
 
 def touched_dirs(touches: DataFrame, participants: DataFrame) -> DataFrame:
     """``(focus, forest, key)``: directories with events of a participant; a main stands for its session."""
     dirs = touches.where("is_dir").select("forest", "key", "who")
-    info = participants.select("who", "main", "kind")
-    own = dirs.join(info.where("kind <> 'main'"), "who").select(F.col("who").alias("focus"), "forest", "key")
-    session = dirs.join(info, "who").where("main IS NOT NULL").select(F.col("main").alias("focus"), "forest", "key")
-    return own.unionByName(session).distinct()
+    both = dirs.join(participants.select("who", "main", "kind"), "who")
+    people = F.array_compact(F.array(F.when(F.col("kind") != "main", F.col("who")), "main"))
+    return both.select(F.explode(people).alias("focus"), "forest", "key").distinct()
 
 
 def touched_only(nodes: DataFrame, events: DataFrame, node: str = "node") -> DataFrame:

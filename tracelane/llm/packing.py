@@ -64,7 +64,7 @@ class Encoder:
     pre-tokens of their own. Unknown words are encoded many at a time.
     """
 
-    CHUNKS, WORDS = 300_000, 600_000
+    CHUNKS, WORDS = 500_000, 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -112,9 +112,19 @@ class Encoder:
             yield b"".join(map(self.chunks.__getitem__, parts))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One encoder per worker process: the words that earlier tasks met stay known."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, numbers = Encoder(path), TaskContext.get().partitionId(), {}
+        encoder, part, numbers = _encoder(path), TaskContext.get().partitionId(), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)

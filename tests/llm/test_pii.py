@@ -65,7 +65,7 @@ def test_patterns_on_tricky_and_random_texts(spark):
 def test_long_runs_neither_overflow_nor_stall(spark):
     text = "1 " * 40_000 + "a@" * 3000 + "b." * 20_000 + " q@" + "c." * 20_000 + "d +1" + "(" * 50_000 + " 4111111111111111"
     got = P.report(docs(spark, text)).first()
-    assert (got.n_email, got.n_ip, got.n_card, got.n_phone) == (1, 0, 1, 0)
+    assert (got.n_email, got.n_ip, got.n_card, got.n_phone) == (2, 0, 1, 0)
 
 
 def test_contexts_find_unseen_identifiers(spark):

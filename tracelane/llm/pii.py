@@ -68,16 +68,19 @@ def _holds(kind: str, match: Column) -> Column:
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """All matches as (start, end, value), from the texts between them and the matches themselves."""
-    gaps = F.regexp_extract_all(text, F.lit(f"(?s)(.*?)(?:{pattern})"), F.lit(1))
-    hits = F.regexp_extract_all(text, F.lit(f"(?s).*?({pattern})"), F.lit(1))
+    """All matches as (start, end, value), from the texts between them and the matches themselves.
+
+    The last piece runs to the end of the text, so that the engine never starts over behind the last match.
+    """
+    pieces = F.lit(f"(?s)(.*?)(?:({pattern})|\\z)")
+    gaps, hits = F.regexp_extract_all(text, pieces, F.lit(1)), F.regexp_extract_all(text, pieces, F.lit(2))
     none = F.array().cast("array<struct<start:long,end:long,value:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc.at + F.length(x.gap)
         end = start + F.length(x.hit)
         span = F.struct(start.alias("start"), end.alias("end"), x.hit.alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc.spans, span).alias("spans"))
+        return F.struct(end.alias("at"), F.when(x.hit == "", acc.spans).otherwise(F.array_append(acc.spans, span)).alias("spans"))
 
     both = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
     return F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda a: a.spans)

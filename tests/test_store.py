@@ -64,4 +64,4 @@ def test_change_log(spark, tmp_path):
     ]
     own = spark.createDataFrame([("s1", "c1", "bash", "own")], "who string, call_id string, tool string, input string")
     assert rows(L.known_calls(own, calls)) == [("s1", "c1", "bash", "own")]
-    assert rows(calls, "who", "call_id", "tool", F.length("input")) == [("s1", "c1", "eval", 4096 + len("\n… (truncated)"))]
+    assert rows(calls, "who", "call_id", "tool", F.length("input")) == [("s1", "c1", "eval", 5000)]

@@ -36,9 +36,10 @@ def classify_changes(
     text = F.when(F.col("change") == "removed", "").otherwise(F.col("content"))
     placed = placed.withColumn("content", text).withColumn("scope_key", F.concat(F.lit("p"), F.col("root_id").cast("string")))
     placed = staged(placed)  # the lookups below read it several times
-    seen = placed.where("content IS NOT NULL").select(
-        "scope_key", "rel", "at_us", recorded(F.col("event_id"), F.lit(0), F.lit(0), F.lit(""), live=1).alias("seq"), "content"
-    )
+    # Snapshots that carry a plain number keep it; the builder's carry a place among the transcripts.
+    plain = snapshots.schema["seq"].dataType.typeName() == "long"
+    place = F.col("event_id").cast("bigint") if plain else recorded(F.col("event_id"), F.lit(0), F.lit(0), F.lit(""), live=1)
+    seen = placed.where("content IS NOT NULL").select("scope_key", "rel", "at_us", place.alias("seq"), "content")
     history = snapshots.select("scope_key", "rel", "at_us", "seq", "content").unionByName(seen)
     # Echoes are told from narrow rows; contents are fetched and compared for what is left.
     writes = file_events.where("source = 'tool' AND kind = 'write' AND scope = 'project'")

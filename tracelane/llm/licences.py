@@ -2,8 +2,8 @@
 
 A text's canonical form: lower case, one spelling of words that are written in several ways, no copyright lines,
 no punctuation, single spaces. The SHA-256 of the form is hash-joined to the digests of known licence texts
-and notices. Texts compared: the whole document, its blocks between empty lines, and its lines; each
-entirely, never in part.
+and notices. Texts compared: the whole document, its blocks between lines without letters or digits, and its
+lines; each entirely, never in part.
 
 Defined cases: a null or empty text has no licence; a unit whose form is empty matches nothing; repeated rows
 get a row each (the join key is the id and a hash of the text); an empty table gives an empty result; extra columns are ignored.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelane.llm.common import table
+from tracelane.llm.common import let, table
 
 # Public licence texts and notices, by SPDX id.
 _BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
@@ -86,12 +86,22 @@ SPELLINGS = (
 COPYRIGHT_LINE = r"(^|\n)[^\n0-9a-z]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
 
-def canonical(text: Column) -> Column:
+def _lines(text: Column) -> Column:
+    """The lines of a text in canonical form, empty ones included: one pass over the text serves all its units."""
+    low = F.lower(text)
     # The sign before a line keeps an emptied line from joining its neighbours.
-    low = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    low = F.when(low.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
     for old, new in SPELLINGS:
         low = F.replace(low, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(low, r"[^0-9a-zà-ÿ]+", " "))
+    return F.transform(F.split(F.regexp_replace(low, r"[^0-9a-zà-ÿ\n]+", " "), "\n"), lambda x: F.trim(x))
+
+
+def _whole(lines: Column) -> Column:
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def canonical(text: Column) -> Column:
+    return let(_lines(text), _whole)
 
 
 def digest(text: Column) -> Column:
@@ -107,9 +117,10 @@ def known_table(spark: SparkSession, known: list[tuple[str, str]] | None = None)
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the licences found (sorted, comma-joined), how many units held one, and whether the whole text is one."""
     body = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
-    units = F.concat(F.array("t"), F.split("t", r"\n[\x20\t\r]*\n"), F.split("t", "\n"))
-    spread = body.select("id", "h", F.posexplode(units).alias("at", "unit")).where(F.col("unit").rlike("[0-9A-Za-z]"))
-    named = spread.select("id", "h", (F.col("at") == 0).alias("whole"), digest(F.col("unit")).alias("digest"))
+    blocks = lambda x: F.transform(F.split(F.array_join(x, "\n"), "\n\n+"), lambda b: F.trim(F.replace(b, F.lit("\n"), F.lit(" "))))
+    units = let(_lines(F.col("t")), lambda x: F.concat(F.array(_whole(x)), blocks(x), x))
+    spread = body.select("id", "h", F.posexplode(units).alias("at", "unit")).where("unit <> ''")
+    named = spread.select("id", "h", (F.col("at") == 0).alias("whole"), F.sha2("unit", 256).alias("digest"))
     found = named.join(known, "digest").groupBy("id", "h").agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"), F.max("whole").alias("is_licence"))
     both = body.select("id", "h").join(found.select(F.col("id").alias("i"), F.col("h").alias("k"), "licences", "is_licence"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left")
     return both.select(F.col("id").alias(id_col), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("is_licence", F.lit(False)).alias("is_licence"))
@@ -123,23 +134,23 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _sql_canonical(column: str) -> str:
+def _sql_lines(column: str) -> str:
     low = f"regexp_replace(lower({column}), {_quoted(COPYRIGHT_LINE)}, chr(10), 'g')"
     for old, new in SPELLINGS:
         low = f"replace({low}, {_quoted(old)}, {_quoted(new)})"
-    return f"trim(regexp_replace({low}, '[^0-9a-zà-ÿ]+', ' ', 'g'))"
+    return f"list_transform(string_split(regexp_replace({low}, '[^0-9a-zà-ÿ\\n]+', ' ', 'g'), chr(10)), lambda x: trim(x))"
 
 
+_SQL_WHOLE = "array_to_string(list_filter(l, lambda x: x <> ''), ' ')"
 ORACLE = f"""
-WITH known AS (SELECT DISTINCT licence, sha256({_sql_canonical('text')}) AS digest
-               FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) AS v(licence, text)),
-body AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-units AS (SELECT doc_id, true AS whole, t AS unit FROM body
-          UNION ALL SELECT doc_id, false, unnest(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n')) FROM body
-          UNION ALL SELECT doc_id, false, unnest(string_split(t, chr(10))) FROM body),
+WITH known AS (SELECT DISTINCT licence, sha256({_SQL_WHOLE}) AS digest
+               FROM (SELECT licence, {_sql_lines('text')} AS l FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in KNOWN)}) AS v(licence, text)) AS k),
+body AS (SELECT doc_id, {_sql_lines("coalesce(text, '')")} AS l FROM documents),
+units AS (SELECT doc_id, true AS whole, {_SQL_WHOLE} AS unit FROM body
+          UNION ALL SELECT doc_id, false, unnest(list_transform(regexp_split_to_array(array_to_string(l, chr(10)), '\\n\\n+'), lambda b: trim(replace(b, chr(10), ' ')))) FROM body
+          UNION ALL SELECT doc_id, false, unnest(l) FROM body),
 found AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, bool_or(whole) AS is_licence
-          FROM units JOIN known ON sha256({_sql_canonical('unit')}) = digest
-          WHERE regexp_matches(unit, '[0-9A-Za-z]') GROUP BY doc_id)
+          FROM units JOIN known ON sha256(unit) = digest WHERE unit <> '' GROUP BY doc_id)
 SELECT doc_id, coalesce(licences, '') AS licences, coalesce(is_licence, false) AS is_licence FROM body LEFT JOIN found USING (doc_id)
 """
 

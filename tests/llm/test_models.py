@@ -136,6 +136,16 @@ def test_pages_of_odd_rows(spark):
     assert H.extract(pages_of(spark)).count() == 0
 
 
+def test_templates_of_one_host_do_not_empty_each_other(spark):
+    kinds = ["<article><p>tagged {}</p></article><p>left {}</p>", "<div class=post><p>named {}</p></div><p>left {}</p>", "<p>rest {}</p>", "<div class='has-sidebar'><article><p>framed {}</p></article></div><p>left {}</p>"]
+    for url in ("http://mixed.example/", None):
+        got = texts_of(H.extract(pages_of(spark, *[(n, url, f"<body>{kinds[n % 4].format(n, n)}</body>") for n in range(24)])))
+        assert got == {n: f"{('tagged', 'named', 'rest', 'framed')[n % 4]} {n}" for n in range(24)}
+    comments = "<main><div class=has-sidebar><article>own</article></div><div class=comments><article>theirs</article></div></main>"
+    only = "<div class=post>own</div><div class=comments><article>theirs</article></div>"
+    assert texts_of(H.extract(pages_of(spark, (1, None, comments), (2, None, only)))) == {1: "own", 2: "own"}
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = SMALL.replace("0.001", "0.1")
     labelled = read("labels", "doc_id, toxic", "toxic IS NOT NULL", folder)[:2400]

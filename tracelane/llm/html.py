@@ -7,9 +7,11 @@ tasks are aligned the same way, so each task folds its own pages first and only
 shuffled. Slots keep how many pages filled them, how much text and link text they held, and whether it was always
 the same text.
 
-The wrapper then says which slots are the article: outside of elements that tags or names mark as
-menu, header, footer, sidebar, notice, advert, form or reader comment; inside the host's article or main
-elements where it has any; not in slots that say the same on all of several pages, nor in those made of links.
+The wrapper then says which slots can be the article: outside of elements that tags or names mark as
+menu, header, footer, sidebar, notice, advert, form or reader comment, though an article element opens again what a
+name has closed; not slots that say the same on all of several pages, nor those made of links. Each page decides for
+itself which of them it uses: those in article or main elements if it fills any, else those in elements named as
+content, else the rest.
 
 Defined cases: null or empty html gives an empty text; a null url or one without a host belongs to the host "";
 tags that are never closed end with the page, and a tag cut off by its end is markup; repeated rows give equal
@@ -48,6 +50,8 @@ NAMES = frozenset(
     "menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related replies respond share sharing sidebar "
     "signup skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets complementary contentinfo search alert".split()
 )
+#: Those of them whose parts hold articles of others, or pointers to other articles.
+OTHER_NAMES = frozenset("ad ads advert adverts advertisement advertising comment comments disqus promo promoted promotion recommended related replies respond sponsor sponsored widget widgets".split())
 KNOWN = BLOCKS | SKIPPED | VOID
 ARTICLE = frozenset("article main".split())
 ARTICLE_NAMES = frozenset("article main content post entry story body maincontent articlebody".split())
@@ -214,39 +218,59 @@ def _words_of(label: str) -> tuple[str, set[str]]:
     return tag, set(names)
 
 
-def article_paths(wrapper: list) -> set[str]:
-    """The slots of a wrapper that belong to the article."""
-    found: dict[str, tuple[list, bool, bool]] = {}
-
-    def walk(node: list, path: str, inside: bool, named: bool) -> None:
-        if node[CHARS]:
-            found[path] = (node, inside, named)
+#: Ranks of slots: in an article or main element; in one inside an element whose name marks its frame; in an element
+#: named as content; in an article element inside comments and the like; any other outside of marked elements.
+TAGGED, FRAMED, NAMED, OTHERS, REST = range(5)
+SHUT_BY_FRAME, SHUT_BY_OTHERS, SHUT = 1, 2, 3
+
+
+def inside_of(label: str, rank: int, shut: int) -> tuple[int, int]:
+    """(rank, whether closed and by what) inside an element, from those around it."""
+    tag, names = _words_of(label)
+    if tag in OUTSIDE or shut == SHUT:
+        return rank, SHUT
+    if tag in ARTICLE:  # opens what names around it have closed
+        if shut == SHUT_BY_OTHERS or rank == OTHERS:
+            return OTHERS, 0
+        return (FRAMED if rank == FRAMED or (shut and rank != TAGGED) else TAGGED), 0
+    if tag not in ("body", "html"):
+        if names & NAMES:
+            shut = max(shut, SHUT_BY_OTHERS if names & OTHER_NAMES else SHUT_BY_FRAME)
+        elif tag == "header" and rank in (NAMED, REST):
+            shut = max(shut, SHUT_BY_FRAME)
+        elif names & ARTICLE_NAMES and rank == REST and not shut:
+            rank = NAMED
+    return rank, shut
+
+
+def article_paths(wrapper: list) -> list[tuple[set[str], set[str]]]:
+    """Per rank, the slots of a wrapper that have it, and those of them that belong to the article of a page whose best rank it is."""
+    ranks: list[tuple[set[str], set[str]]] = [(set(), set()) for _ in range(5)]
+
+    def walk(node: list, path: str, rank: int, shut: int) -> None:
+        if node[CHARS] and not shut:
+            same = node[DIGEST] not in (0, None) and node[PAGES] >= SAME_PAGES and rank in (NAMED, REST)
+            heading = path.rsplit("/", 1)[-1].split(".")[0] in HEADINGS
+            ranks[rank][0].add(path)
+            if not same and (heading or node[LINKED] <= LINK_SHARE * node[CHARS]):
+                ranks[rank][1].add(path)
         for label, child in node[BELOW].items():
-            tag, names = _words_of(label)
-            is_article = tag in ARTICLE or (names & ARTICLE_NAMES and tag not in ("body", "html"))
-            if tag in OUTSIDE or (tag == "header" and not inside) or (names & NAMES and not (tag in ARTICLE or tag in ("body", "html"))):
-                continue
-            walk(child, f"{path}/{label}" if path else label, inside or tag in ARTICLE, named or bool(is_article))
-
-    walk(wrapper, "", False, False)
-    tagged = {p for p, (_, inside, _) in found.items() if inside}
-    named = {p for p, (_, _, n) in found.items() if n}
-    chosen = tagged or named or set(found)
-    kept = set()
-    for path in chosen:
-        node = found[path][0]
-        same = node[DIGEST] not in (0, None) and node[PAGES] >= SAME_PAGES and not tagged
-        heading = path.rsplit("/", 1)[-1].split(".")[0] in HEADINGS
-        if not same and (heading or node[LINKED] <= LINK_SHARE * node[CHARS]):
-            kept.add(path)
-    return kept
-
-
-def main_text(page: str | None, paths: set[str], known: set[str] | None = None) -> str:
-    """The blocks of a page's slots at ``paths``, decoded and joined."""
+            below = inside_of(label, rank, shut)
+            if below[1] != SHUT:
+                walk(child, f"{path}/{label}" if path else label, *below)
+
+    walk(wrapper, "", REST, 0)
+    return ranks
+
+
+def main_text(page: str | None, ranks: list[tuple[set[str], set[str]]]) -> str:
+    """The blocks of a page's slots of the best rank that the page fills, decoded and joined."""
+    pieces = list(slots(page or ""))
+    filled = {path for path, text, _, _ in pieces if entities.unescape(text).strip()}
+    paths = next((kept for whole, kept in ranks if not whole.isdisjoint(filled)), set())
     blocks: list[list[str]] = []
     open_block = False
-    for path, text, fresh, _ in slots(page or ""):
+    for path, text, fresh, _ in pieces:
         if fresh:
             open_block = False
         if path in paths:
@@ -301,7 +325,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, set[str]] = {}
+    known: dict[str, list[tuple[set[str], set[str]]]] = {}
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)

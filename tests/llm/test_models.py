@@ -146,6 +146,12 @@ def test_templates_of_one_host_do_not_empty_each_other(spark):
     assert texts_of(H.extract(pages_of(spark, (1, None, comments), (2, None, only)))) == {1: "own", 2: "own"}
 
 
+def test_labels_keep_all_words(spark):
+    many = "align bg block border center col column content d flex grid items justify mb p pt"
+    pages = [(n, "http://u.example/", f"<body><div class='{many} text'><p>own {n}</p></div><div class='{many} sidebar'><p>other {n}</p></div><div class='{many} widget'><p>more {n}</p></div></body>") for n in range(6)]
+    assert texts_of(H.extract(pages_of(spark, *pages))) == {n: f"own {n}" for n in range(6)}
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = SMALL.replace("0.001", "0.1")
     labelled = read("labels", "doc_id, toxic", "toxic IS NOT NULL", folder)[:2400]

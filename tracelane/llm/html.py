@@ -68,11 +68,11 @@ LINK_SHARE = 0.6
 
 
 def _label(tag: str, attributes: str) -> str:
-    """Tag with the words of class, id and role: what elements are told apart by."""
+    """Tag with all words of class, id and role: what elements are told apart by."""
     if not attributes or tag not in BLOCKS or "=" not in attributes:
         return tag
     found = sorted({w.lower() for m in _NAME.finditer(attributes) for w in _PART.findall(m[2] or m[3] or m[4] or "")})
-    return f"{tag}.{'.'.join(found[:12])}" if found else tag
+    return f"{tag}.{'.'.join(found)}" if found else tag
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:

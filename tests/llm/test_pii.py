@@ -78,6 +78,14 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[15] == got[16] == got[17] == ""
 
 
+def test_contexts_count_words_of_all_documents(spark):
+    texts = [f"they wrote customer contact user{i}@mail.example.com about it" for i in range(12)] + ["they wrote customer contact AB-90817-X about it"]
+    number_free = ["the Customer contact person is away"] * 40 + [None, "", "customer"]
+    spans = lambda df: {r.doc_id: r.spans for r in P.report(df).collect()}
+    assert spans(docs(spark, *texts))[13].startswith("context:")
+    assert spans(docs(spark, *texts, *number_free))[13] == ""
+
+
 def test_masking(spark):
     df = docs(spark, "write to a.b@mail.example.com or +1 (803) 555-5351.", "nothing here", None, "x 10.0.0.1 y 10.0.0.1")
     out = P.mask(df)

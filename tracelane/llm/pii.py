@@ -8,7 +8,7 @@ The contextual part starts from the base spans as seeds. Candidates are the othe
 digits or an ``@``. A lexical pattern is the two words before a span (digits folded to 0).
 Patterns and instances (distinct values) form a graph that Spark scores in turns: the confidence of a
 pattern is the summed score of its instances over their number, plus the times the pattern
-stands before an ordinary word, plus ``DOUBT``; an instance that is no seed has the best confidence among its
+stands before an ordinary word in any document, plus ``DOUBT``; an instance that is no seed has the best confidence among its
 patterns. Values that reach ``ACCEPT`` are spans of kind ``context`` wherever they stand as candidates.
 The edges are aggregated by pattern and value before each join, so a phrase that a third of all
 documents share costs one row.
@@ -45,6 +45,7 @@ MIN_SUPPORT = 3
 DOUBT = 1.0
 ACCEPT = 0.6
 CONTEXT_CHARS = 80
+CODES = 1 << 18
 
 
 def _luhn(digits: Column) -> Column:
@@ -124,20 +125,29 @@ def scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     free = F.filter(tokens, lambda t: (t.end > t.start) & ~F.exists("base", lambda s: (s.start < t.end) & (t.start < s.end)))
     others = F.transform(free, lambda t: F.struct(F.lit("context").alias("kind"), t.start.alias("start"), t.end.alias("end"), t.value.alias("value"), _left_words(F.col("text"), t.start).alias("left")))
     none = F.array().cast("array<struct<kind:string,start:long,end:long,value:string,left:string>>")
-    return based.select("id", F.xxhash64("text").alias("h"), F.when(worth, with_left).otherwise(none).alias("spans"), F.when(worth, others).otherwise(none).alias("others"), F.when(worth, F.col("text")).alias("text"))
+    return based.select("id", F.xxhash64("text").alias("h"), F.when(worth, with_left).otherwise(none).alias("spans"), F.when(worth, others).otherwise(none).alias("others"))
 
 
-def discovered(scanned: DataFrame) -> DataFrame:
+def spoken_pairs(docs: DataFrame, text: str, shared: DataFrame) -> DataFrame:
+    """How often each two words follow each other in all of the documents, for those that may be in ``shared``.
+
+    The filter by code keeps what is counted small; its broadcast side has ``CODES`` rows at most.
+    """
+    low = F.regexp_replace(F.lower("text"), "[0-9]", "0")
+    pairs = let(words(low), lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))))
+    code = F.pmod(F.xxhash64("pattern"), F.lit(CODES)).alias("code")
+    spoken = docs.select(F.col(text).cast("string").alias("text")).select(F.explode(pairs).alias("pattern")).select("pattern", code)
+    return spoken.join(F.broadcast(shared.select(code).distinct()), "code", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("spoken"))
+
+
+def discovered(scanned: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """Values of candidates that high-confidence patterns find, with their score."""
     named = lambda c, seed: scanned.select(F.explode(c).alias("s")).where("s.left is not null").select(F.col("s.left").alias("pattern"), F.col("s.value").alias("value"), F.lit(seed).alias("seed"))
     seen = named("spans", 1.0).unionByName(named("others", 0.0)).groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times"))
     edges = staged(seen)
     # Only patterns with several values, and one candidate at least to decide on, can matter.
-    shared = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("times").alias("times"), F.min("seed").alias("least")).where((F.col("values") >= MIN_SUPPORT) & (F.col("least") == 0))
-    low = F.regexp_replace(F.lower("text"), "[0-9]", "0")
-    pairs = let(words(low), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))))
-    texts = scanned.where(F.size("spans") + F.size("others") > 0).select("text")
-    spoken = texts.where(F.size(words(F.col("text"))) > 1).select(F.explode(pairs).alias("pattern")).join(shared.select("pattern"), "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("spoken"))
+    shared = staged(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"), F.sum("times").alias("times"), F.min("seed").alias("least")).where((F.col("values") >= MIN_SUPPORT) & (F.col("least") == 0)))
+    spoken = spoken_pairs(docs, text, shared)
     plain = shared.join(spoken, "pattern", "left").select("pattern", F.greatest(F.coalesce("spoken", F.lit(0)) - F.col("times"), F.lit(0)).alias("elsewhere"))
     graph = staged(edges.join(plain, "pattern").select("pattern", "value", "seed", "elsewhere"))
     score = graph.groupBy("value").agg(F.max("seed").alias("score"))
@@ -151,7 +161,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     """One row per input row: ``id``, the text's hash ``h`` and ``spans`` (kind, start, end), base kinds first."""
     scanned = staged(scan(docs, id_col, text))
     short = lambda c: F.transform(c, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
-    found = scanned.where(F.size("others") > 0).select("id", "h", F.explode("others").alias("s")).join(discovered(scanned).select(F.col("value").alias("v")), F.col("s.value") == F.col("v"))
+    found = scanned.where(F.size("others") > 0).select("id", "h", F.explode("others").alias("s")).join(discovered(scanned, docs, text).select(F.col("value").alias("v")), F.col("s.value") == F.col("v"))
     extra = found.groupBy(F.col("id").alias("i"), F.col("h").alias("k")).agg(F.sort_array(F.collect_set(F.struct("s.kind", "s.start", "s.end"))).alias("extra"))
     whole = scanned.select("id", "h", short("spans").alias("base")).join(extra, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left")
     return whole.select("id", "h", "base", F.concat("base", F.coalesce("extra", F.array().cast("array<struct<kind:string,start:long,end:long>>"))).alias("spans"))

@@ -152,6 +152,29 @@ def test_labels_keep_all_words(spark):
     assert texts_of(H.extract(pages_of(spark, *pages))) == {n: f"own {n}" for n in range(6)}
 
 
+def test_siblings_at_separate_places_are_separate_slots(spark):
+    plain = [(n, "http://p.example/", f"<body><div>constant menu</div><div>article {n}</div></body>") for n in range(12)]
+    assert texts_of(H.extract(pages_of(spark, *plain))) == {n: f"article {n}" for n in range(12)}
+    # An optional element in front, articles of several parts, and the same last line.
+    mixed = [(n, "http://m.example/", "<body>" + "<div>banner</div>" * (n % 2) + "<div>menu</div>" + "".join(f"<div>part {n} {k}</div>" for k in range(n % 3 + 1)) + "<p>end</p></body>") for n in range(24)]
+    got = texts_of(H.extract(pages_of(spark, *mixed)))
+    assert {n: x.removeprefix("banner\n") for n, x in got.items()} == {n: "\n".join(f"part {n} {k}" for k in range(n % 3 + 1)) for n in range(24)}
+    assert sum("banner" in x for x in got.values()) < 6
+
+
+def test_common_subsequences():
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randrange(12))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = H.common(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = SMALL.replace("0.001", "0.1")
     labelled = read("labels", "doc_id, toxic", "toxic IS NOT NULL", folder)[:2400]

@@ -1,11 +1,14 @@
 """Operator 7: main text by wrappers, union-free regular expressions inferred per host.
 
-A page is read as a stream of structural tags and text slots. Two streams of one host are aligned element by
-element: equal tags match, a run of siblings of one tag becomes a repeated group, an element that only one side has
-becomes optional, text becomes a slot. Folding page after page gives the host's wrapper; wrappers of different
-tasks are aligned the same way, so each task folds its own pages first and only small wrappers are
-shuffled. Slots keep how many pages filled them, how much text and link text they held, and whether it was always
-the same text.
+A page is read as a tree of structural elements and text slots, siblings in their order. Two trees of one host are
+aligned level by level: siblings that say the same match first, then those of one label between them, by longest
+common subsequences. Each mismatch is resolved: differing text becomes a slot, a sibling too many next to others of
+its label a repeated group, any other an optional element; siblings at separate places stay separate slots. (A
+repeated pattern of several elements is kept as one repeated group per label.) Folding page after page gives the
+host's wrapper; wrappers of different tasks are aligned the same way, so each task folds its own pages first and
+only small wrappers are shuffled. As with any folding in turns, which of several alignments is found may depend on
+the order of pages. Slots keep how many pages filled them, how much text and link text they held, and whether it was
+always the same text. A page is then aligned with its host's wrapper to look up its slots.
 
 The wrapper then says which slots can be the article: outside of elements that tags or names mark as
 menu, header, footer, sidebar, notice, advert, form or reader comment, though an article element opens again what a
@@ -108,19 +111,40 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", tag, ""
 
 
-def slots(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(path, raw text, starts a block, inside a link) for each piece of visible text, in page order.
+# A node of a page or wrapper: an element, or a text slot (label "#") without nodes below. The digest stands for all
+# text and labels inside; 0: differs between pages. The link share is kept by text, the nodes below in page order.
+LABEL, PAGES, CHARS, LINKED, DIGEST, REPEATED, OPTIONAL, BELOW = range(8)
+TEXT = "#"
 
-    The path names the open structural elements; elements that only style text are not part of it.
+
+def _node(label: str = "") -> list:
+    return [label, 1, 0, 0, 0, False, False, []]
+
+
+def parsed(page: str) -> tuple[list, list[tuple[list, list[str]]]]:
+    """The tree of a page's elements and text slots, each sibling a node of its own, and (slot, raw pieces) in page order.
+
+    A slot ends where a block starts or ends. Elements that only style text are not nodes, nor are those without text.
     """
+    root = _node()
     tags: list[str] = []
-    paths: list[str] = []  # the path inside each open element
-    path, skip, links, fresh = "", 0, 0, True
+    nodes = [root]  # the root and the node of each open element
+    texts: list[tuple[list, list[str]]] = []
+    skip, links, slot = 0, 0, None
     for kind, tag, label in tokens(page):
         if kind == "text":
-            if not skip:
-                yield path, tag, fresh, links > 0
-                fresh = False
+            if skip:
+                continue
+            said = tag.strip()
+            if slot is None and said:
+                slot = _node(TEXT)
+                nodes[-1][BELOW].append(slot)
+                texts.append((slot, []))
+            if slot is not None:
+                texts[-1][1].append(tag)
+                if said:
+                    slot[CHARS] += len(tag)
+                    slot[LINKED] += len(tag) if links else 0
             continue
         if tag == "a":
             links = links + 1 if kind == "open" else max(0, links - 1)
@@ -128,89 +152,225 @@ def slots(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             continue
         elif kind == "open":
             if tag in VOID:
-                if tag == "br" and not skip:
-                    yield path, " ", fresh, links > 0
+                if tag == "br" and not skip and slot is not None:
+                    texts[-1][1].append(" ")
                 elif tag == "hr":
-                    fresh = True
+                    slot = None
                 continue
             if tag in BLOCKS:
                 ends = _CLOSES.get(tag, _CLOSES["p"] if tag not in ("html", "body") else ())
                 while tags and tags[-1] in ends:
                     tags.pop()
-                    paths.pop()
-                    path = paths[-1] if paths else ""
-                path = f"{path}/{label}" if path else label
-                fresh = True
+                    nodes.pop()
+                node, slot = _node(label), None
+                nodes[-1][BELOW].append(node)
             else:
                 skip += 1
+                node = nodes[-1]
             tags.append(tag)
-            paths.append(path)
+            nodes.append(node)
         elif tag in tags:
             while tags:
                 last = tags.pop()
-                paths.pop()
+                nodes.pop()
                 skip -= last in SKIPPED
                 if last == tag:
                     break
-            path = paths[-1] if paths else ""
             if tag in BLOCKS:
-                fresh = True
+                slot = None
+    for slot, pieces in texts:
+        slot[DIGEST] = xxhash.xxh32_intdigest("\n".join(x for x in map(str.strip, pieces) if x)) or 1
+    _close(root)
+    return root, texts
 
 
-# A wrapper node: [pages, chars, link chars, text digest (0: differs), repeated, optional, {label: node}].
-PAGES, CHARS, LINKED, DIGEST, REPEATED, OPTIONAL, BELOW = range(7)
+def _close(node: list) -> None:
+    """Drops what holds no text and gives elements their digests."""
+    for child in node[BELOW]:
+        if child[LABEL] != TEXT:
+            _close(child)
+    node[BELOW] = [x for x in node[BELOW] if x[LABEL] == TEXT or x[BELOW]]
+    node[DIGEST] = xxhash.xxh32_intdigest("\n".join(f"{x[LABEL]} {x[DIGEST]}" for x in node[BELOW])) or 1
 
 
-def _node() -> list:
-    return [0, 0, 0, None, False, False, {}]
+def shape(page: str) -> list:
+    """The wrapper of one page."""
+    return parsed(page)[0]
+
+
+def _rows(a: list, b: list) -> list[int]:
+    """For each prefix of ``a``, the bits of ``b`` at which the longest common subsequence does not grow."""
+    at: dict = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    out = []
+    for x in a:
+        m = v & at.get(x, 0)
+        v = ((v + m) | (v - m)) & full
+        out.append(v)
+    return out
 
 
-def shape(page: str) -> list:
-    """The wrapper of one page: siblings of one label are one repeated group already."""
-    root = _node()
-    root[PAGES] = 1
-    texts: dict[str, list[str]] = {}
-    seen: dict[str, int] = {}
-    for path, text, fresh, linked in slots(page):
-        node = root
-        for label in path.split("/") if path else ():
-            node = node[BELOW].setdefault(label, _node())
-            node[PAGES] = 1
-        if text.strip():
-            node[CHARS] += len(text)
-            node[LINKED] += len(text) if linked else 0
-            texts.setdefault(path, []).append(text.strip())
-            seen[path] = seen.get(path, 0) + fresh
-            node[REPEATED] = seen[path] > 1
-    for path, parts in texts.items():
-        node = root
-        for label in path.split("/") if path else ():
-            node = node[BELOW][label]
-        node[DIGEST] = xxhash.xxh32_intdigest("\n".join(parts))
-    return root
-
-
-def align(a: list, b: list) -> list:
-    """The wrapper that both sides match: what only one has is optional, what either repeats is repeated."""
-    out = [a[PAGES] + b[PAGES], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED], None, a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], {}]
-    out[DIGEST] = a[DIGEST] if a[DIGEST] == b[DIGEST] else b[DIGEST] if a[DIGEST] is None else a[DIGEST] if b[DIGEST] is None else 0
-    for label in [*a[BELOW], *(x for x in b[BELOW] if x not in a[BELOW])]:
-        x, y = a[BELOW].get(label), b[BELOW].get(label)
-        if x is not None and y is not None:
-            out[BELOW][label] = align(x, y)
-        else:
-            only = list(x if x is not None else y)
-            only[OPTIONAL] = True
-            out[BELOW][label] = only
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """The positions of a longest common subsequence, computed on whole rows as bits."""
+    n, m, start = len(a), len(b), 0
+    while start < n and start < m and a[start] == b[start]:
+        start += 1
+    while n > start and m > start and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    out = [(k, k) for k in range(start)] + list(zip(range(n, len(a)), range(m, len(b)), strict=True))
+    i, j = n - start, m - start
+    if i and j:
+        if i > j:
+            return sorted([*out, *((start + y, start + x) for x, y in _back(b[start:m], a[start:n]))])
+        return sorted([*out, *((start + x, start + y) for x, y in _back(a[start:n], b[start:m]))])
     return out
 
 
-def expression(node: list, label: str = "#") -> str:
+def _back(a: list, b: list) -> list[tuple[int, int]]:
+    i, j = len(a), len(b)
+    if i > 1 and i * j > 400_000_000:  # halves, so that the rows are never held at once
+        half = i // 2
+
+        def grown(rows_of: list, over: list) -> list[int]:
+            v, total = _last(rows_of, over), [0]
+            for k in range(len(over)):
+                total.append(total[-1] + (v[k] == "0"))
+            return total
+
+        head, tail = grown(a[:half], b), grown(a[half:][::-1], b[::-1])
+        cut = max(range(j + 1), key=lambda k: head[k] + tail[j - k])
+        return common(a[:half], b[:cut]) + [(x + half, y + cut) for x, y in common(a[half:], b[cut:])]
+    rows, out = _rows(a, b), []
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def _last(a: list, b: list) -> str:
+    """The last of ``_rows``, first position first."""
+    at: dict = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    full = v = (1 << len(b)) - 1
+    for x in a:
+        m = v & at.get(x, 0)
+        v = ((v + m) | (v - m)) & full
+    return f"{v:0{len(b)}b}"[::-1]
+
+
+def _settled(node: list) -> bool:
+    """Whether several pages say the same here: such a node takes no other text while there is another way."""
+    return node[DIGEST] != 0 and node[PAGES] > 1
+
+
+_KEYS = (
+    lambda x: (x[LABEL], x[DIGEST]) if x[DIGEST] else None,
+    lambda x: None if _settled(x) else x[LABEL],
+    lambda x: x[LABEL],
+)
+
+
+def match(xs: list, ys: list) -> tuple[list[tuple[int, int]], dict[int, int], dict[int, int]]:
+    """Two sequences of siblings aligned in order: pairs; the ys, and the xs, that repeat a node of ``xs``.
+
+    Nodes that say the same are matched first, then, between these, nodes of one label, last those that said the same
+    until now. A node without a partner repeats one of its label between the same two equal nodes; if there is none
+    it is optional.
+    """
+    ends = (len(xs), len(ys))
+    found = [(-1, -1), ends]
+    anchors = found
+    for level, key in enumerate(_KEYS):
+        new = [found[0]]
+        for (i0, j0), (i1, j1) in zip(found, found[1:], strict=False):
+            if i1 - i0 > 1 and j1 - j0 > 1:
+                a = [(k, i) for i in range(i0 + 1, i1) if (k := key(xs[i])) is not None]
+                b = [(k, j) for j in range(j0 + 1, j1) if (k := key(ys[j])) is not None]
+                new += [(a[p][1], b[q][1]) for p, q in common([k for k, _ in a], [k for k, _ in b])]
+            new.append((i1, j1))
+        found = new
+        if not level:
+            anchors = found
+    pairs = found[1:-1]
+    again_y: dict[int, int] = {}
+    again_x: dict[int, int] = {}
+    if len(pairs) == len(xs) == len(ys):
+        return pairs, again_y, again_x
+    of_x = dict(pairs)
+    taken = set(of_x.values())
+    for (i0, j0), (i1, j1) in zip(anchors, anchors[1:], strict=False):
+        if i1 - i0 == 1 or i1 - i0 + j1 - j0 == 2:
+            continue
+        held: dict[str, int] = {}
+        for i in range(i0 + 1, i1):
+            if i in of_x:
+                held.setdefault(xs[i][LABEL], i)
+        near = dict(held)
+        for i in range(i0 + 1, i1):
+            label = xs[i][LABEL]
+            if i in of_x:
+                near[label] = i
+            elif label in near and not _settled(xs[i]):
+                again_x[i] = near[label]
+        loose: dict[str, int] = {}
+        for i in range(i0 + 1, i1):
+            if i not in of_x and i not in again_x and not _settled(xs[i]):
+                loose.setdefault(xs[i][LABEL], i)
+        back = {j: i for i, j in pairs if i0 < i < i1}
+        near = loose | held
+        for j in range(j0 + 1, j1):
+            label = ys[j][LABEL]
+            if j in taken:
+                near[label] = back[j]
+            elif label in near and not _settled(ys[j]):
+                again_y[j] = near[label]
+    return pairs, again_y, again_x
+
+
+def align(a: list, b: list, together: bool = False) -> list:
+    """The wrapper that both sides match: what only one has is optional, what either repeats is repeated.
+
+    ``together``: both are parts of the same pages.
+    """
+    out = [a[LABEL], max(a[PAGES], b[PAGES]) if together else a[PAGES] + b[PAGES], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED]]
+    out += [a[DIGEST] if a[DIGEST] == b[DIGEST] else 0, a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], []]
+    if a[LABEL] == TEXT:
+        return out
+    xs, ys = a[BELOW], b[BELOW]
+    pairs, again_y, again_x = match(xs, ys)
+    new: dict[int, list] = {}
+    order: list = []  # numbers of xs, and nodes that only ys has
+    i0 = j0 = 0
+    for i, j in [*pairs, (len(xs), len(ys))]:
+        order += range(i0, i)
+        order += [[*ys[k][:OPTIONAL], True, ys[k][BELOW]] for k in range(j0, j) if k not in again_y]
+        if i < len(xs):
+            order.append(i)
+            new[i] = align(xs[i], ys[j], together)
+        i0, j0 = i + 1, j + 1
+    for i in range(len(xs)):
+        if i not in new:
+            new[i] = [*xs[i][:OPTIONAL], True, xs[i][BELOW]]
+    for k, again in [*((k, xs[i]) for i, k in again_x.items()), *((k, ys[j]) for j, k in again_y.items())]:
+        new[k] = align(new[k], again, True)
+        new[k][REPEATED] = True
+    out[BELOW] = [new[x] if isinstance(x, int) else x for x in order if not isinstance(x, int) or x not in again_x]
+    return out
+
+
+def expression(node: list) -> str:
     """A wrapper as the regular expression that it stands for."""
-    inside = [expression(n, x) for x, n in node[BELOW].items()]
-    text = " ".join(([] if not node[CHARS] else ["#"]) + inside)
-    body = text if label == "#" else f"<{label}> {text} </>".replace("  ", " ")
-    return f"({body})+" if node[REPEATED] and node[OPTIONAL] is False else f"({body})*" if node[REPEATED] else f"({body})?" if node[OPTIONAL] else body
+    label, text = node[LABEL], " ".join(map(expression, node[BELOW]))
+    body = TEXT if label == TEXT else text if not label else f"<{label}> {text} </>"
+    return f"({body})+" if node[REPEATED] and not node[OPTIONAL] else f"({body})*" if node[REPEATED] else f"({body})?" if node[OPTIONAL] else body
 
 
 def _words_of(label: str) -> tuple[str, set[str]]:
@@ -243,43 +403,48 @@ def inside_of(label: str, rank: int, shut: int) -> tuple[int, int]:
     return rank, shut
 
 
-def article_paths(wrapper: list) -> list[tuple[set[str], set[str]]]:
-    """Per rank, the slots of a wrapper that have it, and those of them that belong to the article of a page whose best rank it is."""
-    ranks: list[tuple[set[str], set[str]]] = [(set(), set()) for _ in range(5)]
-
-    def walk(node: list, path: str, rank: int, shut: int) -> None:
-        if node[CHARS] and not shut:
-            same = node[DIGEST] not in (0, None) and node[PAGES] >= SAME_PAGES and rank in (NAMED, REST)
-            heading = path.rsplit("/", 1)[-1].split(".")[0] in HEADINGS
-            ranks[rank][0].add(path)
-            if not same and (heading or node[LINKED] <= LINK_SHARE * node[CHARS]):
-                ranks[rank][1].add(path)
-        for label, child in node[BELOW].items():
-            below = inside_of(label, rank, shut)
-            if below[1] != SHUT:
-                walk(child, f"{path}/{label}" if path else label, *below)
-
-    walk(wrapper, "", REST, 0)
-    return ranks
-
-
-def main_text(page: str | None, ranks: list[tuple[set[str], set[str]]]) -> str:
-    """The blocks of a page's slots of the best rank that the page fills, decoded and joined."""
-    pieces = list(slots(page or ""))
-    filled = {path for path, text, _, _ in pieces if entities.unescape(text).strip()}
-    paths = next((kept for whole, kept in ranks if not whole.isdisjoint(filled)), set())
-    blocks: list[list[str]] = []
-    open_block = False
-    for path, text, fresh, _ in pieces:
-        if fresh:
-            open_block = False
-        if path in paths:
-            if not open_block:
-                blocks.append([])
-                open_block = True
-            blocks[-1].append(text)
-    lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(x for x in lines if x)
+def article_slots(wrapper: list) -> tuple[dict[str, list[int]], list]:
+    """Text and link text by path, and the wrapper."""
+    shares: dict[str, list[int]] = {}
+
+    def walk(node: list, path: str) -> None:
+        for child in node[BELOW]:
+            if child[LABEL] == TEXT:
+                share = shares.setdefault(path, [0, 0])
+                share[0] += child[CHARS]
+                share[1] += child[LINKED]
+            else:
+                walk(child, f"{path}/{child[LABEL]}")
+
+    walk(wrapper, "")
+    return shares, wrapper
+
+
+def main_text(page: str | None, known: tuple[dict[str, list[int]], list]) -> str:
+    """The slots of a page that have the best rank it fills, decoded, a line each."""
+    shares, wrapper = known
+    root, texts = parsed(page or "")
+    places: dict[int, tuple[int, bool]] = {}  # by slot: rank, whether it belongs to the article
+
+    def walk(node: list, model: list, path: str, rank: int, shut: int) -> None:
+        xs, ys = model[BELOW], node[BELOW]
+        pairs, again_y, _ = match(xs, ys)
+        of_y = {j: i for i, j in pairs} | again_y
+        for j, y in enumerate(ys):
+            x = xs[of_y[j]] if j in of_y else y
+            if y[LABEL] != TEXT:
+                below = inside_of(y[LABEL], rank, shut)
+                if below[1] != SHUT:
+                    walk(y, x, f"{path}/{y[LABEL]}", *below)
+            elif not shut:
+                same = x[DIGEST] != 0 and x[PAGES] >= SAME_PAGES and rank in (NAMED, REST)
+                chars, linked = shares.get(path, (y[CHARS], y[LINKED]))
+                places[id(y)] = rank, not same and (_words_of(node[LABEL])[0] in HEADINGS or linked <= LINK_SHARE * chars)
+
+    walk(root, wrapper, "", REST, 0)
+    lines = [(places[id(slot)], " ".join(entities.unescape("".join(pieces)).split())) for slot, pieces in texts if id(slot) in places]
+    best = min((rank for (rank, _), line in lines if line), default=REST)
+    return "\n".join(line for (rank, kept), line in lines if line and kept and rank == best)
 
 
 def _encode(node: list) -> str:
@@ -325,7 +490,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, list[tuple[set[str], set[str]]]] = {}
+    known: dict[str, tuple[dict[str, list[int]], list]] = {}
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
@@ -334,7 +499,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if host not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[host] = article_paths(json.loads(wrapper))
+                    known[host] = article_slots(json.loads(wrapper))
                 texts.append(main_text(page, known[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
@@ -345,7 +510,7 @@ def extract(pages: DataFrame, known: DataFrame | None = None, id_col: str = "pag
     """One row per page with its article's ``text``. ``known``: wrappers made before."""
     found = staged(wrappers(pages, url, html)) if known is None else known
     plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url)).alias("host"))
-    joined = plain.join(found, "host", "left").select("id", "url", "html", "host", F.coalesce("wrapper", F.lit('[0,0,0,null,false,false,{}]')).alias("wrapper"))
+    joined = plain.join(found, "host", "left").select("id", "url", "html", "host", F.coalesce("wrapper", F.lit('["",0,0,0,0,false,false,[]]')).alias("wrapper"))
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long").withColumnRenamed("page_id", id_col)
 
 

@@ -184,6 +184,23 @@ def test_licences(spark):
     assert L.scan(no_docs(spark), L.known_table(spark)).count() == 0
 
 
+def test_full_licences_and_runs_of_blocks(spark):
+    full = dict(reversed(L.full_texts()))
+    body = next(t for n, t in L.KNOWN if t.startswith("Permission is hereby"))
+    mit = body.replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    texts = [
+        full["Apache-2.0"],
+        "A readme.\n\n" + full["GPL-3.0"].upper() + "\n\nMore to read.",
+        f"A tool.\n\nMIT License\n\nCopyright (c) 2020 Someone\n\n{mit}\n\nThanks.\n\n\U0001f600",
+        f"{mit.replace('free of charge', 'for a fee')}\n\nend",
+        f"Before {mit}\n\nend",
+        f"{mit}\n\n{mit}\n\n----\n\n{full['MPL-2.0']}",
+        full["Apache-2.0"].partition("END OF TERMS")[0],
+    ]
+    got = {r.doc_id: (r.licences, r.is_licence) for r in L.scan(docs(spark, *texts), L.known_table(spark)).collect()}
+    assert got == {1: ("Apache-2.0", True), 2: ("GPL-3.0", False), 3: ("MIT", False), 4: ("", False), 5: ("", False), 6: ("MIT,MPL-2.0", False), 7: ("Apache-2.0", True)}
+
+
 def test_licence_sql(spark):
     import duckdb
 

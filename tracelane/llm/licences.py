@@ -2,8 +2,9 @@
 
 A text's canonical form: lower case, one spelling of words that are written in several ways, no copyright lines,
 no punctuation, single spaces. The SHA-256 of the form is hash-joined to the digests of known licence texts
-and notices. Texts compared: the whole document, its blocks between lines without letters or digits, and its
-lines; each entirely, never in part.
+and notices, those in ``KNOWN`` and the full texts in the folder ``known``. Texts compared: the whole document, its
+blocks between lines without letters or digits, runs of adjacent blocks, and its lines; each entirely, never in part.
+Runs are looked for where a known text's first letters start a block, and have the known text's length.
 
 Defined cases: a null or empty text has no licence; a unit whose form is empty matches nothing; repeated rows
 get a row each (the join key is the id and a hash of the text); an empty table gives an empty result; extra columns are ignored.
@@ -11,6 +12,10 @@ get a row each (the join key is the id and a hash of the text); an empty table g
 
 from __future__ import annotations
 
+from functools import reduce
+from importlib import resources
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +74,8 @@ KNOWN = [
     ("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_END}"),
     ("0BSD", f"{_ISC_GRANT}. {_ISC_END}"),
 ]
+#: Letters of a canonical form that a run of blocks must begin with.
+HEAD = 16
 #: (pattern, replacement) on lower-cased text: spellings that mean the same.
 SPELLINGS = (
     ("licence", "license"),
@@ -108,20 +115,55 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files in ``known``; a text with an appendix counts without it too."""
+    out = []
+    for file in sorted(resources.files("tracelane.llm").joinpath("known").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        out.append((name, text))
+        head, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(name, head), (name, head + end)]
+    return out
+
+
 def known_table(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(licence, digest), from texts in the same canonical form."""
-    rows = spark.createDataFrame(known or KNOWN, "licence string, text string")
-    return rows.select("licence", digest(F.col("text")).alias("digest")).distinct()
+    """(licence, digest, head, size), from texts in the same canonical form."""
+    rows = spark.createDataFrame(known or [*KNOWN, *full_texts()], "licence string, text string").select("licence", canonical(F.col("text")).alias("form"))
+    return rows.select("licence", F.sha2("form", 256).alias("digest"), F.substring("form", 1, HEAD).alias("head"), F.length("form").alias("size")).distinct()
+
+
+def _runs(blocks: Column, sizes: dict[str, list[int]]) -> Column:
+    """The runs of adjacent blocks that begin like a known text and are as long."""
+    none = F.array().cast("array<string>")
+
+    def found(marked: Column) -> Column:  # blocks with a line end between them
+        def of(head: str, size: int) -> Column:
+            pattern = rf"(?s)(?<![^\n])(?=({head.replace(' ', '[ \n]')}.{{{max(size - len(head), 0)}}})(?:\n|\z))"
+            return F.transform(F.regexp_extract_all(marked, F.lit(pattern), F.lit(1)), lambda u: F.replace(u, F.lit("\n"), F.lit(" ")))
+
+        def tried(plain: Column) -> Column:
+            parts = [F.when(plain.contains(head), F.concat(*[of(head, n) for n in ns])).otherwise(none) for head, ns in sizes.items()]
+            return F.when(reduce(or_, [plain.contains(head) for head in sizes]), F.concat(*parts)).otherwise(none)
+
+        return let(F.replace(marked, F.lit("\n"), F.lit(" ")), tried)
+
+    return let(F.array_join(F.filter(blocks, lambda b: b != ""), "\n"), found) if sizes else none
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: the licences found (sorted, comma-joined), how many units held one, and whether the whole text is one."""
     body = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     blocks = lambda x: F.transform(F.split(F.array_join(x, "\n"), "\n\n+"), lambda b: F.trim(F.replace(b, F.lit("\n"), F.lit(" "))))
-    units = let(_lines(F.col("t")), lambda x: F.concat(F.array(_whole(x)), blocks(x), x))
-    spread = body.select("id", "h", F.posexplode(units).alias("at", "unit")).where("unit <> ''")
+    sizes: dict[str, list[int]] = {}
+    for r in known.where("size > 0").select("head", "size").distinct().orderBy("head", "size").collect():  # a few short rows
+        sizes.setdefault(r["head"], []).append(r["size"])
+    lengths = sorted({n for ns in sizes.values() for n in ns})
+    units = let(_lines(F.col("t")), lambda x: let(blocks(x), lambda b: F.concat(F.array(_whole(x)), b, x, _runs(b, sizes))))
+    # Only a unit as long as a known text can be one.
+    spread = body.select("id", "h", F.posexplode(units).alias("at", "unit")).where(F.length("unit").isin(lengths))
     named = spread.select("id", "h", (F.col("at") == 0).alias("whole"), F.sha2("unit", 256).alias("digest"))
-    found = named.join(known, "digest").groupBy("id", "h").agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"), F.max("whole").alias("is_licence"))
+    found = named.join(known.select("licence", "digest"), "digest").groupBy("id", "h").agg(F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"), F.max("whole").alias("is_licence"))
     both = body.select("id", "h").join(found.select(F.col("id").alias("i"), F.col("h").alias("k"), "licences", "is_licence"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left")
     return both.select(F.col("id").alias(id_col), F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("is_licence", F.lit(False)).alias("is_licence"))
 

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from conftest import SMALL, docs, no_docs, odd_docs, read
+from pyspark.sql import functions as F
 
 from tracelane.llm import decontaminate as D
 from tracelane.llm import html as H
@@ -191,6 +192,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert hits > 0.7 * len(yes) and sum(p for t, _, p in held if not t) < 0.05 * len(no)
 
 
+def test_thresholds_use_all_labelled_rows(spark):
+    texts = [(n, f"you awful idiot number {n}" if n % 3 == 0 else f"a kind word about day {n}", "en") for n in range(300)]
+    own = [n for n in range(300, 900) if zlib.crc32(str(n).encode()) % 3 != 1]
+    texts += [(n, "awful idiot" if n % 2 else "kind word", "xx") for n in own]
+    labels = spark.createDataFrame([(n, int(n % 3 == 0)) for n in range(300)] + [(n, n % 2) for n in own], "doc_id long, toxic int")
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    seen = []
+    whole = X.cuts
+    try:
+        X.cuts = lambda scored, labelled, learned: seen.append((labelled.count(), len(learned))) or whole(scored, labelled, learned)
+        out = X.classify(df, labels, rows=10).where("lang = 'xx'").select("threshold").distinct().collect()
+    finally:
+        X.cuts = whole
+    assert seen[0][1] == 8 and seen[0][0] > 500
+    assert len(out) == 1 and out[0].threshold != X.POINT
+    made = spark.createDataFrame([(n, "en", float(n % 7 - 3)) for n in range(2100)], "id long, lang string, logit double")
+    marks = made.select("id", (F.col("logit") > 1).cast("int").alias("label"))
+    cut, languages = X.cuts(made, marks, [])
+    assert 1 < cut < 2 and abs(languages["en"] - cut) < 1e-9
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (99, 1), (7, 1), (4, 0)], "doc_id long, toxic int")
     got = X.classify(odd_docs(spark), labels).collect()

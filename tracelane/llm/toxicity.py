@@ -4,8 +4,10 @@ A word is the sum of hashed embeddings: its letters as a whole and its first thr
 seen before still shares what its stem has. Filters of width 1, 2 and 3 run over the words of the whole text;
 each filter's maximum feeds a logistic layer. One task trains on at most ``TRAIN_ROWS`` labelled rows
 (those with the smallest hash of the id; a documented bound) and returns the weights, whose size is fixed.
-The score's point 0.7 is where F1 is best on a fifth of those rows that is kept for it; by language,
-the same rows give a threshold each, drawn towards 0.7 by ``LEAN`` imagined rows.
+All documents are scored once; the score's point 0.7 is where F1 is best on all labelled rows that are neither held
+out nor among the four fifths that the network learned from; by language, the same rows give a threshold each, drawn
+towards 0.7 by ``LEAN`` imagined rows, and 0.7 itself where none of them is toxic. The cuts come from histograms of
+``BINS`` bins a logit.
 
 Defined cases: null, empty or word-free texts get the score of an empty text; repeated rows get equal scores;
 labels that are null or of unknown ids are ignored; without labels every score is 0; an empty table gives
@@ -25,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelane.llm.common import WordCodes, table
+from tracelane.session import staged
 
 TRAIN_ROWS = 8000
 BUCKETS, DIM = 1 << 15, 16
@@ -33,6 +36,8 @@ EPOCHS, BATCH, RATE = 8, 32, 0.05
 HIDDEN = 0.4
 POINT = 0.7
 LEAN = 200
+#: Bins of the score histograms in a logit, which is cut off at ``FAR``.
+BINS, FAR = 256, 100
 SEED = 6
 
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -155,57 +160,73 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = SEED) -> Netwo
     return net
 
 
-def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the cut with the best F1; between the classes where they lie apart."""
-    order = np.argsort(-logits, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, labels.sum()))
-    k = int(np.argmax(f1))
-    low = logits[order[k + 1]] if k + 1 < len(order) else logits[order[k]] - 1
-    return float((logits[order[k]] + low) / 2)
+def _best_cut(bins: dict[int, tuple[int, int]]) -> float:
+    """From (rows, toxic rows) by logit bin: the middle of the cut with the best F1; between the classes where they lie apart."""
+    order = sorted(bins, reverse=True)
+    rows, hits = np.cumsum([bins[k] for k in order], axis=0).T
+    k = int(np.argmax(2 * hits / (rows + max(1, hits[-1]))))
+    low = order[k + 1] if k + 1 < len(order) else order[k] - BINS
+    return (order[k] + low + 1) / 2 / BINS
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = WordCodes(_parts)
-    docs, labels, langs, picks = [], [], [], []
+    docs, labels, picks = [], [], []
     for batch in batches:
-        for text, label, lang, pick in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for text, label, pick in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found = _words(text)
             docs.append(np.array([codes[w] for w in found], np.int32).reshape(-1, 3))
             labels.append(label)
-            langs.append(lang)
             picks.append(pick)
     order = sorted(range(len(docs)), key=lambda i: picks[i])  # the same model in every run
-    docs, labels, langs = [docs[i] for i in order], np.array([labels[i] for i in order], np.float32), [langs[i] for i in order]
+    docs, labels, picks = [docs[i] for i in order], np.array([labels[i] for i in order], np.float32), [picks[i] for i in order]
     if len(docs):
-        kept = np.arange(len(docs)) % 5 == 4
-        learn = np.flatnonzero(~kept)
+        learn = np.flatnonzero(np.arange(len(docs)) % 5 != 4)
         net = train([docs[i] for i in learn], labels[learn])
-        held = np.flatnonzero(kept) if labels[kept].any() else np.arange(len(docs))
-        logits = np.zeros(len(held))
-        for at in range(0, len(held), BATCH):
-            rows, starts, ends = _lay([docs[i] for i in held[at : at + BATCH]], 3)
-            logits[at : at + BATCH] = net.logits(net.pooled(net.table[rows].sum(axis=1), starts, ends))
-        cut = _best_cut(logits, labels[held])
-        languages = {}
-        for lang in sorted({x for x in langs if x is not None}):
-            mine = np.array([langs[i] == lang for i in held])
-            if mine.any() and labels[held][mine].any():
-                weight = mine.sum() / (mine.sum() + LEAN)
-                languages[lang] = weight * _best_cut(logits[mine], labels[held][mine]) + (1 - weight) * cut
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net, cut, languages))], pa.binary())], names=["model"])
-
-
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple | None:
-    """Train on (id, text, label, lang): network, cut and cuts by language; None without any row."""
-    pick = F.xxhash64(F.col("id").cast("string"), F.lit(SEED))
-    found = labelled.where("label is not null").select("text", F.col("label").cast("int"), "lang", pick.alias("pick"), "id").coalesce(1).select("text", "label", "lang", "pick").mapInArrow(_fit, "model binary").collect()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net, [picks[i] for i in learn]))], pa.binary())], names=["model"])
+
+
+def _pick(id_col: Column) -> Column:
+    return F.xxhash64(id_col.cast("string"), F.lit(SEED))
+
+
+def fit(labelled: DataFrame) -> tuple | None:
+    """Train on (id, text, label): network and the hashes of the ids that it learned from; None without any row."""
+    found = labelled.where("label is not null").select("text", F.col("label").cast("int"), _pick(F.col("id")).alias("pick")).coalesce(1).mapInArrow(_fit, "model binary").collect()
     return pickle.loads(found[0][0]) if found else None
 
 
+def cuts(scored: DataFrame, labelled: DataFrame, learned: list[int]) -> tuple[float, dict[str, float]]:
+    """The cut and those by language, from all rows of (id, lang, logit) with a label in (id, label) that the network did not learn from.
+
+    Where none of these is toxic, from all rows with a label.
+    """
+    spark = scored.sparkSession
+    known = spark.createDataFrame([(p,) for p in learned], "pick long").withColumn("learned", F.lit(True))
+    rows = scored.join(labelled.select("id", F.col("label").cast("int").alias("label")), "id").dropDuplicates(["id"]).withColumn("pick", _pick(F.col("id")))
+    bins = F.floor(F.greatest(F.least("logit", F.lit(float(FAR))), F.lit(float(-FAR))) * BINS).cast("int").alias("bin")
+    counted = rows.join(F.broadcast(known), "pick", "left").groupBy("lang", F.coalesce("learned", F.lit(False)).alias("learned"), bins).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).collect()
+    if any(r.toxic for r in counted if not r.learned):
+        counted = [r for r in counted if not r.learned]
+    whole: dict[int, tuple[int, int]] = {}
+    by_lang: dict[str, dict[int, tuple[int, int]]] = {}
+    for r in counted:
+        for held in (whole, by_lang.setdefault(r.lang, {})):
+            n, toxic = held.get(r.bin, (0, 0))
+            held[r.bin] = n + r.n, toxic + r.toxic
+    cut = _best_cut(whole) if whole else 0.0
+    languages = {}
+    for lang, held in by_lang.items():
+        n, toxic = map(sum, zip(*held.values(), strict=True))
+        if lang is not None and toxic:
+            weight = n / (n + LEAN)
+            languages[lang] = weight * _best_cut(held) + (1 - weight) * cut
+    return cut, languages
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, cut, _ = model.value or (None, 0.0, {})
+        net = model.value
         place: dict[str, int] = {}
         vectors = np.zeros((1 << 12, DIM), np.float32)
         gap = max(WIDTHS) - 1
@@ -242,11 +263,10 @@ def _score(model):
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 if net is None:
-                    score = np.zeros(batch.num_rows)
+                    logit = np.full(batch.num_rows, -np.inf)
                 else:
-                    shifted = scores(batch.column(1).to_pylist()) - cut + np.log(POINT / (1 - POINT))
-                    score = 1 / (1 + np.exp(-shifted.astype(np.float64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score, pa.float64())], names=["id", "lang", "score"])
+                    logit = scores(batch.column(1).to_pylist()).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(logit, pa.float64())], names=["id", "lang", "logit"])
 
     return run
 
@@ -259,12 +279,14 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col:
     """One row per input row: ``held_out``, ``score``, ``predicted`` (score >= 0.7), the language's ``threshold`` and ``flagged``."""
     plain = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     learn = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label).alias("label")).dropDuplicates(["id"])
-    chosen = learn.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(SEED)), "id").limit(rows)
-    model = fit(plain.join(F.broadcast(chosen), "id").dropDuplicates(["id"]))  # ``rows`` ids at most
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = plain.select("id", "text", "lang").mapInArrow(_score(shared), "id long, lang string, score double")
-    net, cut, languages = model or (None, 0.0, {})
-    points = {k: float(1 / (1 + np.exp(-(v - cut + np.log(POINT / (1 - POINT)))))) for k, v in languages.items()}
+    chosen = learn.orderBy(_pick(F.col("id")), "id").limit(rows)
+    net, learned = fit(plain.join(F.broadcast(chosen), "id").dropDuplicates(["id"])) or (None, [])  # ``rows`` ids at most
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    raw = staged(plain.select("id", "text", "lang").mapInArrow(_score(shared), "id long, lang string, logit double"))
+    cut, languages = cuts(raw, learn, learned) if net else (0.0, {})
+    shift = float(np.log(POINT / (1 - POINT))) - cut
+    scored = raw.withColumn("score", 1 / (1 + F.exp(-(F.col("logit") + shift))))
+    points = {k: float(1 / (1 + np.exp(-(v + shift)))) for k, v in languages.items()}
     threshold = F.lit(POINT)
     for k, v in sorted(points.items()):
         threshold = F.when(F.col("lang") == k, F.lit(v)).otherwise(threshold)

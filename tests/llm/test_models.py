@@ -176,6 +176,14 @@ def test_common_subsequences():
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
 
 
+def test_passages_with_null_ids(spark):
+    item = "where does the old river meet the sea and who lives on its banks today"
+    bench = spark.createDataFrame([(None, item), (None, "another passage that nobody will ever find anywhere in here"), (3, "x" * 60)], "item_id long, text string")
+    df = spark.createDataFrame([(None, f"so {item} then"), (None, "clean"), (1, f"so {item}"), (2, "clean"), (3, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.item_id, r.start) for r in D.matches(df, bench).collect()), key=str) == [(1, None, 3), (None, None, 3)]
+    assert sorted((tuple(r) for r in D.clean(df, bench).collect()), key=str) == [(2, "clean"), (3, None), (None, "clean")]
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = SMALL.replace("0.001", "0.1")
     labelled = read("labels", "doc_id, toxic", "toxic IS NOT NULL", folder)[:2400]

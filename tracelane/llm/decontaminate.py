@@ -15,7 +15,8 @@ The items are the stated set that all documents are compared with. They go to th
 most ``BLOCK_CHARS`` characters (one pass over the documents for each), so memory has a bound.
 
 Defined cases: null or empty texts match nothing, nor do items shorter than ``MIN_ITEM`` characters after
-normalising (they name no passage); repeated items give the least id; repeated rows are searched as often as they come;
+normalising (they name no passage); below 71 characters fewer edits than ``PERCENT`` are allowed, (m + 1) // q - 2;
+parts of an item are no match; repeated items give the least id, null last; repeated rows are searched as often as they come;
 empty tables give empty results; other columns are ignored (``matches``) or kept (``clean``).
 """
 
@@ -77,7 +78,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], percent: int):
         self.ids, self.codes, self.edits = [], [], []
         seen = set()
-        for item_id, text in sorted(rows):
+        for item_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
             codes = normalised(text.strip())[0]
             if len(codes) >= MIN_ITEM and codes.tobytes() not in seen:
                 seen.add(codes.tobytes())
@@ -210,7 +211,7 @@ def search(text: str | None, items: Items) -> list[tuple[int, int, int, int]]:
     for x, a, b in items.regions(codes):
         for start, end, edits in items.align(x, codes[a:b]):
             found.append((items.ids[x], int(origin[a + start]), int(origin[a + end - 1]) + 1, edits))
-    return sorted(set(found))
+    return sorted(set(found), key=lambda f: (f[0] is None, f[0] or 0, *f[1:]))
 
 
 def _run(rows: list[tuple[int, str]], percent: int):
@@ -227,7 +228,7 @@ def _run(rows: list[tuple[int, str]], percent: int):
 def _blocks(benchmark: DataFrame, item_col: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, one partition of the table at a time."""
     block, size = [], 0
-    for row in benchmark.where(F.col(text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(text).cast("string")).toLocalIterator():
+    for row in benchmark.where(F.col(text).isNotNull()).select(F.col(item_col).cast("long"), F.col(text).cast("string")).toLocalIterator():
         block.append(tuple(row))
         size += len(row[1])
         if size >= BLOCK_CHARS:
@@ -250,9 +251,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents in which no benchmark passage is found, with all their columns."""
-    found = matches(docs, benchmark, percent, id_col, text).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(found, docs[id_col].cast("long") == found["_gone"], "left_anti")
+    """The documents in which no benchmark passage is found, with all their columns; told apart by text, so ids may be null."""
+    by_text = docs.select(F.xxhash64(F.col(text).cast("string")).alias("_gone"), F.col(text).alias("text"))
+    found = matches(by_text, benchmark, percent, "_gone").select("_gone").distinct()
+    return docs.join(found, F.xxhash64(docs[text].cast("string")) == found["_gone"], "left_anti")
 
 
 def op9_benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

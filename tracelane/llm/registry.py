@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tracelane.llm import chat, decontaminate, html, licences, neardup, packing, pii, quality, secrets, toxicity, vectors, warc
+from tracelane.llm import chat, decontaminate, html, licences, neardup, packing, pii, quality, repair, secrets, toxicity, vectors, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (pii, warc, chat, packing, licences, toxicity, html, neardup, decontaminate, quality, secrets, vectors):
+for module in (pii, warc, chat, packing, licences, toxicity, html, neardup, decontaminate, quality, secrets, repair, vectors):
     for name, (query, sql) in module.REGISTERED.items():
         QUERIES[name] = query
         if sql is not None:

@@ -8,7 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from conftest import SMALL, docs, no_docs, odd_docs, read
+from text_helpers import SMALL, docs, no_docs, odd_docs, read
 from pyspark.sql import functions as F
 
 from tracelane.llm import chat as C

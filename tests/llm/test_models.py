@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import SMALL, docs, no_docs, odd_docs, read
+from text_helpers import SMALL, docs, no_docs, odd_docs, read
 from pyspark.sql import functions as F
 
 from tracelane.llm import decontaminate as D

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
-from conftest import SMALL, docs, no_docs, odd_docs, read
+from text_helpers import SMALL, docs, no_docs, odd_docs, read
 
 from tracelane.llm import neardup as N
 from tracelane.llm.graph import components

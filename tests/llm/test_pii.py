@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 
-from conftest import SMALL, docs, no_docs, odd_docs, read
+from text_helpers import SMALL, docs, no_docs, odd_docs, read
 
 from tracelane.llm import pii as P
 

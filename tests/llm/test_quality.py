@@ -6,7 +6,7 @@ import random
 import re
 
 import numpy as np
-from conftest import SMALL, docs, no_docs, odd_docs, read
+from text_helpers import SMALL, docs, no_docs, odd_docs, read
 
 from tracelane.llm import quality as Q
 

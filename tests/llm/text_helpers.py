@@ -1,26 +1,14 @@
-from __future__ import annotations
+"""Small inputs that the tests of the text operators share."""
 
-import sys
-from pathlib import Path
+from __future__ import annotations
 
 import duckdb
-import pytest
-
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
-from tracelane.session import local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 #: The columns of documents, and names that the operators use inside.
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, h string, value string, key string, _gone string, spans string, host string, part string, q string, digest string"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    session = local_session(cpus=4, partitions=4, app="llm-tests", memory="4g")
-    yield session
-
-
 def docs(spark, *texts, first=1, **other):
     """Documents with ids from ``first``, all other columns filled with clashing names."""
     rows = [(i, t, other.get("lang", "en"), other.get("source", "s"), None if t is None else len(t), *["x"] * 10) for i, t in enumerate(texts, first)]

@@ -188,7 +188,10 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start, s.stop)), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
+
+    counts = [count(at).alias(f"n_{KINDS[at]}") for at in range(3)]
     every = F.sort_array(F.concat("base", "random"))
     return found.select(id_col, *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("random").cast("long").alias("n_random"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import iso, ms, rows, us, write_jsonl
+from helpers import iso, ms, rows, us, write_jsonl
 from pyspark.sql import functions as F
 
 from tracelane.operators.roots import root_prefixes

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 import random
 
-from conftest import rows, us
+from helpers import rows, us
 from pyspark.sql import functions as F
 
 from tracelane.functions import actions as A

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import iso, ms, rows, us, write_jsonl
+from helpers import iso, ms, rows, us, write_jsonl
 from pyspark.sql import functions as F
 
 from tracelane.plans import model

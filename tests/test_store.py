@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from conftest import rows, us
+from helpers import rows, us
 from pyspark.sql import functions as F
 
 from tracelane.plans.model import Tables

@@ -6,7 +6,7 @@ import json
 import os
 
 import pytest
-from conftest import iso, rows, us, write_jsonl
+from helpers import iso, rows, us, write_jsonl
 from pyspark.sql import functions as F
 
 from tracelane.operators.attribution import coalesce_changes

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows, us
+from helpers import rows, us
 from pyspark.sql import functions as F
 
 from tracelane.functions.actions import ActionFilter

@@ -52,7 +52,7 @@ def test_pipeline(spark, tmp_path):
     assert rows(seen, "rel", "content") == [("made.txt", ""), ("made.txt", "v1\n"), ("made.txt", "v2\n"), ("new.txt", "x\n")]
 
     log = str(tmp_path / "log")
-    changelog.write_change_log(as_log(events), log, "first")
+    changelog.write_change_log(as_log(events), log, 0)
     replayed, copies = changelog.resolve_replay(changelog.read_change_log(spark, log), tables.participants, roots)
     assert rows(replayed, "who", "rel", "start_us") == rows(events, "who", "rel", "start_us")
     assert rows(changelog.known_calls(tables.calls, copies), "who", "input") == rows(tables.calls, "who", "input")

@@ -1,4 +1,4 @@
-"""The persisted log of attributed changes: JSON lines per root, appended and replayed."""
+"""The persisted log of attributed changes: JSON lines per root, committed batch by batch and replayed."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelane.functions.calls import parse_ts
 from tracelane.operators.roots import project_rel, root_prefixes
 from tracelane.sources import variant as V
+from tracelane.sources.committed import Committed
 from tracelane.sources.participants import YOU
 from tracelane.sources.touches import detail
 
@@ -37,14 +38,19 @@ def log_lines(changes: DataFrame) -> DataFrame:
     return changes.select("root_id", F.to_json(line).alias("value"))
 
 
-def write_change_log(changes: DataFrame, path: str, batch: str | int) -> None:
-    """Add one batch to the log. Writing the same batch again replaces it, so a retry is safe."""
-    log_lines(changes).write.mode("overwrite").partitionBy("root_id").text(f"{path}/batch={batch}")
+def change_log(spark: SparkSession, path: str) -> Committed:
+    """The log's files: JSON lines by root, in force once their commit is published."""
+    return Committed(spark, path, ("root_id",), "text")
+
+
+def write_change_log(changes: DataFrame, path: str, batch: int) -> bool:
+    """Add one batch to the log. What a failed attempt left behind is never read, and a repeated batch changes nothing."""
+    return change_log(changes.sparkSession, path).append(log_lines(changes), batch)
 
 
 def read_change_log(spark: SparkSession, path: str) -> DataFrame:
     """Well-formed lines of the log; what cannot be understood is skipped."""
-    return parse_lines(spark.read.option("basePath", path).text(path).select("root_id", "value"))
+    return parse_lines(change_log(spark, path).read("value string, root_id bigint"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -110,5 +116,3 @@ def known_calls(transcript: DataFrame, replayed: DataFrame) -> DataFrame:
     only = replayed.join(transcript.select("who", "call_id"), ["who", "call_id"], "left_anti")
     names = ["who", "call_id", "tool", "input"]
     return transcript.select(*names).unionByName(only.select(*names))
-
-

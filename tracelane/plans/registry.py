@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tracelane.plans import q_logs, q_query, q_text, q_time, q_tree
+from tracelane.plans import q_logs, q_query, q_streams, q_text, q_time, q_tree
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for module in (q_time, q_query, q_tree, q_text, q_logs):
+for module in (q_time, q_query, q_tree, q_text, q_logs, q_streams):
     for name, (query, sql) in module.REGISTERED.items():
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")

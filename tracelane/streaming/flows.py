@@ -1,9 +1,10 @@
 """The same operators on streams.
 
-Transcripts arrive as closed segment files (a growing file is never read again by a stream):
+Transcripts arrive as growing files (``growing``) or as closed segment files
 ``<dir>/<stem>.<generation>.<first line>.jsonl``. A transcript that was rewritten starts a new
 generation. Windows over row order do not exist on streams, so what needs them runs inside
-``foreachBatch`` on the batch operators, against tables of what is known so far.
+``foreachBatch`` on the batch operators, against tables of what is known so far. Runs with late rows are
+in ``fold``, keyed state with timers in ``states``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from tracelane.operators.pairing import pair_calls
 from tracelane.plans.live import as_log, classify_changes
 from tracelane.session import staged
 from tracelane.sources.changelog import write_change_log
+from tracelane.sources.committed import Committed, partition_values
 from tracelane.sources.raw import number_lines, plain_path
+from tracelane.streaming.growing import numbered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -69,6 +72,18 @@ def ingest(stream: DataFrame, table: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def ingest_growing(stream: DataFrame, table: str, checkpoint: str):
+    """Commit the lines of every batch of growing files (``growing.tail_growing``) to a table; read them with ``grown_lines``."""
+    lines = Committed(stream.sparkSession, table)
+    return stream.writeStream.foreachBatch(lambda batch, batch_id: lines.append(batch, batch_id) and None).option("checkpointLocation", checkpoint)
+
+
+def grown_lines(spark: SparkSession, table: str) -> DataFrame:
+    """The committed lines with their numbers, of each transcript's latest generation."""
+    kept = Committed(spark, table).read("file string, generation bigint, split bigint, n bigint, pos bigint, value string")
+    return numbered(current(kept))
+
+
 def current(lines: DataFrame) -> DataFrame:
     """Only the latest generation of each transcript."""
     latest = lines.groupBy("file").agg(F.max("generation").alias("generation"))
@@ -90,6 +105,28 @@ def reset_batch(events: DataFrame, known: DataFrame, batch_lines: DataFrame, fre
     return reset_reload(events, newer, fresh)
 
 
+def reingest(table: Committed, batch_id: int, who: DataFrame, fresh: DataFrame, parts: int = 64) -> bool:
+    """Replace what the transcripts of ``who`` gave by ``fresh``, in a table that is partitioned by their hash.
+
+    Only the partitions in which these transcripts lie are written anew, all in one commit; the files of the others stay.
+    ``table`` has the partition column ``part`` (``by_transcript``).
+    """
+
+    def change() -> tuple[DataFrame, list[str]]:
+        both = by_transcript(who.select("who").unionByName(fresh.select("who")), parts)
+        files = table.in_partitions(partition_values(both, "part"))
+        new = by_transcript(fresh, parts)
+        if not files:
+            return new, []
+        return reset_reload(table.read(files=files), who, new.select(*table.read(files=files).columns)), files
+
+    return table.replace(change, batch_id)
+
+
+def by_transcript(events: DataFrame, parts: int = 64) -> DataFrame:
+    return events.withColumn("part", F.pmod(F.xxhash64("who"), F.lit(parts)).cast("int"))
+
+
 # --- changes ---------------------------------------------------------------------------
 
 
@@ -135,7 +172,7 @@ def attribute_stream(
     """Attribute settled changes with the batch operators and append them to the log.
 
     ``tables`` gives the current prefixes, file_events, windows, calls and snapshots at each
-    batch. The log's batch folders make a repeated batch replace itself.
+    batch. The log's manifest makes a repeated batch change nothing.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -271,6 +308,17 @@ def last_activity(records: DataFrame) -> DataFrame:
     )
 
 
+def keep_updates(updates: DataFrame, table: str, checkpoint: str):
+    """Commit the updates of a keyed stream. A repeated batch is still run, for the state it makes, but not added again."""
+    log = Committed(updates.sparkSession, table)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if not log.append(batch.withColumn("batch", F.lit(batch_id).cast("bigint")), batch_id):
+            batch.write.format("noop").mode("overwrite").save()
+
+    return updates.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def missed(raw: DataFrame, handled: DataFrame, key: str = "event_id") -> DataFrame:
-    """Rows of the raw table that the stream dropped as too late, for the batch path."""
+    """Rows of the raw table that a stream with a watermark dropped as too late; ``fold.fold`` takes them in."""
     return raw.join(handled.select(key), key, "left_anti")

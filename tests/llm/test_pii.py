@@ -86,6 +86,22 @@ def test_contexts_count_words_of_all_documents(spark):
     assert spans(docs(spark, *texts, *number_free))[13] == ""
 
 
+def test_counts_are_the_same_listed_or_joined(spark):
+    df = docs(spark, "one two three one two", "One two", None, "", "4 two 5 two", "two one two")
+    shared = spark.createDataFrame([("one two",), ("0 two",), ("nine ten",)], "pattern string")
+    want = [("0 two", 2), ("one two", 4)]
+    assert sorted(map(tuple, P.spoken_pairs(df, "text", shared).collect())) == sorted(map(tuple, P.spoken_pairs(df, "text", shared, listed=1).collect())) == want
+
+
+def test_words_longer_than_the_window_are_whole_patterns(spark):
+    long = "k" * 200
+    texts = [f"see {long} id user{i}@mail.example.com end" for i in range(12)] + [f"see {long} id AB-90817-X end", f"see {'k' * 199} id AB-11111-Y end"]
+    texts += [f"the {'z' * 300} user{i}@mail.example.com end" for i in range(12)] + [f"the {'z' * 300} QQ-12345-X end", f"the y{'z' * 299} QQ-54321-X end"]
+    got = {r.doc_id: r.spans for r in P.report(docs(spark, *texts)).collect()}
+    assert got[13].startswith("context:") and got[14] == ""
+    assert got[27].startswith("context:") and got[28] == ""
+
+
 def test_masking(spark):
     df = docs(spark, "write to a.b@mail.example.com or +1 (803) 555-5351.", "nothing here", None, "x 10.0.0.1 y 10.0.0.1")
     out = P.mask(df)

@@ -6,7 +6,7 @@ import random
 import re
 
 import numpy as np
-from text_helpers import SMALL, docs, no_docs, odd_docs, read
+from text_helpers import DOCS, SMALL, docs, no_docs, odd_docs, read
 
 from tracelane.llm import quality as Q
 
@@ -76,3 +76,12 @@ def test_odd_rows(spark, monkeypatch):
     kept = Q.filter_documents(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns and kept.count() == 0
     assert Q.judge(no_docs(spark)).count() == 0 and Q.filter_documents(no_docs(spark)).count() == 0
+
+
+def test_null_and_shared_ids_do_not_take_good_documents(spark):
+    good = " ".join(f"word{i} and" for i in range(60))
+    rows = [(None, good, "en", "s", 1), (None, "bad", "en", "s", 1), (None, None, "en", "s", 1), (7, "bad", "en", "s", 1), (7, good + " more", "en", None, 1), (8, good, "en", "s", 1), (8, good, "en", "s", 1), (9, "bad", None, None, 1)]
+    df = spark.createDataFrame([(*r, *["x"] * 10) for r in rows], DOCS)
+    kept = Q.filter_documents(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("None", good), ("7", good + " more"), ("8", good), ("8", good)])

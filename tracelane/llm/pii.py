@@ -45,7 +45,8 @@ MIN_SUPPORT = 3
 DOUBT = 1.0
 ACCEPT = 0.6
 CONTEXT_CHARS = 80
-CODES = 1 << 18
+#: Patterns that may be listed in a plan.
+LISTED = 4096
 
 
 def _luhn(digits: Column) -> Column:
@@ -102,9 +103,16 @@ def _of_kind(text: Column, kind: str) -> Column:
 
 
 def _left_words(text: Column, start: Column) -> Column:
-    """The two words before a position, lower-cased, digits folded; null if there are none."""
+    """The two words before a position, lower-cased, digits folded; null if there are none.
+
+    They are looked for in ``CONTEXT_CHARS`` characters first, and in the whole text before the position where those
+    do not hold two words from their first letter on.
+    """
     near = F.substring(text, F.greatest(start - CONTEXT_CHARS + 1, F.lit(1)).cast("int"), F.least(start, F.lit(CONTEXT_CHARS)).cast("int"))
-    return F.nullif(F.regexp_replace(F.lower(F.array_join(F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), words(near)), -2, 2), " ")), "[0-9]", "0"), F.lit("^ ^"))
+    last = lambda w: F.array_join(F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), w), -2, 2), " ")
+    whole = last(words(F.substring(text, F.lit(1), start.cast("int"))))
+    found = let(words(near), lambda w: F.when((F.size(w) > 2) | (start <= CONTEXT_CHARS), last(w)).otherwise(whole))
+    return F.nullif(F.regexp_replace(F.lower(found), "[0-9]", "0"), F.lit("^ ^"))
 
 
 def scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -128,16 +136,18 @@ def scan(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return based.select("id", F.xxhash64("text").alias("h"), F.when(worth, with_left).otherwise(none).alias("spans"), F.when(worth, others).otherwise(none).alias("others"))
 
 
-def spoken_pairs(docs: DataFrame, text: str, shared: DataFrame) -> DataFrame:
-    """How often each two words follow each other in all of the documents, for those that may be in ``shared``.
+def spoken_pairs(docs: DataFrame, text: str, shared: DataFrame, listed: int = LISTED) -> DataFrame:
+    """How often each pattern of ``shared`` stands in the words of all of the documents.
 
-    The filter by code keeps what is counted small; its broadcast side has ``CODES`` rows at most.
+    Up to ``listed`` patterns are a list that the scan itself tests, so each task counts these alone. With more, all
+    word pairs are counted before the join. Either way what is shuffled is counts, one per (task, pair) at most.
     """
     low = F.regexp_replace(F.lower("text"), "[0-9]", "0")
     pairs = let(words(low), lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))))
-    code = F.pmod(F.xxhash64("pattern"), F.lit(CODES)).alias("code")
-    spoken = docs.select(F.col(text).cast("string").alias("text")).select(F.explode(pairs).alias("pattern")).select("pattern", code)
-    return spoken.join(F.broadcast(shared.select(code).distinct()), "code", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("spoken"))
+    spoken = docs.select(F.col(text).cast("string").alias("text")).select(F.explode(pairs).alias("pattern"))
+    names = [r["pattern"] for r in shared.select("pattern").limit(listed + 1).collect()]
+    counts = (spoken.where(F.col("pattern").isin(names)) if len(names) <= listed else spoken).groupBy("pattern").agg(F.count(F.lit(1)).alias("spoken"))
+    return counts if len(names) <= listed else counts.join(shared.select("pattern"), "pattern", "left_semi")
 
 
 def discovered(scanned: DataFrame, docs: DataFrame, text: str) -> DataFrame:

@@ -205,9 +205,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that ``judge`` keeps, with all their columns. Rows of one id are judged together: one rejected row rejects the id."""
-    gone = judge(docs, id_col, text, lang, source).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents that ``judge`` keeps, with all their columns.
+
+    A verdict depends on text, language and source alone. So rows are told apart by these, whatever their ids:
+    null or shared ids never take a good document with a bad one.
+    """
+    parts = [docs[c].cast("string") for c in (text, lang, source)]
+    same = F.xxhash64(*parts, *[p.isNull() for p in parts])
+    named = docs.select(same.alias("_gone"), docs[text].alias("text"), docs[lang].alias("lang"), docs[source].alias("source"))
+    gone = judge(named, "_gone", "text", "lang", "source").where(~F.col("kept")).select("_gone").distinct()
+    return docs.join(gone, same == gone["_gone"], "left_anti")
 
 
 def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from tracelane.session import shared_folder, staged
 from tracelane.sources import changelog, claude, codex, omp, participants, raw
 from tracelane.sources import touches as T
 from tracelane.sources import variant as V
+from tracelane.sources.committed import Committed
 from tracelane.streaming import flows
 
 REGISTERED: dict = {}
@@ -699,7 +700,7 @@ _STREAM_QUIET = 43_200
 
 
 @register(
-    "stream_coalesce",
+    "stream_coalesce_closed",
     with_sql(
         "ev",
         f"""
@@ -711,7 +712,7 @@ _STREAM_QUIET = 43_200
     WHERE NOT (begin = 1 AND top = 2) AND (at_us + {_STREAM_QUIET}000000 - 1) // 1000 <= (SELECT max(at_us) FROM e) // 1000 - 10000""",
     ),
 )
-def stream_coalesce(spark, sf):
+def stream_coalesce_closed(spark, sf):
     """The debounced change stream; what the watermark has not passed yet is still open."""
     from dataclasses import replace
 
@@ -731,7 +732,7 @@ def stream_coalesce(spark, sf):
 
 
 @register(
-    "stream_spans",
+    "stream_spans_closed",
     with_sql(
         "fx",
         """
@@ -741,7 +742,7 @@ def stream_coalesce(spark, sf):
     SELECT * FROM s WHERE (end_us + 3600000000) // 1000 <= (SELECT max(start_us) FROM fx) // 1000 - 10000""",
     ),
 )
-def stream_spans(spark, sf):
+def stream_spans_closed(spark, sf):
     """Activity spans of the event stream, closed ones only."""
     from dataclasses import replace
 
@@ -755,7 +756,7 @@ def stream_spans(spark, sf):
 
 
 @register(
-    "stream_pairs",
+    "stream_pairs_closed",
     with_sql(
         "ev",
         """
@@ -765,7 +766,7 @@ def stream_spans(spark, sf):
     FROM g GROUP BY who, call_id, gen HAVING count(*) FILTER (WHERE NOT res) > 0 AND count(*) FILTER (WHERE res) > 0""",
     ),
 )
-def stream_pairs(spark, sf):
+def stream_pairs_closed(spark, sf):
     """Calls and results of the event stream, paired however far apart they are."""
     t, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("int")
     records = _event_stream(spark, sf).where(t.isin("click", "purchase")).select(
@@ -797,13 +798,10 @@ def stream_activity(spark, sf):
         F.col("user_id").alias("session"), at.alias("at_us"), is_exit.alias("is_exit"), F.when(is_exit, at).alias("recorded_us")
     )
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    query = (
-        flows.last_activity(records).writeStream.outputMode("complete")
-        .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
-        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema("session bigint, start_us bigint, last_seen_us bigint, end_us bigint").parquet(f"{base}/out")
+    updates = flows.keep_updates(flows.last_activity(records), f"{base}/out", f"{base}/state")
+    updates.trigger(availableNow=True).start().awaitTermination()
+    changed = Committed(spark, f"{base}/out").read("session bigint, start_us bigint, last_seen_us bigint, end_us bigint, batch bigint")
+    return changed.groupBy("session").agg(F.max_by(F.struct("start_us", "last_seen_us", "end_us"), "batch").alias("s")).select("session", "s.*")
 
 
 _REPLAY_ROOTS = [(0, "/r0"), (1, "/r1"), (2, "/r2"), (3, "/r0/src/m3")]

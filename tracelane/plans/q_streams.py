@@ -156,7 +156,7 @@ def _emptied(folder: str):
 
 
 @register(
-    "state_pairs",
+    "stream_pairs",
     with_sql(
         "ev",
         """
@@ -167,7 +167,7 @@ def _emptied(folder: str):
     FROM g GROUP BY who, call_id, gen HAVING count(*) FILTER (WHERE NOT res) > 0""",
     ),
 )
-def state_pairs(spark, sf):
+def stream_pairs(spark, sf):
     """Calls and results in five batches, paired by keyed state: closed calls and those that are still open."""
     base = _base(spark)
     e = S.ev(spark, sf).where(F.col("event_type").isin("click", "purchase")).select(
@@ -184,7 +184,7 @@ def state_pairs(spark, sf):
 
 
 @register(
-    "state_sessions",
+    "stream_status",
     with_sql(
         "ev",
         """
@@ -194,7 +194,7 @@ def state_pairs(spark, sf):
       CASE WHEN x >= coalesce(o, x) THEN x WHEN last_seen_us // 1000 + 120000 <= mark THEN last_seen_us END AS end_us FROM s, w""",
     ),
 )
-def state_sessions(spark, sf):
+def stream_status(spark, sf):
     """Sessions kept by state and timer: an end is a record or 120 silent seconds of event time."""
     base = _base(spark)
     is_exit = F.col("event_type") == "error"
@@ -212,7 +212,7 @@ _QUIET = 43_200
 
 
 @register(
-    "folded_bursts",
+    "stream_coalesce",
     with_sql(
         "ev",
         f"""
@@ -223,7 +223,7 @@ _QUIET = 43_200
     SELECT path, event_id, at_us, CASE top WHEN 2 THEN 'removed' WHEN 1 THEN 'created' ELSE 'modified' END AS change, n_raw FROM c WHERE NOT (begin = 1 AND top = 2)""",
     ),
 )
-def folded_bursts(spark, sf):
+def stream_coalesce(spark, sf):
     """Debounced changes of a stream whose rows come in any order: late ones join, extend and unite bursts."""
     base = _base(spark)
     m = F.col("event_id") % 3
@@ -237,7 +237,7 @@ def folded_bursts(spark, sf):
 
 
 @register(
-    "folded_spans",
+    "stream_spans",
     with_sql(
         "fx",
         """
@@ -246,7 +246,7 @@ def folded_bursts(spark, sf):
     SELECT who, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n_intervals FROM n GROUP BY who, run""",
     ),
 )
-def folded_spans(spark, sf):
+def stream_spans(spark, sf):
     """Activity spans of a stream whose intervals come in any order, the last ones included."""
     base = _base(spark)
     parts = S.fx(spark, sf).select("who", "start_us", "end_us", "event_id")

@@ -58,6 +58,12 @@ class Store:
         finally:
             stream.close()
 
+    def rename(self, name: str, to: str) -> bool:
+        """Rename a file or folder; False where the new name is taken."""
+        if self.fs.exists(self._path(to)):
+            return False
+        return self.fs.rename(self._path(name), self._path(to))
+
     def publish(self, name: str, text: str) -> None:
         """Create a file as a whole, or fail where it exists."""
         hidden = self._path(f"_commits/.{uuid.uuid4().hex}")

@@ -275,9 +275,8 @@ def test_raster_and_lanes(spark):
         [(1, "a", us(0), us(60), "read"), (2, "b", us(10), us(20), "write"), (3, "c", us(15), us(20), "write")],
         "event_id bigint, who string, start_us bigint, end_us bigint, kind string",
     )
-    nodes = spark.createDataFrame([(1, "n"), (2, "n"), (3, "n")], "event_id bigint, node string")
     b0 = us(0) // (60 * US)
-    got = {r.bucket - b0: (r.who, r.is_write) for r in T.gantt_nodes(ev, nodes, 60).collect()}
+    got = {r.bucket - b0: (r.who, r.is_write) for r in T.gantt_nodes(ev.withColumn("rel", F.lit("n")), 60).collect()}
     # Equal ends: the earlier event. Ending on a column's first instant still touches it.
     assert got == {0: ("b", 1), 1: ("a", 0)}
     people = spark.createDataFrame([("m", "m"), ("s", "m")], "who string, main string")
@@ -288,6 +287,44 @@ def test_raster_and_lanes(spark):
     assert got == {("s", 0): 2, ("m", 0): 1, ("m", 1): 2, ("s", 1): 2, ("you", 0): 2, ("you", 1): 3}
 
 
+def test_dyadic_cells_make_up_their_columns(spark):
+    import random
+
+    draw = random.Random(1)
+    spans = [(a, a + n) for a in (-9, -8, -1, 0, 1, 7, 8) for n in range(20)] + [(a := draw.randint(-(1 << 40), 1 << 40), a + draw.randint(0, 1 << 30)) for _ in range(50)]
+    df = spark.createDataFrame(spans, "a bigint, b bigint")
+    for r in df.select("a", "b", T.dyadic_cells(F.col("a"), F.col("b")).alias("c")).collect():
+        parts = sorted((x.cell << x.level, (x.cell + 1 << x.level) - 1) for x in r.c)
+        assert parts[0][0] == r.a and parts[-1][1] == r.b
+        assert all(y[0] == x[1] + 1 for x, y in zip(parts, parts[1:], strict=False))
+        assert len(parts) <= 2 * (r.b - r.a + 1).bit_length()
+
+
+def test_a_long_interval_costs_few_rows_and_shows_every_column(spark):
+    month = 30 * 86_400
+    df = spark.createDataFrame([("x", us(5), us(month)), ("y", us(100), us(101)), ("z", us(-40), us(12))], "who string, start_us bigint, end_us bigint")
+    assert T.cover(df.where("who = 'x'"), 10).count() <= 40
+    b0 = us(0) // (10 * US)
+    got = {r.bucket - b0: (r.n, r.people) for r in T.overlap_counts(df.withColumn("k", F.lit(1)), ("k",), "who", 10).collect()}
+    assert got == {b: (1 + (b == 10) + (b < 2), 1 + (b == 10) + (b < 2)) if b >= 0 else (1, 1) for b in range(-4, month // 10 + 1)}
+    few = T.overlap_totals(df, 10, b0 + 9, b0 + 11)
+    assert {r.bucket - b0: r.n for r in few.collect()} == {9: 1, 10: 2, 11: 1}
+
+
+def test_tops_of_chains_and_cycles(spark):
+    from tracelane.sources.participants import tops
+
+    n = 10_000
+    chain = [(f"c{i:05d}", f"c{i - 1:05d}" if i else None) for i in range(n)]
+    cycle = [("z1", "z2"), ("z2", "z3"), ("z3", "z1"), ("a-tail", "z2"), ("a-tail2", "a-tail"), ("self", "self"), ("alone", None), ("orphan", "nowhere")]
+    got = {r.who: (r.top, r.depth) for r in tops(spark.createDataFrame(chain + cycle, "who string, parent string")).collect()}
+    assert all(got[f"c{i:05d}"] == ("c00000", i) for i in range(n))
+    assert {w: got[w] for w, _ in cycle} == {
+        "z1": ("z1", None), "z2": ("z1", None), "z3": ("z1", None), "a-tail": ("z1", None), "a-tail2": ("z1", None),
+        "self": ("self", None), "alone": ("alone", 0), "orphan": ("orphan", 0),
+    }
+
+
 def test_recency_and_status(spark):
     seen = [80, 10, 20, 30, 40, 50, 60, 70]
     df = spark.createDataFrame([(f"s{i}", us(0), us(t), None) for i, t in enumerate(seen)], "session string, start_us bigint, last_seen_us bigint, end_us bigint")

@@ -145,54 +145,75 @@ def fit_width(
     )
 
 
-def overlap_buckets(df: DataFrame, width_s: int, start: str = "start_us", end: str = "end_us") -> DataFrame:
-    """One row per grid column an interval touches; touching a column's start counts."""
-    return df.withColumn(
-        "bucket", F.explode(F.sequence(grid_us(F.col(start), width_s), grid_us(F.col(end), width_s)))
-    )
+def dyadic_cells(first: Column, last: Column) -> Column:
+    """The aligned cells that make up the columns ``first`` to ``last``: structs (level, cell), 2^level columns each, two per level at most."""
+    end = last + 1
 
+    def at(level: Column) -> Column:
+        lo = -F.call_function("shiftright", -first, level)  # rounded up
+        hi = F.call_function("shiftright", end, level)
+        cell = lambda odd, index: F.when((odd.bitwiseAND(F.lit(1)) == 1) & (lo < hi), F.struct(level.alias("level"), index.alias("cell")))
+        return F.array_compact(F.array(cell(lo, lo), cell(hi, hi - 1)))
 
-def grid_us(at_us: Column, width_s: int) -> Column:
-    """Grid column at full precision (for overlap tests, which compare microseconds)."""
-    return floor_div(at_us, width_s * US)
+    top = F.floor(F.log2((end - first).cast("double"))).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), top), at))
 
 
-def gantt_nodes(events: DataFrame, node_events: DataFrame, width_s: int) -> DataFrame:
-    """Who a raster cell shows per (node, column): the last write's author, else the last read's.
+def cover(df: DataFrame, width_s: int, start: str = "start_us", end: str = "end_us") -> DataFrame:
+    """The cells (``level``, ``cell``) of each interval: about twice the logarithm of the columns it touches.
 
-    On equal ends the earliest event wins. The maximum is found by partial aggregation, so a
-    node that owns most events costs one row per map task and cell.
+    Touching a column's start counts. What is said per cell holds for all of its columns, so results are reduced per
+    cell first and spread over the columns that are shown at the end (``shown_columns``).
     """
-    touched = overlap_buckets(events, width_s)
-    is_write = (F.col("kind") == "write").cast("int")
-    rank = F.struct(is_write.alias("w"), F.col("end_us").alias("e"), (-F.col("event_id")).alias("i"))
-    return (
-        touched.join(node_events, "event_id")
-        .groupBy("node", "bucket")
-        .agg(F.max_by(F.struct("who", is_write.alias("is_write")), rank).alias("_top"))
-        .select("node", "bucket", F.col("_top.who").alias("who"), F.col("_top.is_write").alias("is_write"))
-    )
+    cells = dyadic_cells(grid_us(F.col(start), width_s), grid_us(F.col(end), width_s))
+    return df.select("*", F.inline(cells))
+
+
+def shown_columns(cells: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """``bucket`` instead of ``level`` and ``cell``: the columns of each cell, of those from ``first`` to ``last`` only."""
+    lo = F.call_function("shiftleft", F.col("cell"), F.col("level"))
+    hi = F.call_function("shiftleft", F.col("cell") + 1, F.col("level")) - 1
+    if first is not None:
+        lo = F.greatest(lo, F.lit(first).cast("bigint"))
+    if last is not None:
+        hi = F.least(hi, F.lit(last).cast("bigint"))
+    named = cells.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
+    return named.withColumn("bucket", F.explode(F.sequence("_lo", "_hi"))).drop("level", "cell", "_lo", "_hi")
+
+
+def overlap_counts(df: DataFrame, keys, who: str, width_s: int) -> DataFrame:
+    """Per grid column and key: intervals that touch it (``n``) and different ``who`` among them (``people``)."""
+    cells = cover(df.select(*keys, who, "start_us", "end_us"), width_s).groupBy(*keys, who, "level", "cell").agg(F.count(F.lit(1)).alias("n"))
+    per_who = shown_columns(cells).groupBy(*keys, who, "bucket").agg(F.sum("n").alias("n"))
+    return per_who.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.count(who).alias("people"))
 
 
-def gantt_paths(events: DataFrame, width_s: int, path: str = "rel") -> DataFrame:
-    """``gantt_nodes`` where a node is any ancestor of an event's path: no join is needed.
+def overlap_totals(df: DataFrame, width_s: int, first: int, last: int) -> DataFrame:
+    """Intervals that touch each shown column: one row per cell until the columns are shown."""
+    cells = cover(df.select("start_us", "end_us"), width_s).groupBy("level", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return shown_columns(cells, first, last).groupBy("bucket").agg(F.sum("n").alias("n"))
 
-    Events are first reduced to one winner per (path, column); only winners are spread over
-    the ancestors.
+
+def grid_us(at_us: Column, width_s: int) -> Column:
+    """Grid column at full precision (for overlap tests, which compare microseconds)."""
+    return floor_div(at_us, width_s * US)
+
+
+def gantt_nodes(events: DataFrame, width_s: int, leaf=("rel",), nodes: Column | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Who a raster cell shows per (node, column): the last write's author, else the last read's; of equal ends the earliest event's.
+
+    ``nodes`` is the array of nodes that an event counts for, a function of its ``leaf`` columns: by default every ancestor of its path.
+    Events are reduced to one winner per leaf and dyadic cell, only winners are spread over the nodes, and only winners of
+    a node over the columns shown. So neither a long event nor a node that owns most events costs more than a few rows per map task.
     """
+    nodes = prefixes(F.split("rel", "/")) if nodes is None else nodes
     is_write = (F.col("kind") == "write").cast("int")
     rank = F.struct(is_write.alias("w"), F.col("end_us").alias("e"), (-F.col("event_id")).alias("i"), "who")
-    leaf = (
-        overlap_buckets(events.select(path, "start_us", "end_us", rank.alias("_r")), width_s)
-        .groupBy(path, "bucket")
-        .agg(F.max("_r").alias("_r"))
-    )
-    return (
-        leaf.select(F.explode(prefixes(F.split(path, "/"))).alias("node"), "bucket", "_r")
-        .groupBy("node", "bucket")
-        .agg(F.max("_r").alias("_r"))
-        .select("node", "bucket", F.col("_r.who").alias("who"), F.col("_r.w").alias("is_write"))
-    )
+    best = F.max("_r").alias("_r")
+    leaves = cover(events.select(*leaf, "start_us", "end_us", rank.alias("_r")), width_s).groupBy(*leaf, "level", "cell").agg(best)
+    cells = leaves.select(F.explode(nodes).alias("node"), "level", "cell", "_r").groupBy("node", "level", "cell").agg(best)
+    top = shown_columns(cells, first, last).groupBy("node", "bucket").agg(best)
+    return top.select("node", "bucket", F.col("_r.who").alias("who"), F.col("_r.w").alias("is_write"))
 
 
 # What a lane cell shows, strongest last.
@@ -207,29 +228,27 @@ def gantt_lanes(
     width_s: int,
     you: object = "you",
     filtered: bool = False,
+    first: int | None = None,
+    last: int | None = None,
 ) -> DataFrame:
-    """Strongest mark per (row, column).
+    """Strongest mark per (row, column), of the columns from ``first`` to ``last`` only.
 
     ``you`` shows a prompt over an own event; an agent shows its own span; a session's main
     row shows a child mark where another participant of the session was active. While an
     action filter is on, pass events as ``spans`` (with ``you`` among them): prompts then do
     not show.
     """
-    own = overlap_buckets(spans.select("who", "start_us", "end_us"), width_s)
-    own = own.select("who", "bucket").distinct()
+    at = ["level", "cell"]
+    own = cover(spans.select("who", "start_us", "end_us"), width_s).select("who", *at).distinct()
     mark = lambda who, value: F.struct(who.alias("who"), F.lit(value).alias("mark"))
     child = F.when(F.col("main") != F.col("who"), mark(F.col("main"), MARK_CHILD))
     both = own.join(participants.select("who", "main"), "who", "left")
-    marks = both.select("bucket", F.inline(F.array_compact(F.array(mark(F.col("who"), MARK_ACTIVE), child)))).select("who", "bucket", "mark")
+    marks = both.select(*at, F.inline(F.array_compact(F.array(mark(F.col("who"), MARK_ACTIVE), child)))).select("who", *at, "mark")
     if not filtered:
-        mine = overlap_buckets(you_events.select("start_us", "end_us"), width_s)
-        marks = marks.unionByName(
-            mine.select(F.lit(you).alias("who"), "bucket", F.lit(MARK_ACTIVE).alias("mark"))
-        ).unionByName(
-            prompts.select(
-                F.lit(you).alias("who"),
-                grid_us(F.col("at_us"), width_s).alias("bucket"),
-                F.lit(MARK_PROMPT).alias("mark"),
-            )
+        mine = cover(you_events.select("start_us", "end_us"), width_s)
+        asked = grid_us(F.col("at_us"), width_s).alias("cell")
+        marks = marks.unionByName(mine.select(F.lit(you).alias("who"), *at, F.lit(MARK_ACTIVE).alias("mark"))).unionByName(
+            prompts.select(F.lit(you).alias("who"), F.lit(0).alias("level"), asked, F.lit(MARK_PROMPT).alias("mark"))
         )
-    return marks.groupBy("who", "bucket").agg(F.max("mark").cast("bigint").alias("mark"))
+    strongest = F.max("mark").cast("bigint").alias("mark")
+    return shown_columns(marks.groupBy("who", *at).agg(strongest), first, last).groupBy("who", "bucket").agg(strongest)

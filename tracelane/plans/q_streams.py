@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelane.config import DEFAULTS, Params
+from tracelane.operators.ordered import ordered, previous
 from tracelane.operators.roots import root_prefixes
 from tracelane.plans import shims as S
 from tracelane.plans.shims import with_sql
@@ -22,6 +23,7 @@ from tracelane.session import shared_folder, staged
 from tracelane.sources import changelog, store
 from tracelane.sources import variant as V
 from tracelane.sources.committed import Committed
+from tracelane.sources.participants import tops
 from tracelane.streaming import flows, fold, growing, states
 
 REGISTERED: dict = {}
@@ -232,7 +234,7 @@ def stream_coalesce(spark, sf):
     )
     runs = fold.burst_runs(replace(DEFAULTS, debounce=_QUIET))
     stream = fold.burst_rows(_fed(changes, base, 4, _mixed("event_id", 4)))
-    _until_done(fold.fold_stream(stream, f"{base}/bursts", f"{base}/state", runs, slot_us=S.DAY_US))
+    _until_done(fold.fold_stream(stream, f"{base}/bursts", f"{base}/state", runs, slot_us=S.DAY_US, parts=2))
     return fold.settled(fold.stored(fold.run_table(spark, f"{base}/bursts"), runs))
 
 
@@ -252,7 +254,7 @@ def stream_spans(spark, sf):
     parts = S.fx(spark, sf).select("who", "start_us", "end_us", "event_id")
     runs = fold.span_runs(replace(DEFAULTS, idle_gap=3600))
     stream = fold.span_rows(_fed(parts, base, 4, _mixed("event_id", 4)))
-    _until_done(fold.fold_stream(stream, f"{base}/spans", f"{base}/state", runs, slot_us=S.DAY_US))
+    _until_done(fold.fold_stream(stream, f"{base}/spans", f"{base}/state", runs, slot_us=S.DAY_US, parts=2))
     return fold.stored(fold.run_table(spark, f"{base}/spans"), runs).drop("slot", "part")
 
 
@@ -367,3 +369,21 @@ def attributed_stream(spark, sf):
     stream = _fed(changes, base, 3, _mixed("event_id", 3))
     _until_done(flows.attribute_stream(stream, lambda: tables, f"{base}/log", f"{base}/state", lambda: S.NOW_US, p=p))
     return changelog.read_change_log(spark, f"{base}/log").select("root_id", "path", "at_us", "change", "who", "call_id")
+
+
+# --- chains ------------------------------------------------------------------------------------
+
+
+@register(
+    "participant_tops",
+    """WITH RECURSIVE p AS (SELECT o_orderkey AS who, CASE WHEN o_orderkey % 97 <> 0 THEN lag(o_orderkey) OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) END AS parent FROM orders),
+    w AS (SELECT who, parent, who AS top, CAST(0 AS BIGINT) AS depth FROM p WHERE parent IS NULL
+      UNION ALL SELECT p.who, p.parent, w.top, w.depth + 1 FROM p JOIN w ON p.parent = w.who)
+    SELECT * FROM w""",
+)
+def participant_tops(spark, sf):
+    """Chains of parents, hundreds of steps long, followed by doubling."""
+    o = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("who"), (F.col("o_custkey") % 5).alias("line"))
+    numbered = ordered(o, ("line",), ("who",)).scan(_prev=previous("who"))
+    pairs = numbered.df.select("who", F.when(F.col("who") % 97 != 0, F.col("_prev.v")).alias("parent"))
+    return tops(pairs)

@@ -257,10 +257,19 @@ def fit_zoom(spark, sf):
     ),
 )
 def overlap_buckets(spark, sf):
-    touched = T.overlap_buckets(S.fx(spark, sf).select("kind", "who", "start_us", "end_us"), 3600)
-    return touched.groupBy("bucket", "kind").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("who").alias("people")
-    )
+    return T.overlap_counts(S.fx(spark, sf), ("kind",), "who", 3600)
+
+
+@register(
+    "overlap_week",
+    with_sql(
+        "li",
+        """SELECT b AS bucket, count(*) AS n FROM (SELECT unnest(range(start_us // 3600000000, end_us // 3600000000 + 1)) AS b FROM li) WHERE b BETWEEN 227904 AND 228071 GROUP BY b""",
+    ),
+)
+def overlap_week(spark, sf):
+    """Intervals of up to fifty days on an hourly grid, of which one week is shown."""
+    return T.overlap_totals(S.li(spark, sf), 3600, 227_904, 228_071)
 
 
 _PREFIXES = "[regexp_extract(rel, '^[^/]+'), regexp_extract(rel, '^[^/]+/[^/]+'), rel]"
@@ -278,7 +287,7 @@ _PREFIXES = "[regexp_extract(rel, '^[^/]+'), regexp_extract(rel, '^[^/]+/[^/]+')
     ),
 )
 def gantt_nodes(spark, sf):
-    return T.gantt_paths(S.fx(spark, sf), 3600)
+    return T.gantt_nodes(S.fx(spark, sf), 3600)
 
 
 _LANES_SQL = """
@@ -461,5 +470,5 @@ def attribution_report(spark, sf):
         F.col("at_us").alias("end_us"),
         F.lit("write").alias("kind"),
     )
-    cells = T.gantt_paths(events, 3600)
+    cells = T.gantt_nodes(events, 3600)
     return cells.groupBy("node", "who").agg(F.count(F.lit(1)).alias("cells"))

@@ -126,11 +126,13 @@ def gantt(
     shown = activity_union(events) if filtered else activity_union(events, spans, prompts)
     ends = time_range(events, None if filtered else spans, None if filtered else prompts, now_us=now_us, p=p).first()
     if ends["lo_us"] is None:
-        width = p.widths[-1]
+        width, first, last = p.widths[-1], None, None
     else:
         lo, hi = ends["lo_us"] // 1_000_000, ends["hi_us"] // 1_000_000
         width = T.fit_width(shown, lo, hi, n_cols, p).first()[0]
-    nodes = T.gantt_nodes(events, node_events(events, merged, p=p), width)
+        first, last = lo // width, hi // width
+    named = F.transform(TR.prefixes(F.col("segs")), lambda key: F.concat(F.col("forest"), F.lit(":"), key))
+    nodes = T.gantt_nodes(placed_events(events, merged, p=p), width, ("forest", "segs"), named, first, last)
     mine = events.where("who = 'you'")
-    lanes = T.gantt_lanes(events if filtered else spans, prompts, mine, participants, width, filtered=filtered)
+    lanes = T.gantt_lanes(events if filtered else spans, prompts, mine, participants, width, filtered=filtered, first=first, last=last)
     return nodes, lanes, width

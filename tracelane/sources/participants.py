@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelane.functions import paths as P
-from tracelane.session import durable, staged
+from tracelane.session import staged
 from tracelane.sources import variant as V
 from tracelane.sources.raw import ADVISOR, is_codex_header, is_top_level, of_class, top_dir_session
 
@@ -69,11 +69,45 @@ def codex_headers(raw: DataFrame) -> DataFrame:
     )
 
 
+def tops(pairs: DataFrame) -> DataFrame:
+    """The top of every chain of parents: (who, parent, top, depth).
+
+    ``pairs``: who (unique), parent (null, or not among ``who``: a top of its own). Each round doubles the steps that
+    every row looks up, and rows that have arrived are not joined again; so the rounds grow with the logarithm of the
+    longest chain. What has not arrived after as many steps as there are rows runs in a cycle: its top is the least member of
+    that cycle, its depth null.
+    """
+    known = pairs.select(F.col("who").alias("_w"))
+    linked = pairs.join(known, F.col("parent") == F.col("_w"), "left")
+    start = linked.select("who", "parent", F.coalesce("_w", "who").alias("to"), F.col("_w").isNotNull().cast("bigint").alias("steps"), F.least("who", F.coalesce("_w", "who")).alias("low"))
+    rows = staged(start)
+    ends = rows.where("steps = 0").select("who", "parent", F.col("who").alias("top"), F.lit(0).cast("bigint").alias("depth"))
+    done, running = [ends], rows.where("steps > 0")
+    arrived = staged(ends.select(F.col("who").alias("_e"), F.lit(0).cast("bigint").alias("_d"), F.col("who").alias("_t")))
+    count, reach = rows.count(), 1
+    while reach <= 2 * count and running.limit(1).count():
+        # Those whose next stop has arrived arrive too; the others double their step.
+        looked = staged(running.join(arrived, F.col("to") == F.col("_e"), "left"))
+        new = looked.where("_e IS NOT NULL").select("who", "parent", F.col("_t").alias("top"), (F.col("steps") + F.col("_d")).alias("depth"))
+        left = looked.where("_e IS NULL").select("who", "parent", "to", "steps", "low")
+        ahead = running.select(F.col("who").alias("_n"), F.col("to").alias("_to"), F.col("steps").alias("_s"), F.col("low").alias("_l"))
+        running = staged(left.join(ahead, F.col("to") == F.col("_n")).select("who", "parent", F.col("_to").alias("to"), (F.col("steps") + F.col("_s")).alias("steps"), F.least("low", "_l").alias("low")))
+        arrived = staged(arrived.unionByName(new.select(F.col("who").alias("_e"), F.col("depth").alias("_d"), F.col("top").alias("_t"))))
+        done.append(new)
+        reach *= 2
+    # The next stop lies in the cycle, and its own way has been all round it.
+    cycle = running.select(F.col("who").alias("_n"), F.col("low").alias("_l"))
+    done.append(running.join(cycle, F.col("to") == F.col("_n")).select("who", "parent", F.col("_l").alias("top"), F.lit(None).cast("bigint").alias("depth")))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def codex_participants(raw: DataFrame) -> DataFrame:
     """A rollout belongs to the earlier one whose file name ends in its parent's id.
 
-    Without such a file it is a session of its own. Chains of parents are followed by doubling
-    the step each round, so the rounds grow with the logarithm of the longest chain.
+    Without such a file it is a session of its own; chains of parents are followed by ``tops``.
     """
     heads = staged(codex_headers(raw))
     words = F.split(P.stem(F.col("who")), "-")
@@ -88,14 +122,7 @@ def codex_participants(raw: DataFrame) -> DataFrame:
         .groupBy("who")
         .agg(F.min("_up").alias("parent"))
     )
-    roots = durable(heads.join(parents, "who", "left").select("who", F.col("parent"), F.coalesce("parent", "who").alias("top")))
-    while True:
-        up = roots.select(F.col("who").alias("_w"), F.col("top").alias("_t"))
-        moved = roots.join(up, F.col("top") == F.col("_w")).select("who", "parent", F.col("_t").alias("top"), (F.col("_t") != F.col("top")).alias("_moved"))
-        moved = durable(moved)
-        roots = moved.drop("_moved")
-        if not moved.where("_moved").limit(1).count():
-            break
+    roots = tops(heads.join(parents, "who", "left").select("who", "parent"))
     child = F.col("parent").isNotNull()
     return heads.join(roots, "who").select(
         F.lit("codex").alias("harness"),

@@ -81,7 +81,8 @@ def fold(batch: DataFrame, table: Committed, batch_id: int, runs: Runs, slot_us:
         places = sorted({*partition_values(touched, "slot", "part"), *partition_values(whole, "slot", "part")})
         gone = set(table.in_partitions(places)) if places else set()
         rest = stored(table, runs, sorted(gone)).join(touched.select(*runs.keys, "start_us"), [*runs.keys, "start_us"], "left_anti") if gone else stored(table, runs, [])
-        return rest.select(*whole.columns).unionByName(whole), sorted(gone)
+        # Ranges, so that a folder gets few files and a large one is written by several tasks.
+        return rest.select(*whole.columns).unionByName(whole).repartitionByRange("slot", "part", *runs.keys), sorted(gone)
 
     return table.replace(change, batch_id)
 

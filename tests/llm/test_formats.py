@@ -8,8 +8,9 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-from text_helpers import SMALL, docs, no_docs, odd_docs, read
+import pytest
 from pyspark.sql import functions as F
+from text_helpers import SMALL, docs, no_docs, odd_docs, read
 
 from tracelane.llm import chat as C
 from tracelane.llm import licences as L
@@ -47,7 +48,10 @@ def test_archives_roll_and_repeat(spark, tmp_path):
     manifests = [W.write(df, f"file://{tmp_path}/{n}", roll_bytes=3000) for n in "ab"]
     first, second = (sorted(tuple(r) for r in m.collect()) for m in manifests)
     assert first == second and len(first) > 4  # the same files, byte for byte
-    assert not list(tmp_path.glob("*/_tmp*"))
+    assert not list(tmp_path.glob("*/_tmp*")) and not list(tmp_path.glob("*/_manifest*"))
+    assert sorted(tuple(r) for r in W.committed(spark, f"file://{tmp_path}/a").collect()) == first
+    with pytest.raises(FileExistsError):
+        W.write(df, f"file://{tmp_path}/a")
     back = W.read(manifests[0], f"file://{tmp_path}/a", with_payload=True)
     assert sorted(tuple(r)[:1] + tuple(r)[2:6] for r in back.collect()) == want_records(pages)
     payloads = {r.page_id: r.payload for r in back.where("record_type = 'response'").collect()}
@@ -56,6 +60,32 @@ def test_archives_roll_and_repeat(spark, tmp_path):
     assert small.where("record_type = 'revisit'").count() == 0
 
 
+def test_archives_do_not_depend_on_partitions(spark, tmp_path):
+    pages = [(i if i % 3 else None, f"http://h/{i}", f"page {i % 40} " * (i % 17)) for i in range(300)]
+    files = []
+    for n, df in enumerate((pages_of(spark, *pages).coalesce(1), pages_of(spark, *reversed(pages)).repartition(7), pages_of(spark, *pages).repartition(3, "url"))):
+        manifest = W.write(df, f"file://{tmp_path}/{n}", roll_bytes=4000, shard_bytes=20_000)
+        files.append({r.file: (r.sha256, (tmp_path / str(n) / r.file).read_bytes()) for r in manifest.collect()})
+        back = W.read(manifest, f"file://{tmp_path}/{n}").collect()
+        assert len(back) == 300 and sum(r.page_id is None for r in back) == 100
+    assert files[0] == files[1] == files[2]
+    shards = {name.split("-")[1] for name in files[0]}
+    assert len(shards) > 5 and len(files[0]) > len(shards)
+
+
+def test_shards_start_where_exact_sizes_say(spark):
+    rows = [(i if i > 3 else None, f"{i:03d}", 10 + i % 5) for i in range(50)] * 2
+    df = spark.createDataFrame(rows, "id long, digest string, bytes long")
+    order = sorted(((i is not None, i or 0, d), 2 * n) for i, d, n in rows[:50])
+    want, total, shard = [], 0, 0
+    for key, n in order:
+        if total // 100 > shard:
+            shard = total // 100
+            want.append(key)
+        total += n
+    assert W.shard_starts(df.repartition(5), 100) == W.shard_starts(df.coalesce(1), 100) == want
+
+
 def test_archive_of_odd_rows(spark, tmp_path):
     rows = [(1, "u", "a"), (1, "u", "a"), (2, None, None), (None, None, "a"), (None, None, None), (3, "u", "z" * 2_000_000)]
     got = W.read(W.write(pages_of(spark, *rows), f"file://{tmp_path}/a"), f"file://{tmp_path}/a").collect()
@@ -210,3 +240,22 @@ def test_licence_sql(spark):
     got = sorted(tuple(r) for r in L.op5_licence_digests(spark, SMALL).select("doc_id", "licences", "is_licence").collect())
     assert got == want and sum(bool(x) for _, x, _ in got) > 2
     assert L.known_table(spark).where(F.length("digest") != 64).count() == 0
+
+
+def test_licences_are_found_at_every_width(spark):
+    import textwrap
+
+    full = dict(reversed(L.full_texts()))
+    known = dict(reversed([(n, t) for n, t in L.KNOWN]))
+    bodies = {"MIT": next(t for n, t in L.KNOWN if n == "MIT" and t.startswith("Permission is hereby")), "BSD": max((t for n, t in L.KNOWN if n.startswith("BSD")), key=len), "Apache-2.0": full["Apache-2.0"]}
+    assert known
+    texts, want = [], []
+    for width in range(40, 121):
+        for name, body in bodies.items():
+            paragraphs = [" ".join(p.split()) for p in body.split("\n\n")]
+            head = "Copyright (c) 2021 Some One\nAll rights reserved.\n\n" if name != "Apache-2.0" else ""
+            texts.append(head + "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False) for p in paragraphs))
+            want.append(name)
+    got = {r.doc_id: r for r in L.scan(docs(spark, *texts), L.known_table(spark)).collect()}
+    missed = [(want[i - 1], i) for i, r in got.items() if not r.is_licence or want[i - 1] not in r.licences]
+    assert not missed

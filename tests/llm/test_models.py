@@ -116,7 +116,7 @@ def test_wrappers_of_a_site_without_article_tags(spark):
     got = texts_of(H.extract(pages_of(spark, *rows)))
     for n in range(1, 9):
         assert got[n] == "\n".join([f"Title {n}", *[f"Body {n} part {k} <x> it on" for k in range(n % 3 + 1)]])
-    wrapper = H.json.loads(H.wrappers(pages_of(spark, *rows)).first().wrapper)
+    wrapper = H.decoded(H.wrappers(pages_of(spark, *rows)).first().wrapper)
     assert "(<p> # </>)+" in H.expression(wrapper)
 
 
@@ -244,3 +244,35 @@ def test_pipeline(spark):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert {r.doc_id for r in P.run(spark, SMALL).select("doc_id").distinct().collect()} == ids
     assert 0.4 * docs_in.count() < len(ids) < docs_in.count()
+
+
+def test_deep_pages_and_long_sibling_lists(spark):
+    deep = "<body>" + "<div>" * 20_000 + "<p>in {0}</p>" + "</div>" * 20_000 + "</body>"
+    wide = "<body><article>" + "".join(f"<p>line {i} of {{0}}</p>" for i in range(3000)) + "</article></body>"
+    got = texts_of(H.extract(pages_of(spark, *[(n, "http://d.example/", deep.format(n)) for n in range(3)], *[(10 + n, "http://w.example/", wide.format(n)) for n in range(3)])))
+    assert [got[n] for n in range(3)] == ["in 0", "in 1", "in 2"]
+    assert [got[10 + n].split("\n") for n in range(3)] == [[f"line {i} of {n}" for i in range(3000)] for n in range(3)]
+
+
+def test_articles_keep_their_links_and_boxes(spark):
+    page = (
+        "<body><nav><a href=/>Home</a></nav><article><p>Intro {0} here.</p><ul><li><a href=/x>First link {0}</a></li><li><a href=/y>Second</a></li></ul>"
+        "<div class='alert'><p>Take care {0}.</p></div><div class='social'><p>They met {0}.</p></div><div class='advert'><p>Buy!</p></div><section class='comments'><p>nice {0}</p></section><p>End.</p></article></body>"
+    )
+    want = "Intro {0} here.\nFirst link {0}\nSecond\nTake care {0}.\nThey met {0}.\nEnd."
+    got = texts_of(H.extract(pages_of(spark, *[(n, "http://l.example/", page.format(n)) for n in range(8)], (100, "http://one.example/", page.format(100)))))
+    assert got == {n: want.format(n) for n in [*range(8), 100]}
+
+
+def test_a_teaser_does_not_outweigh_a_story(spark):
+    story = "".join(f"<p>Paragraph {i} of the story that is told here.</p>" for i in range(9))
+    page = "<body><article><p>Also read this.</p></article><div class='entry'>" + story + "</div></body>"
+    got = texts_of(H.extract(pages_of(spark, (1, "http://t.example/1", page))))
+    assert got[1].split("\n") == [f"Paragraph {i} of the story that is told here." for i in range(9)]
+
+
+def test_wrappers_survive_their_encoding():
+    a = H.shape("<body><div class=x><p>1</p><ul><li>a<li>b</ul></div>tail</body>")
+    b = H.align(a, H.shape("<body><div class=x><p>2</p><p>3</p></div></body>"))
+    for node in (a, b, H.shape("")):
+        assert H.decoded(H.encoded(node)) == node

@@ -17,10 +17,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ CAPACITY = 2048
 END_ID = 1
 #: A piece stays whole if it leaves at most this share of its class's length empty, or is this short.
 SLACK, SHORT = 32, 48
+#: Texts that are encoded together.
+GROUP_BYTES, GROUP_ROWS = 2 << 20, 1024
 
 _WORD = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 
@@ -56,60 +59,86 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return pieces
 
 
+class Memory:
+    """Known values of many keys, in two generations: when the young one is full it becomes the old one, from which
+    values that are met again come back. So what is met often stays, and memory is bounded."""
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], limit: int):
+        self.learn, self.limit = learn, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def values(self, keys: list[str]) -> list[bytes]:
+        """The values of distinct keys; those not known are learnt together."""
+        found = list(map(self.young.get, keys))
+        missing = [i for i, value in enumerate(found) if value is None]
+        again = [self.old.get(keys[i]) for i in missing]
+        unknown = [keys[i] for i, value in zip(missing, again, strict=True) if value is None]
+        learnt = iter(self.learn(unknown) if unknown else [])
+        for i, value in zip(missing, again, strict=True):
+            found[i] = next(learnt) if value is None else value
+        if len(self.young) + len(missing) > self.limit:
+            self.old, self.young = self.young, {}
+        self.young.update((keys[i], found[i]) for i in missing)
+        return found
+
+
 class Encoder:
-    """Token ids of whole texts, as little-endian 32-bit bytes, with a memory for words.
+    """Token ids of many texts at once, with a memory for words.
 
     The tokenizer drops white space and never merges across it, so a text's ids are those of its
     space-separated chunks, one after the other. Letters followed by ASCII marks are two
-    pre-tokens of their own. Unknown words are encoded many at a time.
+    pre-tokens of their own. Arrow splits the texts and numbers their distinct chunks; only these are looked up, and
+    the ids of all texts are then gathered from one buffer.
     """
 
-    CHUNKS, WORDS = 500_000, 1_000_000
+    CHUNKS, WORDS, TOGETHER = 400_000, 400_000, 500
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(self._words, self.WORDS)
+        self.chunks = Memory(self._chunks, self.CHUNKS)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 500):
-            part = words[at : at + 500]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many encoded together."""
+        out: list[bytes] = []
+        for at in range(0, len(words), self.TOGETHER):
+            part = words[at : at + self.TOGETHER]
             done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids, owner = np.array(done.ids, "<u4"), np.array([-1 if w is None else w for w in done.word_ids], np.int64)
+            owner = np.array([-1 if w is None else w for w in done.word_ids], np.int64)
             ends = np.flatnonzero(np.diff(owner)) + 1
             if len(ends) + 1 == len(part) and owner[-1] == len(part) - 1:
-                self.words.update(zip(part, (x.tobytes() for x in np.split(ids, ends)), strict=True))
+                ids, cuts = np.array(done.ids, "<u4").tobytes(), [0, *(4 * ends).tolist(), 4 * len(owner)]
+                out += [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             else:  # a letter that the tokenizer itself rewrites into several pre-tokens
-                self.words.update((w, self._encode(w)) for w in part)
-
-    def _learn(self, unknown: set[str]) -> None:
-        if len(self.words) + len(unknown) > self.WORDS:
-            self.words.clear()
-        split = {c: (_lower(m[1]), m[2]) if (m := _WORD.fullmatch(c)) else None for c in unknown}
-        self._learn_words(list({s[0] for s in split.values() if s and s[0] not in self.words}))
-        for c, s in split.items():
-            if s is None:
-                self.chunks[c] = self._encode(c)
-            else:
-                if s[1] not in self.words:
-                    self.words[s[1]] = self._encode(s[1])
-                self.chunks[c] = self.words[s[0]] + self.words[s[1]]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            parts = [c for c in text.replace("\n", " ").split(" ") if c]
-            unknown = set(parts).difference(self.chunks)
-            if len(self.chunks) + len(unknown) > self.CHUNKS:
-                self.chunks.clear()
-                unknown = set(parts)
-            if unknown:
-                self._learn(unknown)
-            yield b"".join(map(self.chunks.__getitem__, parts))
+                out += map(self._encode, part)
+        return out
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        split = [(_lower(m[1]), m[2]) if (m := _WORD.fullmatch(c)) else None for c in chunks]
+        names = list({x for s in split if s for x in s if x})
+        ids = dict(zip(names, self.words.values(names), strict=True))
+        ids[""] = b""
+        return [(self._encode(c) if c else b"") if s is None else ids[s[0]] + ids[s[1]] for c, s in zip(chunks, split, strict=True)]
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id; and where each text's ids end."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+        numbered = parts.flatten().dictionary_encode()
+        known = self.chunks.values(numbered.dictionary.to_pylist()) + [END_ID.to_bytes(4, "little")]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(sizes) - sizes
+        codes = np.insert(numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(known) - 1)
+        lengths = sizes[codes]
+        upto = np.cumsum(lengths)
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(first[codes] - (upto - lengths), lengths) + np.arange(upto[-1] if len(upto) else 0)]
+        return ids, upto[ends + np.arange(len(ends))]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -122,25 +151,49 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of groups of at most ``GROUP_BYTES`` of text, or of one longer text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > at and (held + size > GROUP_BYTES or i - at >= GROUP_ROWS):
+            yield at, i - at
+            at, held = i, 0
+        held += size
+    if len(sizes):
+        yield at, len(sizes) - at
+
+
 def _pieces(path: str, capacity: int, with_ids: bool):
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", "number", "ids", "part"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, numbers = _encoder(path), TaskContext.get().partitionId(), {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out: list[list] = [[] for _ in range(8)]
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = next(encoder.encode([text or ""])) + END_ID.to_bytes(4, "little")
-                    total, start = len(ids) // 4, 0
-                    for length, cls in cut(total, capacity):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        number = numbers[cls] = numbers.get(cls, -1) + 1
-                        for column, value in zip(out, (doc_id, start, length, zlib.crc32(piece), total, cls, number, piece if with_ids else None), strict=True):
-                            column.append(value)
-                        start += length
-                kinds = [pa.int64()] * 7 + [pa.binary()]
-                arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(out[0]), pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", "number", "ids", "part"])
+            for at, n in _groups(whole.column(1)):
+                ids, ends = encoder.encode(whole.column(1).slice(at, n))
+                data = ids.astype("<u4").tobytes()
+                owner, start, length, crc, tokens, classes, number, kept = ([] for _ in range(8))
+                first = 0
+                for row, end in enumerate(ends.tolist()):
+                    total, done = end - first, 0
+                    for size, cls in cut(total, capacity):
+                        piece = data[4 * (first + done) : 4 * (first + done + size)]
+                        numbers[cls] = numbers.get(cls, -1) + 1
+                        owner.append(row)
+                        start.append(done)
+                        length.append(size)
+                        crc.append(zlib.crc32(piece))
+                        tokens.append(total)
+                        classes.append(cls)
+                        number.append(numbers[cls])
+                        if with_ids:
+                            kept.append(piece)
+                        done += size
+                    first = end
+                arrays = [whole.column(0).slice(at, n).take(pa.array(owner, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens, classes, number))]
+                arrays += [pa.array(kept, pa.binary()) if with_ids else pa.nulls(len(owner), pa.binary()), pa.array(np.full(len(owner), part, np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 

@@ -1059,3 +1059,98 @@ def rollout_windows(spark, sf):
     windows = open_close(codex.window_records(rows).select("who", "call_id", "line_no", "at_us", "op"))
     ends = codex.turn_ends(rows).withColumn("line_no", F.col("line_no") * 2)
     return close_at_turn_end(windows, ends, open_line="ord").select("who", "call_id", "start_us", "end_us")
+
+
+def _entry_calls_of_pages(spark, sf) -> DataFrame:
+    """Finished calls of the second format, one per page: every file and web tool, a ninth of each failed."""
+    n, url, pid = F.col("page_id"), F.col("url"), F.col("page_id").cast("string")
+    kinds = ("Read", "Write", "Write", "Edit", "MultiEdit", "NotebookEdit", "WebFetch", "WebSearch", "mcp__srv__do", "Edit")
+    kind = n % len(kinds)
+    path = F.concat(F.lit("f/"), pid)
+    swap = lambda old, new: obj(old_string=old, new_string=new)
+    args = (
+        F.when(kind == 0, F.to_json(obj(file_path=path)))
+        .when(kind.isin(1, 2), F.to_json(obj(file_path=path, content=url)))
+        .when(kind == 3, F.to_json(obj(file_path=path, old_string="<", new_string="[")))
+        .when(kind == 4, F.to_json(obj(file_path=path, edits=F.array(swap("<", "["), swap(">", "]")))))
+        .when(kind == 5, F.to_json(obj(notebook_path=F.concat(path, F.lit(".ipynb")), new_source=url)))
+        .when(kind == 6, F.to_json(obj(url=url)))
+        .when(kind == 7, F.to_json(obj(query=F.concat(F.lit("a\n"), pid))))
+        .when(kind == 9, F.to_json(obj(file_path=path, old_string="/", new_string="|", replace_all=True)))
+        .otherwise("{}")
+    )
+    before = F.concat(F.lit("<"), url, F.lit(">"))
+    details = F.when(kind.isin(2, 3, 4, 9), F.to_json(obj(filePath=F.concat(F.lit("at/"), pid), originalFile=before))).otherwise("{}")
+    return S.pg(spark, sf).select(
+        F.lit("s1").alias("who"), F.lit("/s/p/s1.jsonl").alias("session"), F.lit("/w").alias("cwd"), pid.alias("call_id"), n.alias("line_no"),
+        F.element_at(F.array(*[F.lit(k) for k in kinds]), (kind + 1).cast("int")).alias("tool"),
+        (n * US).alias("start_us"), (n * US + 5).alias("end_us"), (F.floor(n / 10) % 9 == 0).alias("failed"),
+        F.try_parse_json(args).alias("args"), F.try_parse_json(details).alias("details"),
+    )
+
+
+@register(
+    "entry_tool_touches",
+    with_sql(
+        "pg",
+        """
+    WITH c AS (SELECT page_id, url, page_id % 10 AS kind, CAST(page_id AS VARCHAR) AS p FROM pg WHERE page_id // 10 % 9 <> 0)
+    SELECT p AS call_id, CASE WHEN kind IN (0, 6, 7, 8) THEN 'read' ELSE 'write' END AS kind,
+      CASE kind WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'write' WHEN 6 THEN 'read' WHEN 7 THEN 'web_search' WHEN 8 THEN 'mcp' ELSE 'edit' END AS tool,
+      CASE kind WHEN 6 THEN 'webfetch' WHEN 7 THEN 'websearch' WHEN 8 THEN 'mcp' END AS scope, CASE kind WHEN 6 THEN url WHEN 7 THEN 'a ' || p WHEN 8 THEN 'srv/do' END AS rel,
+      CASE WHEN kind IN (0, 1) THEN 'f/' || p WHEN kind IN (2, 3, 4, 9) THEN 'at/' || p WHEN kind = 5 THEN 'f/' || p || '.ipynb' END AS raw,
+      CASE WHEN kind = 1 THEN 'written' WHEN kind IN (2, 3, 4, 9) THEN 'diff' WHEN kind = 7 THEN 'search' ELSE 'none' END AS type,
+      CASE WHEN kind IN (2, 3, 4, 9) THEN '<' || url || '>' END AS old_text,
+      CASE kind WHEN 1 THEN url WHEN 2 THEN url WHEN 3 THEN '[' || url || '>' WHEN 4 THEN '[' || url || ']' WHEN 9 THEN '<' || replace(url, '/', '|') || '>' END AS new_text FROM c""",
+    ),
+)
+def entry_tool_touches(spark, sf):
+    """File touches of every tool of the second format, with the texts before and after."""
+    out = claude.touches(_records(_entry_calls_of_pages(spark, sf)))
+    return out.select("call_id", "kind", "tool", "scope", "rel", "raw", "detail.type", "old_text", "new_text")
+
+
+def _legacy_events_of_pages(spark, sf) -> DataFrame:
+    """Events of the third format's older records: commands, patches, searches and server calls, one per page."""
+    n, url, pid = F.col("page_id"), F.col("url"), F.col("page_id").cast("string")
+    kind = n % 6
+    patch = F.concat(F.lit('{"'), F.lit("f"), pid, F.lit('":'), F.to_json(obj(type="add", content=url)), F.lit(',"g'), pid, F.lit('":{"type":"update","unified_diff":"@@","move_path":"h"}}'))
+    payload = (
+        F.when(kind == 0, F.to_json(obj(call_id=pid, command=F.array(F.lit("bash"), F.lit("-lc"), F.concat(F.lit("ls "), url)))))
+        .when(kind == 1, F.concat(F.lit('{"call_id":"'), pid, F.lit('","success":'), F.when(n % 4 == 1, "true").otherwise("false"), F.lit(',"changes":'), patch, F.lit("}")))
+        .when(kind == 2, F.to_json(obj(call_id=pid, query=F.concat(F.lit("q\n"), pid))))
+        .when(kind == 3, F.to_json(obj(call_id=pid, query="x", action=obj(type="open_page", url=url))))
+        .when(kind == 4, F.concat(F.lit('{"call_id":"'), pid, F.lit('","invocation":{"server":"srv","tool":"t"},"result":{"Ok":{"isError":false}}}')))
+        .otherwise(F.concat(F.lit('{"call_id":"'), pid, F.lit('","invocation":{"server":"srv","tool":"t"},"result":{"Err":"no"}}')))
+    )
+    names = F.array(*[F.lit(x) for x in ("exec_command_end", "patch_apply_end", "web_search_end", "web_search_end", "mcp_tool_call_end", "mcp_tool_call_end")])
+    return _records(
+        S.pg(spark, sf).select(
+            F.lit("s1").alias("who"), F.lit("s1").alias("session"), F.lit(True).alias("is_main"), n.alias("line_no"),
+            F.try_parse_json(F.concat(F.lit('{"payload":'), payload, F.lit("}"))).alias("rec"),
+            F.lit("legacy").alias("mode"), (n * US).alias("at_us"), F.lit("event_msg").alias("ty"), F.element_at(names, (kind + 1).cast("int")).alias("pty"),
+        )
+    )
+
+
+@register(
+    "rollout_legacy_touches",
+    with_sql(
+        "pg",
+        """
+    WITH c AS (SELECT page_id, url, page_id % 6 AS kind, CAST(page_id AS VARCHAR) AS p FROM pg)
+    SELECT p AS call_id, 'remote' AS scope, 'on ' || url AS rel, NULL AS raw, 'inferred' AS source, NULL AS tool, 'none' AS type, NULL AS new_text FROM c WHERE kind = 0
+    UNION ALL SELECT p, NULL, NULL, 'f' || p, 'tool', 'write', 'written', url FROM c WHERE kind = 1 AND page_id % 4 = 1
+    UNION ALL SELECT p, NULL, NULL, 'g' || p, 'tool', 'edit', 'diff', NULL FROM c WHERE kind = 1 AND page_id % 4 = 1
+    UNION ALL SELECT p, NULL, NULL, 'g' || p, 'tool', 'edit', 'none', NULL FROM c WHERE kind = 1 AND page_id % 4 = 1
+    UNION ALL SELECT p, 'websearch', 'q ' || p, NULL, 'tool', 'web_search', 'search', NULL FROM c WHERE kind = 2
+    UNION ALL SELECT p, 'webfetch', url, NULL, 'tool', 'read', 'none', NULL FROM c WHERE kind = 3
+    UNION ALL SELECT p, 'mcp', 'srv/t', NULL, 'tool', 'mcp', 'none', NULL FROM c WHERE kind = 4""",
+    ),
+)
+def rollout_legacy_touches(spark, sf):
+    """File touches of the older event records: what failed gives none."""
+    rows = _legacy_events_of_pages(spark, sf)
+    cwds = rows.select("session", F.lit("/w").alias("cwd")).distinct()
+    targets = S.pg(spark, sf).where("page_id % 6 = 0").select(F.lit("s1").alias("who"), F.col("page_id").cast("string").alias("call_id"), F.concat(F.lit("on "), F.col("url")).alias("target"), F.lit("read").alias("access"), F.lit(0).alias("ord"))
+    return codex.touches(rows, cwds, "/", targets).select("call_id", "scope", "rel", "raw", "source", "tool", "detail.type", "new_text")

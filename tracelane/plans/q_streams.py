@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import replace
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelane.config import DEFAULTS, Params
@@ -20,7 +20,7 @@ from tracelane.operators.roots import root_prefixes
 from tracelane.plans import shims as S
 from tracelane.plans.shims import with_sql
 from tracelane.session import shared_folder, staged
-from tracelane.sources import changelog, store
+from tracelane.sources import changelog, raw, store
 from tracelane.sources import variant as V
 from tracelane.sources.committed import Committed
 from tracelane.sources.participants import tops
@@ -71,9 +71,9 @@ def _append(folder: str):
         from pyarrow import fs
 
         files, path = fs.FileSystem.from_uri(folder)
-        files.create_dir(path, recursive=True)
         for batch in batches:
             for name, rows in batch.groupby("name", sort=False):
+                files.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
                 with files.open_append_stream(f"{path}/{name}") as out:
                     out.write("".join(rows["text"]).encode())
             yield batch[["name"]]
@@ -154,6 +154,103 @@ def _emptied(folder: str):
     return run
 
 
+# --- transcript files ----------------------------------------------------------------------
+
+
+def _files(spark, *parts: DataFrame) -> str:
+    """A folder of files, from rows (name, at, text)."""
+    folder, rows = f"{_base(spark)}/logs".removeprefix("file:"), parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    _grow(rows, f"file://{folder}")
+    return folder
+
+
+def _line(*columns) -> Column:
+    return F.concat(F.to_json(F.struct(*columns)), F.lit("\n"))
+
+
+@register(
+    "transcript_files",
+    """SELECT 'p' || (conv_id % 7) || CASE WHEN conv_id % 5 = 0 THEN '/s' || conv_id || '/__advisor.jsonl' ELSE '/s' || conv_id || '.jsonl' END AS name,
+      CAST(2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS BIGINT) AS line_no, role, text, 'p' || (conv_id % 7) AS project FROM conversations""",
+)
+def transcript_files(spark, sf):
+    """Transcripts of the first format with blank, broken and unfinished lines, hidden files and helpers' folders."""
+    talks, conv = S.table(spark, sf, "conversations"), F.col("conv_id").cast("string")
+    project = F.concat(F.lit("p"), (F.col("conv_id") % 7).cast("string"))
+    tail = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("/s"), conv, F.lit("/__advisor.jsonl"))).otherwise(F.concat(F.lit("/s"), conv, F.lit(".jsonl")))
+    junk = F.when(F.col("turn") % 2 == 0, "\n").otherwise('{"role": "bro\n')
+    said = talks.select(F.concat(project, tail).alias("name"), F.col("turn").alias("at"), F.concat(_line("role", "text"), junk).alias("text"))
+    open_ = talks.where("turn = 0").select(F.concat(project, tail).alias("name"), F.lit(1 << 40).alias("at"), F.lit('{"role":"unfinished"}').alias("text"))
+    hidden = talks.where("turn = 0").select(F.concat(project, F.lit("/.s"), conv, F.lit(".jsonl")).alias("name"), F.lit(0).alias("at"), F.lit('{"role":"hidden"}\n').alias("text"))
+    folder = _files(spark, said, open_, hidden)
+    got = raw.read_omp(spark, folder)
+    below = lambda c: F.col(c).substr(F.lit(len(folder) + 2), F.length(c))
+    return got.select(below("file").alias("name"), "line_no", V.text("rec", "$.role").alias("role"), V.text("rec", "$.text").alias("text"), below("project_dir").alias("project"))
+
+
+@register(
+    "subagent_files",
+    """SELECT 'p/s' || conv_id || CASE WHEN conv_id % 3 = 1 THEN '/subagents/agent-' || conv_id || '.jsonl' ELSE '.jsonl' END AS name,
+      CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS line_no, role FROM conversations WHERE conv_id % 3 <> 2""",
+)
+def subagent_files(spark, sf):
+    """Transcripts of the second format: a project's own and its subagents'; those in other folders are none."""
+    conv, kind = F.col("conv_id").cast("string"), F.col("conv_id") % 3
+    tail = F.when(kind == 0, ".jsonl").when(kind == 1, F.concat(F.lit("/subagents/agent-"), conv, F.lit(".jsonl"))).otherwise(F.concat(F.lit("/tool-results/r"), conv, F.lit(".jsonl")))
+    said = S.table(spark, sf, "conversations").select(F.concat(F.lit("p/s"), conv, tail).alias("name"), F.col("turn").alias("at"), _line("role").alias("text"))
+    folder = _files(spark, said)
+    got = raw.read_claude(spark, folder)
+    return got.select(F.col("file").substr(F.lit(len(folder) + 2), F.length("file")).alias("name"), "line_no", V.text("rec", "$.role").alias("role"))
+
+
+@register(
+    "rollout_files",
+    """SELECT 'd' || (conv_id % 4) || '/x/rollout-' || conv_id || '.jsonl' AS name, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS line_no, role
+    FROM conversations WHERE conv_id % 5 NOT IN (3, 4)""",
+)
+def rollout_files(spark, sf):
+    """Rollouts at any depth whose first line is a complete header; others, and other names, are none."""
+    talks, conv, kind = S.table(spark, sf, "conversations"), F.col("conv_id").cast("string"), F.col("conv_id") % 5
+    stem = F.when(kind == 4, "notes-").otherwise("rollout-")
+    name = F.concat(F.lit("d"), (F.col("conv_id") % 4).cast("string"), F.lit("/x/"), stem, conv, F.lit(".jsonl")).alias("name")
+    payload = F.struct(conv.alias("id"), F.when(kind != 3, "/w").alias("cwd")).alias("payload")
+    heads = talks.select("conv_id").distinct().select(name, F.lit(-1).cast("bigint").alias("at"), _line(F.lit("session_meta").alias("type"), payload).alias("text"))
+    folder = _files(spark, heads, talks.select(name, F.col("turn").alias("at"), _line("role").alias("text")))
+    got = raw.read_codex(spark, folder).where("line_no > 0")
+    return got.select(F.col("file").substr(F.lit(len(folder) + 2), F.length("file")).alias("name"), "line_no", V.text("rec", "$.role").alias("role"))
+
+
+@register(
+    "sidecar_labels",
+    """SELECT 'agent-' || c_custkey || '.jsonl' AS who, CASE c_custkey % 3 WHEN 0 THEN c_name ELSE c_mktsegment END AS label FROM customer WHERE c_custkey % 3 <> 2""",
+)
+def sidecar_labels(spark, sf):
+    """Labels of subagents from the files beside their transcripts: the description, else the type."""
+    kind = F.col("c_custkey") % 3
+    fields = F.struct(F.when(kind == 0, F.col("c_name")).when(kind == 1, "").alias("description"), F.when(kind != 2, F.col("c_mktsegment")).alias("agentType"))
+    metas = S.table(spark, sf, "customer").select(
+        F.concat(F.lit("s/subagents/agent-"), F.col("c_custkey").cast("string"), F.lit(".meta.json")).alias("name"), F.lit(0).alias("at"), F.to_json(fields).alias("text")
+    )
+    got = raw.read_labels(spark, _files(spark, metas))
+    return got.select(F.regexp_extract("who", "([^/]*)$", 1).alias("who"), "label")
+
+
+@register(
+    "title_index",
+    """SELECT CAST(o_custkey AS VARCHAR) AS id, max_by(o_orderpriority || ' ' || o_orderkey, o_orderkey) FILTER (WHERE o_orderkey % 4 <> 0) AS title FROM orders
+    GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_orderkey % 4 <> 0) > 0""",
+)
+def title_index(spark, sf):
+    """Session titles: the last name of an id that is not empty."""
+    n = F.col("o_orderkey")
+    named = F.when(n % 4 != 0, F.concat("o_orderpriority", F.lit(" "), n.cast("string"))).otherwise("")
+    lines = S.table(spark, sf, "orders").select(F.lit("session_index.jsonl").alias("name"), n.alias("at"), _line(F.col("o_custkey").cast("string").alias("id"), named.alias("thread_name")).alias("text"))
+    folder = _files(spark, lines)
+    return raw.read_title_index(spark, f"{folder}/session_index.jsonl")
+
+
 # --- keyed state -------------------------------------------------------------------------
 
 

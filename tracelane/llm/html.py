@@ -12,13 +12,13 @@ always the same text. A page is then aligned with its host's wrapper to look up
 
 The wrapper then says which slots can be the article: outside of elements that tags or names mark as
 menu, header, footer, sidebar, notice, advert, form or reader comment, though an article element opens again what a
-name has closed; not slots that say the same on all of several pages, nor those made of links. Each page decides for
+name has closed; outside of articles, not slots that say the same on all of several pages, nor those made of links. Each page decides for
 itself which of them it uses: those in article or main elements if it fills any, else those in elements named as
 content, else the rest.
 
 Defined cases: null or empty html gives an empty text; a null url or one without a host belongs to the host "";
 tags that are never closed end with the page, and a tag cut off by its end is markup; repeated rows give equal
-rows; an empty table gives an empty result; other columns are ignored.
+rows; elements may be nested to any depth; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,8 +66,12 @@ _PART = re.compile(r"[A-Za-z]+")
 #: Elements that an opening tag closes when they are still open.
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 
+#: Those that close a part inside an article too; the other names may stand for parts of it.
+INSIDE_NAMES = NAMES - frozenset("alert banner masthead pager pagination popup respond search share sharing signup skyscraper social subscribe subscription toolbar widget widgets".split())
+
 SAME_PAGES = 5
 LINK_SHARE = 0.6
+TEASER = 3
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -184,13 +188,16 @@ def parsed(page: str) -> tuple[list, list[tuple[list, list[str]]]]:
     return root, texts
 
 
-def _close(node: list) -> None:
-    """Drops what holds no text and gives elements their digests."""
-    for child in node[BELOW]:
-        if child[LABEL] != TEXT:
-            _close(child)
-    node[BELOW] = [x for x in node[BELOW] if x[LABEL] == TEXT or x[BELOW]]
-    node[DIGEST] = xxhash.xxh32_intdigest("\n".join(f"{x[LABEL]} {x[DIGEST]}" for x in node[BELOW])) or 1
+def _close(root: list) -> None:
+    """Drops what holds no text and gives elements their digests, the innermost first."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in node[BELOW] if x[LABEL] != TEXT]
+    for node in reversed(order):
+        node[BELOW] = [x for x in node[BELOW] if x[LABEL] == TEXT or x[BELOW]]
+        node[DIGEST] = xxhash.xxh32_intdigest("\n".join(f"{x[LABEL]} {x[DIGEST]}" for x in node[BELOW])) or 1
 
 
 def shape(page: str) -> list:
@@ -335,15 +342,14 @@ def match(xs: list, ys: list) -> tuple[list[tuple[int, int]], dict[int, int], di
     return pairs, again_y, again_x
 
 
-def align(a: list, b: list, together: bool = False) -> list:
-    """The wrapper that both sides match: what only one has is optional, what either repeats is repeated.
-
-    ``together``: both are parts of the same pages.
-    """
+def _head(a: list, b: list, together: bool) -> list:
     out = [a[LABEL], max(a[PAGES], b[PAGES]) if together else a[PAGES] + b[PAGES], a[CHARS] + b[CHARS], a[LINKED] + b[LINKED]]
-    out += [a[DIGEST] if a[DIGEST] == b[DIGEST] else 0, a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], []]
-    if a[LABEL] == TEXT:
-        return out
+    return [*out, a[DIGEST] if a[DIGEST] == b[DIGEST] else 0, a[REPEATED] or b[REPEATED], a[OPTIONAL] or b[OPTIONAL], []]
+
+
+def _aligned(a: list, b: list, together: bool) -> Iterator[tuple[list, list, bool]]:
+    """One level of ``align``: yields the pairs below that it needs aligned, is sent each result, returns its own."""
+    out = _head(a, b, together)
     xs, ys = a[BELOW], b[BELOW]
     pairs, again_y, again_x = match(xs, ys)
     new: dict[int, list] = {}
@@ -354,23 +360,50 @@ def align(a: list, b: list, together: bool = False) -> list:
         order += [[*ys[k][:OPTIONAL], True, ys[k][BELOW]] for k in range(j0, j) if k not in again_y]
         if i < len(xs):
             order.append(i)
-            new[i] = align(xs[i], ys[j], together)
+            new[i] = _head(xs[i], ys[j], together) if xs[i][LABEL] == TEXT else (yield xs[i], ys[j], together)
         i0, j0 = i + 1, j + 1
     for i in range(len(xs)):
         if i not in new:
             new[i] = [*xs[i][:OPTIONAL], True, xs[i][BELOW]]
     for k, again in [*((k, xs[i]) for i, k in again_x.items()), *((k, ys[j]) for j, k in again_y.items())]:
-        new[k] = align(new[k], again, True)
+        new[k] = _head(new[k], again, True) if again[LABEL] == TEXT else (yield new[k], again, True)
         new[k][REPEATED] = True
     out[BELOW] = [new[x] if isinstance(x, int) else x for x in order if not isinstance(x, int) or x not in again_x]
     return out
 
 
-def expression(node: list) -> str:
+def align(a: list, b: list, together: bool = False) -> list:
+    """The wrapper that both sides match: what only one has is optional, what either repeats is repeated.
+
+    ``together``: both are parts of the same pages. Levels wait on a list, so pages may be nested to any depth.
+    """
+    waiting, value = [_aligned(a, b, together)], None
+    while waiting:
+        try:
+            below = waiting[-1].send(value)
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+        else:
+            waiting.append(_aligned(*below))
+            value = None
+    return value
+
+
+def expression(root: list) -> str:
     """A wrapper as the regular expression that it stands for."""
-    label, text = node[LABEL], " ".join(map(expression, node[BELOW]))
-    body = TEXT if label == TEXT else text if not label else f"<{label}> {text} </>"
-    return f"({body})+" if node[REPEATED] and not node[OPTIONAL] else f"({body})*" if node[REPEATED] else f"({body})?" if node[OPTIONAL] else body
+    out: list[str] = []
+    stack: list = [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        label, end = node[LABEL], ")+" if node[REPEATED] and not node[OPTIONAL] else ")*" if node[REPEATED] else ")?" if node[OPTIONAL] else ""
+        below = [x for y in node[BELOW] for x in (" ", y)][1:]
+        body = [TEXT] if label == TEXT else below if not label else [f"<{label}> ", *below, " </>"]
+        stack += reversed(["(", *body, end] if end else body)
+    return "".join(out)
 
 
 def _words_of(label: str) -> tuple[str, set[str]]:
@@ -394,7 +427,7 @@ def inside_of(label: str, rank: int, shut: int) -> tuple[int, int]:
             return OTHERS, 0
         return (FRAMED if rank == FRAMED or (shut and rank != TAGGED) else TAGGED), 0
     if tag not in ("body", "html"):
-        if names & NAMES:
+        if names & (INSIDE_NAMES if rank in (TAGGED, FRAMED) and not shut else NAMES):
             shut = max(shut, SHUT_BY_OTHERS if names & OTHER_NAMES else SHUT_BY_FRAME)
         elif tag == "header" and rank in (NAMED, REST):
             shut = max(shut, SHUT_BY_FRAME)
@@ -403,30 +436,48 @@ def inside_of(label: str, rank: int, shut: int) -> tuple[int, int]:
     return rank, shut
 
 
-def article_slots(wrapper: list) -> tuple[dict[str, list[int]], list]:
-    """Text and link text by path, and the wrapper."""
-    shares: dict[str, list[int]] = {}
+class Paths:
+    """Numbers for the label paths of a wrapper, step by step: a path's length costs nothing."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, str], int] = {}
+
+    def below(self, path: int, label: str) -> int:
+        return self.numbers.setdefault((path, label), len(self.numbers) + 1)
+
+
+Known = tuple[dict[int, list[int]], list, Paths]
+
 
-    def walk(node: list, path: str) -> None:
+def article_slots(wrapper: list) -> Known:
+    """Text and link text by path, the wrapper, and its paths."""
+    shares: dict[int, list[int]] = {}
+    paths = Paths()
+    stack = [(wrapper, 0)]
+    while stack:
+        node, path = stack.pop()
         for child in node[BELOW]:
             if child[LABEL] == TEXT:
                 share = shares.setdefault(path, [0, 0])
                 share[0] += child[CHARS]
                 share[1] += child[LINKED]
             else:
-                walk(child, f"{path}/{child[LABEL]}")
+                stack.append((child, paths.below(path, child[LABEL])))
+    return shares, wrapper, paths
 
-    walk(wrapper, "")
-    return shares, wrapper
 
+def main_text(page: str | None, known: Known) -> str:
+    """The slots of a page that have the best rank, decoded, a line each.
 
-def main_text(page: str | None, known: tuple[dict[str, list[int]], list]) -> str:
-    """The slots of a page that have the best rank it fills, decoded, a line each."""
-    shares, wrapper = known
+    The best rank is the first that the page fills; but parts named as content come before article elements that hold
+    less than a ``TEASER``-th of their text: those point to articles elsewhere. Inside articles nothing is judged by its links.
+    """
+    shares, wrapper, paths = known
     root, texts = parsed(page or "")
     places: dict[int, tuple[int, bool]] = {}  # by slot: rank, whether it belongs to the article
-
-    def walk(node: list, model: list, path: str, rank: int, shut: int) -> None:
+    stack = [(root, wrapper, 0, REST, 0)]
+    while stack:
+        node, model, path, rank, shut = stack.pop()
         xs, ys = model[BELOW], node[BELOW]
         pairs, again_y, _ = match(xs, ys)
         of_y = {j: i for i, j in pairs} | again_y
@@ -435,27 +486,50 @@ def main_text(page: str | None, known: tuple[dict[str, list[int]], list]) -> str
             if y[LABEL] != TEXT:
                 below = inside_of(y[LABEL], rank, shut)
                 if below[1] != SHUT:
-                    walk(y, x, f"{path}/{y[LABEL]}", *below)
+                    stack.append((y, x, paths.numbers.get((path, y[LABEL]), -1), *below))
             elif not shut:
                 same = x[DIGEST] != 0 and x[PAGES] >= SAME_PAGES and rank in (NAMED, REST)
                 chars, linked = shares.get(path, (y[CHARS], y[LINKED]))
-                places[id(y)] = rank, not same and (_words_of(node[LABEL])[0] in HEADINGS or linked <= LINK_SHARE * chars)
-
-    walk(root, wrapper, "", REST, 0)
-    lines = [(places[id(slot)], " ".join(entities.unescape("".join(pieces)).split())) for slot, pieces in texts if id(slot) in places]
-    best = min((rank for (rank, _), line in lines if line), default=REST)
-    return "\n".join(line for (rank, kept), line in lines if line and kept and rank == best)
-
-
-def _encode(node: list) -> str:
-    return json.dumps(node, separators=(",", ":"))
+                judged = rank in (NAMED, REST, OTHERS) and _words_of(node[LABEL])[0] not in HEADINGS
+                places[id(y)] = rank, not same and not (judged and linked > LINK_SHARE * chars)
+
+    lines = [(*places[id(slot)], " ".join(entities.unescape("".join(pieces)).split())) for slot, pieces in texts if id(slot) in places]
+    held = {rank: sum(len(line) for r, kept, line in lines if r == rank and kept) for rank, _, line in lines if line}
+    best = min(held, default=REST)
+    if best in (TAGGED, FRAMED) and held.get(NAMED, 0) > TEASER * sum(held.get(r, 0) for r in (TAGGED, FRAMED)):
+        best = NAMED
+    return "\n".join(line for rank, kept, line in lines if line and kept and rank == best)
+
+
+def encoded(root: list) -> str:
+    """A wrapper as flat JSON: its nodes in page order, each with the number of nodes right below it."""
+    rows, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        rows.append([*node[:BELOW], len(node[BELOW])])
+        stack += reversed(node[BELOW])
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def decoded(text: str) -> list:
+    top: list = []
+    stack = [(top, 1)]  # where nodes go, and how many still do
+    for row in json.loads(text):
+        while not stack[-1][1]:
+            stack.pop()
+        into, left = stack[-1]
+        stack[-1] = into, left - 1
+        node = [*row[:BELOW], []]
+        into.append(node)
+        stack.append((node[BELOW], row[BELOW]))
+    return top[0]
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, held = TaskContext.get().partitionId(), {}
 
     def out() -> pa.RecordBatch:
-        rows = [(h, part, _encode(w)) for h, w in held.items()]
+        rows = [(h, part, encoded(w)) for h, w in held.items()]
         held.clear()
         columns = zip(*rows, strict=True) if rows else [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["host", "part", "wrapper"])
@@ -472,9 +546,9 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _together(part: pa.Table) -> pa.Table:
     whole = None
     for text in sorted(part.column("wrapper").to_pylist()):
-        node = json.loads(text)
+        node = decoded(text)
         whole = node if whole is None else align(whole, node)
-    return pa.table({"host": part.column("host")[:1], "wrapper": pa.array([_encode(whole)])})
+    return pa.table({"host": part.column("host")[:1], "wrapper": pa.array([encoded(whole)])})
 
 
 def host_of(url: Column) -> Column:
@@ -490,7 +564,7 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[dict[str, list[int]], list]] = {}
+    known: dict[str, Known] = {}
     for whole in batches:
         for at in range(0, whole.num_rows, 512):
             batch = whole.slice(at, 512)
@@ -499,7 +573,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if host not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[host] = article_slots(json.loads(wrapper))
+                    known[host] = article_slots(decoded(wrapper))
                 texts.append(main_text(page, known[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
@@ -510,7 +584,7 @@ def extract(pages: DataFrame, known: DataFrame | None = None, id_col: str = "pag
     """One row per page with its article's ``text``. ``known``: wrappers made before."""
     found = staged(wrappers(pages, url, html)) if known is None else known
     plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host_of(F.col(url)).alias("host"))
-    joined = plain.join(found, "host", "left").select("id", "url", "html", "host", F.coalesce("wrapper", F.lit('["",0,0,0,0,false,false,[]]')).alias("wrapper"))
+    joined = plain.join(found, "host", "left").select("id", "url", "html", "host", F.coalesce("wrapper", F.lit('[["",0,0,0,0,false,false,0]]')).alias("wrapper"))
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long").withColumnRenamed("page_id", id_col)
 
 

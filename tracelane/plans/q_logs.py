@@ -522,11 +522,11 @@ def edit_blocks(spark, sf):
 
 _OPS = "[' ', '-', '+', '+', ' '][(i * 7 + doc_id) % 5 + 1]"
 _DIFF = f"""
-    l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-    o AS (SELECT doc_id, i, i // 9 AS h, {_OPS} AS op FROM l),
+    l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+    o AS (SELECT doc_id, i, line, i // 9 AS h, {_OPS} AS op FROM l),
     p AS (SELECT *, count(*) FILTER (WHERE op <> '+') OVER w AS olds, count(*) FILTER (WHERE op <> '-') OVER w AS news FROM o
       WINDOW w AS (PARTITION BY doc_id, h ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    facts AS (SELECT doc_id AS event_id, h + 1 AS hunk, op, 100 * h + 10 + olds AS old_line, 100 * h + 20 + news AS new_line, i FROM p)"""
+    facts AS (SELECT doc_id AS event_id, h + 1 AS hunk, op, 100 * h + 10 + olds AS old_line, 100 * h + 20 + news AS new_line, i, line FROM p)"""
 
 
 def _diffs(spark, sf) -> DataFrame:
@@ -536,13 +536,13 @@ def _diffs(spark, sf) -> DataFrame:
     mark = lambda i: F.element_at(marks, ((i * 7 + F.col("doc_id")) % 5 + 1).cast("int"))
     start = lambda i, n: (F.floor(i / 9) * 100 + n).cast("string")
     head = lambda i: F.concat(F.lit("@@ -"), start(i, 10), F.lit(",9 +"), start(i, 20), F.lit(",9 @@\n"))
-    body = F.transform("ls", lambda s, i: F.concat(F.when(i % 9 == 0, head(i)).otherwise(""), mark(i), F.lit("line "), i.cast("string")))
+    body = F.transform("ls", lambda s, i: F.concat(F.when(i % 9 == 0, head(i)).otherwise(""), mark(i), s))
     return d.select(F.col("doc_id").alias("event_id"), F.array_join(body, "\n").alias("diff"))
 
 
 @register(
     "diff_lines",
-    "WITH " + _DIFF.strip() + " SELECT event_id, hunk, op, old_line, new_line, 'line ' || i AS text FROM facts",
+    "WITH " + _DIFF.strip() + " SELECT event_id, hunk, op, old_line, new_line, line AS text FROM facts",
 )
 def diff_lines(spark, sf):
     return C.unified_lines(_diffs(spark, sf)).drop("pos")
@@ -573,12 +573,12 @@ def diff_churn(spark, sf):
 @register(
     "numbered_diff_lines",
     """
-    WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-    o AS (SELECT doc_id, i, ['+', '-', '+', ' '][(i * 3 + doc_id) % 4 + 1] AS op FROM l),
+    WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+    o AS (SELECT doc_id, i, line, ['+', '-', '+', ' '][(i * 3 + doc_id) % 4 + 1] AS op FROM l),
     p AS (SELECT *, count(*) FILTER (WHERE op <> '+') OVER w AS olds, count(*) FILTER (WHERE op <> '-') OVER w AS news FROM o
       WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     c AS (SELECT doc_id FROM o GROUP BY doc_id HAVING bool_or(op <> ' '))
-    SELECT doc_id AS event_id, op, 50 + olds AS old_line, 50 + news AS new_line, 'line ' || i AS text, CAST(1 AS BIGINT) AS hunk FROM p WHERE doc_id IN (SELECT doc_id FROM c)""",
+    SELECT doc_id AS event_id, op, 50 + olds AS old_line, 50 + news AS new_line, line AS text, CAST(1 AS BIGINT) AS hunk FROM p WHERE doc_id IN (SELECT doc_id FROM c)""",
 )
 def numbered_diff_lines(spark, sf):
     """Edits whose lines carry their numbers, in one hunk each."""
@@ -586,19 +586,19 @@ def numbered_diff_lines(spark, sf):
     marks = F.array(*[F.lit(m) for m in ("+", "-", "+", " ")])
     mark = lambda i: F.element_at(marks, ((i * 3 + F.col("doc_id")) % 4 + 1).cast("int"))
     step = F.aggregate(
-        F.transform("ls", lambda s, i: mark(i)),
+        F.transform("ls", lambda s, i: F.struct(mark(i).alias("m"), s.alias("s"))),
         F.struct(F.lit(50).alias("o"), F.lit(50).alias("n"), F.array().cast("array<string>").alias("out")),
         lambda acc, m: F.struct(
-            (acc["o"] + F.when(m == "+", 0).otherwise(1)).alias("o"),
-            (acc["n"] + F.when(m == "-", 0).otherwise(1)).alias("n"),
+            (acc["o"] + F.when(m.m == "+", 0).otherwise(1)).alias("o"),
+            (acc["n"] + F.when(m.m == "-", 0).otherwise(1)).alias("n"),
             F.concat(
                 acc["out"],
                 F.array(
                     F.concat(
-                        m,
-                        F.when(m == "+", acc["n"]).otherwise(acc["o"]).cast("string"),
-                        F.lit("|line "),
-                        F.size(acc["out"]).cast("string"),
+                        m.m,
+                        F.when(m.m == "+", acc["n"]).otherwise(acc["o"]).cast("string"),
+                        F.lit("|"),
+                        m.s,
                     )
                 ),
             ).alias("out"),
@@ -841,42 +841,57 @@ def replayed_changes(spark, sf):
     )
 
 
+_CONTENTS = """
+    line AS (SELECT doc_id, string_split(text, chr(10))[1] || chr(10) AS content, (SELECT count(*) FROM documents) AS many FROM documents),
+    seen AS (SELECT c.*, CASE WHEN change = 'removed' THEN '' ELSE content END AS content FROM chg c JOIN line ON doc_id = event_id % many WHERE change = 'removed' OR event_id % 5 <> 0),
+    history AS (SELECT root_id, rel, end_us AS at_us, event_id, content FROM fx JOIN line ON doc_id = event_id * 7 % many WHERE source = 'tool' AND kind = 'write'
+      UNION ALL SELECT root_id, rel, at_us, event_id, content FROM seen WHERE content IS NOT NULL)"""
+
+
 @register(
     "live_changes",
     with_sql(
         "chg win",
         f"""
-    WITH kept AS (SELECT * FROM chg c WHERE (change = 'removed' OR event_id % 5 <> 0) AND NOT EXISTS (SELECT 1 FROM fx w WHERE w.source = 'tool' AND w.kind = 'write' AND w.root_id = c.root_id
+    WITH {_CONTENTS.strip()},
+    kept AS (SELECT * FROM seen c WHERE NOT EXISTS (SELECT 1 FROM fx w WHERE w.source = 'tool' AND w.kind = 'write' AND w.root_id = c.root_id
       AND w.rel = c.rel AND w.end_us BETWEEN c.at_us - 36000000000 AND c.at_us + 3600000000)),
+    prev AS (SELECT k.event_id, arg_max(h.content, (h.at_us, h.event_id)) AS old FROM kept k JOIN history h ON h.root_id = k.root_id AND h.rel = k.rel AND h.at_us < k.at_us GROUP BY k.event_id),
+    texts AS (SELECT k.event_id, k.content AS new, CASE WHEN p.event_id IS NULL AND k.change = 'created' THEN '' ELSE p.old END AS old FROM kept k LEFT JOIN prev p USING (event_id)),
+    diffs AS (SELECT event_id, CASE WHEN old <> new THEN '@@ ' || CASE old WHEN '' THEN '-0,0 ' ELSE '-1 ' END || CASE new WHEN '' THEN '+0,0 ' ELSE '+1 ' END || '@@' || chr(10)
+      || CASE old WHEN '' THEN '' ELSE '-' || old END || CASE new WHEN '' THEN '' ELSE '+' || new END END AS diff FROM texts),
     hit AS (SELECT c.event_id, c.root_id, c.rel, c.change, w.who, w.call_id,
       row_number() OVER (PARTITION BY c.event_id ORDER BY w.start_us DESC NULLS LAST, w.ord) AS n
       FROM kept c LEFT JOIN win w ON w.root_id = c.root_id AND c.at_us >= w.start_us - 60000000 AND c.at_us <= coalesce(w.end_us, {S.NOW_US}) + 480000000)
     SELECT event_id, root_id, rel, change, coalesce(CAST(who AS VARCHAR), 'you') AS who, CAST(call_id AS VARCHAR) AS call_id,
-      CASE WHEN call_id IS NOT NULL THEN 'window' ELSE 'watcher' END AS source FROM hit WHERE n = 1""",
+      CASE WHEN call_id IS NOT NULL THEN 'window' ELSE 'watcher' END AS source, diff FROM hit JOIN diffs USING (event_id) WHERE n = 1""",
     ),
 )
 def live_changes(spark, sf):
-    """The whole way of a batch of settled changes: placed, compared, filtered, attributed."""
+    """The whole way of a batch of settled changes: placed, compared with what was known, filtered, attributed."""
     from tracelane.config import Params
     from tracelane.operators.roots import root_prefixes
     from tracelane.plans.live import classify_changes
 
-    f, w = S.fx(spark, sf), S.win(spark, sf)
-    changes = S.chg(spark, sf).select(
+    f, w, n = S.fx(spark, sf), S.win(spark, sf), F.col("event_id")
+    line = S.table(spark, sf, "documents").select("doc_id", F.concat(F.split("text", "\n")[0], F.lit("\n")).alias("content"))
+    many = line.count()
+    changes = S.chg(spark, sf).join(line, F.col("doc_id") == n % many).select(
         "event_id",
         F.concat(F.lit("/r"), F.col("root_id").cast("string"), F.lit("/"), F.col("rel")).alias("path"),
         "at_us",
         "change",
-        (F.col("event_id") % 5 != 0).alias("exists"),
-        F.lit(None).cast("string").alias("content"),
+        (n % 5 != 0).alias("exists"),
+        "content",
     )
     roots = spark.createDataFrame([(0, "/r0"), (1, "/r1"), (2, "/r2")], "root_id int, path string")
     windows = w.withColumns({"who": F.col("who").cast("string"), "call_id": F.col("call_id").cast("string")})
     calls = windows.select("who", "call_id", F.lit("bash").alias("tool"), F.lit("").alias("input"))
-    none = f.select(F.lit("").alias("scope_key"), "rel", F.col("start_us").alias("at_us"), T.recorded(F.col("event_id"), F.lit(0), F.lit(0), F.lit("")).alias("seq"), F.lit("").alias("content")).where("scope_key <> ''")
+    written = f.where("source = 'tool' AND kind = 'write'").join(line, F.col("doc_id") == n * 7 % many)
+    history = written.select(F.concat(F.lit("p"), F.col("root_id").cast("string")).alias("scope_key"), "rel", F.col("end_us").alias("at_us"), n.cast("bigint").alias("seq"), "content")
     p = Params(echo_before=36_000, echo_after=3_600, slack_start=60, slack_end=480)
-    events, _ = classify_changes(changes, root_prefixes(roots), f, windows, calls, none, S.NOW_US, p)
-    return events.select("event_id", "root_id", "rel", F.col("detail.fs_change").alias("change"), "who", "call_id", "source")
+    events, _ = classify_changes(changes, root_prefixes(roots), f, windows, calls, history, S.NOW_US, p)
+    return events.select("event_id", "root_id", "rel", F.col("detail.fs_change").alias("change"), "who", "call_id", "source", "detail.diff")
 
 
 # --- what calls and items say about files ----------------------------------------------

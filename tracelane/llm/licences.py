@@ -76,7 +76,7 @@ KNOWN = [
 ]
 #: Letters of a canonical form that a run of blocks must begin with.
 HEAD = 16
-#: (pattern, replacement) on lower-cased text: spellings that mean the same.
+#: (old, new) on lower-cased text: spellings that mean the same. Without spaces, so that line breaks make no difference.
 SPELLINGS = (
     ("licence", "license"),
     ("sub-licens", "sublicens"),
@@ -85,12 +85,17 @@ SPELLINGS = (
     ("favour", "favor"),
     ("honour", "honor"),
     ("organisation", "organization"),
-    ("copyright owner", "copyright holder"),
+    ("owner", "holder"),
     ("&", " and "),
     ("https://", "http://"),
-    ("version 2.0", "version 2"),
+    ("2.0", "2"),
+)
+#: A line that states a copyright: the word or sign, then a sign, year or blank for one (and a blank for the name, which a
+#: line break may cut); or the reservation by itself.
+COPYRIGHT_LINE = (
+    r"(^|\n)[^\n0-9a-z]*((copyright|\(c\)|©)[ ,:]*[\[<{](year|yyyy|date)[\]>}]\s*[\[<{][^\]>}]*[\]>}][^\n]*|(copyright|\(c\)|©)[ ,:]*(\(c\)|©|copyright)?[ ,:]*((\(c\)|©)|[\[<{(]?(19|20)[0-9][0-9]|[\[<{(](year|yyyy|date)|[\[<{](name|copyright|owner|holder))"
+    r"[^\n]*|(copyright|\(c\)|©)[ ,:]+(\(c\)|©)[^\n]*|all rights reserved[^\n0-9a-z]*($|\n))"
 )
-COPYRIGHT_LINE = r"(^|\n)[^\n0-9a-z]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 
 
 def _lines(text: Column) -> Column:

@@ -177,6 +177,20 @@ def row_items(spans: DataFrame, prompts: DataFrame, who: object, session: object
     return own.orderBy(F.desc("end_us"), F.desc("item"), "ord")
 
 
+def row_lists(spans: DataFrame, prompts: DataFrame, mains: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """``row_items`` of all participants at once: (who, item, start_us, end_us, pos), ``pos`` from 1.
+
+    ``mains``: (session, who), the main participant whose list shows the session's prompts.
+    """
+    at = F.col("at_us")
+    said = prompts.join(mains.select("session", "who"), "session").select("who", F.lit("prompt").alias("item"), at.alias("start_us"), at.alias("end_us"))
+    both = spans.select("who", F.lit("span").alias("item"), "start_us", "end_us").unionByName(said)
+    # Newest end first; a span before a prompt of the same instant.
+    keyed = both.withColumns({"_e": -F.col("end_us"), "_i": (F.col("item") == "prompt").cast("int")})
+    out = ordered(keyed, ("who",), ("_e", "_i", "start_us"), block_rows, copies=True).scan(pos=running_sum(F.lit(1).cast("bigint")))
+    return out.drop("_e", "_i")
+
+
 def nearest(items: DataFrame, probes: DataFrame, keys=("who",), block_rows: int | None = None) -> DataFrame:
     """For each probe the item closest in whole seconds; among equals the first of the detail list.
 

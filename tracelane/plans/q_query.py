@@ -334,6 +334,24 @@ def detail_list(spark, sf):
     return Q.detail_items(S.fx(spark, sf).select("event_id", "rel", "end_us"), ("rel",))
 
 
+@register(
+    "row_lists",
+    with_sql(
+        "fx parts",
+        """
+    WITH i AS (SELECT who, 'span' AS item, start_us, end_us FROM fx WHERE source = 'tool'
+      UNION ALL SELECT p.main, 'prompt', f.start_us, f.start_us FROM fx f JOIN parts p ON p.who = f.who WHERE f.source = 'window')
+    SELECT who, item, start_us, end_us, row_number() OVER (PARTITION BY who ORDER BY end_us DESC, item DESC, start_us) AS pos FROM i""",
+    ),
+)
+def row_lists(spark, sf):
+    """Every participant's own list: their spans, and for a main the prompts of its session."""
+    people = S.participants(spark, sf)
+    prompts = S.fx(spark, sf, "signup").select("who", F.col("start_us").alias("at_us")).join(people.select("who", "session"), "who").select("session", "at_us")
+    mains = people.select("session", F.col("main").alias("who")).distinct()
+    return Q.row_lists(S.fx(spark, sf, "click", "view", "purchase"), prompts, mains)
+
+
 @register(
     "nearest",
     with_sql(

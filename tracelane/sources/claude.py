@@ -13,7 +13,7 @@ from tracelane.operators.ordered import ordered, running_sum
 from tracelane.sources import touches as T
 from tracelane.sources import variant as V
 from tracelane.sources.raw import of_class
-from tracelane.sources.rules import prompt_text_ok
+from tracelane.sources.rules import emitted, prompt_text_ok
 
 
 def _type() -> Column:
@@ -191,8 +191,9 @@ def touches(done: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     done = done.where("line_no IS NOT NULL")
     arg = lambda name: V.text("args", f"$.{name}")
     res = lambda name: V.text("details", f"$.{name}")
-    shells = done.where("tool = 'Bash'").withColumn("script", arg("command"))
-    ok = done.where("NOT failed")
+    gives = emitted(F.when(F.col("tool") == "Bash", "bash").otherwise(F.col("tool")), F.col("failed"))
+    shells = done.where(gives["inferred"]).withColumn("script", arg("command"))
+    ok = done.where(gives["events"])
     m = K.split_mcp(F.col("tool"))
     path = F.coalesce(res("filePath"), arg("file_path"))
     original = res("originalFile")

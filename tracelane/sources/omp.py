@@ -12,6 +12,7 @@ from tracelane.operators.ordered import ordered, running_last, running_sum
 from tracelane.sources import touches as T
 from tracelane.sources import variant as V
 from tracelane.sources.raw import of_class
+from tracelane.sources.rules import emitted
 
 
 def _zero() -> Column:
@@ -265,10 +266,11 @@ def edit_blocks(edits: DataFrame, text: str = "input", block_rows: int | None =
 def touches(done: DataFrame, p: Params = DEFAULTS, targets: DataFrame | None = None) -> DataFrame:
     """File touches of finished calls. ``done`` carries the session's cwd as ``cwd``."""
     done = done.where("line_no IS NOT NULL")
-    ok = done.where("NOT failed")
+    gives = emitted(F.col("tool"), F.col("failed"))
+    ok = done.where(gives["events"])
     arg = lambda name: V.text("args", f"$.{name}")
-    shells = done.where("tool = 'bash'").withColumn("script", arg("command"))
-    cells = done.where((F.col("tool") == "eval") & F.col("session").isNotNull() & arg("code").isNotNull())
+    shells = done.where(gives["inferred"]).withColumn("script", arg("command"))
+    cells = done.where(gives["cells"] & F.col("session").isNotNull() & arg("code").isNotNull())
     cell = K.eval_cell_name(arg("title"), arg("i"), arg("language"), F.col("start_us"), p.tz)
     server, mcp_tool = mcp_names()
     web = F.coalesce(arg("path").rlike(r"\Ahttps?://"), F.lit(False))

@@ -1,11 +1,13 @@
 """Operator 2: deterministic sharded WARC writer, and the reader of its archives.
 
-Records are range-sorted by page id; every range writes files of its own and starts the next one when the
-compressed size reaches ``roll_bytes``. Headers and digests are made anew from the payload, times are a
-parameter and each record is a gzip member without a time stamp, so the same ranges give the same
-bytes. A file is written under a temporary name that belongs to the task attempt, then renamed; the manifest
-(one row per file with size and SHA-256) is written last, and the reader opens only what it names. A lost
-or repeated task can leave a temporary file behind, or write the same file again, never a half one.
+Records are sorted by (page id, digest) and cut into shards where the running sum of exact sizes passes a multiple of
+the shard's size; every shard writes files of its own and starts the next one when the compressed size reaches
+``roll_bytes``. So the cuts depend on the records alone, not on samples, tasks or the cluster. Headers and digests are made
+anew from the payload, times are a parameter and each record is a gzip member without a time stamp: the same
+records give the same files, byte by byte. A file is written under a temporary name that belongs to the task attempt, then
+renamed. The manifest (one row per file with size and SHA-256) is written into the archives' folder, under a temporary
+name too, and renamed last: that is the commit, and the reader opens only what it names. A lost or repeated task can
+leave a temporary file behind, or write the same file again, never a half one.
 
 Among records with equal payloads of at least ``min_bytes`` bytes, the one with the largest page id is the
 response and the others are revisits of it. Only (id, digest) pairs are compared for that.
@@ -17,6 +19,7 @@ of equal rows one is the response; an empty table gives no file and an empty res
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import re
@@ -27,13 +30,18 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelane.llm.common import table
 from tracelane.session import shared_folder, staged
+from tracelane.sources.committed import Store
 
 ROLL_BYTES = 64 << 20
+#: Bytes of a shard before compression, or the total over ``MAX_SHARDS`` where that is more.
+SHARD_BYTES, MAX_SHARDS = 16 << 20, 50_000
+#: What a record's headers add.
+HEAD_BYTES = 500
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 6
@@ -112,20 +120,28 @@ class _Shard:
 def _write(folder_uri: str, roll_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        part, attempt = context.partitionId(), f"{context.stageId()}-{context.taskAttemptId()}"
+        attempt = f"{context.stageId()}-{context.taskAttemptId()}"
         system, folder = _open(folder_uri)
-        shard, number, done = None, 0, []
-        last, copies = None, 0
+        shard, part, number, done = None, None, 0, []
+        last, copies, mark = None, 0, None
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for page_id, url, html, digest, lead_known, lead in rows:
+            for place, page_id, url, html, digest, is_page, lead in rows:
+                if not is_page:  # stands before the pages of its id and digest: their payload has a response at ``lead``
+                    mark = page_id, digest, lead
+                    continue
+                if place != part:
+                    if shard is not None:
+                        done.append(shard.close())
+                    shard, part, number = None, place, 0
                 copies = copies + 1 if (page_id, digest) == last else 0
                 last = (page_id, digest)
-                first = not lead_known or (page_id == lead and copies == 0)
+                known = mark is not None and mark[:2] == last
+                first = not known or (page_id == mark[2] and copies == 0)
                 if shard is None:
                     shard = _Shard(system, folder, f"pages-{part:06d}-{number:06d}.warc.gz", attempt, date)
                     number += 1
-                shard.add(page_id, page_record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), None if first else (lead,), copies, date))
+                shard.add(page_id, page_record(page_id, url, (html or "").encode("utf-8", "surrogatepass"), None if first else (mark[2],), copies, date))
                 if shard.bytes >= roll_bytes:
                     done.append(shard.close())
                     shard = None
@@ -138,18 +154,63 @@ def _write(folder_uri: str, roll_bytes: int, date: str):
     return run
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes: int = 0, date: str = DATE, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write the archives into ``folder`` and return the manifest, which is the commit."""
+def shard_starts(keys: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[tuple]:
+    """The first (id, digest) of each shard but the first, nulls first; ``keys``: id, digest, bytes.
+
+    Exact whatever the partitions: sizes are summed along the order in two levels, inside the parts of a range-sorted table and over
+    one row per part. At most ``MAX_SHARDS`` rows come back.
+    """
+    sizes = keys.groupBy("id", "digest").agg(F.sum("bytes").alias("bytes"))
+    order = [F.col("id").asc_nulls_first(), "digest"]
+    placed = staged(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id()).withColumn("part", F.shiftright("pos", 33)))
+    totals = placed.groupBy("part").agg(F.sum("bytes").alias("total"))
+    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
+    everything = totals.agg(F.sum("total")).first()[0] or 0
+    size = max(shard_bytes, -(-everything // MAX_SHARDS))
+    inside = F.sum("bytes").over(Window.partitionBy("part").orderBy("pos")) - F.col("bytes")
+    ranked = placed.withColumn("inside", inside).join(before, "part").select("id", "digest", F.floor((F.col("before") + F.col("inside")) / size).cast("long").alias("shard"))
+    first = ranked.groupBy("shard").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "digest")).alias("k")).where("shard > 0")
+    return sorted(_order(r["k"]["id"], r["k"]["digest"]) for r in first.collect())
+
+
+def _order(page_id: int | None, digest: str) -> tuple:
+    return (page_id is not None, page_id or 0, digest)
+
+
+def _shard_of(starts: list[tuple]):
+    return F.udf(lambda page_id, digest: bisect.bisect_right(starts, _order(page_id, digest)), "int", useArrow=True)
+
+
+def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes: int = 0, date: str = DATE, id_col: str = "page_id", url: str = "url", html: str = "html", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Write the archives into ``folder`` and return the manifest, whose last renaming is the commit."""
     system, path = _open(folder)
     system.create_dir(path, recursive=True)
+    store = Store(pages.sparkSession, folder)
+    if "manifest" in store.names(""):
+        raise FileExistsError(f"{folder} holds committed archives")
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     plain = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url).cast("string").alias("url"), body.alias("html")).withColumn("digest", F.sha1("html"))
-    rows = plain.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.max("id").alias("lead"), F.count(F.lit(1)).alias("n"))
-    shared = rows.where("n > 1").select(F.col("digest").alias("d"), "lead")
-    known = plain.join(shared, F.col("digest") == F.col("d"), "left").select("id", "url", "html", "digest", F.col("d").isNotNull().alias("known"), "lead")
+    keys = staged(plain.select("id", "digest", F.octet_length("html").cast("long").alias("payload")))
+    starts = shard_starts(keys.select("id", "digest", (F.col("payload") + HEAD_BYTES).alias("bytes")), shard_bytes)
+    rows = keys.where(F.col("payload") >= min_bytes).groupBy("digest").agg(F.max("id").alias("lead"), F.count(F.lit(1)).alias("n"))
+    shared = rows.where("n > 1").select("digest", "lead")
+    # Pages move once: what is known of shared payloads travels as rows of its own, which sort before their pages.
+    marks = keys.select("id", "digest").distinct().join(shared, "digest").select("id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(False).alias("page"), "lead")
+    every = plain.select("id", "url", "html", "digest", F.lit(True).alias("page"), F.lit(None).cast("long").alias("lead")).unionByName(marks)
+    shard = _shard_of(starts)("id", "digest") if starts else F.lit(0)
+    dealt = every.select(shard.alias("shard"), "id", "url", "html", "digest", "page", "lead")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = known.repartitionByRange(parts, "id").sortWithinPartitions("id", "digest", "url")
-    return staged(ranged.mapInArrow(_write(folder, roll_bytes, date), MANIFEST))
+    ordered = dealt.repartition(max(1, min(parts, len(starts) + 1)), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "page", "url")
+    hidden = f"_manifest-{uuid.uuid4().hex}"
+    ordered.mapInArrow(_write(folder, roll_bytes, date), MANIFEST).write.parquet(f"{store.top}/{hidden}")
+    if not store.rename(hidden, "manifest"):
+        raise FileExistsError(f"{folder} holds committed archives")
+    return committed(pages.sparkSession, folder)
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of the archives in a folder; an error where they were never committed."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/manifest")
 
 
 def _page(name: str) -> int | None:
@@ -218,8 +279,8 @@ def read(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFr
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    manifest = write(table(spark, sf_dir, "pages"), folder)
-    return read(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write(table(spark, sf_dir, "pages"), folder)
+    return read(committed(spark, folder), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 REGISTERED = {"op2_warc_round_trip": (op2_warc_round_trip, None)}

@@ -70,6 +70,90 @@ def test_whole_table(spark):
     assert exact <= got and len(got) <= len(exact) + 5
 
 
+def plain_matches(text, item, percent=10):
+    """Ends of all places where the whole item lies within its edits, by one full distance table (a row per character of the item)."""
+    text, item = (np.array([ord(c) for c in x]) for x in (text, item))
+    k, row = min(len(item) * percent // 100, (len(item) + 1) // 8 - 2), np.zeros(len(text) + 1, int)
+    at = np.arange(len(text) + 1)
+    for i, c in enumerate(item):
+        new = np.minimum(row + 1, np.concatenate([[i + 1], row[:-1] + (text != c)]))
+        row = np.minimum.accumulate(new - at) + at
+    return {int(j): int(row[j]) for j in np.flatnonzero(row <= k)}
+
+
+def flat(text):
+    return "".join(chr(c) for c in D.normalised(text)[0])
+
+
+def test_every_passage_of_the_small_table_is_found(spark):
+    """An item within k edits keeps one of its k + 1 pieces unchanged: the texts with such a piece are compared in full."""
+    docs_, items = read("documents", "doc_id, text"), read("benchmark", "item_id, text")
+    got = {}
+    for r in D.op9_benchmark_passages(spark, SMALL).collect():
+        got.setdefault((r.doc_id, r.item_id), []).append((r.start, r.end, r.edits))
+    texts = {i: flat(t or "") for i, t in docs_}
+    want = {}
+    for item_id, item in items:
+        item = flat(item.strip())
+        if len(item) < D.MIN_ITEM:
+            continue
+        k = min(len(item) // 10, (len(item) + 1) // 8 - 2)
+        cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
+        pieces = [item[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        for doc_id, text in texts.items():
+            if any(p in text for p in pieces) and (ends := plain_matches(text, item)):
+                want[doc_id, item_id] = ends
+    assert set(got) == set(want) and len(want) >= 3
+    for key, spans in got.items():
+        assert min(e for _, _, e in spans) == min(want[key].values())
+
+
+def test_bands_against_full_tables():
+    draw = random.Random(8)
+    letters = "abcde fgh"
+
+    def changed(text, n):
+        out = list(text)
+        for _ in range(n):
+            i = draw.randrange(len(out))
+            out[i : i + 1] = draw.choice([[], [draw.choice(letters)], [out[i], draw.choice(letters)]])
+        return "".join(out)
+
+    for _ in range(60):
+        item = flat("".join(draw.choice(letters) for _ in range(draw.randint(45, 260))).strip())
+        parts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 200)))]
+        for _ in range(draw.randint(0, 4)):
+            parts += [changed(item, draw.randint(0, len(item) // 8)), "".join(draw.choice(letters) for _ in range(draw.randint(0, 60)))]
+        text = flat("".join(parts))
+        ends = plain_matches(text, item)
+        found = D.search(text, D.Items([(1, item)], 10))
+        assert bool(found) == bool(ends)
+        for _, start, end, edits in found:
+            assert ends[end] == edits and plain_matches(text[start:end], item)[end - start] == edits
+        for a, b in zip(found, found[1:], strict=False):
+            assert a[2] <= b[1]
+        for end, edits in ends.items():  # whatever else matches overlaps something at least as good
+            assert any(s < end and e > end - len(item) * 2 and d <= edits for _, s, e, d in found)
+
+
+def test_long_items_and_many_near_copies_stay_small():
+    import time
+    import tracemalloc
+
+    draw = random.Random(9)
+    item = "".join(draw.choice("abcdefghijklm ") for _ in range(20_000)).strip()
+    near = item[:5000] + "xx" + item[5003:15_000] + item[15_010:]
+    tracemalloc.start()
+    began = time.time()
+    (found,) = D.search(f"zz {near} yy", D.Items([(1, item)], 10))
+    assert found[3] <= 15 and time.time() - began < 60
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    short = flat("".join(draw.choice("abcdefgh ijklmnop") for _ in range(349)).strip())
+    many = " ".join(short[:i] + "#" + short[i + 1 :] for i in range(1, 301))
+    assert len(D.search(many, D.Items([(1, short)], 10))) == 300
+
+
 def test_decontamination_of_odd_rows(spark):
     odd = odd_docs(spark)
     assert D.matches(odd, bench_of(spark, None, "", "short", "word " * 20)).select("doc_id").distinct().count() == 1

@@ -6,10 +6,11 @@ with k edits keeps at least ``m + 1 - q * (k + 1)`` of the item's q-grams, and t
 the document less position in the item) span at most k. So:
 
 1. every q-gram of a document is looked up in the items' q-grams (first in a bit table);
-2. hits are counted per item in diagonal bands of width 2w, w >= k + 1, that overlap by half: a span of
+2. hits are counted per item in diagonal bands of width 2w, w = k + 1, that overlap by half: a span of
    up to k + 1 diagonals always lies inside one band, whole;
-3. bands with enough hits inside a window of m + k positions give a region;
-4. a banded alignment (item whole, region free at both ends) decides, and gives the exact ends.
+3. bands with enough hits inside a window of m + k positions are kept;
+4. an alignment on the diagonals up to k beside the hits of each band (item whole, text free at both ends), decides and gives
+   the exact ends. It holds one row of the band at a time: m steps over 2k + 1 diagonals, and those between its hits.
 
 The items are the stated set that all documents are compared with. They go to the workers in blocks of at
 most ``BLOCK_CHARS`` characters (one pass over the documents for each), so memory has a bound.
@@ -22,6 +23,7 @@ empty tables give empty results; other columns are ignored (``matches``) or kept
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ Q = 8
 PERCENT = 10
 MIN_ITEM = 40
 BLOCK_CHARS = 2_000_000
+#: Cells of the bands that are aligned together.
+CELLS = 1 << 18
 _BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,23 +104,23 @@ class Items:
         self.length = np.array([len(c) for c in self.codes], np.int64)
         self.least = self.length + 1 - Q * (self.edit + 1)
 
-    def regions(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first, last) in normalised positions, wide enough for the alignment."""
+    def bands(self, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By item, the bands in which enough of its q-grams lie close together: first and last diagonal of their hits."""
         keys = grams(codes)
         at = np.flatnonzero(self.bits[keys & np.uint64((1 << _BITS) - 1)])
         if not len(at):
-            return []
+            return {}
         key = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
         real = self.keys[key] == keys[at]
         at, key = at[real], key[real]
         lo, n = self.first[key], self.count[key]
         if not len(at):
-            return []
+            return {}
         hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         item = self.owner[hit]
         enough = np.bincount(item, minlength=len(self.length)) >= self.least
         if not enough.any():
-            return []
+            return {}
         kept = enough[item]
         pos, item, place = np.repeat(at, n)[kept], item[kept], self.place[hit[kept]]
         diagonal = pos - place
@@ -126,7 +130,7 @@ class Items:
         item, pos, diagonal = np.tile(item, 2), np.tile(pos, 2), np.tile(diagonal, 2)
         band = np.concatenate([band, band - 1])
         order = np.lexsort((pos, band, item))
-        item, pos, band = item[order], pos[order], band[order]
+        item, pos, band, diagonal = item[order], pos[order], band[order], diagonal[order]
         group = np.concatenate([[0], np.cumsum((np.diff(item) != 0) | (np.diff(band) != 0))])
         least = self.least[item]
         last = np.arange(len(item)) + least - 1
@@ -134,83 +138,123 @@ class Items:
         last = np.minimum(last, len(item) - 1)
         # As many hits as the bound asks for, within a window of the item's length and its edits.
         ok &= (group[last] == group) & (pos[last] - pos <= self.length[item] + self.edit[item])
-        found: dict[int, list[tuple[int, int]]] = {}
-        for i in np.flatnonzero(ok):
-            k, m, x = int(self.edit[item[i]]), int(self.length[item[i]]), int(item[i])
-            first = int(band[i]) * (k + 1) - k - 1
-            found.setdefault(x, []).append((max(0, first), min(len(codes), first + 2 * (k + 1) + m + 2 * (k + 1))))
-        out = []
-        for x, spans in found.items():
-            spans.sort()
-            a, b = spans[0]
-            for c, d in spans[1:]:
-                if c <= b:
-                    b = max(b, d)
-                else:
-                    out.append((x, a, b))
-                    a, b = c, d
-            out.append((x, a, b))
-        return out
-
-    @staticmethod
-    def _exact(item: np.ndarray, region: np.ndarray) -> list[tuple[int, int, int]]:
-        """Unchanged copies of the item, left to right, none overlapping."""
-        whole, part, out, at = region.tobytes(), item.tobytes(), [], 0
-        while (at := whole.find(part, at)) >= 0:
-            if at % 4:
-                at += 1
-            else:
-                out.append((at // 4, at // 4 + len(item), 0))
-                at += len(part)
-        return out
-
-    def align(self, x: int, region: np.ndarray) -> list[tuple[int, int, int]]:
-        """Non-overlapping (start, end, edits) of item ``x`` in the region, fewest edits first.
-
-        Columns of the distance table run over the region; the item is whole, both region ends are free.
+        if not ok.any():
+            return {}
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0]))
+        first, final = np.minimum.reduceat(diagonal, edges), np.maximum.reduceat(diagonal, edges)
+        found: dict[int, set[tuple[int, int]]] = {}
+        for g in np.unique(group[ok]).tolist():
+            found.setdefault(int(item[edges[g]]), set()).add((int(first[g]), int(final[g])))
+        return {x: sorted(bands) for x, bands in found.items()}
+
+    def align(self, x: int, codes: np.ndarray, bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Non-overlapping (start, end, edits) of item ``x`` in the text, fewest edits first, from the given bands.
+
+        A match's diagonals lie within k of those of its q-grams, which lie in one band; so each band is verified by
+        itself, on the diagonals up to k beside its hits. Where unchanged copies leave no room for another match, nothing has to be aligned.
         """
         item, k = self.codes[x], int(self.edit[x])
-        m, n = len(item), len(region)
-        exact = self._exact(item, region)
-        if exact and all(b - a < m - k for a, b in zip([0, *[e for _, e, _ in exact]], [*[s for s, _, _ in exact], n], strict=True)):
-            return exact  # nothing between them is long enough
-        differs = region[:, None] != item[None, :]
-        cost = np.empty((n + 1, m + 1), np.int32)
-        steps = np.arange(m + 1, dtype=np.int32)
-        cost[0] = steps
-        row = np.empty(m + 1, np.int32)
-        for j in range(1, n + 1):
-            np.add(cost[j - 1, :-1], differs[j - 1], out=row[1:])
-            np.minimum(row[1:], cost[j - 1, 1:] + 1, out=row[1:])
-            row[0] = 0
-            row -= steps
-            np.minimum.accumulate(row, out=row)
-            np.add(row, steps, out=cost[j])
+        m = len(item)
+        found: dict[int, tuple[int, int]] = {}  # by end: edits, start
+        todo: dict[int, list[int]] = {}  # by width: first diagonals
+        for low, high in bands:
+            a, b = max(0, low - k), min(len(codes), high + k + m)
+            copies = _copies(item, codes[a:b])
+            for start in copies:
+                found[a + start + m] = 0, a + start
+            ends, starts = [0, *(c + m for c in copies)], [*copies, b - a]
+            if any(start - end >= m - k for end, start in zip(ends, starts, strict=True)):
+                todo.setdefault(high - low + 2 * k + 1, []).append(low - k)
+        for width, first in todo.items():
+            at_once = max(1, CELLS // width)
+            for i in range(0, len(first), at_once):
+                _banded(item, codes, np.array(first[i : i + at_once]), width, k, found)
         out: list[tuple[int, int, int]] = []
-        ends = sorted(np.flatnonzero(cost[:, m] <= k), key=lambda j: (cost[j, m], j))
-        for end in ends:
-            i, j = m, int(end)
-            while i:
-                if j and cost[j, i] == cost[j - 1, i - 1] + (item[i - 1] != region[j - 1]):
-                    i, j = i - 1, j - 1
-                elif cost[j, i] == cost[j, i - 1] + 1:
-                    i -= 1
-                else:
-                    j -= 1
-            if all(end <= a or j >= b for a, b, _ in out):
-                out.append((j, int(end), int(cost[end, m])))
+        taken = _Spans()
+        for end, (edits, start) in sorted(found.items(), key=lambda f: (f[1][0], f[0])):
+            if taken.add(start, end):
+                out.append((start, end, edits))
         return out
 
 
+_EDIT = np.int64(1) << 40
+
+
+def _banded(item: np.ndarray, codes: np.ndarray, first: np.ndarray, width: int, k: int, found: dict[int, tuple[int, int]]) -> None:
+    """Distances of the whole item, both ends in the text free, on ``width`` diagonals from each of ``first``.
+
+    One step per character of the item, for all bands together. A cell is one number: its distance times ``_EDIT``, and below that
+    the place it started from, counted from the text's end, so that of equal distances the later start is kept. Only one row is held.
+    """
+    m, n = len(item), len(codes)
+    base = int(first.min())
+    # Text around the bands, with signs that equal nothing where there is none.
+    text = np.full(int(first.max()) - base + width + m, 0xFFFFFFFF, np.uint32)
+    a, b = max(0, base), min(n, base + len(text))
+    text[a - base : b - base] = codes[a:b]
+    seen = np.lib.stride_tricks.sliding_window_view(text, width)
+    rows = first - base
+    steps = np.arange(width, dtype=np.int64)
+    diagonal = first[:, None] + steps
+    cell = np.where((diagonal >= 0) & (diagonal <= n), n - diagonal, _EDIT << 20)
+    slope = steps * _EDIT
+    for i in range(m):
+        own = cell + (seen[rows + i] != item[i]) * _EDIT  # a character of each
+        np.minimum(own[:, :-1], cell[:, 1:] + _EDIT, out=own[:, :-1])  # one of the item alone
+        own -= slope  # one of the text alone: the least so far, one more for each step
+        np.minimum.accumulate(own, axis=1, out=own)
+        own += slope
+        cell = own
+        if i % 64 == 63:
+            alive = cell.min(axis=1) < (k + 1) * _EDIT
+            if not alive.all():
+                if not alive.any():
+                    return
+                rows, diagonal, cell = rows[alive], diagonal[alive], cell[alive]
+    edits, starts, ends = cell // _EDIT, n - cell % _EDIT, diagonal + m
+    for r, c in zip(*np.nonzero((edits <= k) & (ends <= n) & (ends > starts)), strict=True):
+        end, value = int(ends[r, c]), (int(edits[r, c]), int(starts[r, c]))
+        if end not in found or (value[0], -value[1]) < (found[end][0], -found[end][1]):
+            found[end] = value
+
+
+class _Spans:
+    """Spans of a text that do not overlap, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def add(self, start: int, end: int) -> bool:
+        at = bisect.bisect_left(self.starts, end)
+        if at and self.ends[at - 1] > start:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
+def _copies(item: np.ndarray, region: np.ndarray) -> list[int]:
+    """Where unchanged copies of the item start, left to right, none overlapping."""
+    whole, part, out, at = region.tobytes(), item.tobytes(), [], 0
+    while (at := whole.find(part, at)) >= 0:
+        if at % 4:
+            at += 1
+        else:
+            out.append(at // 4)
+            at += len(part)
+    return out
+
+
 def search(text: str | None, items: Items) -> list[tuple[int, int, int, int]]:
     """(item_id, start, end, edits) in code points of the text, by item and place."""
     if not text:
         return []
     codes, origin = normalised(text)
     found = []
-    for x, a, b in items.regions(codes):
-        for start, end, edits in items.align(x, codes[a:b]):
-            found.append((items.ids[x], int(origin[a + start]), int(origin[a + end - 1]) + 1, edits))
+    for x, bands in items.bands(codes).items():
+        for start, end, edits in items.align(x, codes, bands):
+            found.append((items.ids[x], int(origin[start]), int(origin[end - 1]) + 1, edits))
     return sorted(set(found), key=lambda f: (f[0] is None, f[0] or 0, *f[1:]))
 
 

@@ -6,7 +6,8 @@ bounded size along its order: the running value inside a block comes from a wind
 ``(key, block)``, and what the earlier blocks contribute is a prefix over one summary row per
 block. Both parts are exact, so the split never changes a result.
 
-How a key is found to be large: one aggregation counts rows per key. Keys above the limit are
+How a key is found to be large: one aggregation counts rows per key (left out where the whole input is a few
+megabytes). Keys above the limit are
 few by construction (total / limit), and so are their cut points, which are taken from a
 sample of the key's rows. The sample picks cut points only; every row is processed.
 """
@@ -31,6 +32,8 @@ BLOCK_ROWS = 1_000_000
 WIDE_BLOCK_ROWS = 50_000
 MAX_BLOCKS = 50_000
 SAMPLE_PER_BLOCK = 10
+# An input that Catalyst takes for smaller than this is not counted first: its keys fit a task.
+SMALL_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -172,7 +175,9 @@ def ordered(df: DataFrame, keys, order, block_rows: int | None = None, copies: b
     """
     keys, order = tuple(keys), tuple(order)
     floor = BLOCK_ROWS if block_rows is None else block_rows
-    if keys:
+    if block_rows is None and _estimated_bytes(df) <= SMALL_BYTES:
+        total_row, hot = 0, []
+    elif keys:
         sizes = df.groupBy(*keys).count()
         # Only keys above the floor can be too large, so all other counts stay on executors.
         total_row, hot = _large_keys(sizes, keys, floor)
@@ -188,6 +193,11 @@ def ordered(df: DataFrame, keys, order, block_rows: int | None = None, copies: b
     return Ordered(_cut(df, keys, order, hot, limit), keys, order, True)
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer expects of the input, from its files' sizes; a wrong guess costs time, never rows."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _large_keys(sizes: DataFrame, keys, floor):
     """Total rows and the large keys with their counts, in one job.
 

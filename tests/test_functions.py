@@ -33,7 +33,7 @@ def test_selectors(spark):
         P.strip_selector,
         {
             "a.js:33-343": "a.js",
-            "a.md:5-16,960-973:raw": "a.md",
+            "a.md:2-40,77-81:raw": "a.md",
             "a:1:2:3": "a:1",
             "a:raw:img:conflicts": "a:raw",
             "a:x1": "a:x1",

@@ -10,7 +10,7 @@ SELECTOR = r":(raw|img|conflicts|[0-9-][0-9,+-]*)\z"
 
 
 def strip_selector(c: Column) -> Column:
-    """Drop up to two trailing selectors such as ``:raw`` or ``:5-16,960-973``."""
+    """Drop up to two trailing selectors such as ``:raw`` or ``:2-40,77-81``."""
     return F.regexp_replace(F.regexp_replace(c, SELECTOR, ""), SELECTOR, "")
 
 

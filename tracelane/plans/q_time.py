@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelane.config import US
+from tracelane.config import US, ZOOM_WIDTHS
 from tracelane.functions.num import floor_div
 from tracelane.operators import attribution as A
 from tracelane.operators import intervals as I
@@ -236,7 +236,7 @@ FIT_COLS = 5000
     with_sql(
         "fx",
         f"""
-    WITH ws AS (SELECT unnest([10,15,30,60,120,180,300,600,900,1800,3600,7200,10800,21600,43200,86400]) AS w),
+    WITH ws AS (SELECT unnest([{', '.join(map(str, ZOOM_WIDTHS))}]) AS w),
     a AS (SELECT DISTINCT start_us // 1000000 AS s FROM fx),
     c AS (SELECT DISTINCT w, s // w AS g FROM a, ws),
     o AS (SELECT w, g, lag(g) OVER (PARTITION BY w ORDER BY g) AS prev FROM c),

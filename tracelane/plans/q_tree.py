@@ -24,7 +24,7 @@ def register(name, sql=None):
 
 # --- path text -------------------------------------------------------------------------
 
-_SUFFIXES = [":raw", ":5-16,960-973:raw", ":img", "", ":x9", ":-3+2:1:2", ":conflicts:7", ":+1"]
+_SUFFIXES = [":raw", ":2-40,77-81:raw", ":img", "", ":x9", ":-3+2:1:2", ":conflicts:7", ":+1"]
 
 
 def _suffix(n):

@@ -200,7 +200,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, min_bytes
     shard = _shard_of(starts)("id", "digest") if starts else F.lit(0)
     dealt = every.select(shard.alias("shard"), "id", "url", "html", "digest", "page", "lead")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(max(1, min(parts, len(starts) + 1)), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "page", "url")
+    ordered = dealt.repartitionById(min(parts, len(starts) + 1), "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "digest", "page", "url")
     hidden = f"_manifest-{uuid.uuid4().hex}"
     ordered.mapInArrow(_write(folder, roll_bytes, date), MANIFEST).write.parquet(f"{store.top}/{hidden}")
     if not store.rename(hidden, "manifest"):

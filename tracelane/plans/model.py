@@ -15,7 +15,7 @@ from tracelane.operators.ordered import ordered, running_sum
 from tracelane.operators.pairing import close_at_turn_end, open_close
 from tracelane.operators.roots import root_prefixes
 from tracelane.schemas import FILE_EVENTS
-from tracelane.session import staged
+from tracelane.session import merged, staged
 from tracelane.sources import claude, codex, omp, participants, raw, touches
 
 EVENT_ORDER = ("start_us", "end_us", "who", "line_no", "ord", "_n")
@@ -56,7 +56,7 @@ def sessions_of(facts: DataFrame) -> DataFrame:
     )
     ends = Q.session_end(facts.select("session", order.alias("ord"), "is_exit", "recorded_us"))
     named = facts.where(main).select("session", F.col("line_no").alias("ord"), "title", "title_kind")
-    out = base.join(ends, "session", "left").join(Q.titles(named), "session", "left")
+    out = base.join(merged(ends), "session", "left").join(merged(Q.titles(named)), "session", "left")
     # One format rewrites its header's folder when a session moves; the others drift later on.
     cwd = F.when(F.col("harness") == "omp", F.col("last_cwd")).otherwise(F.col("first_cwd"))
     return out.select(
@@ -75,7 +75,7 @@ def sessions_of(facts: DataFrame) -> DataFrame:
 def main_prompts(typed: DataFrame, known: DataFrame) -> DataFrame:
     """Prompts are what was typed in a session's main transcript."""
     mains = known.where("is_main AND session IS NOT NULL").select("who", "session")
-    return typed.join(mains, "who").select("session", "at_us")
+    return typed.join(merged(mains), "who").select("session", "at_us")
 
 
 def file_events(events: DataFrame, block_rows: int | None = None) -> DataFrame:
@@ -125,7 +125,7 @@ def build(
     x = staged(x.join(known.select("who", "session", "is_main"), "who"))
 
     facts = omp.session_facts(o).unionByName(claude.session_facts(c)).unionByName(codex.session_facts(x))
-    sessions = sessions_of(facts.join(known, "who").where("session IS NOT NULL"))
+    sessions = sessions_of(facts.join(merged(known), "who").where("session IS NOT NULL"))
     if title_index is not None:
         listed = title_index.select("id", F.col("title").alias("_t"))
         own = F.when(F.col("harness") == "codex", F.col("_t"))

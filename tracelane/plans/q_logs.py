@@ -19,7 +19,7 @@ from tracelane.operators import roots as R
 from tracelane.plans import shims as S
 from tracelane.plans.model import main_prompts, sessions_of
 from tracelane.plans.shims import with_sql
-from tracelane.session import shared_folder, staged
+from tracelane.session import merged, shared_folder, staged
 from tracelane.sources import changelog, claude, codex, omp, participants, raw
 from tracelane.sources import touches as T
 from tracelane.sources import variant as V
@@ -140,7 +140,7 @@ def log_prompts(spark, sf):
 def log_sessions(spark, sf):
     records = _omp_records(spark, sf)
     known = records.select("who", "session", "is_main", F.lit("omp").alias("harness")).distinct()
-    return sessions_of(omp.session_facts(records).join(known, "who")).select("session", "start_us", "last_seen_us", "end_us", "title")
+    return sessions_of(omp.session_facts(records).join(merged(known), "who")).select("session", "start_us", "last_seen_us", "end_us", "title")
 
 
 @register(

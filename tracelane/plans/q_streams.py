@@ -64,28 +64,83 @@ def _mixed(column: str, batches: int):
 # --- growing transcripts -----------------------------------------------------------------
 
 
-def _append(folder: str):
-    """Append texts to files, each file by one task: (name, at, text) in order of ``at``."""
+#: Bytes of a file's text that a task holds before it writes them.
+_HELD = 4 << 20
+
+
+def _append(folder: str, pieces: str):
+    """Append texts to files, of rows (name, text) in order.
+
+    The first and the last file of a task may go on in others, and a large one is not held: of these it writes a
+    piece each, and gives (name, part, n).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        files, path = fs.FileSystem.from_uri(folder)
+        aside = fs.FileSystem.from_uri(pieces)[1]
+        part, made, cut = TaskContext.get().partitionId(), {aside}, []
+        files.create_dir(aside, recursive=True)
+
+        def put(name: str, texts: list[str], piece: int | None) -> None:
+            target = f"{path}/{name}" if piece is None else f"{aside}/{part}-{piece}"
+            if (top := target.rpartition("/")[0]) not in made:
+                files.create_dir(top, recursive=True)
+                made.add(top)
+            with files.open_append_stream(target) as out:
+                out.write("".join(texts).encode())
+
+        name, texts, held, n, apart = None, [], 0, 0, True
+        for batch in batches:
+            for key, text in zip(batch["name"], batch["text"], strict=True):
+                if key != name and name is not None:
+                    put(name, texts, n if apart else None)
+                    if apart:
+                        cut.append((name, part, n))
+                    n, apart, texts, held = n + 1, False, [], 0
+                name = key
+                texts.append(text)
+                held += len(text)
+                if held >= _HELD:
+                    put(name, texts, n)
+                    apart, texts, held = True, [], 0
+        if name is not None:
+            put(name, texts, n)
+            cut.append((name, part, n))
+        yield pd.DataFrame(cut, columns=["name", "part", "n"])
+
+    return run
+
+
+def _join(folder: str, pieces: str):
+    """Append pieces (name, part, n) to their files, in order, a bounded number of bytes at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         files, path = fs.FileSystem.from_uri(folder)
+        aside = fs.FileSystem.from_uri(pieces)[1]
         for batch in batches:
-            for name, rows in batch.groupby("name", sort=False):
+            for name, part, n in zip(batch["name"], batch["part"], batch["n"], strict=True):
                 files.create_dir(f"{path}/{name}".rpartition("/")[0], recursive=True)
-                with files.open_append_stream(f"{path}/{name}") as out:
-                    out.write("".join(rows["text"]).encode())
+                with files.open_input_stream(f"{aside}/{part}-{n}") as piece, files.open_append_stream(f"{path}/{name}") as out:
+                    while data := piece.read(_HELD):
+                        out.write(data)
             yield batch[["name"]]
 
     return run
 
 
 def _grow(rows: DataFrame, folder: str) -> None:
-    """Lengthen files by rows (name, at, text)."""
+    """Lengthen files by rows (name, at, text). Tasks get ranges of (name, at), so that a large file is written by many."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "name").sortWithinPartitions("name", "at")
-    dealt.mapInPandas(_append(folder), "name string").write.format("noop").mode("overwrite").save()
+    pieces = f"{folder.rstrip('/')}-pieces-{uuid.uuid4().hex}"
+    dealt = rows.where("name IS NOT NULL").repartitionByRange(parts, "name", "at").sortWithinPartitions("name", "at")
+    cut = staged(dealt.select("name", "text").mapInPandas(_append(folder, pieces), "name string, part int, n int"))
+    joined = cut.repartition(parts, "name").sortWithinPartitions("name", "part", "n").mapInPandas(_join(folder, pieces), "name string")
+    joined.write.format("noop").mode("overwrite").save()
 
 
 def _transcript_lines(spark, sf) -> DataFrame:

@@ -27,13 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from tracelane.sources.raw import plain_path
+from tracelane.sources.raw import BATCH_BYTES, lines_of_range, plain_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SPLIT_BYTES = 128 << 20
+SPLIT_BYTES = TASK_BYTES = 128 << 20
 RANGES = 1000
-CHUNK, BATCH_BYTES = 1 << 20, 8 << 20
 TAIL = 256
 EVERY = 100
 SCHEMA = "file string, generation bigint, split bigint, n bigint, pos bigint, value binary"
@@ -52,33 +51,6 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def lines_of_range(file, first: int, end: int, chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:
-    """(position, line) of the lines whose line break lies in [first, end)."""
-    start, held = first, b""
-    while start > 0:  # back to the line break before the range
-        back = max(0, start - chunk)
-        file.seek(back)
-        held = file.read(start - back)
-        cut = held.rfind(b"\n")
-        if cut >= 0:
-            start = back + cut + 1
-            break
-        start = back
-    file.seek(start)
-    at, rest = start, []
-    while at < end and (data := file.read(min(chunk, end - at))):
-        at += len(data)
-        head, *lines = data.split(b"\n")
-        rest.append(head)
-        if not lines:
-            continue  # a long line: joined once, at its end
-        lines = [b"".join(rest), *lines]
-        rest = [lines.pop()]
-        for line in lines:
-            yield start, line
-            start += len(line) + 1
-
-
 class GrowingReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.root, self.positions = options["path"].rstrip("/"), options["positions"].rstrip("/")
@@ -181,7 +153,7 @@ class GrowingReader(DataSourceStreamReader):
         for file, (generation, first, upto) in new.items():
             while first < upto:
                 cut = min(upto, (first // self.split + 1) * self.split)
-                if task and (size + cut - first > self.split or len(task) >= RANGES):
+                if task and (size + cut - first > max(self.split, TASK_BYTES) or len(task) >= RANGES):
                     tasks.append(Ranges(task))
                     task, size = [], 0
                 task.append((file, generation, first, cut))
@@ -192,8 +164,8 @@ class GrowingReader(DataSourceStreamReader):
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         store, top = _store(self.root)
         names = ["file", "generation", "split", "n", "pos", "value"]
+        rows, held = [], 0
         for file, generation, first, end in partition.ranges:
-            rows, held = [], 0
             with store.open_input_file(f"{top}/{file}") as source:
                 for n, (pos, line) in enumerate(lines_of_range(source, first, end)):
                     rows.append((f"{self.root}/{file}", generation, first, n, pos, line))
@@ -201,8 +173,8 @@ class GrowingReader(DataSourceStreamReader):
                     if held >= BATCH_BYTES or len(rows) >= 10_000:
                         yield _batch(rows, names)
                         rows, held = [], 0
-            if rows:
-                yield _batch(rows, names)
+        if rows:
+            yield _batch(rows, names)
 
     def commit(self, end: dict) -> None:
         """Steps below the last full list of positions are read by nobody once they are committed, but stay: they are small."""

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +21,7 @@ from tracelane.config import DEFAULTS, Params
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CALLS = "who string, call_id string, call_line bigint, start_us bigint, end_us bigint, result_line bigint, state string"
+CALL = Row(*[c.split()[0] for c in CALLS.split(", ")])
 STATUS = "session string, status string, start_us bigint, last_seen_us bigint, end_us bigint, at_us bigint"
 #: How far a call's report has come; a later one replaces an earlier one.
 OPEN, WAITING, CLOSED = "1 open", "2 waiting", "3 closed"
@@ -44,15 +45,16 @@ class PairCalls(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getValueState("pending", "call_line bigint, start_us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([r[["line_no", "at_us", "role"]] for r in rows]).sort_values("line_no", kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Rows, not frames: a batch may hold very many ids of a few rows each.
+        new = sorted(((r["line_no"], r["at_us"], r["role"]) for r in rows), key=lambda r: (r[0] is None, r[0]))
         before = tuple(self.pending.get()) if self.pending.exists() else None
         pending, out = before, []
-        for line, at, role in zip(new["line_no"], new["at_us"], new["role"], strict=True):
+        for line, at, role in new:
             if role == "call":
-                pending = pending or (int(line), int(at))
+                pending = pending or (line, at)
             elif role == "result" and pending is not None:
-                out.append((*key, *pending, int(at), int(line), CLOSED))
+                out.append(CALL(*key, *pending, at, line, CLOSED))
                 pending = None
         if pending != before:
             for timer in list(self.handle.listTimers()) if self.patience_ms is not None else []:
@@ -61,14 +63,14 @@ class PairCalls(StatefulProcessor):
                 self.pending.clear()
             else:
                 self.pending.update(pending)
-                out.append((*key, *pending, None, None, OPEN))
+                out.append(CALL(*key, *pending, None, None, OPEN))
                 if self.patience_ms is not None:
                     self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-        yield _frame(out, CALLS)
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        waits = self.pending.exists()
-        yield _frame([(*key, *self.pending.get(), None, None, WAITING)] if waits else [], CALLS)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.pending.exists():
+            yield CALL(*key, *self.pending.get(), None, None, WAITING)
 
     def close(self) -> None:
         pass
@@ -89,7 +91,7 @@ def paired_calls(records: DataFrame, patience_ms: int | None = None) -> DataFram
     use_state_store(records.sparkSession)
     narrow = records.select("who", "call_id", F.col("line_no").cast("bigint"), F.col("at_us").cast("bigint"), "role")
     mode = "none" if patience_ms is None else "processingTime"
-    return narrow.groupBy("who", "call_id").transformWithStateInPandas(PairCalls(patience_ms), CALLS, "Update", mode)
+    return narrow.groupBy("who", "call_id").transformWithState(PairCalls(patience_ms), CALLS, "Update", mode)
 
 
 def latest_calls(updates: DataFrame) -> DataFrame:
